@@ -187,11 +187,12 @@ def match_events(clusters: DataFrame, events: DataFrame, as_of, cfg: EngineConfi
     open_clusters = clusters.join(exact.select("leader_id"), "leader_id", "left_anti")
 
     tok = lambda c: F.array_sort(tokens(normalize_title(F.col(c)), K.STOP_WORDS))
-    heads = (
+    # Both sides feed several steps below; writing them once avoids re-reading the events.
+    heads = materialize(
         recent.select(tok("headline").alias("tok"), "event_id", "created_at").filter(F.size("tok") > 0)
-        .groupBy("tok").agg(F.max(recency).alias("r"), F.max_by("event_id", recency).alias("rank"))
-    )
-    left = open_clusters.select(F.col("leader_id").alias("rank"), tok("title").alias("tok")).filter(F.size("tok") > 0)
+        .groupBy("tok").agg(F.max(recency).alias("r"), F.max_by("event_id", recency).alias("rank")), "heads")
+    left = materialize(open_clusters.select(F.col("leader_id").alias("rank"), tok("title").alias("tok"))
+                       .filter(F.size("tok") > 0), "open")
     left_sets = left.groupBy("tok").agg(F.min("rank").alias("rank"))
     freq = token_frequency(heads.select("tok").unionByName(left_sets.select("tok")))
     pairs = cross_pairs(order_tokens(left_sets, freq), order_tokens(heads.select("rank", "tok"), freq),

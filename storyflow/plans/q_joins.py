@@ -17,6 +17,7 @@ from storyflow.plans.q_scalar import (
     _CONTENT_FP, _norm_url, count_sql, curve_sql, entity_fp_sql, priority_sql, trust_sql, TRUST_SET, FUND, IMPACT,
     LAUNCH, GOV, RESEARCH,
 )
+from storyflow.session import materialize
 from storyflow.plans.registry import NOW, age0, half_even, jac, joined, norm_title, query, sql_in, stamp, text_ts, token_set
 
 # The last day is the new batch, everything before it is history.
@@ -74,11 +75,11 @@ sv AS (SELECT b.article_id, h.article_id AS canonical_id, {_COS} AS score,
     row_number() OVER (PARTITION BY b.article_id ORDER BY {_COS} DESC, h.article_id) AS rn
   FROM (SELECT x.article_id, v.embedding FROM {batch} x JOIN embeddings v ON v.vec_id = x.article_id) b,
        (SELECT x.article_id, v.embedding FROM hs x JOIN embeddings v ON v.vec_id = x.article_id) h),
-sem AS (SELECT article_id, canonical_id, 'semantic_similarity' AS layer, score FROM sv WHERE rn = 1 AND score >= 0.6e0)"""
+sem AS (SELECT article_id, canonical_id, 'semantic_similarity' AS layer, score FROM sv WHERE rn = 1 AND score >= 0.35e0)"""
 
 
 # Stored vectors are topic vectors, so the near-copy threshold is lower here.
-_NEAR = replace(_WIDE, semantic_duplicate=0.6)
+_NEAR = replace(_WIDE, semantic_duplicate=0.35)
 
 
 @query("dd_05", f"WITH {_FP}, {_semantic_sql('bt')} SELECT * FROM sem")
@@ -228,7 +229,8 @@ ma AS (SELECT * FROM mu UNION ALL SELECT leader_id, event_id, 'title', j FROM mj
 def _clusters(d):
     batch = _batch(d.f_articles)
     rolled = CL.roll_up(batch, _assignment(batch))
-    return rolled.join(batch.select(F.col("article_id").alias("leader_id"), "title", "description", "url", "source_domain", "is_official"), "leader_id")
+    canonical = batch.select(F.col("article_id").alias("leader_id"), "title", "description", "url", "source_domain", "is_official")
+    return materialize(rolled.join(canonical, "leader_id"), "clusters")
 
 
 def _events(d):
@@ -253,7 +255,7 @@ SELECT asg.article_id, asg.leader_id, x.event_id, x.priority_score FROM asg JOIN
   UNION ALL SELECT leader_id, event_id, priority_score FROM cr) x ON x.leader_id = asg.leader_id""")
 def _(d):
     clusters, events = _clusters(d), _events(d)
-    m = CL.match_events(clusters, events, AS_OF)
+    m = materialize(CL.match_events(clusters, events, AS_OF), "matches")
     matched = m.join(events.select("event_id", "priority_score"), "event_id")
     created = CL.create_events(clusters.join(m.select("leader_id"), "leader_id", "left_anti"), AS_OF)
     return CL.link_articles(_assignment(_batch(d.f_articles)), matched, created)
@@ -265,7 +267,7 @@ SELECT event_id, leader_id, substr(title, 1, 600) AS headline, CASE WHEN descrip
   priority_score, {TRUST_SET} AS trust_score, source_count, array_to_string(source_domains, ',') AS source_domains, url AS primary_source_url FROM cr""")
 def _(d):
     clusters, events = _clusters(d), _events(d)
-    m = CL.match_events(clusters, events, AS_OF)
+    m = materialize(CL.match_events(clusters, events, AS_OF), "matches")
     created = CL.create_events(clusters.join(m.select("leader_id"), "leader_id", "left_anti"), AS_OF)
     return created.select("event_id", "leader_id", "headline", "summary", "category", "priority_score", "trust_score", "source_count",
                           joined("source_domains").alias("source_domains"), "primary_source_url")
