@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyflow.config import DEFAULT, EngineConfig
+from storyflow.session import materialize
 
 _EPS = 1e-9
 
@@ -186,14 +187,13 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float, cfg: Engine
                 yield pd.DataFrame({"id": pdf["id"], "u": pdf["u"], "cell": cell.astype("int32"),
                                     "dist": d[np.arange(len(cell)), cell]})
 
-    cells = ru.mapInPandas(assign, f"id {rid}, u array<double>, cell int, dist double")
+    cells = materialize(ru.mapInPandas(assign, f"id {rid}, u array<double>, cell int, dist double"), "cells")
     # One row per pivot reaches the driver: its radius range and size.
     stats = {r["cell"]: r for r in cells.groupBy("cell").agg(
         F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")).collect()}
-    lo = np.array([stats[c]["lo"] if c in stats else np.inf for c in range(len(piv))])
-    hi = np.array([stats[c]["hi"] if c in stats else -np.inf for c in range(len(piv))])
-    size = np.array([stats[c]["n"] if c in stats else 0 for c in range(len(piv))])
-    blocks = np.maximum(1, -(-size // cfg.vector_block))
+    every = range(len(piv))
+    lo = np.array([stats[c]["lo"] if c in stats else np.inf for c in every])
+    hi = np.array([stats[c]["hi"] if c in stats else -np.inf for c in every])
     piv_gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * piv @ piv.T))
 
     def route(batches):
@@ -206,28 +206,22 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float, cfg: Engine
             near = d.argmin(axis=1)
             gap = piv_gap[near]
             margin = (d**2 - d[np.arange(len(d)), near][:, None] ** 2) / np.where(gap > 0, 2 * gap, np.inf)
-            ok &= margin <= radius
-            row, cell = np.nonzero(ok)
-            reps = blocks[cell]
-            row_r, cell_r = np.repeat(row, reps), np.repeat(cell, reps)
-            start = np.cumsum(reps) - reps
-            block = np.arange(len(row_r)) - np.repeat(start, reps)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row_r], "u": pdf["u"].to_numpy()[row_r],
-                                "cell": cell_r.astype("int32"), "block": block.astype("int32")})
-
-    block_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    rb = cells.select("id", "u", "cell", F.pmod(F.xxhash64("id"), block_of).cast("int").alias("block"))
-    lb = lu.mapInPandas(route, f"id {lid}, u array<double>, cell int, block int")
-
-    # Left rows of a block are cut into slices of bounded size as well; the right block is
-    # repeated once per slice. Slice counts come from one small aggregate (cells x blocks rows).
-    per = F.count("*").alias("n")
-    slices = lb.groupBy("cell", "block").agg(per).select(
-        "cell", "block", F.ceil(F.col("n") / F.lit(cfg.vector_block)).cast("int").alias("k"))
-    lb = lb.join(F.broadcast(slices), ["cell", "block"]).withColumn(
-        "slice", F.pmod(F.xxhash64("id", F.lit(7)), F.col("k")).cast("int")).drop("k")
-    rb = rb.join(F.broadcast(slices), ["cell", "block"]).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+            row, cell = np.nonzero(ok & (margin <= radius))
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "u": pdf["u"].to_numpy()[row], "cell": cell.astype("int32")})
+
+    routed = materialize(lu.mapInPandas(route, f"id {lid}, u array<double>, cell int"), "routed")
+    wanted = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
+
+    # A cell holding many vectors is cut into blocks, its queries into slices, both of bounded
+    # size; every slice meets every block. The counts per cell are literals (one per pivot).
+    def parts(counts: dict) -> Column:
+        return F.element_at(F.array(*[F.lit(max(1, -(-int(counts.get(c, 0)) // cfg.vector_block))) for c in every]), F.col("cell") + 1)
+
+    blocks, slices = parts({c: r["n"] for c, r in stats.items()}), parts(wanted)
+    span = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    part = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    lb = routed.select("id", "u", "cell", part(slices).alias("slice"), span(blocks).alias("block"))
+    rb = cells.select("id", "u", "cell", part(blocks).alias("block"), span(slices).alias("slice"))
 
     def compare(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if not len(lp) or not len(rp):

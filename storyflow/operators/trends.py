@@ -99,12 +99,11 @@ def window_counts(events: DataFrame, as_of, hours=WINDOWS, types=tuple(TYPES), d
     return counts.join(domains, keys, "left").fillna(0, ["source_count"])
 
 
-def first_ids(events: DataFrame, ranked: DataFrame, as_of, n: int = 5) -> DataFrame:
+def first_ids(events: DataFrame, ranked: DataFrame, as_of, hours=WINDOWS, types=tuple(TYPES), n: int = 5) -> DataFrame:
     """Ids of the n highest-priority current events per ranked trend. ``ranked`` is
     bounded by windows x types x top-k, so it is broadcast."""
-    hours = sorted({r for r in WINDOWS})
     base = mentions(events.filter(
-        (F.col("published_at") >= hours_before(as_of, max(hours))) & (F.col("published_at") < ts(as_of))))
+        (F.col("published_at") >= hours_before(as_of, max(hours))) & (F.col("published_at") < ts(as_of))), types)
     keys = ["period_hours", "type", "name"]
     hit = base.join(F.broadcast(ranked.select(*keys)), ["type", "name"]).filter(
         F.unix_micros(ts(as_of)) - F.unix_micros("published_at") <= F.col("period_hours") * 3_600_000_000
@@ -159,7 +158,7 @@ def trends(events: DataFrame, as_of, hours=WINDOWS, types=tuple(TYPES), with_ids
         "event_count", F.col("mention_count")
     )
     if with_ids:
-        out = out.join(first_ids(events, out, as_of), ["period_hours", "type", "name"], "left")
+        out = out.join(first_ids(events, out, as_of, hours, types), ["period_hours", "type", "name"], "left")
     return out.withColumnRenamed("type", "trend_type").withColumns({
         "period_start": hours_before_col(as_of, F.col("period_hours")),
         "period_end": ts(as_of),

@@ -15,7 +15,7 @@ from storyflow.operators import validate as VF
 from storyflow.operators import dedup as DD
 from storyflow.plans.data import AS_OF
 from storyflow.plans.q_scalar import _norm_url
-from storyflow.plans.q_sets import requests
+from storyflow.plans.q_sets import _RANKED, _SLUG, requests
 from storyflow.plans.registry import NOW, half_even, joined, query, sql_in, sql_list, stamp, text_ts
 from storyflow.session import materialize
 from storyflow.sources import pages as PG
@@ -116,14 +116,25 @@ def _(d):
 
 
 # Navigation links of every page: each anchor text as the heading of a card.
-@query("src_06")
+@query("src_06", """
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 2)) AS txt FROM pages)
+SELECT page_id, trim(txt || ' and more') AS title, 'https://site.example' || href AS url, trim('about ' || txt) AS description, '2024-01-05 10:00:00' AS published_at
+FROM a WHERE length(trim(txt || ' and more')) >= 10""")
 def _(d):
     wrapped = F.regexp_replace("html", r"(<a href=\"/[^\"]*\">)([^<]*)</a>", "$1<h3>$2 and more</h3><time datetime=\"2024-01-05T10:00:00Z\"></time><p>about $2</p></a>")
     cards = PG.anchors(d.pages.withColumn("html", wrapped))
     return PG.link_cards(cards, "/", "https://site.example").withColumn("published_at", text_ts("published_at"))
 
 
-@query("src_07")
+_PSLUG = ("regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(regexp_extract(html, '<title>([^<]*)', 1)), '[^\\x00-\\x7F]', '', 'g')), "
+          "'[^\\w\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), '^-+|-+$', '', 'g')")
+
+
+@query("src_07", f"""
+WITH r AS (SELECT page_id, 'org' || page_id || '/' || {_PSLUG} AS repo, trim(regexp_extract(html, '<div class="ad">([^<]*)', 1)) AS about, page_id % 90 AS stars, page_id % 3 = 0 AS nlp FROM pages),
+n AS (SELECT *, replace(repo, '/', ' / ') AS name FROM r)
+SELECT 'https://github.com/' || repo AS url, '🔥 GitHub Trending: ' || name || ' (' || stars || ' stars today)' AS title, nullif(about, '') AS description FROM n
+WHERE nlp OR len(list_filter({sql_list(K.REPO_KEYWORDS)}, lambda k: contains(lower(name || ' ' || about), k))) > 0""")
 def _(d):
     """Every page becomes one trending row: its links as repository and topic."""
     row = F.concat(
@@ -203,7 +214,10 @@ def _(d):
     return SK.read_table(d.spark, path).withColumns({k: F.lit(v).cast("bigint") for k, v in n.items()})
 
 
-@query("tr_11")
+@query("tr_11", f"""
+WITH {_RANKED}, s AS (SELECT type AS trend_type, {_SLUG('name')} AS slug, hours::INT AS period_hours, cur AS mention_count, score AS trend_score,
+  row_number() OVER (PARTITION BY type, {_SLUG('name')}, hours ORDER BY cur DESC, name DESC) AS rn FROM t)
+SELECT trend_type, slug, period_hours, mention_count, trend_score, 0::BIGINT AS created, (SELECT count(*) FROM s WHERE rn = 1)::BIGINT AS updated FROM s WHERE rn = 1""")
 def _(d):
     path, _ = ST.scratch(d.spark, "trends")
     rows = TR.truncate_run(TR.trends(d.f_story_events, AS_OF, with_ids=False))
@@ -283,7 +297,11 @@ def _(d):
     return SK.read_table(d.spark, path).withColumn("event_type", F.nullif("event_type", F.lit("news"))).select("event_id", "event_type", "priority")
 
 
-@query("ss_01_stream")
+@query("ss_01_stream", f"""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+x AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*)::BIGINT AS events FROM s GROUP BY user_id, sid)
+SELECT user_id, {stamp('a')} AS session_start, {stamp('b')} AS session_end, events FROM x WHERE b <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(d):
     """Sessions that the watermark has closed."""
     path, cp = ST.scratch(d.spark, "sessions")

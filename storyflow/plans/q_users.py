@@ -15,7 +15,7 @@ from storyflow.plans.q_scalar import (
     FRESH_PRIORITY, FUND, GOV, IMPACT, LAUNCH, RESEARCH, TRUST_SET, _DIGIT_SUM, _TEXT, count_sql, priority_sql,
 )
 from storyflow.functions import scores as S
-from storyflow.plans.registry import NOW, age0, half_even, joined, query, sql_in, sql_list, stamp, text_ts
+from storyflow.plans.registry import NOW, age0, half_even, joined, norm_title, query, sql_in, sql_list, stamp, text_ts
 from storyflow.session import materialize
 
 # ------------------------------------------------------------------ PZ
@@ -377,13 +377,18 @@ def keyword_client():
     return answer
 
 
-@query("en_06")
+_WORDS = "list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: length(w) > 3)"
+
+
+@query("en_06", f"""
+SELECT article_id, NULL::VARCHAR AS validation_error, 'General AI' AS category, array_to_string({_WORDS}[1:10], ',') AS keywords,
+  least(100, len({_WORDS}[1:12]) * 8)::DOUBLE AS importance_score FROM f_articles""")
 def _(d):
     out = EN.analyses_from_responses(EN.run_model(d.f_articles, keyword_client))
     return out.select("article_id", "validation_error", "category", joined("keywords").alias("keywords"), "importance_score")
 
 
-@query("ud_02")
+@query("ud_02", "SELECT conv_id * 1000 + turn AS article_id, substr(text, 1, 120) AS summary FROM conversations")
 def _(d):
     turns = d.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("article_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
                                    F.lit("").alias("url"), F.col("role").alias("source_domain"), F.col("text").alias("body"))
@@ -423,7 +428,7 @@ def _(d):
     return x.select("article_id", EN.is_placeholder(F.coalesce("present", F.lit(False)), F.col("model_used"), F.col("description"), F.lit(""), F.col("summary")).alias("placeholder"))
 
 
-@query("en_09")
+@query("en_09", f"SELECT article_id, 64 AS dims, CASE WHEN {norm_title('title')} = '' THEN 0e0 ELSE 1e0 END AS squared_norm FROM f_articles")
 def _(d):
     v = EN.with_embedding(d.f_articles.select("article_id", "title"), "title")
     return v.select("article_id", F.size("embedding").alias("dims"), T.py_round(F.aggregate(

@@ -22,36 +22,36 @@ TEXT_LIMIT = 10_000  # fixed value: longest text stored per page
 
 
 class _Paragraphs(HTMLParser):
-    """Text of every ``p`` outside skipped elements. A nested ``p`` also counts for the outer
-    one until that is closed."""
+    """Text of every ``p`` outside skipped elements. An open ``p`` ends with its own end tag or
+    with the end of an enclosing element; until then it also owns the text of nested ones."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.skip: list[str] = []
-        self.open: list[list[str]] = []
+        self.stack: list[tuple[str, list[str] | None]] = []
         self.done: list[list[str]] = []
 
     def handle_starttag(self, tag, attrs):
-        if self.skip or tag in _SKIPPED:
-            if tag not in _VOID:
-                self.skip.append(tag)
-        elif tag == "p":
-            parts: list[str] = []
-            self.open.append(parts)
+        if tag in _VOID:
+            return
+        parts = None
+        if tag == "p" and not self._skipping():
+            parts = []
             self.done.append(parts)
+        self.stack.append((tag, parts))
+
+    def _skipping(self) -> bool:
+        return any(tag in _SKIPPED for tag, _ in self.stack)
 
     def handle_endtag(self, tag):
-        if self.skip:
-            if tag in self.skip:
-                while self.skip.pop() != tag:
-                    pass
-        elif tag == "p" and self.open:
-            self.open.pop()
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
 
     def handle_data(self, data):
-        if not self.skip:
-            for parts in self.open:
-                parts.append(data)
+        if not self._skipping():
+            for _, parts in self.stack:
+                if parts is not None:
+                    parts.append(data)
 
 
 def paragraph_text(html: str | None) -> str:

@@ -11,11 +11,10 @@ _BUCKET = "_bucket"
 
 
 def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
-    """Append rows. Rows are grouped by partition value before writing, salted so that a
-    dominant value is still written by many tasks."""
+    """Append rows. The rebalance hint gathers each partition value into few files, while the
+    adaptive planner still splits a dominant value over many tasks."""
     if partition_cols:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, *partition_cols, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8)))
+        df = df.hint("rebalance", *partition_cols)
     writer = df.write.mode("append")
     (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(path)
 
@@ -38,7 +37,7 @@ def upsert(df: DataFrame, path: str, keys: list[str], buckets: int = 16) -> dict
     are rewritten. Merged partitions are first written to the scratch area and then
     swapped in by a dynamic partition overwrite; repeating the call gives the same table, which
     makes it safe for retried stream batches. ``df`` holds one row per key; of repeated keys
-    one row is kept."""
+    one row is kept. ``buckets`` is fixed by the first call; choose it by table size."""
     spark = df.sparkSession
     cols = df.columns
     new = df.groupBy(*keys).agg(F.max(F.struct(*[c for c in cols if c not in keys])).alias("r")) if set(cols) - set(keys) else df.distinct()
@@ -49,12 +48,12 @@ def upsert(df: DataFrame, path: str, keys: list[str], buckets: int = 16) -> dict
     if total == 0:
         return {"created": 0, "updated": 0}
     if not exists(spark, path):
-        new.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(path)
+        new.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(path)
         return {"created": total, "updated": 0}
     touched = [r[0] for r in new.select(_BUCKET).distinct().collect()]  # at most ``buckets`` values
     old = spark.read.schema(new.schema).parquet(path).filter(F.col(_BUCKET).isin(touched))
     updated = old.join(new.select(*keys), keys, "left_semi").count()
     merged = materialize(old.join(new.select(*keys), keys, "left_anti").unionByName(new), "merged")
-    (merged.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (merged.hint("rebalance", _BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(_BUCKET).parquet(path))
     return {"created": total - updated, "updated": updated}
