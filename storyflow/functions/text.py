@@ -22,7 +22,8 @@ def lit_array(values) -> Column:
 
 
 def py_round(c: Column, digits: int = 0) -> Column:
-    """Half-even rounding of the binary double."""
+    """Half-even rounding after scaling. It differs from rounding the exact binary value only
+    where that value lies within one unit of the last place of a tie (2.675 gives 2.68)."""
     if digits == 0:
         return F.rint(c)
     scale = float(10**digits)
