@@ -133,14 +133,18 @@ def article_list_row(feed: DataFrame) -> DataFrame:
         F.coalesce("companies", _strings()).alias("companies"), F.coalesce("tags", _strings()).alias("tags"), "created_at")
 
 
+def with_text(articles: DataFrame) -> DataFrame:
+    """Lower-cased title and description, built once per row for the keyword tests."""
+    return articles.withColumn("_text", F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))))
+
+
 def live_feed(articles: DataFrame, as_of, days: int = 3, limit: int | None = 60,
               companies: Column | None = None, topics: Column | None = None) -> DataFrame:
     """Recent or undated rows with a positive score, newest first, then score."""
-    text = F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))))
-    score = live_feed_score(as_of, text, F.col("source_name"), F.col("published_at"), F.col("is_official"), companies, topics)
+    score = live_feed_score(as_of, F.col("_text"), F.col("source_name"), F.col("published_at"), F.col("is_official"), companies, topics)
     out = (
-        articles.filter(F.col("published_at").isNull() | (F.col("published_at") >= hours_before(as_of, days * 24)))
-        .withColumn("feed_score", score).filter(F.col("feed_score") > 0)
+        with_text(articles.filter(F.col("published_at").isNull() | (F.col("published_at") >= hours_before(as_of, days * 24))))
+        .withColumn("feed_score", score).drop("_text").filter(F.col("feed_score") > 0)
         .orderBy(F.desc_nulls_last("published_at"), F.desc("feed_score"), "article_id")
     )
     return out if limit is None else out.limit(limit)

@@ -222,7 +222,6 @@ def pick_brief(ids, score, quality, trend, tags, overlap, known: set, slots: int
     Greedy: relevance minus overlap with what is chosen, plus a bonus for a tag not yet
     present, under a per-tag quota; surprise picks are held back and appended. Returns
     ``(candidate position, is_serendipity)`` in brief order."""
-    n = len(ids)
     ok = np.flatnonzero((score >= cfg.brief_quality) | (trend >= cfg.major_trend))
     ok = sorted(ok, key=lambda i: (-score[i], ids[i]))
     if not ok:
@@ -231,23 +230,24 @@ def pick_brief(ids, score, quality, trend, tags, overlap, known: set, slots: int
     quota = max(1, math.ceil(target * cfg.brief_tag_share))
     novel = sorted((i for i in ok if tags[i] not in known and quality[i] >= cfg.brief_quality),
                    key=lambda i: (-quality[i], -trend[i], -score[i], ids[i]))[:slots]
-    open_mask = np.zeros(n, bool)
-    open_mask[ok] = True
-    open_mask[novel] = False
-    order = np.array(ok)
-    worst = np.zeros(n)
-    used: dict = {}
+    order = np.array(ok)  # best score first, so argmax takes the earliest of equal gains
+    tag_of = np.unique(np.array([tags[i] for i in ok]), return_inverse=True)[1]
+    used = np.zeros(tag_of.max() + 1, int)
+    free = ~np.isin(order, novel)
+    base, worst = score[order] * 0.86, np.zeros(len(order))
+    near = overlap[np.ix_(order, order)]
     chosen: list[int] = []
     while len(chosen) < max(0, target - len(novel)):
-        cand = [i for i in order if open_mask[i] and used.get(tags[i], 0) < quota]
-        if not cand:
+        can = free & (used[tag_of] < quota)
+        if not can.any():
             break
-        gain = [score[i] * 0.86 - worst[i] * 22.0 + (0.0 if used.get(tags[i]) else 4.0) for i in cand]
-        best = cand[int(np.argmax(gain))]
-        chosen.append(best)
-        open_mask[best] = False
-        used[tags[best]] = used.get(tags[best], 0) + 1
-        worst = np.maximum(worst, overlap[best])
+        gain = np.where(can, base - worst * 22.0 + np.where(used[tag_of] == 0, 4.0, 0.0), -np.inf)
+        best = int(np.argmax(gain))
+        chosen.append(int(order[best]))
+        free[best] = False
+        used[tag_of[best]] += 1
+        worst = np.maximum(worst, near[best])
+    used = {tags[order[k]]: int(used[tag_of[k]]) for k in range(len(order))}
     out = [(i, False) for i in chosen]
     for i in novel:
         if len(out) >= target:
@@ -296,6 +296,9 @@ def select_briefs(users: DataFrame, pool: DataFrame, vectors: DataFrame, prefere
         users.select("user_id", serendipity_slots(F.col("user_id"), day, cfg).alias("slots"))
         .join(aff, "user_id", "left").join(blk, "user_id", "left").join(known, "user_id", "left")
     )
+    # Few bytes but much work per row: a fixed partition count keeps adaptive coalescing from
+    # gathering all users into one task.
+    per_user = per_user.repartition(int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
 
     def choose(batches):
         r2 = lambda x: np.rint(x * 100.0) / 100.0

@@ -10,11 +10,11 @@ from storyflow.config import DEFAULT, EngineConfig
 from storyflow.functions.dates import raw_age_hours
 from storyflow.functions.scores import is_trusted_domain, trust_result
 from storyflow.functions.text import contains_any, contains_any_word, normalize_title, tokens
+from storyflow.operators.feeds import with_text
 
 
-def is_relevant(title: Column, description: Column, domain: Column, official: Column,
-                whole_word: bool = False) -> Column:
-    text = F.lower(F.concat_ws(" ", title, F.coalesce(description, F.lit(""))))
+def is_relevant(text: Column, domain: Column, official: Column, whole_word: bool = False) -> Column:
+    """``text`` is the lower-cased title and description."""
     match = contains_any_word if whole_word else contains_any
     return official | F.lower(domain).isin(K.OFFICIAL_DOMAINS) | match(text, K.RELEVANCE_KEYWORDS)
 
@@ -41,18 +41,18 @@ def is_accepted(reason: Column) -> Column:
 
 
 def first_failure(as_of, cfg: EngineConfig = DEFAULT, strict_future: bool = True) -> Column:
-    """First failing rule of relevance, content, freshness; ``accepted`` when none fails."""
+    """First failing rule of relevance, content, freshness; ``accepted`` when none fails.
+    Reads ``_text`` (see ``feeds.with_text``)."""
     fresh = acceptance_reason(as_of, F.col("published_at"), cfg, strict_future)
     return (
-        F.when(~is_relevant(F.col("title"), F.col("description"), F.col("source_domain"), F.col("is_official")),
-               "not_ai_relevant")
+        F.when(~is_relevant(F.col("_text"), F.col("source_domain"), F.col("is_official")), "not_ai_relevant")
         .when(~has_content(F.col("title")), "insufficient_content")
         .when(~is_accepted(fresh), fresh).otherwise("accepted")
     )
 
 
 def validated(articles: DataFrame, as_of, cfg: EngineConfig = DEFAULT, strict_future: bool = True) -> DataFrame:
-    return articles.withColumn("reason", first_failure(as_of, cfg, strict_future))
+    return with_text(articles).withColumn("reason", first_failure(as_of, cfg, strict_future)).drop("_text")
 
 
 def rejection_breakdown(checked: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from storyflow.functions import scores as S
 from storyflow.functions import text as T
 from storyflow.functions import vectors as V
 from storyflow.operators import validate as VF
+from storyflow.operators.feeds import with_text
 from storyflow.plans.data import AS_OF, DAY_END
 from storyflow.plans.registry import (
     NOW, age, age0, half_even, jac, joined, norm_title, query, sql_in, sql_list, stamp, text_ts, token_set,
@@ -206,8 +207,8 @@ _REASON = (f"CASE WHEN NOT {_REL} THEN 'not_ai_relevant' WHEN NOT ({_CONTENT}) T
 
 @query("vf_01", f"SELECT article_id, {_REL} AS relevant FROM f_articles")
 def _(d):
-    return d.f_articles.select("article_id", VF.is_relevant(
-        F.col("title"), F.col("description"), F.col("source_domain"), F.col("is_official")).alias("relevant"))
+    return with_text(d.f_articles).select("article_id", VF.is_relevant(
+        F.col("_text"), F.col("source_domain"), F.col("is_official")).alias("relevant"))
 
 
 @query("vf_02", f"SELECT article_id, {_CONTENT} AS sufficient FROM f_articles")
@@ -462,7 +463,6 @@ LIVE = (f"CASE WHEN source_name IN {sql_in(K.FEED_EXCLUDED_SOURCES)} THEN -999e0
 
 @query("pr_17", f"SELECT article_id, {LIVE} AS score FROM f_articles")
 def _(d):
-    text = F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))))
-    s = S.live_feed_score(AS_OF, text, F.col("source_name"), F.col("published_at"), F.col("is_official"),
+    s = S.live_feed_score(AS_OF, F.col("_text"), F.col("source_name"), F.col("published_at"), F.col("is_official"),
                           companies=F.array(F.lit("The")), topics=F.array(F.lit("RAG")))
-    return d.f_articles.select("article_id", s.alias("score"))
+    return with_text(d.f_articles).select("article_id", s.alias("score"))

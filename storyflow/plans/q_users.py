@@ -10,6 +10,7 @@ from storyflow import constants as K
 from storyflow.functions import text as T
 from storyflow.operators import enrich as EN
 from storyflow.operators import personalize as PZ
+from storyflow.operators.feeds import with_text
 from storyflow.plans.data import AS_OF, DAY, DAY_END
 from storyflow.plans.q_scalar import (
     FRESH_PRIORITY, FUND, GOV, IMPACT, LAUNCH, RESEARCH, TRUST_SET, _DIGIT_SUM, _TEXT, count_sql, priority_sql,
@@ -306,7 +307,7 @@ def _(d):
 @query("en_01", "SELECT article_id, CASE " + " ".join(
     f"WHEN len(list_filter({sql_list(w)}, lambda k: contains({_TEXT}, k))) > 0 THEN '{n}'" for n, w in K.CATEGORY_RULES) + f" ELSE '{K.DEFAULT_CATEGORY}' END AS category FROM f_articles")
 def _(d):
-    return d.f_articles.select("article_id", S.rule_category(F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))))).alias("category"))
+    return with_text(d.f_articles).select("article_id", S.rule_category(F.col("_text")).alias("category"))
 
 
 # Model responses landed as JSON text; every defect the validator knows occurs.

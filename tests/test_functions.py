@@ -167,6 +167,6 @@ def test_relevance_whole_word(spark):
     from storyflow.operators.validate import is_relevant
 
     def one(title, **kw):
-        return spark.range(1).select(is_relevant(F.lit(title), F.lit(None).cast("string"), F.lit("x.org"), F.lit(False), **kw)).first()[0]
+        return spark.range(1).select(is_relevant(F.lower(F.lit(title)), F.lit("x.org"), F.lit(False), **kw)).first()[0]
 
     assert one("Cold storage prices") and not one("Cold storage prices", whole_word=True) and one("Using RAG now", whole_word=True)
