@@ -31,9 +31,9 @@ class EngineConfig:
     retention_days: int = 30
     mentor_min: float = 55.0
 
-    # How many token matches one clustering step may enumerate before the
-    # rank range is split (see operators/cluster.py). Sized per cluster.
-    pair_budget: int = 400_000_000
+    # Token matches one clustering step may enumerate, per core of the session, before the rank
+    # range is split (see operators/cluster.py).
+    pair_budget_per_core: int = 2_000_000
     # Rows per side of one vector comparison block (see operators/similarity.py).
     vector_block: int = 4096
 

@@ -115,8 +115,10 @@ def _choose_cut(rest: DataFrame, threshold: float, budget: int) -> int | None:
 
 
 def leader_clusters(rows: DataFrame, id_col: str, tok_col: str, ord_col: str, threshold: float,
-                    pair_budget: int = DEFAULT.pair_budget) -> DataFrame:
+                    pair_budget: int | None = None) -> DataFrame:
     """Adds ``leader_id`` and ``similarity`` to every row. Rows without tokens lead themselves."""
+    if pair_budget is None:
+        pair_budget = DEFAULT.pair_budget_per_core * rows.sparkSession.sparkContext.defaultParallelism
     nodes = materialize(_nodes(rows, id_col, tok_col, ord_col), "nodes")
     edges = leader_edges(nodes, threshold, pair_budget)
     ids = nodes.select(F.col("rank").alias("a"), F.col("id").alias("leader_id"))
@@ -132,6 +134,10 @@ def leader_clusters(rows: DataFrame, id_col: str, tok_col: str, ord_col: str, th
     )
 
 
+def _budget(df: DataFrame, cfg: EngineConfig) -> int:
+    return cfg.pair_budget_per_core * df.sparkSession.sparkContext.defaultParallelism
+
+
 def story_order() -> Column:
     """Official first, newest first, undated last, then input order."""
     return F.struct((~F.col("is_official")).alias("x"), F.coalesce(-F.unix_micros("published_at"), F.lit(0)).alias("y"),
@@ -142,7 +148,7 @@ def cluster_articles(articles: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFr
     """``(article_id, leader_id, similarity)`` for one batch."""
     rows = articles.select(
         "article_id", tokens(normalize_title(F.col("title")), K.STOP_WORDS).alias("tok"), story_order().alias("ord"))
-    return leader_clusters(rows, "article_id", "tok", "ord", cfg.title_jaccard, cfg.pair_budget).select(
+    return leader_clusters(rows, "article_id", "tok", "ord", cfg.title_jaccard, _budget(articles, cfg)).select(
         "article_id", "leader_id", "similarity")
 
 
@@ -151,7 +157,7 @@ def group_stories(articles: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame
     rows = articles.select(
         "article_id", tokens(normalize_title(F.col("title"))).alias("tok"), F.struct("article_id").alias("ord"),
     ).filter(F.size("tok") > 0)
-    return leader_clusters(rows, "article_id", "tok", "ord", cfg.title_jaccard, cfg.pair_budget).select(
+    return leader_clusters(rows, "article_id", "tok", "ord", cfg.title_jaccard, _budget(articles, cfg)).select(
         "article_id", F.col("leader_id").alias("story_id"))
 
 

@@ -9,7 +9,7 @@ from storyflow import constants as K
 from storyflow.config import DEFAULT, EngineConfig
 from storyflow.functions.dates import raw_age_hours
 from storyflow.functions.scores import is_trusted_domain, trust_result
-from storyflow.functions.text import contains_any, contains_any_word, normalize_title, tokens
+from storyflow.functions.text import contains_any, contains_any_word
 from storyflow.operators.feeds import with_text
 
 
@@ -87,15 +87,11 @@ def with_trust(df: DataFrame, as_of, corroboration_col: Column = None) -> DataFr
 def verify_batch(articles: DataFrame, as_of, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Validation, story grouping, corroboration and trust for one batch; every accepted
     article comes back with its ``is_verified`` flag."""
-    from storyflow.operators.cluster import leader_clusters
+    from storyflow.operators.cluster import group_stories
     from storyflow.session import materialize
 
     good = materialize(validated(articles, as_of, cfg).filter(F.col("reason") == "accepted"), "accepted")
-    stories = leader_clusters(
-        good.withColumn("tok", tokens(normalize_title(F.col("title")))).select(
-            "article_id", "tok", F.struct("article_id").alias("ord")),
-        "article_id", "tok", "ord", cfg.title_jaccard, cfg.pair_budget,
-    ).filter(F.size("tok") > 0).select("article_id", F.col("leader_id").alias("story_id"))
+    stories = group_stories(good, cfg)
     stories = stories.join(good.select("article_id", "source_domain"), "article_id")
     return with_trust(with_corroboration(good, stories), as_of, F.col("corroboration"))
 
