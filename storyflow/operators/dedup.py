@@ -112,19 +112,14 @@ def entity_duplicates(batch: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def supporting_sources(articles: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """Canonical article -> distinct urls of its duplicates, joined to those it already has.
-    Urls are made distinct before they are gathered, so copies of one url arrive once."""
-    urls = (
+    """``(canonical_id, url)``: urls a canonical article already has and those of its duplicates,
+    each once. Kept as rows, because one story may have any number of copies."""
+    added = (
         duplicates.filter(F.col("canonical_id").isNotNull())
-        .join(articles.select("article_id", "url"), "article_id")
-        .select("canonical_id", "url").distinct()
-        .groupBy("canonical_id").agg(F.array_sort(F.collect_list("url")).alias("urls"))
-    )
-    old = F.coalesce(F.col("supporting_sources"), F.array().cast("array<string>"))
-    return (
-        articles.withColumnRenamed("article_id", "canonical_id").join(urls, "canonical_id")
-        .select("canonical_id", F.array_union(old, "urls").alias("supporting_sources"))
+        .join(articles.select("article_id", "url"), "article_id").select("canonical_id", "url")
     )
+    known = articles.select(F.col("article_id").alias("canonical_id"), F.explode("supporting_sources").alias("url"))
+    return known.unionByName(added).distinct()
 
 
 def components(keys: DataFrame) -> DataFrame:

@@ -94,19 +94,9 @@ def breaking(events: DataFrame, limit: int = 10) -> DataFrame:
     return events.filter("is_breaking").orderBy(*event_order()).limit(limit)
 
 
-def event_detail(events: DataFrame, links: DataFrame, articles: DataFrame, event_ids: list) -> DataFrame:
-    """Requested events with their articles nested. Only the requested ids are gathered."""
-    wanted = events.filter(F.col("event_id").isin(list(event_ids)))
-    nested = (
-        links.filter(F.col("event_id").isin(list(event_ids))).join(articles, "article_id")
-        .groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(
-            "article_id", "title", "url", "source_domain", "published_at", "is_official", "trust_score"))).alias("articles"))
-    )
-    return wanted.join(nested, "event_id", "left")
-
-
 def event_articles(events: DataFrame, links: DataFrame, articles: DataFrame) -> DataFrame:
-    """The same relation for all events, flat: one row per event and article."""
+    """Event detail: one row per event and article. Flat, because an event may own any number of
+    articles; filter ``events`` for a single page."""
     a = articles.select("article_id", "title", F.col("url").alias("article_url"), "trust_score")
     return events.join(links, "event_id").join(a, "article_id")
 

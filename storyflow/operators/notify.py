@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storyflow import constants as K
 from storyflow.config import DEFAULT, EngineConfig
 from storyflow.functions.dates import ts
+from storyflow.session import bounded, materialize
 
 
 def _map(values: dict) -> Column:
@@ -72,11 +73,13 @@ def event_terms(events: DataFrame) -> DataFrame:
         scalar, _lower("tags"), _lower("companies"), _lower("models_mentioned")))).alias("term"))
 
 
-def affected_users(events: DataFrame, users: DataFrame, preferences: DataFrame) -> DataFrame:
+def affected_users(events: DataFrame, users: DataFrame, preferences: DataFrame,
+                   max_alerts: int = DEFAULT.alert_cap) -> DataFrame:
     """``(event_id, user_id, why)``. A term join finds interested users. Users without
     preference terms, and everybody for priority 95 and above, take every alert: those rows are
-    the audience itself, so the alert list (capped per run by ``alert_candidates``) is
-    attached to each user as a short array instead of a cross join."""
+    the audience itself. One run alerts at most ``max_alerts`` events (checked), so the list
+    travels with each user as a short array."""
+    events = bounded(materialize(events, "alerts"), max_alerts, "the alert list")
     active = users.filter("is_active").select("user_id")
     terms = preference_terms(preferences)
     by_term = (

@@ -17,6 +17,7 @@ from storyflow import constants as K
 from storyflow.config import DEFAULT, EngineConfig
 from storyflow.functions.dates import exponential_freshness, start_of_day, ts
 from storyflow.functions.text import hash_bucket, normalize_term, py_round
+from storyflow.session import bounded
 
 _SCALARS = ["category", "subcategory", "event_type"]
 _ARRAYS = ["tags", "keywords", "companies", "products_mentioned", "technologies_mentioned",
@@ -110,10 +111,11 @@ def with_quality(df: DataFrame, as_of) -> DataFrame:
 
 
 def pool_affinity(vectors: DataFrame, pool: DataFrame) -> DataFrame:
-    """Non-zero ``(user_id, article_id, affinity)``. The pool bounds how many articles a term meets."""
+    """Non-zero ``(user_id, article_id, affinity)``. The pool (checked to be small) bounds how many
+    articles a term meets; its term list is sized by Spark, not hinted."""
     terms = pool.select("article_id", F.explode("tag_set").alias("term"))
     return (
-        vectors.join(F.broadcast(terms), "term").groupBy("user_id", "article_id").agg(F.sum("weight").alias("s"))
+        vectors.join(terms, "term").groupBy("user_id", "article_id").agg(F.sum("weight").alias("s"))
         .select("user_id", "article_id", py_round(1.0 - F.exp(-F.col("s") / 4.0), 4).alias("affinity"))
     )
 
@@ -153,6 +155,7 @@ def score_pool(users: DataFrame, pool: DataFrame, vectors: DataFrame, preference
     """Score of every unblocked pool article for every user. ``pool`` carries tags.
 
     The pool travels as one array of at most ``cfg.brief_pool`` entries."""
+    pool = bounded(pool, cfg.brief_pool, "the brief pool")
     q = with_quality(pool, as_of)
     short = q.agg(F.collect_list(F.struct("article_id", "quality_raw", "base_trend", "primary_tag")).alias("pool")
                   ).withColumn("_k", F.lit(1))
@@ -276,8 +279,9 @@ def select_briefs(users: DataFrame, pool: DataFrame, vectors: DataFrame, prefere
     Only the pool (at most ``cfg.brief_pool`` rows) is known to every task. Per user one row
     arrives with its non-zero affinities, blocked pool articles and known pool tags, each
     list bounded by the pool; scores of the zero-affinity articles follow from the pool."""
+    pool = bounded(pool, cfg.brief_pool, "the brief pool")
     q = with_quality(pool, as_of).select("article_id", "quality_raw", "base_trend", "primary_tag", "tag_set")
-    rows = q.orderBy("article_id").limit(cfg.brief_pool).collect()
+    rows = q.orderBy("article_id").collect()
     ids = [r["article_id"] for r in rows]
     at = {a: i for i, a in enumerate(ids)}
     quality_raw = np.array([r["quality_raw"] for r in rows], dtype=float)
@@ -368,7 +372,7 @@ def merge_breaking(briefs: DataFrame, delta: DataFrame, scored: DataFrame, vecto
     over brief and delta articles; a blocked article has no row there."""
     strong = delta.filter(F.greatest("priority_score", "final_score") >= cfg.interrupt_priority).select("article_id")
     mine = briefs.select("user_id", F.explode("article_ids").alias("article_id")).withColumn("own", F.lit(1))
-    hot = scored.join(F.broadcast(strong), "article_id", "left_semi")
+    hot = scored.join(strong, "article_id", "left_semi")
     added = hot.join(mine, ["user_id", "article_id"], "left_anti")
     grown = added.join(briefs.select("user_id"), "user_id", "left_semi").select("user_id").distinct()
     both = (
@@ -456,6 +460,7 @@ def mentor_picks(users: DataFrame, preferences: DataFrame, pool: DataFrame, day:
 
     The pool is one array beside each user; the best entry is found by an array
     expression, so nothing is exploded or shuffled per user and article."""
+    pool = bounded(pool, cfg.brief_pool, "the brief pool")
     low = lambda c: F.lower(F.trim(c))
     meta_scalars = ["title", "description", "source_domain", "summary", "category", "subcategory", "event_type", "why_it_matters"]
     meta_arrays = ["tags", "keywords", "companies", "products_mentioned", "technologies_mentioned", "models_mentioned"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from storyflow.functions.dates import start_of_day, ts
@@ -61,10 +61,21 @@ def request_counts(requests: DataFrame, limit_authenticated: int = 100, limit_an
     )
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Reader sessions: events closer than the gap belong together."""
+def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Reader sessions of a batch: events less than the gap apart belong together.
+
+    Events first shrink to one row per user and gap-wide bucket (inside a bucket nothing can
+    split), combined before the shuffle. What is ordered per user is then bounded by the
+    time range over the gap, however many events one user has."""
+    gap = gap_minutes * 60_000_000
+    t = F.unix_micros("ts")
+    buckets = events.groupBy("user_id", F.floor(t / F.lit(gap)).alias("b")).agg(
+        F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("n"))
+    w = Window.partitionBy("user_id").orderBy("b")
+    fresh = F.coalesce((F.col("first") - F.lag("last").over(w) > gap).cast("int"), F.lit(1))
     return (
-        events.groupBy(F.session_window("ts", gap).alias("w"), "user_id")
-        .agg(F.count("*").alias("events"))
-        .select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
+        buckets.withColumn("fresh", fresh).withColumn("sid", F.sum("fresh").over(w))
+        .groupBy("user_id", "sid").agg(F.min("first").alias("a"), F.max("last").alias("z"), F.sum("n").alias("events"))
+        .select("user_id", F.timestamp_micros("a").alias("session_start"),
+                F.timestamp_micros(F.col("z") + gap).alias("session_end"), "events")
     )

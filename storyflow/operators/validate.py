@@ -101,8 +101,7 @@ def source_health(attempts: DataFrame, limit: int = 5) -> DataFrame:
     last success, and whether the source stays active.
 
     The streak needs no per-source sort: it is the number of failures after the latest
-    success, so two partial aggregations replace an ordered window over a hot source. A source
-    that ever reaches ``limit`` failures in a row is off; see ``ever_disabled`` for that."""
+    success, so two partial aggregations replace an ordered window over a hot source."""
     key = F.struct("ts", "attempt_id")
     last_ok = attempts.groupBy("source").agg(F.max(F.when(F.col("ok"), key)).alias("last_ok"))
     joined = attempts.join(last_ok, "source")

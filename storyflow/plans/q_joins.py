@@ -124,12 +124,12 @@ def _(d):
 
 @query("dd_08", f"""
 WITH {_FP}, {_HASH}, u AS (SELECT DISTINCT ex.canonical_id, b.url FROM ex JOIN f_news b ON b.article_id = ex.article_id)
-SELECT canonical_id, string_agg(url, ' ' ORDER BY url) AS supporting_sources FROM u GROUP BY canonical_id""")
+SELECT canonical_id, url FROM u UNION SELECT article_id, 'https://seen.example/' || article_id FROM f_news WHERE article_id % 5 = 0""")
 def _(d):
     fp = _fp(d)
     dup = DD.hash_duplicates(_batch(fp), _history(fp))
-    rows = fp.select("article_id", "url").withColumn("supporting_sources", F.array().cast("array<string>"))
-    return DD.supporting_sources(rows, dup).withColumn("supporting_sources", F.array_join(F.array_sort("supporting_sources"), " "))
+    seen = F.when(F.col("article_id") % 5 == 0, F.array(F.concat(F.lit("https://seen.example/"), F.col("article_id").cast("string"))))
+    return DD.supporting_sources(fp.select("article_id", "url", seen.alias("supporting_sources")), dup)
 
 
 @query("dd_09", f"""

@@ -181,10 +181,9 @@ def _(d):
     v = materialize(_vectors(d), "vectors")
     pool = _pool(d)
     s = _scored(d, pool, v).join(pool.select("article_id", "tag_set"), "article_id")
-    known = v.groupBy("user_id").agg(F.collect_set("term").alias("all_terms"))
-    tags = pool.agg(F.collect_set("primary_tag").alias("t")).withColumn("_k", F.lit(1))
-    ready = s.join(known, "user_id", "left").withColumn("_k", F.lit(1)).join(F.broadcast(tags), "_k").withColumn(
-        "known", F.array_intersect(F.coalesce("all_terms", F.array().cast("array<string>")), "t"))
+    tags = pool.select(F.col("primary_tag").alias("term")).distinct()
+    known = v.join(tags, "term", "left_semi").groupBy("user_id").agg(F.collect_set("term").alias("known"))
+    ready = s.join(known, "user_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     return PZ.select_from_candidates(ready, DAY).select("user_id", "article_id", "pos", "is_serendipity", "personalized_score", "primary_tag")
 
 

@@ -15,6 +15,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Streaming sessions merge inside a task before the shuffle.
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark
 
 
@@ -32,6 +34,13 @@ def local_session(name: str = "storyflow", cpus: int | str = "*", shuffle: int =
     return prepare(spark)
 
 
+def bounded(df: DataFrame, limit: int, what: str) -> DataFrame:
+    """Check that ``df`` has at most ``limit`` rows before it is broadcast or collected."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"{what} has more than {limit} rows")
+    return df
+
+
 _local_scratch: str | None = None
 
 

@@ -123,8 +123,13 @@ def request_stream(requests: DataFrame, late: str = "5 minutes", **limits) -> Da
 
 
 def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Append mode: a session leaves the state once the watermark has passed its end."""
-    return AG.sessions(events.withWatermark("ts", late), gap)
+    """Append mode: a session leaves the state once the watermark has passed its end. Sessions of
+    one task merge before the shuffle (see ``session.prepare``)."""
+    return (
+        events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+        .agg(F.count("*").alias("events"))
+        .select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
+    )
 
 
 # ---- NT-07
