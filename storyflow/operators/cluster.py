@@ -238,6 +238,19 @@ def create_events(clusters: DataFrame, as_of) -> DataFrame:
     )
 
 
+def merge_same_url(clusters: DataFrame) -> DataFrame:
+    """Clusters whose canonical articles share a url become one: the first in story order leads,
+    domains are united. ``clusters`` carries ``canonical_at``, the leader's own date."""
+    order = F.struct((~F.col("is_official")).alias("x"), F.coalesce(-F.unix_micros("canonical_at"), F.lit(0)).alias("y"), "leader_id")
+    rest = [c for c in clusters.columns if c not in ("url", "source_domains", "source_count")]
+    first = clusters.groupBy("url").agg(F.min_by(F.struct(*rest), order).alias("r")).select("url", "r.*")
+    domains = (
+        clusters.select("url", F.explode("source_domains").alias("d")).distinct()
+        .groupBy("url").agg(F.array_sort(F.collect_list("d")).alias("source_domains"))
+    )
+    return first.join(domains, "url").withColumn("source_count", F.size("source_domains"))
+
+
 _AUTHORITATIVE = ["openai", "anthropic", "deepmind"]
 
 

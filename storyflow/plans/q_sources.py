@@ -14,6 +14,7 @@ from storyflow.operators import trends as TR
 from storyflow.operators import validate as VF
 from storyflow.operators import dedup as DD
 from storyflow.plans.data import AS_OF
+from storyflow.plans.q_joins import _P_NEW, _ROLL, _STORY_ORDER, greedy_sql
 from storyflow.plans.q_scalar import _norm_url
 from storyflow.plans.q_sets import _RANKED, _SLUG, requests
 from storyflow.plans.registry import NOW, half_even, joined, query, sql_in, sql_list, stamp, text_ts
@@ -252,7 +253,14 @@ def _(d):
     return d.spark.read.parquet(path).select("normalized_url")
 
 
-@query("cl_09")
+@query("cl_09", f"""
+WITH RECURSIVE {greedy_sql(_STORY_ORDER, K.STOP_WORDS)},
+ro AS ({_ROLL.format(src='f_articles')}),
+cl AS (SELECT ro.*, a.title, a.url, row_number() OVER (PARTITION BY a.url ORDER BY NOT a.is_official, a.published_at DESC NULLS LAST, a.article_id) AS rn
+  FROM ro JOIN f_articles a ON a.article_id = ro.leader_id),
+dm AS (SELECT url, list_sort(list(DISTINCT dd)) AS source_domains FROM (SELECT url, unnest(source_domains) AS dd FROM cl) GROUP BY url),
+x AS (SELECT cl.url, title, earliest_published, dm.source_domains, len(dm.source_domains)::INT AS source_count FROM cl JOIN dm ON dm.url = cl.url WHERE rn = 1)
+SELECT sha256(url || '|2024-01-31') AS event_id, substr(title, 1, 600) AS headline, source_count, {_P_NEW} AS priority_score, array_to_string(source_domains, ',') AS source_domains FROM x""")
 def _(d):
     path, cp = ST.scratch(d.spark, "events")
     ST.cluster_stream(_article_stream(d), path, cp, AS_OF)

@@ -62,7 +62,8 @@ def cluster_step(batch: DataFrame, state_path: str, as_of, cfg: EngineConfig = D
     spark = batch.sparkSession
     assignment = CL.cluster_articles(batch, cfg)
     rolled = CL.roll_up(batch, assignment)
-    canonical = batch.select(F.col("article_id").alias("leader_id"), "title", "description", "url", "source_domain", "is_official")
+    canonical = batch.select(F.col("article_id").alias("leader_id"), "title", "description", "url", "source_domain", "is_official",
+                             F.col("published_at").alias("canonical_at"))
     clusters = rolled.join(canonical, "leader_id")
     clusters = materialize(clusters, "clusters")
     if exists(spark, state_path):
@@ -72,9 +73,9 @@ def cluster_step(batch: DataFrame, state_path: str, as_of, cfg: EngineConfig = D
     else:
         events = matched = None
         open_clusters = clusters
-    created = CL.create_events(open_clusters, as_of).withColumnsRenamed({"first_seen_at": "created_at"}).withColumn(
+    created = CL.create_events(CL.merge_same_url(open_clusters), as_of).withColumnsRenamed({"first_seen_at": "created_at"}).withColumn(
         "last_updated_at", F.col("created_at"))
-    changed = created.select(*EVENT_STATE).groupBy("event_id").agg(F.max(F.struct(*EVENT_STATE[1:])).alias("r")).select("event_id", "r.*")
+    changed = created.select(*EVENT_STATE)
     if matched is not None:
         base = events.withColumns({"event_type": F.lit(None).cast("string"), "companies": F.array().cast("array<string>"),
                                    "funding_amount": F.lit(None).cast("double")})

@@ -61,6 +61,17 @@ def test_sessions_close_behind_the_watermark(spark, tmp_path):
     assert [(r.user_id, r.events, r.session_start) for r in rows] == [(1, 3, T0)]
 
 
+def test_batch_sessions_equal_session_windows(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(u, T0 + dt.timedelta(minutes=rnd.randint(0, 3000))) for u in (1, 1, 2, 3) for _ in range(120)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp")
+    want = df.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    key = lambda r: (r[0], r[1], r[2], r[3])
+    assert sorted(map(key, AG.sessions(df).collect())) == sorted(map(key, want.select("user_id", "w.start", "w.end", "n").collect()))
+
+
 def test_incremental_clusters(spark, tmp_path):
     batches = [[article(1, "OpenAI launches GPT-6 model", "https://a.org/1", domain="a.org"), article(2, "OpenAI launches GPT-6 model today", "https://b.org/2", domain="b.org"),
                 article(3, "Chip shortage ends", "https://c.org/3", domain="c.org")],
