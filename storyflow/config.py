@@ -33,7 +33,7 @@ class EngineConfig:
 
     # Token matches one clustering step may enumerate, per core of the session, before the rank
     # range is split (see operators/cluster.py).
-    pair_budget_per_core: int = 2_000_000
+    pair_budget_per_core: int = 8_000_000
     # Rows per side of one vector comparison block (see operators/similarity.py).
     vector_block: int = 4096
 

@@ -165,7 +165,8 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float, cfg: Engine
     compared once and expanded afterwards (``best_only`` keeps the smallest id), so a
     large group of copies costs one comparison.
     """
-    lu_all, ru_all = _unit(left, "id", "v"), _unit(right, "id", "v")
+    # Both sides feed several steps; stored once, the plans above them run once.
+    lu_all, ru_all = materialize(_unit(left, "id", "v"), "left"), materialize(_unit(right, "id", "v"), "right")
     lu = lu_all.groupBy("u").agg(F.min("id").alias("id"))
     ru = ru_all.groupBy("u").agg(F.min("id").alias("id"))
     piv = _pick_pivots(ru, pivots)
