@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +13,8 @@ _SCRATCH_KEY = "spark.checkpoint.dir"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings that results depend on."""
+    """Pin the runtime settings that results depend on and make the package known to tasks."""
+    _ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -20,6 +23,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, wherever it was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="storyflow-code-")) / "storyflow.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def local_session(name: str = "storyflow", cpus: int | str = "*", shuffle: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
