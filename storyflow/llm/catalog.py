@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyflow.llm import warc
+from storyflow.llm import toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -10,3 +10,8 @@ from storyflow.llm.queries import query
 @query("op1_warc")
 def op1_warc(spark, folder):
     return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
