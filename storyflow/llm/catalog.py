@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from storyflow.llm import toxicity, warc
+import public_tokenizers
+
+from storyflow.llm import bpe, toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -15,3 +17,8 @@ def op1_warc(spark, folder):
 @query("op6_toxicity")
 def op6_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_bpe")
+def op5_bpe(spark, folder):
+    return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
