@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from storyflow.llm import bpe, toxicity, warc
+from storyflow.llm import bpe, sharding, toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -22,3 +22,8 @@ def op6_toxicity(spark, folder):
 @query("op5_bpe")
 def op5_bpe(spark, folder):
     return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_sharding")
+def op7_sharding(spark, folder):
+    return sharding.shards(table(spark, folder, "documents"))
