@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from storyflow.llm import bpe, sharding, toxicity, warc
+from storyflow.llm import bpe, licenses, sharding, toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -27,3 +27,8 @@ def op5_bpe(spark, folder):
 @query("op7_sharding")
 def op7_sharding(spark, folder):
     return sharding.shards(table(spark, folder, "documents"))
+
+
+@query("op2_licenses")
+def op2_licenses(spark, folder):
+    return licenses.licenses(table(spark, folder, "documents"))
