@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from storyflow.llm import bpe, licenses, sharding, toxicity, warc
+from storyflow.llm import bpe, licenses, recompression, sharding, toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -32,3 +32,8 @@ def op7_sharding(spark, folder):
 @query("op2_licenses")
 def op2_licenses(spark, folder):
     return licenses.licenses(table(spark, folder, "documents"))
+
+
+@query("op9_recompression")
+def op9_recompression(spark, folder):
+    return recompression.dedup_substrings(table(spark, folder, "documents"))
