@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from storyflow.llm import bpe, licenses, recompression, sharding, toxicity, warc
+from storyflow.llm import bpe, licenses, ngram_jaccard, recompression, sharding, toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -37,3 +37,8 @@ def op2_licenses(spark, folder):
 @query("op9_recompression")
 def op9_recompression(spark, folder):
     return recompression.dedup_substrings(table(spark, folder, "documents"))
+
+
+@query("op4_ngram_jaccard")
+def op4_ngram_jaccard(spark, folder):
+    return ngram_jaccard.near_copies(table(spark, folder, "documents"), ngram_jaccard.Settings(words=3, percent=90))
