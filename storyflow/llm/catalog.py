@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from storyflow.llm import bpe, licenses, ngram_jaccard, recompression, sharding, toxicity, warc
+from storyflow.llm import bpe, forest, licenses, ngram_jaccard, recompression, sharding, toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -42,3 +42,8 @@ def op9_recompression(spark, folder):
 @query("op4_ngram_jaccard")
 def op4_ngram_jaccard(spark, folder):
     return ngram_jaccard.near_copies(table(spark, folder, "documents"), ngram_jaccard.Settings(words=3, percent=90))
+
+
+@query("op10_forest")
+def op10_forest(spark, folder):
+    return forest.near_vectors(table(spark, folder, "embeddings"))
