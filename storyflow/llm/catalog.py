@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from storyflow.llm import bpe, forest, licenses, ngram_jaccard, recompression, sharding, toxicity, warc
+from storyflow.llm import bpe, forest, licenses, line_dedup, ngram_jaccard, recompression, sharding, toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -47,3 +47,8 @@ def op4_ngram_jaccard(spark, folder):
 @query("op10_forest")
 def op10_forest(spark, folder):
     return forest.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark, folder):
+    return line_dedup.repeated_lines(table(spark, folder, "documents"))
