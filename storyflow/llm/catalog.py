@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from storyflow.llm import bpe, forest, licenses, line_dedup, ngram_jaccard, recompression, sharding, toxicity, warc
+from storyflow.llm import bpe, decontamination, forest, licenses, line_dedup, ngram_jaccard, recompression, sharding, toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -52,3 +52,8 @@ def op10_forest(spark, folder):
 @query("op8_line_dedup")
 def op8_line_dedup(spark, folder):
     return line_dedup.repeated_lines(table(spark, folder, "documents"))
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark, folder):
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
