@@ -76,24 +76,33 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return docs.select(F.explode(F.array_intersect(words(F.coalesce("text", F.lit(""))), known)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def phrase_columns(text: Column) -> dict[str, Column]:
-    """Places of the base phrases: n_words, n_base, first_word, last_word, base_labels."""
+def phrase_patterns() -> dict[str, str]:
+    """Label -> pattern of its phrase. The look-behind stands after the first letter, so it is tried at that letter only."""
     fold = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
-    before, after = rf"(?<!{WORD[:-1]})", rf"(?!{WORD[:-1]})"
-    each = {label: before + GAP.join(map(fold, phrase.split())) + after for phrase, label in PHRASES.items()}
+    inside = WORD[:-1]
+    out = {}
+    for phrase, label in PHRASES.items():
+        first, rest = f"[{phrase[0]}{phrase[0].upper()}]", GAP.join(map(fold, phrase.split()))
+        out[label] = f"{first}(?<!{inside}{first}){rest[len(first):]}(?!{inside})"
+    return out
+
+
+def phrase_columns(docs: DataFrame) -> DataFrame:
+    """Places of the base phrases per row of ``docs`` (doc_id, text): n_words, n_base, first_word, last_word, base (labels).
+
+    A text is searched once; what follows from the places is worked out only where there are any.
+    """
+    each = phrase_patterns()
     any_ = "(?:" + "|".join(each.values()) + ")"
     count = lambda c, pattern: F.regexp_count(c, F.lit(pattern)).cast("long")
-    n_words = count(text, WORD)
-    pieces = F.split(text, any_, -1)
-    found = F.regexp_extract_all(text, F.lit(f"({any_})"), F.lit(1))
-    has = text.rlike(any_)
-    return {
-        "n_words": n_words,
-        "n_base": F.when(has, count(text, any_)).otherwise(F.lit(0).cast("long")),
-        "first_word": F.when(has, count(F.element_at(pieces, 1), WORD)),
-        "last_word": F.when(has, n_words - count(F.element_at(pieces, -1), WORD) - count(F.element_at(found, -1), WORD)),
-        "base": F.when(has, F.filter(F.array(*[F.when(text.rlike(p), F.lit(label)) for label, p in each.items()]), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")),
-    }
+    seen = docs.select("doc_id", "text", count(F.col("text"), WORD).alias("n_words"), F.regexp_extract_all("text", F.lit(f"({any_})"), F.lit(1)).alias("found"))
+    shows = lambda p: lambda x: x.rlike(p)
+    has, pieces = F.size("found") > 0, F.split("text", any_, -1)
+    labels = F.filter(F.array(*[F.when(F.exists("found", shows(p)), F.lit(label)) for label, p in each.items()]), lambda x: x.isNotNull())
+    return seen.select(
+        "doc_id", "n_words", F.size("found").cast("long").alias("n_base"), F.when(has, count(F.element_at(pieces, 1), WORD)).alias("first_word"),
+        F.when(has, F.col("n_words") - count(F.element_at(pieces, -1), WORD) - count(F.element_at("found", -1), WORD)).alias("last_word"),
+        F.when(has, labels).otherwise(F.array().cast("array<string>")).alias("base"))
 
 
 def block_matches(docs: DataFrame, settings: Settings = Settings(), templates=TEMPLATES) -> DataFrame:
@@ -145,9 +154,7 @@ def licenses(docs: DataFrame, settings: Settings = Settings(), templates=TEMPLAT
     share = F.col("overlap") / F.col("size")
     best = matches.groupBy("doc_id", "block").agg(F.max(F.struct(share.alias("share"), "size", "label")).alias("m"))
     found = best.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("m.label").alias("more"), F.max("m.share").alias("share"))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cols = phrase_columns(F.col("text"))
-    rows = base.select("doc_id", *[c.alias(k) for k, c in cols.items()])
+    rows = phrase_columns(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     joined = rows.join(found, rows.doc_id.eqNullSafe(found.found_id), "left")
     empty = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union(F.col("base"), F.coalesce("more", empty)))
