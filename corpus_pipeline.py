@@ -1,14 +1,61 @@
-"""Corpus pipeline over ``documents``: each stage keeps, cuts or rewrites what the stage before it kept."""
+"""Corpus pipeline over ``documents``: each stage keeps, cuts or rewrites what the stage before it kept.
+
+Defined results: a document with a null or empty text has nothing to judge and passes every stage with no tokens; a
+document that loses all its lines goes; rows that share an id share the decisions on that id; an empty table gives an
+empty result.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from storyflow.llm import bpe, decontamination, line_dedup, ngram_jaccard, toxicity
 from storyflow.llm.common import Scratch, table
+from storyflow.session import prepare
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, does not reject."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier document or line already has; n_chars follows the text."""
+    prepare(spark)
+    cut = line_dedup.without_repeated_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest id) of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    prepare(spark)
+    groups = ngram_jaccard.near_copies(docs.select("doc_id", "text"), ngram_jaccard.Settings(words=5, percent=80))
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, docs["doc_id"] == F.col("_copy"), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every kept document, with digests of the ids and of the decoded text."""
+    prepare(spark)
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", cut_repeated_lines),
+    ("ngram_jaccard", keep_one_of_near_copies),
+    ("decontamination", drop_contaminated),
+    ("bpe", tokenize),
+]
 
 #: The stages fit models and follow links between documents, which SQL cannot express; tests/llm checks them by brute force.
 ORACLE_SQL = None
