@@ -41,9 +41,9 @@ class Settings:
     rank: int = 32
     #: Largest number of directions that the items add.
     item_rank: int = 256
-    cosine: float = 0.4
+    cosine: float = 0.5
     #: Windows whose words of the vocabulary hold less than this share of the squared idf weight are no candidates.
-    share: float = 0.12
+    share: float = 0.15
     copied: float = 0.8
     reworded: float = 0.6
     answered: float = 0.8
@@ -247,8 +247,9 @@ def _one_pass(docs: DataFrame, rows: list, s: Settings) -> DataFrame | None:
     seen[sums["word"]] = sums["seen"]
     sketch[sums["word"]] = sums[[f"g{c}" for c in range(s.rank)]].to_numpy(float)
     idf, basis = latent(seen, total, sketch, signs.astype(float), items.counts(), s)
-    # A word outside the vocabulary weighs as one that a hundredth of a percent of the documents hold.
-    outside = min(float(np.log(1e4)), float(np.log(1 + total))) ** 2
+    # A word outside the vocabulary weighs as the items' words do on average.
+    counts = items.counts()
+    outside = float((counts * idf**2).sum() / counts.sum())
     return docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(_matches(items, idf, basis, outside, s), "doc_id long, item_id long, common double, answer double, cosine double, word long")
 
 
