@@ -6,7 +6,8 @@ become one class; classes with equal prefixes and sizes become one group; groups
 length, position and prefix-overlap filters, and only then are expanded to classes and verified on whole texts.
 
 Links serve to find connected components, so not every pair of a large group of near copies is verified. First each
-group is compared with its best neighbour in the token lists (sorted by size) and each class with the next one of its
+group is compared with its best neighbour in the token lists (sorted by size), with the hub of its lists (the set with
+the fewest n-grams that no other set has, most likely the common original), and each class with the next one of its
 group; what that connects is one component. Then only pairs of different components are generated, filtered and
 verified, so no link between components is lost while a group of near copies costs one pair a member.
 
@@ -32,8 +33,10 @@ LAST = 2**63 - 1
 class Settings:
     words: int = 5
     percent: int = 80
-    #: Length of the list of the most widespread n-grams that the order puts last. It steers cost, not results.
+    #: Length of the list of the most widespread n-grams that the order puts last, and the share of documents from which
+    #: an n-gram may be on it (which bounds what is sorted). Both steer cost, not results.
     widespread: int = 65_536
+    share: float = 1e-4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -99,7 +102,8 @@ def widespread(docs: DataFrame, s: Settings) -> np.ndarray:
             tokens, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(tokens[n >= 3])), pa.array(n[n >= 3])], names=["token", "n"])
 
-    top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(s.widespread)
+    least = s.share * docs.count()
+    top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(s.widespread)
     return top.toPandas()["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
@@ -162,7 +166,8 @@ def _verify(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFr
     """Pairs of classes (a, b) that link, by their whole sets, which are built from one text of each class."""
     pairs = scratch.keep(pairs.distinct(), "pairs")
     ids = scratch.keep(pairs.df.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes.select("k", "d", "s1"), "k"), "ids")
-    sets = scratch.keep(docs.join(ids.df, "d").select("k", "s1", "text").mapInArrow(_fetched(s), "k long, tokens binary"), "sets")
+    # A sort-merge join at every size: the texts are never matched against a table that was sent whole.
+    sets = scratch.keep(docs.join(ids.df.hint("merge"), "d").select("k", "s1", "text").mapInArrow(_fetched(s), "k long, tokens binary"), "sets")
     side = lambda c, t: sets.df.select(F.col("k").alias(c), F.col("tokens").alias(t))
     joined = pairs.df.join(side("a", "ta"), "a").join(side("b", "tb"), "b")
     out = scratch.keep(joined.mapInArrow(_linked(s), "a long, b long"), "links")
@@ -186,19 +191,31 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     lists = groups.select("g", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "t")).select("g", "n", "p", "pos", F.hash("t").alias("token"))
     by_size = Window.partitionBy("token").orderBy("n", "g")
     here = F.struct("g", "n", "pos")
-    shared = scratch.keep(lists.withColumns({"before": F.lag(here).over(by_size), "after": F.lead("g").over(by_size)}).where("before is not null or after is not null").drop("after"), "lists")
+    met = scratch.keep(lists.withColumns({"before": F.lag(here).over(by_size), "after": F.lead("g").over(by_size)}).where("before is not null or after is not null").drop("after"), "lists")
 
     need = lambda a, b: F.ceil((F.col(a) + F.col(b)) * s.percent / (100 + s.percent) - 1e-9)
-    fits = lambda na, nb: F.col(na) * 100 >= F.col(nb) * s.percent  # noqa: E731  na <= nb
+    fits = lambda na, nb: F.least(na, nb) * 100 >= F.greatest(na, nb) * s.percent
+    # No other set has the prefix tokens that stand in no list: ``most`` bounds any intersection of the set.
+    alone = F.col("p") - F.count(F.lit(1)).over(Window.partitionBy("g"))
+    shared = scratch.keep(met.df.withColumn("most", (F.col("n") - alone).cast("int")).where(F.col("most") * 100 >= F.col("n") * s.percent), "shared")
+    met.drop()
+
+    # First: the neighbour that stands before a group in most of its lists, the hub of most of its lists, and the class before a class in its group.
+    hubs = scratch.keep(shared.df.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "g", "n")).alias("hub")), "hubs")
+    beside = shared.df.select(F.col("before.g").alias("a"), F.col("g").alias("b"), F.col("before.n").alias("na"), F.col("n").alias("nb"), "most")
+    central = shared.df.join(hubs.df, "token").select(F.col("hub.g").alias("a"), F.col("g").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), "most")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        able = pairs.where("a <> b").where(fits("na", "nb")).where(F.col("most") >= need("na", "nb"))
+        counted = able.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        return counted.groupBy("b").agg(F.max(F.struct("c", "a", "na", "nb")).alias("m")).select("m.a", "b", "m.na", "m.nb")
 
-    # First: the neighbour that stands before a group in most of its lists, and the class before a class in its group.
-    near = shared.df.select(F.col("before.g").alias("a"), F.col("g").alias("b"), F.col("before.n").alias("na"), F.col("n").alias("nb")).where("a <> b").where(fits("na", "nb"))
-    best = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).groupBy("b").agg(F.max(F.struct("c", "a", "na", "nb")).alias("m")).select("m.a", "b", "m.na", "m.nb")
     prefixes = classes.df.select("k", "prefix")
     side = lambda c, p: prefixes.select(F.col("k").alias(c), F.col("prefix").alias(p))
     possible = lambda pairs: pairs.join(side("a", "pa"), "a").join(side("b", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_possible(s, listed), "a long, b long")
     inside = grouped.df.select(F.lag("k").over(Window.partitionBy("g").orderBy("k")).alias("a"), F.col("k").alias("b")).where("a is not null")
-    links = _verify(scratch, docs, grouped.df, possible(best).unionByName(inside), s)
+    near = best(beside).unionByName(best(central)).distinct()
+    links = _verify(scratch, docs, grouped.df, possible(near).unionByName(inside), s)
 
     # Rows that share an id are one document, whatever their texts.
     held = sets.df.where("n > 0").join(classes.df.select("n", "s1", "s2", "k"), ["n", "s1", "s2"]).select("d", "k")
@@ -209,11 +226,11 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # Then: groups of different components that share tokens.
     labelled = grouped.df.join(found.df, F.col("k") == F.col("id"), "left").select("k", "g", F.coalesce("component", "k").alias("c"))
     parts = scratch.keep(labelled.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size")), "parts")
-    rows = shared.df.select("token", "g", "n", "p", "pos").join(parts.df.select("g", "c"), "g")
-    spread = rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token")
+    rows = shared.df.select("token", "g", "n", "p", "pos", "most").join(parts.df.select("g", "c"), "g")
+    spread = scratch.keep(rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token"), "spread").df
     open_ = scratch.keep(rows.join(spread, "token"), "open")
-    left, right = (open_.df.select("token", *[F.col(c).alias(c + e) for c in ("g", "c", "n", "p", "pos")]) for e in ("a", "b"))
-    meet = left.join(right, "token").where("ca <> cb and ga <> gb and (na < nb or (na = nb and ga < gb))").where(fits("na", "nb")).where(
+    left, right = (open_.df.select("token", *[F.col(c).alias(c + e) for c in ("g", "c", "n", "p", "pos", "most")]) for e in ("a", "b"))
+    meet = left.join(right, "token").where("ca <> cb and ga <> gb and (na < nb or (na = nb and ga < gb))").where(fits("na", "nb") & (F.least("mosta", "mostb") >= need("na", "nb"))).where(
         F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1 >= need("na", "nb"))
     counted = meet.groupBy("ga", "ca", "gb", "cb", "na", "nb", "pa", "pb").agg(F.count(F.lit(1)).alias("n"))
     enough = counted.where(F.col("n") + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need("na", "nb"))
