@@ -172,23 +172,26 @@ def components(scratch: Scratch, edges: DataFrame) -> Kept:
 
     Alternates the large-star and small-star steps on stored edge tables until nothing changes; rounds grow
     with the logarithm of the longest chain. Each step is a minimum per node, which combines before the
-    shuffle, and a join with one row per node on the other side, which adaptive execution can split for a hub.
+    shuffle, and a join with one row per node on the other side. That side is stored first: only a join of two plain
+    exchanges can be split by adaptive execution when one node is a hub.
     """
     ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     now, state = scratch.keep(ordered, "edges"), None
     while True:
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.join(least.df, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         step = scratch.keep(large, "large")
         now.drop()
+        least.drop()
         # Every edge now points from a smaller id a to a larger id b.
-        least = step.df.groupBy("b").agg(F.min("a").alias("m"))
-        joined = step.df.join(least, "b")
+        least = scratch.keep(step.df.groupBy("b").agg(F.min("a").alias("m")), "least")
+        joined = step.df.join(least.df, "b")
         small = joined.select(F.col("m").alias("a"), "b").unionByName(
             joined.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         now = scratch.keep(small, "small")
         step.drop()
+        least.drop()
         row = now.df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == (row.n, row.h):
             break

@@ -102,7 +102,7 @@ def leaves(scratch: Scratch, vectors: DataFrame, s: Settings) -> Kept:
         stats.drop()
         now = after
     # What a direction could not part (vectors along one line) is dealt out by hash; components are compared whole later.
-    size = now.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * s.leaf)
+    size = scratch.keep(now.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * s.leaf), "oversize").df
     part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / s.leaf))).otherwise(F.lit(0).cast("long"))
     out = scratch.keep(now.df.drop("p").join(size, keys, "left").select(*keys, part.alias("part"), "k"), "leaves")
     now.drop()
@@ -148,7 +148,7 @@ def link_counts(scratch: Scratch, members: DataFrame, s: Settings) -> DataFrame:
     """(k, n): linked vectors of every member (k, component, many, v), copies of the others included."""
     sized = scratch.keep(members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("many").alias("total")), "sizes").df
     totals = sized.agg(F.sum("size").alias("rows"), F.max("size").alias("most")).first()
-    buckets = 1 + (totals.rows or 0) // s.block
+    buckets = 1 + 8 * (totals.rows or 0) // s.block
     small = members.join(sized.where(F.col("size") <= s.block), "component")
     counted = small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("bucket").applyInPandas(_count_small(s), "k long, n long")
     if (totals.most or 0) <= s.block:

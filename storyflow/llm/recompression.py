@@ -266,21 +266,24 @@ def dedup_substrings(docs: DataFrame, settings: Settings = Settings(), texts: bo
         "d": F.coalesce("doc_id", F.lit(2**63 - 1)), "t": F.xxhash64("text")})
     block = "name long, b1 long, b2 long, d long, t long, pos int, m int"
     every = scratch.keep(keyed.select("d", "t", "text").mapInArrow(_blocks(s), block), "blocks")
-    twice = every.df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    shared = scratch.keep(every.df.join(twice, "name"), "shared")
+    # The sides with one row per key are stored before the joins: adaptive execution splits a hot symbol only between plain exchanges.
+    twice = scratch.keep(every.df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "twice")
+    shared = scratch.keep(every.df.join(twice.df, "name"), "shared")
     every.drop()
-    owner = shared.df.groupBy("name", "b1", "b2").agg(F.min("d").alias("owner"))
-    mixed = owner.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", F.lit(True).alias("mixed"))
+    twice.drop()
+    owners = scratch.keep(shared.df.groupBy("name", "b1", "b2").agg(F.min("d").alias("owner")), "owners")
+    mixed = scratch.keep(owners.df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", F.lit(True).alias("mixed")), "mixed")
     # Who owns a block (the smallest id) verifies its windows if other blocks share the symbol; in every other document all of them go.
-    judged = shared.df.join(owner, ["name", "b1", "b2"]).join(mixed, "name", "left").where("d > owner or mixed")
+    judged = shared.df.join(owners.df, ["name", "b1", "b2"]).join(mixed.df, "name", "left").where("d > owner or mixed")
     span = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("m").cast("long"))
     marks = judged.groupBy("d", "t").agg(F.collect_list(F.when(F.col("d") > F.col("owner"), span)).alias("covered"), F.collect_list(F.when(F.col("d") == F.col("owner"), span)).alias("needed"))
     both = f"{RESULT}, d long, t long, text string, covered array<bigint>, needed array<bigint>"
     first = scratch.keep(keyed.join(marks, ["d", "t"], "left").select("doc_id", "text", "d", "t", "covered", "needed").mapInArrow(_finish(s, ["covered", "needed"], texts), both), "first")
-    shared.drop()
+    for done in (shared, owners, mixed):
+        done.drop()
     waiting = first.df.where("kept_sha256 is null")
     windows = scratch.keep(waiting.select("d", "t", "text", "needed").mapInArrow(_windows(s), "w1 long, w2 long, d long, t long, pos int"), "windows")
-    least = windows.df.groupBy("w1", "w2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("w1", "w2", "least")
+    least = scratch.keep(windows.df.groupBy("w1", "w2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("w1", "w2", "least"), "least").df
     later = windows.df.join(least, ["w1", "w2"]).where("d > least")
     found = later.groupBy("d", "t").agg(F.collect_set(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.lit(1).cast("long"))).alias("verified"))
     rest = waiting.select("doc_id", "text", "d", "t", "covered").join(found, ["d", "t"], "left").mapInArrow(_finish(s, ["covered", "verified"], texts), RESULT)

@@ -208,6 +208,8 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     slim = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("body")).select("page_id", F.sha1("body").alias("sha"), F.octet_length("body").alias("size"))
     first = slim.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first")
+    # Stored before the join, so that adaptive execution can split a payload that very many pages share.
+    first = Scratch(pages.sparkSession, "warc").keep(first, "first").df
     # A null id is written as no id; -1 is not taken for it, because it may be a real one.
     again = slim.join(first, "sha").where("page_id is null or page_id <> first").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "first").distinct()
     body = F.coalesce("html", F.lit("")).cast("binary")
