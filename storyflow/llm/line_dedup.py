@@ -33,8 +33,16 @@ class Settings:
     similarity: float = 0.8
 
 
+#: ASCII characters other than letters and digits part words. A fixed value.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Features that two-byte counters hold with a margin of as many, below the sign bit. Longer lines are counted in chunks.
+MOST = 16_383
+CHUNK = 63
+ONES, WIDE = 0x0101010101010101, 0x0001000100010001
+
+
 def words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(line), GAP), lambda w: w != "")
 
 
 def pair_hashes(w: Column) -> Column:
@@ -42,26 +50,47 @@ def pair_hashes(w: Column) -> Column:
     return F.transform(w, lambda x, i: F.xxhash64(F.when(i > 0, F.get(w, i - 1)), x))
 
 
-def line_features(docs: DataFrame) -> DataFrame:
-    """(d, line, l1, l2, n, f) of every line: place, hashes of its words, their number, features; ``docs`` has d and text."""
-    lines = docs.select("d", F.posexplode(F.split("text", "\n", -1)).alias("line", "body")).select("d", "line", words(F.col("body")).alias("w"))
-    return lines.select("d", "line", F.xxhash64("w").alias("l1"), F.xxhash64(F.lit(1), "w").alias("l2"), F.size("w").alias("n"), pair_hashes(F.col("w")).alias("f"))
+def _lanes(features: Column) -> Column:
+    """Eight longs of eight byte-wide counters: lane k counts bits k, k + 8, ... of at most CHUNK hashes."""
+    return F.array(*[_lane(features, k) for k in range(8)])
+
+
+def _lane(features: Column, k: int) -> Column:
+    return F.aggregate(features, F.lit(0).cast("long"), lambda t, x: t + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(ONES)))
+
 
+def long_simhash(features: Column) -> Column:
+    """SimHash of very many hashes: the byte-wide counters of chunks are added up bit by bit."""
+    n = F.size(features)
+    chunks = F.transform(F.sequence(F.lit(1), n, F.lit(CHUNK)), lambda at: F.get(F.transform(F.array(F.slice(features, at, F.lit(CHUNK))), _lanes), F.lit(0)))
 
-def simhash(features: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` (with the number of features, n) and the signature ``sig`` of each line.
+    def bit(chunks: Column, b: Column) -> Column:
+        count = F.aggregate(chunks, F.lit(0), lambda t, lanes: t + F.call_function("shiftrightunsigned", F.get(lanes, b % 8), (b / 8).cast("int") * 8).bitwiseAND(F.lit(255)).cast("int"))
+        return F.when(count * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
-    Bits are counted two to a long, so that 32 sums per line give all 64 counts in one combining aggregate.
+    return F.get(F.transform(F.array(chunks), lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(bit(c, b)))), F.lit(0))
+
+
+def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST) -> DataFrame:
+    """(d, line, l1, l2, n, sig): place, hashes of the words, their number and SimHash of every line with ``min_words`` words; ``docs`` has d and text.
+
+    Bit k of every second byte is counted in sum k, so sixteen sums of a combining aggregate hold all 64 counters of a
+    line of up to ``most`` features, and one addition compares four of them with half the number.
     """
-    mask = F.lit(0x0000000100000001)
-    each = features.select(*keys, F.explode("f").alias("f"))
-    sums = each.groupBy(*keys).agg(*[F.sum(F.shiftrightunsigned("f", b).bitwiseAND(mask)).alias(f"s{b}") for b in range(32)])
-    half = F.col("n") / 2
-    bit = lambda count, b: F.when(count > half, F.lit((1 << b) if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
+    lines = docs.select("d", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+    # The words are bound once per line, behind a generator, so that no later expression splits the line again.
+    held = F.filter(F.array(words(F.col("body"))), lambda w: F.size(w) >= min_words)
+    parts = F.transform(held, lambda w: F.struct(F.xxhash64(w).alias("l1"), F.xxhash64(F.lit(1), w).alias("l2"), F.size(w).alias("n"), pair_hashes(w).alias("f")))
+    keys = ["d", "line", "l1", "l2", "n"]
+    features = lines.select("d", "line", F.inline(parts))
+    each = features.select(*keys, F.when(F.col("n") > most, F.get(F.transform(F.array("f"), long_simhash), F.lit(0))).alias("long"),
+                           F.explode(F.when(F.col("n") > most, F.array(F.lit(0).cast("long"))).otherwise(F.col("f"))).alias("x"))
+    sums = each.groupBy(*keys, "long").agg(*[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(WIDE))).alias(f"s{k}") for k in range(16)])
+    margin = (F.lit(MOST) - F.least((F.col("n") / 2).cast("int"), F.lit(MOST))).cast("long") * F.lit(WIDE)
     sig = F.lit(0).cast("long")
-    for b in range(32):
-        sig = sig.bitwiseOR(bit(F.col(f"s{b}").bitwiseAND(F.lit(0xFFFFFFFF)), b)).bitwiseOR(bit(F.shiftrightunsigned(f"s{b}", 32), b + 32))
-    return sums.select(*keys, sig.alias("sig"))
+    for k in range(16):
+        sig = sig.bitwiseOR(F.shiftleft(F.shiftrightunsigned((F.col(f"s{k}") + margin).bitwiseAND(F.lit((MOST + 1) * WIDE)), 14), k))
+    return sums.select(*keys, F.coalesce("long", sig).alias("sig"))
 
 
 def block_plan(lines: int, distance: int) -> tuple[int, int]:
@@ -110,8 +139,7 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     """(doc_id, line_no, kept_doc_id, kept_line_no): every line that repeats an earlier one, exactly or nearly; lines count from 0."""
     s, scratch = settings, Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.col("text")).where("text is not null and text <> ''")
-    keys = ["d", "line", "l1", "l2", "n"]
-    every = scratch.keep(simhash(line_features(docs).where(F.col("n") >= s.min_words), keys), "lines").df
+    every = scratch.keep(signed_lines(docs, s.min_words), "lines").df
     nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("many"))
                          .select("l1", "l2", "m.d", "m.line", "sig", "n", "many", F.monotonically_increasing_id().alias("k")), "nodes").df
     count = nodes.count()

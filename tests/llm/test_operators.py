@@ -292,8 +292,7 @@ def test_line_dedup_finds_every_pair_within_the_distance(spark):
             lines.append(" ".join(w))
     s = line_dedup.Settings(distance=3, similarity=0.8)
     docs = spark.createDataFrame(list(enumerate(lines)), "d long, text string")
-    keys = ["d", "line", "l1", "l2", "n"]
-    sig = {r.d: r.sig & (1 << 64) - 1 for r in line_dedup.simhash(line_dedup.line_features(docs), keys).collect()}
+    sig = {r.d: r.sig & (1 << 64) - 1 for r in line_dedup.signed_lines(docs).collect()}
     root = list(range(len(lines)))
 
     def find(x):
@@ -321,6 +320,17 @@ def test_line_dedup_finds_every_pair_within_the_distance(spark):
         assert all(keyed[a] & keyed[b] for a in sig for b in sig if (sig[a] ^ sig[b]).bit_count() <= 3)
 
 
+def test_simhash_is_the_majority_of_bits(spark):
+    rng = np.random.default_rng(3)
+    rows = [(n, [int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)]) for n in (1, 2, 3, 40, 62, 63, 64, 65, 126, 127, 500, 2000)]
+    for n, f, sig in spark.createDataFrame(rows, "n int, f array<bigint>").select("n", "f", line_dedup.long_simhash(F.col("f"))).collect():
+        assert sig & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in f) > n), n
+    rnd = random.Random(16)
+    docs = spark.createDataFrame([(i, "\n".join(prose(rnd, n) for n in (1, 2, 7, 64, 301, 2500))) for i in range(5)], "d long, text string")
+    plain = {tuple(r)[:5]: r.sig for r in line_dedup.signed_lines(docs).collect()}
+    assert len(plain) == 30 and plain == {tuple(r)[:5]: r.sig for r in line_dedup.signed_lines(docs, most=5).collect()}
+
+
 # ---- 9
 
 
