@@ -195,8 +195,10 @@ REPO_KEYWORDS = [
     "reinforcement-learning",
 ]
 
-# Mentor texts: (topic, tool, action) used when no article fits, and message templates.
+# Mentor texts, (topic, tool, action) used when no article fits, and message templates.
 MENTOR_BACKLOG = [
+    ("AI agents", "Model Context Protocol",
+     "Build a tiny tool-calling workflow and write down where context breaks."),
     ("LLM evaluation", "promptfoo or OpenAI Evals",
      "Create three task-specific checks for a feature you already know well."),
     ("retrieval systems", "FAISS or pgvector",

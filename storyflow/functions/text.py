@@ -83,9 +83,9 @@ def _nfc(values: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition. Rows without combining marks stay in the JVM value and
-    only a null crosses to Python for them."""
-    marked = F.when(c.rlike(r"[\p{M}ᄀ-ᇿKÅΩ]"), c)
+    """Canonical composition. Every letter below U+0300 is composed already, so rows of such
+    letters stay in the JVM and only a null crosses to Python for them."""
+    marked = F.when(c.rlike(r"[^\x{0}-\x{2FF}]"), c)
     return F.coalesce(_nfc(marked), c)
 
 
@@ -104,10 +104,11 @@ def title_fingerprint(title: Column) -> Column:
     return F.sha2(normalize_title(title), 256)
 
 
-def content_fingerprint(title: Column, body: Column) -> Column:
-    # The 200-character window is the definition of this fingerprint.
-    head = F.trim(F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 200)))
-    return F.sha2(F.concat_ws("||", normalize_title(title), head), 256)
+def content_fingerprint(title: Column, body: Column, window: int | None = None) -> Column:
+    """Hash of the normalised title and the whole body; ``window`` hashes that many leading characters of the body only."""
+    text = F.coalesce(body, F.lit(""))
+    text = text if window is None else F.substring(text, 1, window)
+    return F.sha2(F.concat_ws("||", normalize_title(title), F.trim(F.lower(text))), 256)
 
 
 def entity_fingerprint(companies: Column, product: Column, event_type: Column) -> Column:

@@ -226,8 +226,8 @@ def create_events(clusters: DataFrame, as_of) -> DataFrame:
     return clusters.withColumn("p", p).select(
         new_event_id(F.col("url"), as_of).alias("event_id"),
         "leader_id",
-        F.substring("title", 1, 600).alias("headline"),
-        F.when(F.col("description") != "", F.substring("description", 1, 500)).alias("summary"),
+        F.col("title").alias("headline"),
+        F.when(F.col("description") != "", F.col("description")).alias("summary"),
         F.lit("General AI").alias("category"),
         "p.priority_score", "p.freshness_score", "p.trust_score", "p.impact_score", "p.is_breaking",
         "source_domains", "source_count",
@@ -276,7 +276,7 @@ def update_events(events: DataFrame, matched: DataFrame, as_of) -> DataFrame:
         .withColumn("merged", merged).withColumn("p", rec)
         .select(
             "event_id",
-            pick(F.substring(F.col("official.title"), 1, 600), "headline"),
+            pick(F.col("official.title"), "headline"),
             pick(F.col("official.source_domain"), "primary_source_domain"),
             pick(F.col("official.url"), "primary_source_url"),
             F.col("merged").alias("source_domains"), F.size("merged").alias("source_count"),

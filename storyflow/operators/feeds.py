@@ -124,17 +124,25 @@ def article_list_row(feed: DataFrame) -> DataFrame:
 
 
 def with_text(articles: DataFrame) -> DataFrame:
-    """Lower-cased title and description, built once per row for the keyword tests."""
+    """Lower-cased title and description as a column, for projections without a filter on the result."""
     return articles.withColumn("_text", F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))))
 
 
+def on_text(test) -> Column:
+    """``test`` of the lower-cased title and description. The text is bound as a lambda variable:
+    a filter on the result would otherwise be pushed down with a copy of the text per keyword."""
+    text = F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))))
+    return F.get(F.transform(F.array(text), test), F.lit(0))
+
+
 def live_feed(articles: DataFrame, as_of, days: int = 3, limit: int | None = 60,
               companies: Column | None = None, topics: Column | None = None) -> DataFrame:
     """Recent or undated rows with a positive score, newest first, then score."""
-    score = live_feed_score(as_of, F.col("_text"), F.col("source_name"), F.col("published_at"), F.col("is_official"), companies, topics)
+    score = on_text(lambda text: live_feed_score(
+        as_of, text, F.col("source_name"), F.col("published_at"), F.col("is_official"), companies, topics))
     out = (
-        with_text(articles.filter(F.col("published_at").isNull() | (F.col("published_at") >= hours_before(as_of, days * 24))))
-        .withColumn("feed_score", score).drop("_text").filter(F.col("feed_score") > 0)
+        articles.filter(F.col("published_at").isNull() | (F.col("published_at") >= hours_before(as_of, days * 24)))
+        .withColumn("feed_score", score).filter(F.col("feed_score") > 0)
         .orderBy(F.desc_nulls_last("published_at"), F.desc("feed_score"), "article_id")
     )
     return out if limit is None else out.limit(limit)

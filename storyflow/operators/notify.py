@@ -17,8 +17,9 @@ def _map(values: dict) -> Column:
 
 def alert_candidates(events: DataFrame, threshold: float = DEFAULT.interrupt_priority,
                      limit: int | None = DEFAULT.alert_cap) -> DataFrame:
-    """Unsent events at or above the threshold, best first; a run alerts at most ``limit``."""
-    out = events.filter((F.col("priority_score") >= threshold) & ~F.col("notification_sent"))
+    """Unsent events that interrupt, best first; a run alerts at most ``limit``. The test comes before
+    the limit, so events that never interrupt cannot hold back others."""
+    out = events.filter(is_interrupt(F.col("priority_score"), F.col("event_type"), threshold) & ~F.col("notification_sent"))
     return out if limit is None else out.orderBy(F.desc("priority_score"), "event_id").limit(limit)
 
 

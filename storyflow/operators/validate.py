@@ -10,7 +10,7 @@ from storyflow.config import DEFAULT, EngineConfig
 from storyflow.functions.dates import raw_age_hours
 from storyflow.functions.scores import is_trusted_domain, trust_result
 from storyflow.functions.text import contains_any, contains_any_word
-from storyflow.operators.feeds import with_text
+from storyflow.operators.feeds import on_text
 
 
 def is_relevant(text: Column, domain: Column, official: Column, whole_word: bool = False) -> Column:
@@ -40,19 +40,18 @@ def is_accepted(reason: Column) -> Column:
     return reason.isin("accepted", "no_date_assumed_recent")
 
 
-def first_failure(as_of, cfg: EngineConfig = DEFAULT, strict_future: bool = True) -> Column:
-    """First failing rule of relevance, content, freshness; ``accepted`` when none fails.
-    Reads ``_text`` (see ``feeds.with_text``)."""
+def first_failure(as_of, text: Column, cfg: EngineConfig = DEFAULT, strict_future: bool = True) -> Column:
+    """First failing rule of relevance, content, freshness; ``accepted`` when none fails."""
     fresh = acceptance_reason(as_of, F.col("published_at"), cfg, strict_future)
     return (
-        F.when(~is_relevant(F.col("_text"), F.col("source_domain"), F.col("is_official")), "not_ai_relevant")
+        F.when(~is_relevant(text, F.col("source_domain"), F.col("is_official")), "not_ai_relevant")
         .when(~has_content(F.col("title")), "insufficient_content")
         .when(~is_accepted(fresh), fresh).otherwise("accepted")
     )
 
 
 def validated(articles: DataFrame, as_of, cfg: EngineConfig = DEFAULT, strict_future: bool = True) -> DataFrame:
-    return with_text(articles).withColumn("reason", first_failure(as_of, cfg, strict_future)).drop("_text")
+    return articles.withColumn("reason", on_text(lambda text: first_failure(as_of, text, cfg, strict_future)))
 
 
 def rejection_breakdown(checked: DataFrame) -> DataFrame:

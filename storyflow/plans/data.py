@@ -106,7 +106,7 @@ FROM documents GROUP BY source
 """
 
 VIEWS["f_story_events"] = """
-SELECT a.article_id AS event_id, substr(a.title, 1, 600) AS headline, substr(a.body, 1, 500) AS summary,
+SELECT a.article_id AS event_id, a.title AS headline, a.body AS summary,
   n.category, n.event_type, n.companies, n.tags, n.keywords, n.funding_amount, n.models_mentioned, n.technologies_mentioned,
   CASE WHEN a.article_id % 23 = 0 THEN '2401.' || CAST(a.article_id AS STRING) END AS arxiv_id,
   CAST((a.article_id * 613) % 1000 AS DOUBLE) / 10 AS priority_score,
@@ -114,8 +114,8 @@ SELECT a.article_id AS event_id, substr(a.title, 1, 600) AS headline, substr(a.b
   (a.article_id * 613) % 1000 >= 950 AS is_breaking, a.article_id % 5 = 0 AS notification_sent,
   split(CASE WHEN a.article_id % 6 = 0 THEN a.source_domain || ',github.com' ELSE a.source_domain END, ',') AS source_domains,
   a.source_domain AS primary_source_domain, a.url AS primary_source_url,
-  CASE WHEN a.article_id % 8 = 0 THEN substr(a.body, 1, 200) END AS business_opportunities,
-  CASE WHEN a.article_id % 13 = 0 THEN substr(a.body, 101, 200) END AS risks,
+  CASE WHEN a.article_id % 8 = 0 THEN a.body END AS business_opportunities,
+  CASE WHEN a.article_id % 13 = 0 THEN reverse(a.body) END AS risks,
   a.published_at, a.created_at
 FROM f_articles a JOIN f_analyses n ON n.article_id = a.article_id
 """

@@ -263,7 +263,7 @@ def _(d):
 
 @query("cl_06", f"""
 WITH {_NEW_ASG}, {_CREATED}
-SELECT event_id, leader_id, substr(title, 1, 600) AS headline, CASE WHEN description <> '' THEN substr(description, 1, 500) END AS summary, 'General AI' AS category,
+SELECT event_id, leader_id, title AS headline, CASE WHEN description <> '' THEN description END AS summary, 'General AI' AS category,
   priority_score, {TRUST_SET} AS trust_score, source_count, array_to_string(source_domains, ',') AS source_domains, url AS primary_source_url FROM cr""")
 def _(d):
     clusters, events = _clusters(d), _events(d)
@@ -282,7 +282,7 @@ dm AS (SELECT event_id, list(DISTINCT dd) AS nd FROM (SELECT event_id, unnest(so
 oc AS (SELECT event_id, arg_min(title, leader_id) AS ot, arg_min(source_domain, leader_id) AS od, arg_min(url, leader_id) AS ou FROM mc WHERE is_official GROUP BY 1),
 up AS (SELECT ev.event_id, headline, primary_source_domain, primary_source_url, event_type, companies, funding_amount, published_at, ot, od, ou,
   list_sort(list_distinct(list_concat(ev.source_domains, dm.nd))) AS source_domains FROM ev JOIN dm ON dm.event_id = ev.event_id LEFT JOIN oc ON oc.event_id = ev.event_id)
-SELECT event_id, CASE WHEN ot IS NOT NULL AND NOT {_STRONG} THEN substr(ot, 1, 600) ELSE headline END AS headline,
+SELECT event_id, CASE WHEN ot IS NOT NULL AND NOT {_STRONG} THEN ot ELSE headline END AS headline,
   CASE WHEN ot IS NOT NULL AND NOT {_STRONG} THEN od ELSE primary_source_domain END AS primary_source_domain,
   array_to_string(source_domains, ',') AS source_domains, len(source_domains)::INT AS source_count, {priority_sql()} AS priority_score FROM up""")
 def _(d):

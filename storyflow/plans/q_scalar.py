@@ -55,7 +55,7 @@ def _(d):
     return d.f_articles.select("article_id", T.title_fingerprint(F.col("title")).alias("fp"))
 
 
-_CONTENT_FP = f"sha256({norm_title('title')} || '||' || trim(lower(substr(body, 1, 200))))"
+_CONTENT_FP = f"sha256({norm_title('title')} || '||' || trim(lower(body)))"
 
 
 @query("tx_06", f"SELECT article_id, {_CONTENT_FP} AS fp FROM f_articles")
@@ -150,6 +150,9 @@ def _(d):
         F.when(F.col("event_id") % 7 == 6, F.lit("not a date"))
         .when(F.col("event_id") % 3 == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .when(F.col("event_id") % 3 == 1, F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss Z"))
+        .when(F.col("event_id") % 5 == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss'+00:00'"))
+        .when(F.col("event_id") % 5 == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'.0000000+0000'"))
+        .when(F.col("event_id") % 5 == 2, F.date_format(t, "EEE, d MMM yy HH:mm:ss 'EST'"))
         .otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss")))
     return d.events.select("event_id", text_ts(D.parse_datetime(text)).alias("parsed"))
 

@@ -199,17 +199,15 @@ def _(d):
 
 # ------------------------------------------------------------------ SE
 
-_QUERIES = "SELECT conv_id AS query_id, text AS query FROM conversations WHERE turn = 0"
+# Every turn of a user is a query; its vector is one of the table's, dealt by the turn's number.
+_QUERIES = "SELECT conv_id * 100 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'"
 _RECENT = f"published_at >= {NOW} - INTERVAL 7 DAY"
 
 
-def _queries(d):
-    return d.conversations.filter("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
-
-
 def _vector_queries(d):
-    return d.conversations.filter("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")).join(
-        d.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    own = d.conversations.filter("role = 'user'").select(
+        F.expr("conv_id * 100 + turn").alias("query_id"), F.col("text").alias("query"), F.expr(f"(conv_id * 7 + turn) % {d.embeddings.count()}").alias("vec_id"))
+    return own.join(d.embeddings.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
 
 
 @query("se_01", f"""
@@ -222,13 +220,14 @@ def _(d):
 
 _COS = "round_even(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) * 1e6, 0) / 1e6"
 _SEM = f"""
-s AS (SELECT q.vec_id AS query_id, e.event_id, {half_even(_COS, 4)} AS similarity_score
-  FROM embeddings q JOIN f_event_vectors e ON e.embedding IS NOT NULL WHERE q.vec_id IN (SELECT conv_id FROM conversations WHERE turn = 0)
-  AND {_RECENT} AND {_COS} >= 0.78e0)"""
+s AS (SELECT q.query_id, e.event_id, {half_even(_COS, 4)} AS similarity_score
+  FROM (SELECT c.conv_id * 100 + c.turn AS query_id, v.embedding FROM conversations c JOIN embeddings v
+    ON v.vec_id = (c.conv_id * 7 + c.turn) % (SELECT count(*) FROM embeddings) WHERE c.role = 'user') q
+  JOIN f_event_vectors e ON e.embedding IS NOT NULL WHERE {_RECENT} AND {_COS} >= 0.78e0)"""
 _KW = f"""
-tm AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 2)[1:5]) AS term FROM q),
+tm AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 2)) AS term FROM q),
 kw AS (SELECT query_id, event_id FROM (SELECT query_id, event_id, row_number() OVER (PARTITION BY query_id ORDER BY priority_score DESC, event_id) AS rn
-  FROM (SELECT DISTINCT query_id, event_id, priority_score FROM tm JOIN f_story_events ON contains(lower(headline), term) AND {_RECENT})) WHERE rn <= 50)"""
+  FROM (SELECT DISTINCT query_id, event_id, priority_score FROM tm JOIN f_story_events ON contains(lower(headline), term) AND {_RECENT} AND {{kw}})) WHERE rn <= 50)"""
 
 
 @query("se_02", f"WITH {_SEM} SELECT * FROM s")
@@ -246,7 +245,7 @@ SELECT query_id, event_id, match_type, similarity_score, combined_score, pos FRO
 _HITS = ["query_id", "event_id", "match_type", "similarity_score", "combined_score", "pos"]
 
 
-@query("se_03", f"WITH q AS ({_QUERIES}), {_SEM}, {_KW}, {_MERGE.format(cond=chr(99) + 'ategory = ' + chr(39) + 'Research' + chr(39))}")
+@query("se_03", f"WITH q AS ({_QUERIES}), {_SEM}, {_KW.format(kw="category = 'Research'")}, {_MERGE.format(cond=chr(99) + 'ategory = ' + chr(39) + 'Research' + chr(39))}")
 def _(d):
     return SE.search_many(_vector_queries(d), d.f_event_vectors, AS_OF, category="Research").select(*_HITS)
 
@@ -266,7 +265,7 @@ def _(d):
     return first.join(hits.agg(F.count("*").alias("total")).select("total", k), "_k").drop("_k")
 
 
-@query("se_05", f"WITH q AS ({_QUERIES}), {_SEM}, {_KW}, {_MERGE.format(cond='true')}")
+@query("se_05", f"WITH q AS ({_QUERIES}), {_SEM}, {_KW.format(kw='true')}, {_MERGE.format(cond='true')}")
 def _(d):
     return SE.search_many(_vector_queries(d), d.f_event_vectors, AS_OF).select(*_HITS)
 
@@ -274,7 +273,7 @@ def _(d):
 @query("ud_04", """
 SELECT conv_id, turn, u.pos::INT AS pos, u.term FROM (
   SELECT conv_id, turn, unnest(list_transform(range(1, len(ts) + 1), lambda i: {'pos': i, 'term': ts[i]})) AS u FROM (
-    SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 2)[1:5] AS ts FROM conversations))""")
+    SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 2) AS ts FROM conversations))""")
 def _(d):
     return d.conversations.select("conv_id", "turn", F.posexplode(SE.search_terms(F.col("text"))).alias("p", "term")).select(
         "conv_id", "turn", (F.col("p") + 1).alias("pos"), "term")
@@ -525,7 +524,8 @@ def _(d):
 
 # ------------------------------------------------------------------ NT
 
-_CAND = "priority_score >= 85 AND NOT notification_sent"
+_INTERRUPT = f"priority_score >= 85 AND (priority_score >= 95 OR coalesce(event_type IN {sql_in(K.INTERRUPT_TYPES)}, false))"
+_CAND = f"{_INTERRUPT} AND NOT notification_sent"
 
 
 @query("nt_01", f"SELECT event_id, priority_score FROM f_story_events WHERE {_CAND} ORDER BY priority_score DESC, event_id LIMIT 20")
@@ -533,7 +533,6 @@ def _(d):
     return NT.alert_candidates(d.f_story_events).select("event_id", "priority_score")
 
 
-_INTERRUPT = f"priority_score >= 85 AND (priority_score >= 95 OR coalesce(event_type IN {sql_in(K.INTERRUPT_TYPES)}, false))"
 
 
 @query("nt_02", f"SELECT event_id, {_INTERRUPT} AS interrupt FROM f_story_events")
@@ -556,11 +555,11 @@ def _(d):
 
 
 def _alerts(d):
-    return NT.alert_candidates(d.f_story_events).filter(NT.is_interrupt(F.col("priority_score"), F.col("event_type")))
+    return NT.alert_candidates(d.f_story_events)
 
 
 @query("nt_04", f"""
-WITH c AS (SELECT * FROM f_story_events WHERE {_CAND} ORDER BY priority_score DESC, event_id LIMIT 20), a AS (SELECT * FROM c WHERE {_INTERRUPT}),
+WITH c AS (SELECT * FROM f_story_events WHERE {_CAND} ORDER BY priority_score DESC, event_id LIMIT 20), a AS (SELECT * FROM c),
 u AS (SELECT u.user_id, list_distinct(list_transform(list_concat(p.favorite_categories, p.favorite_companies, p.favorite_topics), lambda x: lower(x))) AS terms
   FROM f_users u LEFT JOIN f_preferences p ON p.user_id = u.user_id WHERE u.is_active),
 e AS (SELECT *, list_transform(list_concat([coalesce(category, ''), coalesce(event_type, '')], tags, companies, models_mentioned), lambda x: lower(x)) AS et FROM a)

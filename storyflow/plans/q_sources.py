@@ -39,8 +39,8 @@ _NULL = lambda x: f"nullif({x}, '')"
 
 
 @query("src_01", f"""
-SELECT article_id AS seq, source_name AS feed, trim(title) AS title, trim(url) AS url, {_NULL(f"substr({_CLEAN('description')}, 1, 1000)")} AS description,
-  {_NULL(f"substr({_CLEAN('body')}, 1, 500)")} AS content_snippet, CASE WHEN article_id % 3 = 0 THEN 'https://img.example.com/' || article_id END AS image_url,
+SELECT article_id AS seq, source_name AS feed, trim(title) AS title, trim(url) AS url, {_NULL(_CLEAN('description'))} AS description,
+  {_NULL(_CLEAN('body'))} AS content_snippet, CASE WHEN article_id % 3 = 0 THEN 'https://img.example.com/' || article_id END AS image_url,
   {stamp('created_at')} AS published_at FROM f_articles WHERE trim(title) <> ''""")
 def _(d):
     a = d.f_articles
@@ -55,7 +55,7 @@ def _(d):
 
 
 @query("src_02", f"""
-SELECT 'https://papers.example.org/' || article_id AS url, trim(title) AS title, {_NULL("substr(replace(trim(body), chr(10), ' '), 1, 1000)")} AS description,
+SELECT 'https://papers.example.org/' || article_id AS url, trim(title) AS title, {_NULL("replace(trim(body), chr(10), ' ')")} AS description,
   CASE article_id % 3 WHEN 0 THEN 'Ann Ay' WHEN 1 THEN 'Ann Ay, Bo Bee' ELSE 'Ann Ay, Bo Bee, Cy Cee et al.' END AS author, {stamp('created_at')} AS published_at
 FROM f_articles WHERE created_at >= {NOW} - INTERVAL 48 HOUR""")
 def _(d):
@@ -104,7 +104,7 @@ def _(d):
 
 @query("src_05", f"""
 SELECT '🚀 tool' || article_id || ' v1.' || article_id || ' released' AS title, 'https://git.example.com/' || article_id AS url,
-  CASE WHEN trim(substr(description, 1, 400)) <> '' THEN trim(substr(description, 1, 400)) ELSE 'New release of org/tool' || article_id END AS description, {stamp('created_at')} AS published_at
+  CASE WHEN trim(description) <> '' THEN trim(description) ELSE 'New release of org/tool' || article_id END AS description, {stamp('created_at')} AS published_at
 FROM f_articles WHERE article_id % 8 <> 5 AND created_at >= {NOW} - INTERVAL 168 HOUR""")
 def _(d):
     i = F.col("article_id").cast("string")
@@ -260,7 +260,7 @@ cl AS (SELECT ro.*, a.title, a.url, row_number() OVER (PARTITION BY a.url ORDER
   FROM ro JOIN f_articles a ON a.article_id = ro.leader_id),
 dm AS (SELECT url, list_sort(list(DISTINCT dd)) AS source_domains FROM (SELECT url, unnest(source_domains) AS dd FROM cl) GROUP BY url),
 x AS (SELECT cl.url, title, earliest_published, dm.source_domains, len(dm.source_domains)::INT AS source_count FROM cl JOIN dm ON dm.url = cl.url WHERE rn = 1)
-SELECT sha256(url || '|2024-01-31') AS event_id, substr(title, 1, 600) AS headline, source_count, {_P_NEW} AS priority_score, array_to_string(source_domains, ',') AS source_domains FROM x""")
+SELECT sha256(url || '|2024-01-31') AS event_id, title AS headline, source_count, {_P_NEW} AS priority_score, array_to_string(source_domains, ',') AS source_domains FROM x""")
 def _(d):
     path, cp = ST.scratch(d.spark, "events")
     ST.cluster_stream(_article_stream(d), path, cp, AS_OF)

@@ -191,7 +191,7 @@ _META = ("list_distinct(list_filter(list_transform(list_concat([title, descripti
          "coalesce(companies, []), coalesce(products_mentioned, []), coalesce(technologies_mentioned, []), coalesce(models_mentioned, [])), lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> ''))")
 _MINUS = lambda s: "'" + s.replace("'", "''") + "'"
 _TOPIC_CASE = lambda i: " ".join(f"WHEN {n} THEN {_MINUS(item[i])}" for n, item in enumerate(K.MENTOR_BACKLOG))
-_FB = _DIGIT_SUM.format(s=f"'fallback:' || user_id || ':{DAY}'")
+_FB4 = f"(strpos('0123456789abcdef', right(sha256('fallback:' || user_id || ':{DAY}'), 1)) - 1)"
 _ACTION = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {_MINUS(v)}" for k, v in K.MENTOR_ACTIONS.items()) + f" ELSE {_MINUS(K.MENTOR_ACTION)} END"
 
 
@@ -207,8 +207,8 @@ f AS (SELECT u.user_id, b.article_id, coalesce(nullif(category, ''), 'AI practic
     CASE WHEN coalesce(summary, '') <> '' THEN substr(summary, 1, 180) WHEN coalesce(tags[1], '') <> '' THEN 'the article is tagged ' || tags[1] ELSE substr(title, 1, 120) END AS reason,
     {_ACTION} AS action, meta FROM u LEFT JOIN b ON b.user_id = u.user_id),
 g AS (SELECT *, article_id IS NOT NULL AND len(list_filter(meta, lambda m: contains(lower(reason), m) OR contains(m, substr(lower(reason), 1, 60)))) > 0 AS ok FROM f)
-SELECT user_id, CASE WHEN ok THEN article_id END AS article_id, CASE WHEN ok THEN topic ELSE CASE ({_FB}) % 3 {_TOPIC_CASE(0)} END END AS topic,
-  CASE WHEN ok THEN tool ELSE CASE ({_FB}) % 3 {_TOPIC_CASE(1)} END END AS tool, CASE WHEN ok THEN reason ELSE {_MINUS(K.MENTOR_FALLBACK_REASON)} END AS reason,
+SELECT user_id, CASE WHEN ok THEN article_id END AS article_id, CASE WHEN ok THEN topic ELSE CASE ({_FB4}) % 4 {_TOPIC_CASE(0)} END END AS topic,
+  CASE WHEN ok THEN tool ELSE CASE ({_FB4}) % 4 {_TOPIC_CASE(1)} END END AS tool, CASE WHEN ok THEN reason ELSE {_MINUS(K.MENTOR_FALLBACK_REASON)} END AS reason,
   NOT ok AS fallback FROM g""")
 def _(d):
     return PZ.mentor_picks(_active(d), d.f_preferences, _pool(d), DAY).select("user_id", "article_id", "topic", "tool", "reason", "fallback")

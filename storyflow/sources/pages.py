@@ -18,7 +18,6 @@ from storyflow.functions.text import contains_any
 
 _SKIPPED = {"script", "style", "nav", "footer", "header", "noscript", "aside", "form"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-TEXT_LIMIT = 10_000  # fixed value: longest text stored per page
 
 
 class _Paragraphs(HTMLParser):
@@ -59,7 +58,7 @@ def paragraph_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     texts = ("".join(p).strip() for p in parser.done)
-    return "\n\n".join(t for t in texts if len(t) > 30)[:TEXT_LIMIT]
+    return "\n\n".join(t for t in texts if len(t) > 30)
 
 
 @F.pandas_udf(StringType())

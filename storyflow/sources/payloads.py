@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from storyflow import constants as K
 from storyflow.functions.dates import hours_before, parse_datetime, raw_age_hours
-from storyflow.functions.text import clean_html, contains_any, lit_array
+from storyflow.functions.text import clean_html, contains_any, lit_array, nfc
 
 ARTICLE_SCHEMA = (
     "title string, url string, source_name string, source_domain string, description string, content_snippet string, "
@@ -37,14 +37,15 @@ def blank_to_null(c: Column) -> Column:
 
 def as_articles(df: DataFrame, source_name: str | Column | None = None, source_domain: str | None = None,
                 source_type: str = "rss", official: bool = False, company: str | None = None) -> DataFrame:
-    """Fill missing article columns with source constants."""
+    """Fill missing article columns with source constants; texts are composed (NFC) here, once."""
     fixed = {"source_name": source_name, "source_domain": source_domain, "source_type": source_type,
              "is_official": official, "official_company": company}
     types = dict(c.strip().split(" ") for c in ARTICLE_SCHEMA.split(","))
     out = []
     for c in _COLUMNS:
         value = F.col(c) if c in df.columns else F.lit(fixed.get(c))
-        out.append(value.cast(types[c]).alias(c))
+        value = value.cast(types[c])
+        out.append((nfc(value) if c in ("title", "description", "content_snippet") else value).alias(c))
     extra = [c for c in df.columns if c not in _COLUMNS]
     return df.select(*out, *extra)
 
@@ -61,7 +62,7 @@ def feed_articles(items: DataFrame, max_per_feed: int | None = None, order: list
     title, link = F.trim(has("title")), F.trim(has("link"))
     text = F.coalesce(has("summary"), has("description"))
     description = clean_html(text)
-    snippet = F.substring(clean_html(has("content")), 1, 500)
+    snippet = clean_html(has("content"))
     image = F.coalesce(F.try_element_at(F.col("media:content"), F.lit(1))["_url"],
                        F.try_element_at(F.col("media:thumbnail"), F.lit(1))["_url"])
     out = items.filter((title != "") & (link != ""))
@@ -71,7 +72,7 @@ def feed_articles(items: DataFrame, max_per_feed: int | None = None, order: list
     keep = [c for c in ("feed", "seq") if c in items.columns]
     return out.select(
         *keep, title.alias("title"), link.alias("url"),
-        blank_to_null(F.substring(description, 1, 1000)).alias("description"),
+        blank_to_null(description).alias("description"),
         blank_to_null(snippet).alias("content_snippet"), image.alias("image_url"), has("author").alias("author"),
         parse_datetime(F.coalesce(has("published"), has("pubDate"), has("updated"))).alias("published_at"))
 
@@ -90,7 +91,7 @@ def paper_articles(entries: DataFrame, as_of, max_age_hours: int = 48) -> DataFr
         .select(
             flat("title").alias("title"),
             F.replace(F.trim("id"), F.lit("http://"), F.lit("https://")).alias("url"),
-            blank_to_null(F.substring(flat("summary"), 1, 1000)).alias("description"),
+            blank_to_null(flat("summary")).alias("description"),
             blank_to_null(author).alias("author"), published.alias("published_at"))
         .filter(F.col("published_at").isNull() | (F.col("published_at") >= hours_before(as_of, max_age_hours)))
     )
@@ -128,7 +129,7 @@ def listing_articles(payloads: DataFrame, min_upvotes: int = 50) -> DataFrame:
                  & (F.col("score") >= min_upvotes) & (listed | document))
         .select(
             F.trim("title").alias("title"), "url", F.col("domain").alias("source_domain"),
-            F.coalesce(blank_to_null(F.substring("selftext", 1, 500)), fallback).alias("description"),
+            F.coalesce(blank_to_null(F.col("selftext")), fallback).alias("description"),
             F.timestamp_seconds(F.col("created_utc").cast("bigint")).alias("published_at"))
     )
     best = F.min_by(F.struct("title", "source_domain", "description", "published_at"), F.struct("published_at", "title"))
@@ -137,7 +138,7 @@ def listing_articles(payloads: DataFrame, min_upvotes: int = 50) -> DataFrame:
 
 def release_articles(releases: DataFrame, as_of, max_age_hours: int = 168) -> DataFrame:
     name = F.coalesce(blank_to_null(F.col("name")), blank_to_null(F.col("tag_name")))
-    body = F.trim(F.substring(F.coalesce("body", F.lit("")), 1, 400))
+    body = F.trim(F.coalesce("body", F.lit("")))
     published = parse_datetime(F.col("published_at"))
     repo = F.element_at(F.split("repo", "/"), -1)
     return (
