@@ -42,8 +42,9 @@ class Settings:
     #: Largest number of directions that the items add.
     item_rank: int = 256
     cosine: float = 0.5
-    #: Windows whose words of the vocabulary hold less than this share of the squared idf weight are no candidates.
-    share: float = 0.15
+    #: Windows whose words of the vocabulary hold less than this share of the squared idf weight are no candidates. A window
+    #: that holds a whole item has at least half of its words from it, so this allows a fifth of them to be reworded.
+    share: float = 0.4
     copied: float = 0.8
     reworded: float = 0.6
     answered: float = 0.8
