@@ -74,7 +74,7 @@ def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get(_SCRATCH_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError(f"set {_SCRATCH_KEY} to a folder that every executor can reach")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="storyflow-")

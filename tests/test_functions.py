@@ -170,3 +170,58 @@ def test_relevance_whole_word(spark):
         return spark.range(1).select(is_relevant(F.lower(F.lit(title)), F.lit("x.org"), F.lit(False), **kw)).first()[0]
 
     assert one("Cold storage prices") and not one("Cold storage prices", whole_word=True) and one("Using RAG now", whole_word=True)
+
+
+def test_lenient_dates(spark):
+    from storyflow.functions.dates import parse_datetime
+
+    cases = {
+        "2024-01-05 10:00:00+00:00": "2024-01-05 10:00:00", "2024-01-05T10:00Z": "2024-01-05 10:00:00", "2024-01-05T10:00:00+0000": "2024-01-05 10:00:00",
+        "2024-01-05T10:00:00.1234567Z": "2024-01-05 10:00:00.123456", "Fri, 05 Jan 2024 10:00 GMT": "2024-01-05 10:00:00", "5 Jan 24 10:00:00 EST": "2024-01-05 10:00:00",
+        "Fri, 5 Jan 2024 10:00:00 +0200": "2024-01-05 08:00:00", "2024-01-05": "2024-01-05 00:00:00", "20240105T100000Z": "2024-01-05 10:00:00", "not a date": None, "2024-13-05": None, "": None,
+    }
+    got = spark.createDataFrame([(c,) for c in cases], "s string").select("s", parse_datetime(F.col("s")).cast("string").alias("t")).collect()
+    assert {r.s: r.t for r in got} == cases
+
+
+def test_composition_of_all_letters(spark):
+    from storyflow.functions.text import nfc
+
+    texts = ["é", "ά豈", "plain", "é", "한", None]
+    import unicodedata
+
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1).select(nfc(F.col("s"))).collect()]
+    assert got == [t and unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_content_fingerprint_covers_the_whole_body(spark):
+    from storyflow.functions.text import content_fingerprint
+
+    rows = [("t", "x" * 300 + "a"), ("t", "x" * 300 + "b")]
+    df = spark.createDataFrame(rows, "t string, b string")
+    assert df.select(content_fingerprint(F.col("t"), F.col("b"))).distinct().count() == 2
+    assert df.select(content_fingerprint(F.col("t"), F.col("b"), window=200)).distinct().count() == 1
+
+
+def test_search_takes_text_literally(spark):
+    from storyflow.operators.search import keyword_search
+
+    rows = [(1, "a\\bcd here", 5.0), (2, "c_d\\ there", 4.0), (3, "cxd there", 3.0), (4, "100% sure", 2.0)]
+    events = spark.createDataFrame(rows, "event_id long, headline string, priority_score double").withColumn("published_at", F.lit("2024-01-30").cast("timestamp"))
+    find = lambda q: [r.event_id for r in keyword_search(events, q, "2024-01-31 00:00:00").collect()]
+    assert find("a\\b") == [1] and find("c_d") == [2] and find("00%") == [4]
+    assert find("zz1 zz2 zz3 zz4 zz5 sure") == [4]
+
+
+def test_fixed_lists_are_complete():
+    from storyflow import constants as K
+
+    assert len(K.MENTOR_BACKLOG) == 4 and len(K.MENTOR_TEMPLATES) == 5
+
+
+def test_filter_on_validation_does_not_rebuild_the_text(spark):
+    from storyflow.operators.validate import validated
+
+    df = spark.createDataFrame([("AI model", "d", "x.com", False, None)], "title string, description string, source_domain string, is_official boolean, published_at timestamp")
+    plan = validated(df, "2024-01-31 00:00:00").filter("reason = 'accepted'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws") <= 2
