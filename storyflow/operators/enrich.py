@@ -109,21 +109,21 @@ def analyses_from_responses(df: DataFrame) -> DataFrame:
                           *[F.when(ok, good[f]).otherwise(bad[f]).alias(f) for f in good])
 
 
-def work_queue(articles: DataFrame, limit: int | None = 100) -> DataFrame:
+def work_queue(articles: DataFrame, limit: int | None = None) -> DataFrame:
     out = articles.filter(F.col("is_verified") & ~F.col("ai_processed") & ~F.col("is_duplicate")).orderBy(
         F.desc("trust_score"), "article_id")
     return out if limit is None else out.limit(limit)
 
 
 def run_model(articles: DataFrame, make_client: Callable[[], Callable[[pd.DataFrame], Iterable[str]]],
-              content_cap: int = 1200) -> DataFrame:
+              content_cap: int | None = None) -> DataFrame:
     """Call a user-supplied model. ``make_client`` runs once per task and returns a function
-    from a pandas batch (title, url, source, content) to one JSON string per row. The
-    request text is capped as model input; stored articles stay whole. The number of
-    partitions is the number of concurrent clients."""
+    from a pandas batch (title, url, source, content) to one JSON string per row. The client
+    gets the whole text unless ``content_cap`` states how much its model takes. The number
+    of partitions is the number of concurrent clients."""
     aid = articles.schema["article_id"].dataType.simpleString()
     inputs = articles.select("article_id", "title", "url", F.col("source_domain").alias("source"),
-                             F.substring("body", 1, content_cap).alias("content"))
+                             (F.col("body") if content_cap is None else F.substring("body", 1, content_cap)).alias("content"))
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()

@@ -282,12 +282,12 @@ def _(d):
 
 @query("ag_04_stream", """
 SELECT window_start, identity, requests, request_limit, requests > request_limit AS over_limit FROM (
-  SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, (user_id % 5)::VARCHAR AS identity, count(*)::BIGINT AS requests,
+  SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id::VARCHAR AS identity, count(*)::BIGINT AS requests,
     CASE WHEN user_id % 5 <> 0 THEN 100 ELSE 20 END::INT AS request_limit FROM events GROUP BY 1, 2, 4)""")
 def _(d):
     path, cp = ST.scratch(d.spark, "requests")
-    s = d.stream("events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5).cast("string").alias("identity"), (F.col("user_id") % 5 != 0).alias("authenticated"))
-    ST.keep_latest(ST.request_stream(s, seconds=86_400), path, cp, ["window_start", "identity"])
+    s = d.stream("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("identity"), (F.col("user_id") % 5 != 0).alias("authenticated"))
+    ST.keep_latest(ST.request_stream(s), path, cp, ["window_start", "identity"])
     return SK.read_table(d.spark, path).withColumn("window_start", text_ts("window_start"))
 
 

@@ -360,7 +360,7 @@ def _(d):
                                                             joined("tags").alias("tags"), "reading_time_minutes")
 
 
-@query("en_05", "SELECT article_id, trust_score FROM f_news WHERE is_verified AND NOT ai_processed AND NOT is_duplicate ORDER BY trust_score DESC, article_id LIMIT 100")
+@query("en_05", "SELECT article_id, trust_score FROM f_news WHERE is_verified AND NOT ai_processed AND NOT is_duplicate ORDER BY trust_score DESC, article_id")
 def _(d):
     return EN.work_queue(d.f_news.select("article_id", "trust_score", "is_verified", "ai_processed", "is_duplicate")).select("article_id", "trust_score")
 
@@ -371,7 +371,7 @@ def keyword_client():
         for title, content in zip(pdf["title"], pdf["content"]):
             words = [w for w in title.lower().split() if len(w) > 3][:12]
             yield json.dumps({
-                "summary": (content or title)[:120], "key_takeaways": words[:3], "why_it_matters": title[:80], "category": "General AI",
+                "summary": content or title, "key_takeaways": words[:3], "why_it_matters": title[:80], "category": "General AI",
                 "keywords": words, "tags": ["auto"], "companies": [], "sentiment": "neutral", "urgency": "low",
                 "confidence_score": 50, "importance_score": min(100, len(words) * 8), "reading_time_minutes": 2})
     return answer
@@ -388,7 +388,7 @@ def _(d):
     return out.select("article_id", "validation_error", "category", joined("keywords").alias("keywords"), "importance_score")
 
 
-@query("ud_02", "SELECT conv_id * 1000 + turn AS article_id, substr(text, 1, 120) AS summary FROM conversations")
+@query("ud_02", "SELECT conv_id * 1000 + turn AS article_id, text AS summary FROM conversations")
 def _(d):
     turns = d.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("article_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
                                    F.lit("").alias("url"), F.col("role").alias("source_domain"), F.col("text").alias("body"))

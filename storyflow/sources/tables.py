@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,27 +21,32 @@ def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = Non
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    """Whether a stored table is at ``path``; asked through Spark's reader, so any store and any client will do."""
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(_BUCKET)
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], buckets: int = 16) -> dict[str, int]:
+def upsert(df: DataFrame, path: str, keys: list[str], buckets: int = 16, order: str | None = None) -> dict[str, int]:
     """Insert new keys, replace known ones, count both.
 
     The table is partitioned by a hash of the key, so only partitions that hold changed keys
     are rewritten. Merged partitions are first written to the scratch area and then
     swapped in by a dynamic partition overwrite; repeating the call gives the same table, which
-    makes it safe for retried stream batches. ``df`` holds one row per key; of repeated keys
-    one row is kept. ``buckets`` is fixed by the first call; choose it by table size."""
+    makes it safe for retried stream batches. Of rows with one key the one with the largest
+    ``order`` is kept (without it, the largest by the other columns in turn). ``buckets`` is fixed by the first call; choose it by table size."""
     spark = df.sparkSession
     cols = df.columns
-    new = df.groupBy(*keys).agg(F.max(F.struct(*[c for c in cols if c not in keys])).alias("r")) if set(cols) - set(keys) else df.distinct()
+    rest = [c for c in cols if c not in keys]
+    new = df.groupBy(*keys).agg(F.max(F.struct(*([order] if order else []), *[c for c in rest if c != order])).alias("r")) if set(cols) - set(keys) else df.distinct()
     if "r" in new.columns:
         new = new.select(*keys, "r.*")
     new = materialize(new.select(*cols).withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "upsert")
