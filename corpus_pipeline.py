@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyflow.llm import bpe, decontamination, line_dedup, ngram_jaccard, toxicity
-from storyflow.llm.common import Scratch, table
-from storyflow.session import prepare
+from storyflow.llm.common import Scratch, ready, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document or line already has; n_chars follows the text."""
-    prepare(spark)
+    ready(spark)
     cut = line_dedup.without_repeated_lines(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
-    prepare(spark)
+    ready(spark)
     groups = ngram_jaccard.near_copies(docs.select("doc_id", "text"), ngram_jaccard.Settings(words=5, percent=80))
     copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(copies, docs["doc_id"] == F.col("_copy"), "left_anti")
@@ -45,7 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every kept document, with digests of the ids and of the decoded text."""
-    prepare(spark)
+    ready(spark)
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
 
 

@@ -17,8 +17,14 @@ from storyflow.session import prepare, scratch_root
 # ---- tables and scratch
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Session settings of the operators. Texts go to Python in small batches, so that workers, which live on between stages, stay small."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return ready(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 class Scratch:
@@ -29,7 +35,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = prepare(spark)
+        self.spark = ready(spark)
         self.root = f"{scratch_root(spark)}/storyflow/{label}-{uuid.uuid4().hex}"
         self.count = 0
 
@@ -125,7 +131,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool = False, blank: n
     return Words(starts, ends, mix(hashes), np.searchsorted(starts, offsets))
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a column of texts (null: empty) into runs of about ``limit`` bytes: first row, end row, bytes, offsets."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if isinstance(column, pa.ChunkedArray):

@@ -94,13 +94,24 @@ def least_overlap(na, nb, percent: int):
 def widespread(docs: DataFrame, s: Settings) -> np.ndarray:
     """The ``s.widespread`` n-grams that most documents hold, from rare to frequent.
 
-    Each batch counts its documents' n-grams and passes on those that at least three of them hold.
+    A task counts the n-grams of its documents, about four million at a time, and passes on those that at least three hold.
     """
+    def counted(sets):
+        tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(tokens[n >= 3])), pa.array(n[n >= 3])], names=["token", "n"])
+
     def count(batches):
+        sets, size = [], 0
         for batch in batches:
-            sets = [x for _, _, data, offsets in text_chunks(batch.column("text")) for x in shingle_sets(data, offsets, s.words)]
-            tokens, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(tokens[n >= 3])), pa.array(n[n >= 3])], names=["token", "n"])
+            for _, _, data, offsets in text_chunks(batch.column("text")):
+                for x in shingle_sets(data, offsets, s.words):
+                    sets.append(x)
+                    size += len(x)
+            if size >= 4_000_000:
+                yield counted(sets)
+                sets, size = [], 0
+        if sets:
+            yield counted(sets)
 
     least = s.share * docs.count()
     top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(s.widespread)
