@@ -65,6 +65,21 @@ def page(df: DataFrame, order: list[Column], page: int = 1, size: int = 20) -> D
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, columns: list[tuple[str, bool]], last: dict | None, size: int = 20) -> DataFrame:
+    """The page behind row ``last`` (its values of ``columns``; None: the first page). ``columns`` are (name, descending) and
+    end with a unique one; nulls come last. Unlike an offset, a deep page sorts no more rows than it returns per task."""
+    order = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in columns]
+    if last is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for c, down in columns:
+            v = F.lit(last[c])
+            step = F.col(c).isNull() if last[c] is None else (F.col(c) < v if down else F.col(c) > v) | F.col(c).isNull()
+            behind = behind | (equal & (step if last[c] is not None else F.lit(False)))
+            equal = equal & F.col(c).eqNullSafe(v)
+        df = df.filter(behind)
+    return df.orderBy(*order).limit(size)
+
+
 def page_info(df: DataFrame, size: int = 20) -> DataFrame:
     total = F.count("*")
     return df.agg(total.alias("total"), F.greatest(F.lit(1), F.ceil(total / size)).cast("long").alias("pages"))

@@ -97,6 +97,26 @@ def paper_articles(entries: DataFrame, as_of, max_age_hours: int = 48) -> DataFr
     )
 
 
+def read_json_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Landed JSON responses, one document per file or per line; unreadable ones are dropped, unknown fields ignored."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    parsed = lambda c: F.from_json(c, schema)
+    documents = whole.select(F.when(parsed(F.col("text")).isNotNull() & ~F.rtrim("text").contains("\n{"), F.array("text")).otherwise(F.split(F.trim("text"), "\n")).alias("d"))
+    return documents.select(F.explode("d").alias("d")).select(parsed(F.col("d")).alias("r")).where("r is not null").select("r.*")
+
+
+def read_story_hits(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_payloads(spark, path, STORY_HITS)
+
+
+def read_listings(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_payloads(spark, path, LISTING)
+
+
+def read_releases(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_payloads(spark, path, RELEASE)
+
+
 def story_articles(payloads: DataFrame, as_of, min_points: int = 5, max_days: int = 3) -> DataFrame:
     """Search-result payloads (``hits``). A story that several payloads repeat is kept once."""
     h = payloads.select(F.explode("hits").alias("h")).select("h.*")

@@ -104,3 +104,32 @@ def test_user_embedding_function(spark):
     df = spark.createDataFrame([("a",), ("bb",)], "t string")
     got = EN.with_embedding(df, "t", lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()
     assert [list(r.embedding) for r in got] == [[1.0, 1.0], [2.0, 1.0]]
+
+
+def test_json_payload_files(spark, tmp_path):
+    import json
+
+    from storyflow.sources import payloads as PL
+
+    story = lambda i: {"hits": [{"title": f"t{i}", "url": f"https://e.org/{i}", "points": 9, "objectID": str(i), "created_at_i": 1706572800, "num_comments": 2, "other": 1}]}
+    (tmp_path / "one.json").write_text(json.dumps(story(1), indent=1))
+    (tmp_path / "lines.json").write_text(json.dumps(story(2)) + "\n" + json.dumps(story(3)) + "\nnot json\n")
+    rows = PL.story_articles(PL.read_story_hits(spark, str(tmp_path)), "2024-01-31 00:00:00").collect()
+    assert sorted(r.title for r in rows) == ["t1", "t2", "t3"]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.json").write_text(json.dumps({"repo": "o/t", "name": "v1", "html_url": "https://x", "body": "b" * 900, "published_at": "2024-01-30T00:00:00Z"}))
+    assert [len(r.description) for r in PL.release_articles(PL.read_releases(spark, str(tmp_path / "r")), "2024-01-31 00:00:00").collect()] == [900]
+
+
+def test_keyset_pages_equal_offsets(spark):
+    from pyspark.sql import functions as F
+
+    from storyflow.operators import feeds as FQ
+
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 5) for i in range(50)], "id long, s int")
+    columns = [("s", True), ("id", False)]
+    order, last, seen = [F.desc_nulls_last("s"), F.asc("id")], None, []
+    while rows := FQ.page_after(df, columns, last, 8).collect():
+        seen += [r.id for r in rows]
+        last = rows[-1].asDict()
+    assert seen == [r.id for r in df.orderBy(*order).collect()]
