@@ -42,7 +42,7 @@ ONES, WIDE = 0x0101010101010101, 0x0001000100010001
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), GAP), "")
 
 
 def pair_hashes(w: Column) -> Column:
