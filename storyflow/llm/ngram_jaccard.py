@@ -207,8 +207,9 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     need = lambda a, b: F.ceil((F.col(a) + F.col(b)) * s.percent / (100 + s.percent) - 1e-9)
     fits = lambda na, nb: F.least(na, nb) * 100 >= F.greatest(na, nb) * s.percent
     # No other set has the prefix tokens that stand in no list: ``most`` bounds any intersection of the set.
-    alone = F.col("p") - F.count(F.lit(1)).over(Window.partitionBy("g"))
-    shared = scratch.keep(met.df.withColumn("most", (F.col("n") - alone).cast("int")).where(F.col("most") * 100 >= F.col("n") * s.percent), "shared")
+    # ``held`` and ``past`` number the tokens that do: all of the prefix, and those before this one.
+    numbered = met.df.withColumns({"held": F.count(F.lit(1)).over(Window.partitionBy("g")).cast("int"), "past": (F.row_number().over(Window.partitionBy("g").orderBy("pos")) - 1)})
+    shared = scratch.keep(numbered.withColumn("most", F.col("n") - F.col("p") + F.col("held")).where(F.col("most") * 100 >= F.col("n") * s.percent), "shared")
     met.drop()
 
     # First: the neighbour that stands before a group in most of its lists, the hub of most of its lists, and the class before a class in its group.
@@ -237,15 +238,17 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # Then: groups of different components that share tokens.
     labelled = grouped.df.join(found.df, F.col("k") == F.col("id"), "left").select("k", "g", F.coalesce("component", "k").alias("c"))
     parts = scratch.keep(labelled.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size")), "parts")
-    rows = shared.df.select("token", "g", "n", "p", "pos", "most").join(parts.df.select("g", "c"), "g")
+    rows = shared.df.select("token", "g", "n", "p", "held", "past", "most").join(parts.df.select("g", "c"), "g")
     spread = scratch.keep(rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token"), "spread").df
     open_ = scratch.keep(rows.join(spread, "token"), "open")
-    left, right = (open_.df.select("token", *[F.col(c).alias(c + e) for c in ("g", "c", "n", "p", "pos", "most")]) for e in ("a", "b"))
-    meet = left.join(right, "token").where("ca <> cb and ga <> gb and (na < nb or (na = nb and ga < gb))").where(fits("na", "nb") & (F.least("mosta", "mostb") >= need("na", "nb"))).where(
-        F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1 >= need("na", "nb"))
-    counted = meet.groupBy("ga", "ca", "gb", "cb", "na", "nb", "pa", "pb").agg(F.count(F.lit(1)).alias("n"))
-    enough = counted.where(F.col("n") + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need("na", "nb"))
-    pairs = scratch.keep(enough.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "ca", "cb", "na", "nb"), "candidates")
+    left, right = (open_.df.select("token", *[F.col(c).alias(c + e) for c in ("g", "c", "n", "p", "held", "past", "most")]) for e in ("a", "b"))
+    # A pair that links shares at least ``common`` prefix tokens. Its first one has that many less one behind it on both sides, so
+    # only such places give a row; what can stand before and behind it on both sides must reach the threshold.
+    common = need("na", "nb") - F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    behind = F.least(F.col("helda") - F.col("pasta"), F.col("heldb") - F.col("pastb"))
+    bound = F.least("pasta", "pastb") + F.least(F.col("mosta") - F.col("pasta"), F.col("mostb") - F.col("pastb"))
+    meet = left.join(right, "token").where("ca <> cb and ga <> gb and (na < nb or (na = nb and ga < gb))").where(fits("na", "nb") & (behind >= common) & (bound >= need("na", "nb")))
+    pairs = scratch.keep(meet.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "ca", "cb", "na", "nb").distinct(), "candidates")
     passed = possible(pairs.df.select("a", "b", "na", "nb").distinct())
     between = pairs.df.join(passed, ["a", "b"]).select(F.col("a").alias("ga"), "ca", F.col("b").alias("gb"), "cb")
     twin, other = (parts.df.select("g", F.col("c").alias(x)) for x in ("ca", "cb"))
