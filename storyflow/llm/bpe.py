@@ -135,10 +135,15 @@ class Transducer:
 
 
 def word_tokens(model: Model, word: str) -> Iterator[str]:
-    """Tokens of one word, emitted as soon as they are stable."""
+    """Tokens of one word, emitted as soon as they are stable. A word shorter than the lookahead ends before any of them is."""
+    if len(data := word.encode()) <= model.lookahead:
+        symbols = list(map(model.letters.__getitem__, data))
+        symbols[-1] += model.end
+        yield from merge(symbols, model.ranks)
+        return
     machine, step = Transducer(model), 4096
-    for lo in range(0, len(word), step):
-        yield from machine.push("".join(map(model.letters.__getitem__, word[lo : lo + step].encode())))
+    for lo in range(0, len(data), step):
+        yield from machine.push("".join(map(model.letters.__getitem__, data[lo : lo + step])))
     yield from machine.close()
 
 
