@@ -158,7 +158,8 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     left, right = (filed.select("key", *[F.col(c).alias(c + e) for c in ("k", "sig", "n", "c")]) for e in ("a", "b"))
     meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & close("siga", "sigb") & alike("na", "nb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     more = _verify(scratch, docs, nodes, meet, s)
-    final = components(scratch, first.df.unionByName(more.df))
+    # The components so far stand for the links that made them.
+    final = components(scratch, found.df.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more.df))
 
     of_node = nodes.join(final.df, F.col("k") == F.col("id"), "left").select("l1", "l2", "d", "line", "many", F.coalesce("component", "k").alias("c"))
     kept = of_node.groupBy("c").agg(F.min(F.struct("d", "line")).alias("m"), F.sum("many").alias("many")).where("many > 1").select("c", F.col("m.d").alias("kd"), F.col("m.line").alias("kl"))

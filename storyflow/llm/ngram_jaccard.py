@@ -256,7 +256,8 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     own = lambda e: labelled.select(F.col("g").alias("g" + e), F.col("c").alias("c" + e), F.col("k").alias(e))
     rest = between.unionByName(within).join(own("a"), ["ga", "ca"]).join(own("b"), ["gb", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verify(scratch, docs, grouped.df, rest, s)
-    final = components(scratch, first.df.unionByName(more.df))
+    # The components so far stand for the links that made them.
+    final = components(scratch, found.df.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more.df))
 
     smallest = classes.df.select("k", "d").join(final.df, F.col("k") == F.col("id")).groupBy("component").agg(F.min("d").alias("smallest"))
     labels = final.df.join(smallest, "component").select("id", "smallest")
