@@ -123,7 +123,8 @@ def _verify(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFram
     pairs = scratch.keep(pairs.distinct(), "pairs")
     places = scratch.keep(pairs.df.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "d", "line", "l1", "l2"), "k"), "places")
     of_doc = places.df.groupBy("d").agg(F.collect_list(F.struct("k", "line", "l1", "l2")).alias("wanted"))
-    lines = docs.join(of_doc, "d").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("x")).select(
+    # A sort-merge join at every size: the texts are never matched against a table that was sent whole.
+    lines = docs.join(of_doc.hint("merge"), "d").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("x")).select(
         "x.k", "x.l1", "x.l2", words(F.get("all", F.col("x.line"))).alias("w")).where("xxhash64(w) = l1 and xxhash64(1, w) = l2")
     codes = scratch.keep(lines.select("k", coded(F.col("w")).alias("code")).groupBy("k").agg(F.first("code").alias("code")), "codes")
     side = lambda c, t: codes.df.select(F.col("k").alias(c), F.col("code").alias(t))
