@@ -2,10 +2,13 @@
 
 A line is normalised to its lower-case words. Equal lines are one node from the start (128-bit hash of the words), so a
 line that a third of the documents carry costs one row per occurrence and no pair. A line's SimHash has 64 bits, each
-the majority of that bit over the hashes of its neighbouring word pairs. Two hashes that differ in at most ``distance``
-bits agree in some choice of blocks, so lines meet on these blocks; pairs within the distance are verified by the edit
-distance of their word sequences. First each line is compared only with its neighbour in hash order, and what that
-connects is one component; then pairs of different components meet on all blocks. So no link between components
+the majority of that bit over the hashes of its neighbouring word pairs. One replaced word moves many bits of a short line,
+so no distance of hashes follows from the edit similarity. What follows is a run: m words with e edits fall into at most
+e + 1 pieces, so the longest common run has at least (m - e) / (e + 1) words (3 or 4 for 0.8). Lines meet on equal
+runs of that length, and pairs are verified by the edit distance of their word sequences. With a ``distance``, lines meet on
+SimHash alone: two hashes that differ in at most ``distance`` bits agree in some choice of blocks.
+First each line is compared only with its neighbour in hash order and beside equal runs, and what that
+connects is one component; then pairs of different components meet on all runs or blocks. So no link between components
 is lost, and a group of near copies does not give all its pairs. DataFrame functions only.
 
 Defined results: lines of fewer than ``min_words`` words (empty ones too) are never removed; a null or empty text has no
@@ -29,10 +32,13 @@ LAST = 2**63 - 1
 @dataclass(frozen=True)
 class Settings:
     min_words: int = 8
-    distance: int = 3
+    #: Only pairs whose SimHashes differ in at most so many bits; None: every pair that ``similarity`` allows.
+    distance: int | None = None
     similarity: float = 0.8
 
 
+#: Bits within which neighbours in hash order are compared first. It only saves later pairs.
+NEAR = 3
 #: ASCII characters other than letters and digits part words. A fixed value.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Features that two-byte counters hold with a margin of as many, below the sign bit. Longer lines are counted in chunks.
@@ -112,21 +118,60 @@ def block_keys(sig: Column, blocks: int, agree: int) -> Column:
     return F.array(*keys)
 
 
+def edits(n: Column | int, s: Settings):
+    """Most edits that the similarity allows when the longer line has ``n`` words."""
+    return F.floor(n * F.lit(1 - s.similarity) + 1e-9).cast("int") if isinstance(n, Column) else int(n * (1 - s.similarity) + 1e-9)
+
+
+def run_length(n: Column, s: Settings) -> Column:
+    """Words of a run that a line of ``n`` words shares with every similar line that is not longer."""
+    return F.greatest(F.lit(1), F.ceil((n - edits(n, s)) / (edits(n, s) + 1))).cast("int")
+
+
+def run_keys(w: Column, n: Column, s: Settings) -> Column:
+    """Hashes of all runs of the lengths at which the line meets longer lines, and lines that are not longer."""
+    lengths = F.array_distinct(F.transform(F.sequence(n, F.floor(n / s.similarity + 1e-9).cast("int")), lambda m: run_length(m, s)))
+    starts = lambda q: F.when(q <= n, F.sequence(F.lit(1), n - q + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda q: F.transform(starts(q), lambda i: F.xxhash64(q, F.slice(w, i, q))))))
+
+
+def parities(w: Column) -> Column:
+    """Bit b: whether an odd number of words has hash b. An edit changes two bits at most."""
+    return F.aggregate(w, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
+
+
 def coded(w: Column) -> Column:
     """One letter (a hash into the code points 0x100 to 0xD7FF) for each word, for the edit distance of word sequences."""
     code = F.transform(w, lambda x: F.lpad(F.hex(F.pmod(F.xxhash64(x), F.lit(0xD700)) + 0x100), 4, "0"))
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
+def _read(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(k, w): words of the lines at the places (k, d, line, l1, l2), read again from the texts."""
+    of_doc = places.groupBy("d").agg(F.collect_list(F.struct("k", "line", "l1", "l2")).alias("wanted"))
+    # A sort-merge join at every size: the texts are never matched against a table that was sent whole.
+    return docs.join(of_doc.hint("merge"), "d").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("x")).select(
+        "x.k", "x.l1", "x.l2", words(F.get("all", F.col("x.line"))).alias("w")).where("xxhash64(w) = l1 and xxhash64(1, w) = l2").select("k", "w")
+
+
+def _shared_runs(scratch: Scratch, docs: DataFrame, nodes: DataFrame, s: Settings) -> Kept:
+    """(key, k, n, odd, before): the runs of each line that another line has too, and the line before it by length with that run."""
+    hashed = _read(docs, nodes.select("k", "d", "line", "l1", "l2")).select("k", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    # An id and line number that several rows share may give the line more than once.
+    once = scratch.keep(hashed.select("k", F.size("w").alias("n"), parities(F.col("w")).alias("odd"), run_keys(F.col("w"), F.size("w"), s).alias("keys")).dropDuplicates(["k"]), "runs")
+    order = Window.partitionBy("key").orderBy("n", "k")
+    filed = once.df.select("k", "n", F.explode("keys").alias("key")).select("key", "k", "n", F.lag("k").over(order).alias("before"), F.lead("k").over(order).alias("after"))
+    shared = filed.where("before is not null or after is not null").select("key", "k", "n", "before")
+    out = scratch.keep(shared.join(once.df.select("k", "odd"), "k"), "shared")
+    once.drop()
+    return out
+
+
 def _verify(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, s: Settings) -> Kept:
     """Pairs of nodes (a, b) whose lines, read again from one document each, are similar enough."""
     pairs = scratch.keep(pairs.distinct(), "pairs")
     places = scratch.keep(pairs.df.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "d", "line", "l1", "l2"), "k"), "places")
-    of_doc = places.df.groupBy("d").agg(F.collect_list(F.struct("k", "line", "l1", "l2")).alias("wanted"))
-    # A sort-merge join at every size: the texts are never matched against a table that was sent whole.
-    lines = docs.join(of_doc.hint("merge"), "d").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("x")).select(
-        "x.k", "x.l1", "x.l2", words(F.get("all", F.col("x.line"))).alias("w")).where("xxhash64(w) = l1 and xxhash64(1, w) = l2")
-    codes = scratch.keep(lines.select("k", coded(F.col("w")).alias("code")).groupBy("k").agg(F.first("code").alias("code")), "codes")
+    codes = scratch.keep(_read(docs, places.df).select("k", coded(F.col("w")).alias("code")).groupBy("k").agg(F.first("code").alias("code")), "codes")
     side = lambda c, t: codes.df.select(F.col("k").alias(c), F.col("code").alias(t))
     most = f"cast(greatest(length(ca), length(cb)) * {1 - s.similarity} + 1e-9 as int)"
     links = pairs.df.join(side("a", "ca"), "a").join(side("b", "cb"), "b").where(f"levenshtein(ca, cb, {most}) >= 0").select("a", "b")
@@ -145,19 +190,35 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
                          .select("l1", "l2", "m.d", "m.line", "sig", "n", "many", F.monotonically_increasing_id().alias("k")), "nodes").df
     count = nodes.count()
 
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= s.distance
-    alike = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.greatest(x, y) * (1 - s.similarity)  # noqa: E731  an edit distance is at least the difference in length
+    bits = NEAR if s.distance is None else s.distance
+    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
+    alike = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.greatest(x, y) * (1 - s.similarity) + 1e-9  # noqa: E731  an edit distance is at least the difference in length
     order = Window.partitionBy(F.shiftrightunsigned("sig", 48)).orderBy("sig", "k")
     beside = nodes.select("k", "sig", "n", F.lag(F.struct("k", "sig", "n")).over(order).alias("p")).where("p is not null").select(
-        F.col("p.k").alias("a"), F.col("k").alias("b"), F.col("p.sig").alias("sa"), "sig", F.col("p.n").alias("na"), "n").where(close("sa", "sig") & alike("na", "n"))
+        F.col("p.k").alias("a"), F.col("k").alias("b"), F.col("p.sig").alias("sa"), "sig", F.col("p.n").alias("na"), "n").where(close("sa", "sig") & alike("na", "n")).select("a", "b")
+    if s.distance is None:
+        runs = _shared_runs(scratch, docs, nodes, s)
+        possible = lambda x, y, m, n: alike(m, n) & (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits(F.greatest(m, n), s))
+        sides = runs.df.select("k", "n", "odd").distinct()
+        next_to = runs.df.where("before is not null").select(F.col("before").alias("a"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")).distinct()
+        beside = beside.unionByName(next_to.join(sides.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a").where(possible("oa", "ob", "na", "nb")).select("a", "b"))
     first = _verify(scratch, docs, nodes, beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), s)
     found = components(scratch, first.df)
 
-    blocks, agree = block_plan(count, s.distance)
-    named = nodes.select("k", "sig", "n").join(found.df, F.col("k") == F.col("id"), "left").select("k", "sig", "n", F.coalesce("component", "k").alias("c"))
-    filed = named.select("k", "sig", "n", "c", F.explode(block_keys(F.col("sig"), blocks, agree)).alias("key"))
+    if s.distance is None:
+        filed = scratch.keep(runs.df.drop("before").join(found.df, F.col("k") == F.col("id"), "left").select("key", "k", "n", F.col("odd").alias("sig"), F.coalesce("component", "k").alias("c")), "filed").df
+        runs.drop()
+        # Runs inside one component have nothing more to tell.
+        between = filed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+        filed = scratch.keep(filed.join(between, "key"), "between").df
+        near = possible("siga", "sigb", "na", "nb")
+    else:
+        blocks, agree = block_plan(count, s.distance)
+        named = nodes.select("k", "sig", "n").join(found.df, F.col("k") == F.col("id"), "left").select("k", "sig", "n", F.coalesce("component", "k").alias("c"))
+        filed = named.select("k", "sig", "n", "c", F.explode(block_keys(F.col("sig"), blocks, agree)).alias("key"))
+        near = close("siga", "sigb") & alike("na", "nb")
     left, right = (filed.select("key", *[F.col(c).alias(c + e) for c in ("k", "sig", "n", "c")]) for e in ("a", "b"))
-    meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & close("siga", "sigb") & alike("na", "nb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & near).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     more = _verify(scratch, docs, nodes, meet, s)
     # The components so far stand for the links that made them.
     final = components(scratch, found.df.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more.df))
