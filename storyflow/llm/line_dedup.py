@@ -1,6 +1,6 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
-A line is normalised to its lower-case words. Equal lines are one node from the start (128-bit hash of the words), so a
+A line is normalised to its lower-case words; in scripts without spaces each character is a word. Equal lines are one node from the start (128-bit hash of the words), so a
 line that a third of the documents carry costs one row per occurrence and no pair. A line's SimHash has 64 bits, each
 the majority of that bit over the hashes of its neighbouring word pairs. One replaced word moves many bits of a short line,
 so no distance of hashes follows from the edit similarity. What follows is a run: m words with e edits fall into at most
@@ -11,7 +11,8 @@ First each line is compared only with its neighbour in hash order and beside equ
 connects is one component; then pairs of different components meet on all runs or blocks. So no link between components
 is lost, and a group of near copies does not give all its pairs. DataFrame functions only.
 
-Defined results: lines of fewer than ``min_words`` words (empty ones too) are never removed; a null or empty text has no
+Defined results: lines of fewer than ``min_words`` words are compared for equality only, and those with fewer than
+``min_chars`` characters in their words besides (empty ones too) are never removed; a null or empty text has no
 lines; the first occurrence by (doc_id, line number) stays, a null id coming last; rows that share an id and a line
 number share its fate; very long lines are hashed and compared whole; other columns are ignored and kept.
 """
@@ -31,7 +32,10 @@ LAST = 2**63 - 1
 
 @dataclass(frozen=True)
 class Settings:
+    #: Fewest words of a line that is compared by similarity; shorter ones are removed only when equal.
     min_words: int = 8
+    #: Fewest characters in the words of a line with fewer words.
+    min_chars: int = 12
     #: Only pairs whose SimHashes differ in at most so many bits; None: every pair that ``similarity`` allows.
     distance: int | None = None
     similarity: float = 0.8
@@ -40,6 +44,8 @@ class Settings:
 #: Bits within which neighbours in hash order are compared first. It only saves later pairs.
 NEAR = 3
 #: ASCII characters other than letters and digits part words. A fixed value.
+#: Thai, Lao, Burmese, Khmer, Kana and Han: scripts that put no spaces between words.
+UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Features that two-byte counters hold with a margin of as many, below the sign bit. Longer lines are counted in chunks.
 MOST = 16_383
@@ -48,7 +54,7 @@ ONES, WIDE = 0x0101010101010101, 0x0001000100010001
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), GAP), "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(line), UNSPACED, " $1 "), GAP), "")
 
 
 def pair_hashes(w: Column) -> Column:
@@ -77,15 +83,18 @@ def long_simhash(features: Column) -> Column:
     return F.get(F.transform(F.array(chunks), lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(bit(c, b)))), F.lit(0))
 
 
-def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST) -> DataFrame:
-    """(d, line, l1, l2, n, sig): place, hashes of the words, their number and SimHash of every line with ``min_words`` words; ``docs`` has d and text.
+def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_chars: int | None = None) -> DataFrame:
+    """(d, line, l1, l2, n, sig): place, hashes of the words, their number and SimHash of every line with ``min_words`` words, or ``min_chars`` characters in at least one; ``docs`` has d and text.
 
     Bit k of every second byte is counted in sum k, so sixteen sums of a combining aggregate hold all 64 counters of a
     line of up to ``most`` features, and one addition compares four of them with half the number.
     """
     lines = docs.select("d", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     # The words are bound once per line, behind a generator, so that no later expression splits the line again.
-    held = F.filter(F.array(words(F.col("body"))), lambda w: F.size(w) >= min_words)
+    enough = lambda w: F.size(w) >= min_words
+    if min_chars is not None:
+        enough = lambda w: (F.size(w) >= min_words) | (F.length(F.array_join(w, "")) >= F.lit(max(1, min_chars)))
+    held = F.filter(F.array(words(F.col("body"))), enough)
     parts = F.transform(held, lambda w: F.struct(F.xxhash64(w).alias("l1"), F.xxhash64(F.lit(1), w).alias("l2"), F.size(w).alias("n"), pair_hashes(w).alias("f")))
     keys = ["d", "line", "l1", "l2", "n"]
     features = lines.select("d", "line", F.inline(parts))
@@ -185,24 +194,25 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     """(doc_id, line_no, kept_doc_id, kept_line_no): every line that repeats an earlier one, exactly or nearly; lines count from 0."""
     s, scratch = settings, Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.col("text")).where("text is not null and text <> ''")
-    every = scratch.keep(signed_lines(docs, s.min_words), "lines").df
+    every = scratch.keep(signed_lines(docs, s.min_words, min_chars=s.min_chars), "lines").df
     nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("many"))
                          .select("l1", "l2", "m.d", "m.line", "sig", "n", "many", F.monotonically_increasing_id().alias("k")), "nodes").df
-    count = nodes.count()
+    fuzzy = nodes.where(F.col("n") >= s.min_words)
+    count = fuzzy.count()
 
     bits = NEAR if s.distance is None else s.distance
     close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
     alike = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.greatest(x, y) * (1 - s.similarity) + 1e-9  # noqa: E731  an edit distance is at least the difference in length
     order = Window.partitionBy(F.shiftrightunsigned("sig", 48)).orderBy("sig", "k")
-    beside = nodes.select("k", "sig", "n", F.lag(F.struct("k", "sig", "n")).over(order).alias("p")).where("p is not null").select(
+    beside = fuzzy.select("k", "sig", "n", F.lag(F.struct("k", "sig", "n")).over(order).alias("p")).where("p is not null").select(
         F.col("p.k").alias("a"), F.col("k").alias("b"), F.col("p.sig").alias("sa"), "sig", F.col("p.n").alias("na"), "n").where(close("sa", "sig") & alike("na", "n")).select("a", "b")
     if s.distance is None:
-        runs = _shared_runs(scratch, docs, nodes, s)
+        runs = _shared_runs(scratch, docs, fuzzy, s)
         possible = lambda x, y, m, n: alike(m, n) & (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits(F.greatest(m, n), s))
         sides = runs.df.select("k", "n", "odd").distinct()
         next_to = runs.df.where("before is not null").select(F.col("before").alias("a"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")).distinct()
         beside = beside.unionByName(next_to.join(sides.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a").where(possible("oa", "ob", "na", "nb")).select("a", "b"))
-    first = _verify(scratch, docs, nodes, beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), s)
+    first = _verify(scratch, docs, fuzzy, beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), s)
     found = components(scratch, first.df)
 
     if s.distance is None:
@@ -214,12 +224,12 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         near = possible("siga", "sigb", "na", "nb")
     else:
         blocks, agree = block_plan(count, s.distance)
-        named = nodes.select("k", "sig", "n").join(found.df, F.col("k") == F.col("id"), "left").select("k", "sig", "n", F.coalesce("component", "k").alias("c"))
+        named = fuzzy.select("k", "sig", "n").join(found.df, F.col("k") == F.col("id"), "left").select("k", "sig", "n", F.coalesce("component", "k").alias("c"))
         filed = named.select("k", "sig", "n", "c", F.explode(block_keys(F.col("sig"), blocks, agree)).alias("key"))
         near = close("siga", "sigb") & alike("na", "nb")
     left, right = (filed.select("key", *[F.col(c).alias(c + e) for c in ("k", "sig", "n", "c")]) for e in ("a", "b"))
     meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & near).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    more = _verify(scratch, docs, nodes, meet, s)
+    more = _verify(scratch, docs, fuzzy, meet, s)
     # The components so far stand for the links that made them.
     final = components(scratch, found.df.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more.df))
 

@@ -363,6 +363,13 @@ def test_line_dedup_production_settings_equal_brute_force_over_edit_similarity(s
     assert len(want) > 60 and got == want
 
 
+def test_line_dedup_short_lines_and_scripts_without_spaces(spark):
+    han, thai = "天地玄黄宇宙洪荒日月盈昃辰宿列张", "กขคงจฉชซฌญฎฏฐฑฒณ"
+    rows = [(1, "Read the full article\nok then\n" + han), (2, "read the FULL article!\nok then"), (3, han[:5] + "云" + han[6:] + "\n" + thai), (4, thai + "\nRead the whole article"), (5, "云腾致雨\n\n"), (6, "云腾致雨\n\n")]
+    got = set(collected(line_dedup.repeated_lines(table(spark, rows))))
+    assert got == {(2, 0, 1, 0), (3, 0, 1, 2), (4, 0, 3, 1)}
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     rng = np.random.default_rng(3)
     rows = [(n, [int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)]) for n in (1, 2, 3, 40, 62, 63, 64, 65, 126, 127, 500, 2000)]
