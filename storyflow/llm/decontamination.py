@@ -4,19 +4,23 @@ The vocabulary is that of the benchmark items. One pass over all documents count
 passage-by-word matrix A with a random sign matrix twice (A' A R, whole numbers, so sums do not depend on their order);
 Spark adds these up per word. The driver, with one row per benchmark word, weights them by idf and takes the right
 singular vectors from the sketch (Nystroem form of the randomised SVD). The latent space is spanned by these and by the items.
-A second pass compares every window of every document with every item of that length by cosine in the latent
-space, where words outside the vocabulary count in the window's norm, and checks each candidate: the longest common
-subsequence of item and window must hold ``copied`` of the item's words, or ``reworded`` of them together
-with ``answered`` of the words of the item's last sentence.
+A second pass compares every window of every document with every item of that length by their product in the latent
+space. As it holds the items, the product is exact: a window with ``reworded`` of the item's words in order has at
+least the sum of so many of the item's smallest squared weights, and only windows below that are passed over. Each candidate is
+checked: the longest common subsequence of item and window must hold ``copied`` of the item's words, or ``reworded`` of
+them together with ``answered`` of the words of the item's last sentence. The cosine that is given counts words outside
+the vocabulary in the window's norm.
 
 Items come in parts of bounded size, each with its own passes, so a long benchmark costs more passes, not more memory.
 
-Defined results: a null or empty text, and an item with fewer than ``min_words`` words, match nothing; rows that repeat an
+Defined results: a null or empty text, match nothing; an item with fewer than ``min_words`` words is found
+where all its words follow one another; rows that repeat an
 id give one result per document and item id, the best; a null id is kept as null; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -25,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyflow.llm.common import text_chunks, words_of
+from storyflow.llm.common import mix, text_chunks, words_of
 
 #: Everything in ASCII that is neither letter nor digit ends a word.
 SPLIT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
+FOUND = "doc_id long, item_id long, common double, answer double, cosine double, word long"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -39,16 +45,11 @@ class Settings:
     #: Words of a passage (a row of A).
     passage: int = 64
     rank: int = 32
-    #: Largest number of directions that the items add.
-    item_rank: int = 256
-    cosine: float = 0.5
-    #: Windows whose words of the vocabulary hold less than this share of the squared idf weight are no candidates. A window
-    #: that holds a whole item has at least half of its words from it, so this allows a fifth of them to be reworded.
-    share: float = 0.4
     copied: float = 0.8
     reworded: float = 0.6
     answered: float = 0.8
-    items_per_pass: int = 2000
+    #: Each item is a direction of the latent space of its pass.
+    items_per_pass: int = 256
     seed: int = 11
 
 
@@ -143,8 +144,6 @@ def latent(seen: np.ndarray, total: int, sketch: np.ndarray, signs: np.ndarray,
     left = np.linalg.svd(root, full_matrices=False)[0] if root.size else np.zeros((len(idf), 0))
     rows = items * idf
     rows /= np.maximum(np.sqrt((rows * rows).sum(1)), 1e-12)[:, None]
-    if len(rows) > s.item_rank:
-        rows = np.random.Generator(np.random.PCG64(s.seed)).standard_normal((s.item_rank, len(rows))) @ rows
     basis, triangle = np.linalg.qr(np.concatenate([rows.T, left], axis=1))
     return idf, basis[:, np.abs(np.diag(triangle)) > 1e-9]
 
@@ -164,10 +163,20 @@ class Items:
         return np.stack([np.bincount(self.vocabulary.places(h), minlength=len(self.vocabulary.hashes)) for h in self.words]).astype(float)
 
 
+def least_products(items: Items, idf: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Per item: words that a match has in order, and the least product with a window that has so many."""
+    need = np.array([math.ceil(len(h) * s.reworded - 1e-9) for h in items.words])
+    least = [np.sort(idf[items.vocabulary.places(h)] ** 2)[:n].sum() for h, n in zip(items.words, need)]
+    return need, np.array(least) * (1 - 1e-9) - 1e-6
+
+
 def _matches(items: Items, idf: np.ndarray, basis: np.ndarray, outside: float, s: Settings):
     vectors = (items.counts() * idf) @ basis
-    vectors = (vectors / np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-12)[:, None]).astype(np.float32)
-    weighted, square = (basis * idf[:, None]).astype(np.float32), idf * idf
+    weighted, square = basis * idf[:, None], idf * idf
+    products = weighted @ vectors.T
+    lengths = np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-12)
+    needed, least = least_products(items, idf, s)
+    member = items.counts() > 0
 
     def run(batches):
         sequences = [Sequence(h) for h in items.words]
@@ -183,48 +192,42 @@ def _matches(items: Items, idf: np.ndarray, basis: np.ndarray, outside: float, s
                 head = np.flatnonzero(place % s.block == 0)
                 block = np.cumsum(place % s.block == 0) - 1
                 n = len(head)
-                inside = np.append(0, np.cumsum(np.add.reduceat(np.where(at >= 0, square[at], 0.0), head)))
-                beyond = np.append(0, np.cumsum(np.add.reduceat(np.where(at >= 0, 0.0, outside), head)))
                 of = owner[head]
-                last = np.searchsorted(of, of, "right")  # end of the text's blocks
+                first, last = np.searchsorted(of, of), np.searchsorted(of, of, "right")  # the text's blocks
+                inside = np.append(0, np.cumsum(np.add.reduceat(np.where(at >= 0, square[at], 0.0), head)))
                 found: dict = {}
-                wanted = {}
-                for size in np.unique(items.blocks):
-                    end = np.minimum(np.arange(n) + size, last)
-                    held, other = inside[end] - inside[:-1], beyond[end] - beyond[:-1]
-                    some = np.flatnonzero(held >= s.share * (held + other))
-                    if len(some):
-                        wanted[size] = some, end[some], held[some], other[some]
-                if not wanted:
-                    continue
-                need = np.zeros(n + 1, np.int64)
-                for some, end, _, _ in wanted.values():
-                    np.add.at(need, some, 1)
-                    np.add.at(need, end, -1)
-                need = np.cumsum(need)[:n] > 0
-                use = np.flatnonzero((at >= 0) & need[block])
-                sums = np.zeros((n + 1, weighted.shape[1]), np.float32)
+                sums = np.zeros((n + 1, products.shape[1]))
+                use = np.flatnonzero(at >= 0)
                 if len(use):
                     cut = np.flatnonzero(np.append(True, block[use][1:] != block[use][:-1]))
-                    sums[block[use][cut] + 1] = np.add.reduceat(weighted[at[use]], cut, axis=0)
-                sums = np.cumsum(sums, axis=0)
-                for size, (some, end, held, other) in wanted.items():
+                    sums[block[use][cut] + 1] = np.add.reduceat(products[at[use]], cut, axis=0)
+                np.cumsum(sums, axis=0, out=sums)
+                start = np.arange(n)
+                # A block more on each side, for words that were moved or put in.
+                low = np.maximum(start - 1, first)
+                for size in np.unique(items.blocks):
                     own = np.flatnonzero(items.blocks == size)
-                    x = sums[end] - sums[some]
-                    norm = np.sqrt(np.maximum(held, (x * x).sum(1)) + other)
-                    cosine = (x @ vectors[own].T) / norm[:, None]
-                    for w, i in zip(*np.nonzero(cosine >= s.cosine)):
-                        item, doc = own[i], of[some[w]]
-                        # A block more on each side, for words that were moved or put in.
-                        a = max(head[some[w]] - s.block, words.first[doc])
-                        z = min((head[end[w]] if end[w] < n else len(at)) + s.block, words.first[doc + 1])
-                        text = words.hashes[a:z].tolist()
+                    end = np.minimum(start + size, last)
+                    high = np.minimum(end + 1, last)
+                    some = np.flatnonzero(inside[high] - inside[low] >= least[own].min())
+                    enough = (sums[high[some]][:, own] - sums[low[some]][:, own]) >= least[own]
+                    for w, i in zip(*np.nonzero(enough)):
+                        item, doc, w = own[i], of[some[w]], some[w]
+                        a, z = head[low[w]], head[high[w]] if high[w] < n else len(at)
+                        known = at[a:z]
+                        shared = (known >= 0) & member[item, known]
+                        if np.count_nonzero(shared) < needed[item]:
+                            continue
+                        text = words.hashes[a:z][shared].tolist()
                         common = sequences[item].common(text) / sequences[item].size
                         if common < s.reworded:
                             continue
                         answer = answers[item].common(text) / max(1, answers[item].size)
                         if common >= s.copied or answer >= s.answered:
-                            row = (common, answer, float(cosine[w, i]), -int(a - words.first[doc]))
+                            inner = at[head[w] : head[end[w]] if end[w] < n else len(at)]
+                            x, held = weighted[inner[inner >= 0]].sum(0), square[inner[inner >= 0]].sum()
+                            norm = math.sqrt(max(held, x @ x) + outside * np.count_nonzero(inner < 0))
+                            row = (common, answer, float(x @ vectors[item] / lengths[item] / max(norm, 1e-12)), -int(a - words.first[doc]))
                             found[doc, item] = max(found.get((doc, item), row), row)
                 if found:
                     values = list(found.values())
@@ -251,7 +254,43 @@ def _one_pass(docs: DataFrame, rows: list, s: Settings) -> DataFrame | None:
     # A word outside the vocabulary weighs as the items' words do on average.
     counts = items.counts()
     outside = float((counts * idf**2).sum() / counts.sum())
-    return docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(_matches(items, idf, basis, outside, s), "doc_id long, item_id long, common double, answer double, cosine double, word long")
+    return docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(_matches(items, idf, basis, outside, s), FOUND)
+
+
+def _whole(rows: list):
+    """Items of few words, found where all their words follow one another."""
+    kept = [(i, h) for i, h in rows if len(h)]
+
+    def code(h: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(h) - size + 1, np.uint64)
+        for j in range(size):
+            out = mix(out + h[j : j + len(out)])
+        return out
+
+    def run(batches):
+        of_size: dict = {}
+        for i, h in kept:
+            of_size.setdefault(len(h), {}).setdefault(int(code(h, len(h))[0]), []).append((i, h))
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for lo, _, data, offsets in text_chunks(batch.column("text"), 1 << 18):
+                words = words_of(data, offsets, fold=True, blank=SPLIT)
+                owner, _ = _owner(words.first)
+                found = {}
+                for size, wanted in of_size.items():
+                    if len(words.hashes) < size:
+                        continue
+                    codes = code(words.hashes, size)
+                    at = np.flatnonzero(np.isin(codes, np.array(list(wanted), np.uint64)) & (owner[: len(codes)] == owner[size - 1 :]))
+                    for p in at[np.unique(np.stack([owner[at].astype(np.uint64), codes[at]]), axis=1, return_index=True)[1]].tolist() if len(at) else []:
+                        for i, h in wanted[int(codes[p])]:
+                            if (words.hashes[p : p + size] == h).all():
+                                found[int(owner[p]), i] = p - int(words.first[owner[p]])
+                if found:
+                    one = pa.array([1.0] * len(found))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + d for d, _ in found])), pa.array([i for _, i in found], pa.int64()), one, one, one, pa.array(list(found.values()), pa.int64())],
+                                                     names=["doc_id", "item_id", "common", "answer", "cosine", "word"])
+    return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -263,10 +302,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
         own = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         # About items_per_pass rows: the benchmark is read part by part.
         rows = [(r.item_id, r.text) for r in own.select(F.col("item_id").cast("long"), "text").collect()]
+        short = [(i, h) for i, t in rows if 0 < len(h := word_hashes(t or "")) < s.min_words]
+        if short:
+            found.append(docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(_whole(short), FOUND))
         if (df := _one_pass(docs, rows, s)) is not None:
             found.append(df)
     if not found:
-        return spark.createDataFrame([], "doc_id long, item_id long, common double, answer double, cosine double, word long")
+        return spark.createDataFrame([], FOUND)
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)

@@ -125,6 +125,48 @@ def test_decontamination(spark):
     assert collected(decontamination.contaminated(table(spark, rows), spark.createDataFrame([], "item_id long, text string"))) == []
 
 
+@pytest.mark.parametrize("many", [1000, 2000])
+def test_decontamination_finds_every_copy_of_a_large_benchmark(spark, many):
+    rnd = random.Random(many)
+    items = [(i, prose(rnd, rnd.randrange(9, 40))) for i in range(many)]
+    rows = [(i, prose(rnd, rnd.randrange(40)) + " " + t + " " + prose(rnd, rnd.randrange(40))) for i, t in items]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in got.where("doc_id = item_id and common >= 0.999").collect()} == set(range(many))
+
+
+def test_decontamination_equals_brute_force_over_all_windows(spark):
+    """Short items among outside words, and rewordings down to the rule's limits; items of few words."""
+    rnd = random.Random(31)
+    common = WORDS[:12]
+    items = [(i, " ".join(rnd.choice(common if rnd.random() < 0.4 else WORDS) for _ in range(n)) + ". " + prose(rnd, max(2, n // 4)) + ".") for i, n in enumerate([7, 8, 9, 12, 20, 30] * 5)]
+    rows = []
+    for i, t in items:
+        for keep in (1.0, 0.85, 0.62, 0.5):
+            body, tail = t.split(". ")
+            w = body.split()
+            for k in rnd.sample(range(len(w)), int(len(w) * (1 - keep))):
+                w[k] = f"q{rnd.randrange(9999)}"
+            out = lambda n: " ".join(f"z{rnd.randrange(9999)}" for _ in range(n))
+            rows.append((len(rows), out(rnd.randrange(30)) + " " + " ".join(w) + ". " + tail + " " + out(rnd.randrange(30))))
+    s, want = decontamination.Settings(), set()
+    plain = lambda t: decontamination.word_hashes(t)
+    for i, t in items:
+        item, answer = decontamination.Sequence(plain(t)), decontamination.Sequence(plain(decontamination.last_sentence(t)))
+        size = 8 * (-(-item.size // 8) + 1)
+        for d, text in rows:
+            h = plain(text).tolist()
+            for p in range(0, len(h), 8):
+                window = h[max(0, p - 8) : p + size + 8]
+                got = item.common(window) / item.size
+                if got >= s.copied or got >= s.reworded and answer.common(window) / answer.size >= s.answered:
+                    want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 60 and got == want
+    few = spark.createDataFrame([(1, "Who wrote it?"), (2, "wrote it who"), (3, None), (4, "...")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "so, who WROTE it then"), (11, "who wrote"), (12, "it"), (None, "wrote it. Who"), (13, None)], "doc_id long, text string")
+    assert {tuple(r)[:2] for r in decontamination.contaminated(docs, few).collect()} == {(10, 1), (None, 2)}
+
+
 def test_common_subsequence():
     rnd = random.Random(4)
     for _ in range(200):
