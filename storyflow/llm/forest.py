@@ -3,7 +3,8 @@
 Every tree splits the vectors of a label again and again at a random place along a random direction (one direction a
 level and tree), until a node has at most ``leaf`` vectors; vectors close to a split go to both sides. Nodes are
 counted and split by Spark, level by level, for all trees at once. Vectors of a leaf are compared with each other by
-exact cosine; a leaf passes on a spanning forest of its links, and these links are united over all trees.
+exact cosine; a leaf passes on a spanning forest of its links, and these links are united over all trees. A leaf that no
+direction could part is compared whole too: linked to one vector if all lie close to its centre, else part against part.
 
 All links lie inside the components found so. Each component is then compared whole: components of up to ``block``
 vectors in one piece, larger ones block against block, except where all vectors lie within half the threshold's
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyflow.llm.common import Kept, Scratch, components
@@ -80,7 +81,7 @@ def _projections(s: Settings, levels: int):
 
 
 def leaves(scratch: Scratch, vectors: DataFrame, s: Settings) -> Kept:
-    """(label, dim, tree, node, k): the leaves of all trees."""
+    """(label, dim, tree, node, n, k): the leaves of all trees; n is the size of those that no direction could part, else null."""
     largest = vectors.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     levels = max(1, math.ceil(math.log2(max(1, largest / s.leaf))) + 4)
     placed = vectors.select("k", "label", "dim", "v").mapInArrow(_projections(s, levels), "k long, label int, dim int, p array<array<float>>")
@@ -101,10 +102,8 @@ def leaves(scratch: Scratch, vectors: DataFrame, s: Settings) -> Kept:
         now.drop()
         stats.drop()
         now = after
-    # What a direction could not part (vectors along one line) is dealt out by hash; components are compared whole later.
     size = scratch.keep(now.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * s.leaf), "oversize").df
-    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / s.leaf))).otherwise(F.lit(0).cast("long"))
-    out = scratch.keep(now.df.drop("p").join(size, keys, "left").select(*keys, part.alias("part"), "k"), "leaves")
+    out = scratch.keep(now.df.drop("p").join(size, keys, "left").select(*keys, "n", "k"), "leaves")
     now.drop()
     return out
 
@@ -119,6 +118,40 @@ def _leaf_links(s: Settings):
     return run
 
 
+def _unit(v: str) -> Column:
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(v, lambda x: x / norm)
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+
+def _tight(unit: DataFrame, keys: list[str], s: Settings) -> DataFrame:
+    """(keys, tight): whether all unit vectors u of a group lie within half the threshold's angle of their centre, so that any two link."""
+    centre = unit.select(*keys, F.posexplode("u").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x")).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("c"))
+    near = unit.join(centre, keys).select(*keys, (_dot("u", "c") / F.sqrt(_dot("c", "c"))).alias("cos")).groupBy(*keys).agg(F.min("cos").alias("least"))
+    half = math.cos(math.acos(s.cosine) / 2) + 1e-9
+    return near.select(*keys, F.coalesce(F.col("least") >= half, F.lit(False)).alias("tight"))
+
+
+def leaf_edges(scratch: Scratch, placed: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): links that connect what links inside each leaf of ``placed``; ``vectors`` has k and v."""
+    keys, links = ["label", "dim", "tree", "node"], "a long, b long"
+    edges = placed.where("n is null").join(vectors, "k").groupBy(*keys).applyInPandas(_leaf_links(s), links)
+    if placed.where("n is not null").isEmpty():
+        return edges
+    large = scratch.keep(placed.where("n is not null").join(vectors, "k").select(*keys, "n", "k", "v"), "unparted").df
+    judged = scratch.keep(_tight(large.select(*keys, _unit("v").alias("u")), keys, s), "unparted-tight").df
+    tight = large.join(judged.where("tight"), keys)
+    star = tight.select(*keys, "k").join(tight.groupBy(*keys).agg(F.min("k").alias("a")), keys).where("k <> a").select("a", F.col("k").alias("b"))
+    count = F.ceil(F.col("n") / s.leaf)
+    loose = large.join(judged.where("not tight"), keys).withColumn("own", F.pmod(F.xxhash64("k"), count)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    paired = loose.select(*keys, "k", "v", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
+    return edges.unionByName(star).unionByName(paired.groupBy(*keys, "i", "j").applyInPandas(_leaf_links(s), links))
+
+
 def _count_small(s: Settings):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -154,15 +187,7 @@ def link_counts(scratch: Scratch, members: DataFrame, s: Settings) -> DataFrame:
     if (totals.most or 0) <= s.block:
         return counted
     large = scratch.keep(members.join(sized.where(F.col("size") > s.block), "component"), "large").df
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = large.select("k", "component", "total", "many", F.transform("v", lambda x: x / norm).alias("u"))
-    centre = unit.select("component", F.posexplode("u").alias("i", "x")).groupBy("component", "i").agg(F.avg("x").alias("x")).groupBy("component").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("c"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    near = unit.join(centre, "component").select("component", (dot("u", "c") / F.sqrt(dot("c", "c"))).alias("cos")).groupBy("component").agg(F.min("cos").alias("least"))
-    # Within half the threshold's angle of one direction any two vectors link.
-    half = math.cos(math.acos(s.cosine) / 2) + 1e-9
-    judged = scratch.keep(near.select("component", (F.col("least") >= half).alias("tight")), "tight").df
+    judged = scratch.keep(_tight(large.select("component", _unit("v").alias("u")), ["component"], s), "tight").df
     tight = large.join(judged.where("tight"), "component").select("k", (F.col("total") - F.col("many")).alias("n"))
     count = F.ceil(F.col("size") / s.block)
     loose = large.join(judged.where("not tight"), "component").withColumn("own", F.pmod(F.xxhash64("k"), count)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
@@ -184,8 +209,7 @@ def near_vectors(embeddings: DataFrame, settings: Settings = Settings()) -> Data
         rows.where("usable").groupBy(*same).agg(F.min(F.coalesce("vec_id", F.lit(LAST))).alias("id"), F.count(F.lit(1)).alias("many"), F.first("v").alias("v"))
         .withColumns({"k": F.monotonically_increasing_id(), "dim": F.size("v")}), "nodes").df
     placed = leaves(scratch, nodes, s)
-    edges = placed.df.join(nodes.select("k", "v"), "k").groupBy("label", "dim", "tree", "node", "part").applyInPandas(_leaf_links(s), "a long, b long")
-    found = components(scratch, edges)
+    found = components(scratch, leaf_edges(scratch, placed.df, nodes.select("k", "v"), s))
     placed.drop()
     members = scratch.keep(nodes.join(found.df.withColumnRenamed("id", "node_id"), F.col("k") == F.col("node_id")).select("k", "component", "many", "v", "id"), "members").df
     counts = link_counts(scratch, members.select("k", "component", "many", "v"), s)

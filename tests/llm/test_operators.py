@@ -509,6 +509,22 @@ def test_forest(spark, noise):
     assert collected(forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))) == []
 
 
+def test_forest_links_what_no_direction_parts(spark):
+    """Scaled copies beyond two leaves are one component; so are two directions that every tree leaves together."""
+    v = np.random.default_rng(5).standard_normal(16)
+    rows = [(i, (v * (i + 1)).tolist(), 1) for i in range(700)]
+    got = {r[0]: r[1:] for r in collected(forest.near_vectors(table(spark, rows, "vec_id long, embedding array<double>, label int")))}
+    assert got == {i: (699, 0, i == 0) for i in range(700)}
+    x = np.random.default_rng(6).standard_normal((90, 4))
+    placed = spark.createDataFrame([(1, 4, 0, 1, 90, k) for k in range(90)], "label int, dim int, tree int, node long, n long, k long")
+    near = spark.createDataFrame([(k, w.tolist()) for k, w in enumerate(x)], "k long, v array<double>")
+    s, root = forest.Settings(leaf=16), list(range(90))
+    scratch = forest.Scratch(spark, "test")
+    found = {r.id: r.component for r in forest.components(scratch, forest.leaf_edges(scratch, placed, near, s)).df.collect()}
+    want = forest.roots(forest.cosines(x, x) >= s.cosine).tolist()
+    assert [found.get(k, k) for k in root] == want and len(set(want)) < 90
+
+
 # ---- pipeline
 
 
