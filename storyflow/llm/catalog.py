@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from storyflow.llm import bpe, decontamination, forest, licenses, line_dedup, ngram_jaccard, recompression, sharding, toxicity, warc
+from storyflow.llm import bpe, decontamination, forest, language, licenses, line_dedup, ngram_jaccard, periodic, recompression, resampling, sharding, toxicity, warc
 from storyflow.llm.common import table
 from storyflow.llm.queries import query
 
@@ -57,3 +57,18 @@ def op8_line_dedup(spark, folder):
 @query("op3_decontamination")
 def op3_decontamination(spark, folder):
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_language")
+def op11_language(spark, folder):
+    return language.languages(table(spark, folder, "documents"))
+
+
+@query("op12_resampling")
+def op12_resampling(spark, folder):
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, folder):
+    return periodic.periodic_runs(table(spark, folder, "documents"))
