@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyflow.llm.common import mix, per_batch, ready, text_chunks
-from storyflow.session import bounded
 
 UNKNOWN = "und"
 GAP = 32
@@ -149,7 +148,10 @@ def prototypes(texts: DataFrame, settings: Settings = Settings()) -> tuple[list[
     texts = texts.where("lang is not null and text is not null").select("text", "lang")
     partial = texts.mapInArrow(learn, "lang string, v array<bigint>")
     total = partial.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    rows = bounded(total, s.max_languages * s.dimensions, "the table of prototypes").toPandas()
+    most = s.max_languages * s.dimensions
+    rows = total.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {s.max_languages} languages")
     names = sorted(rows["lang"].unique())
     place = {name: i for i, name in enumerate(names)}
     out = np.zeros((len(names), s.dimensions))
