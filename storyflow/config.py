@@ -34,8 +34,13 @@ class EngineConfig:
     # Token matches one clustering step may enumerate, per core of the session, before the rank
     # range is split (see operators/cluster.py).
     pair_budget_per_core: int = 8_000_000
-    # Rows per side of one vector comparison block (see operators/similarity.py).
+    # Vector joins (see operators/vectors.py): rows per side of one comparison block, largest right side that is sent to tasks
+    # whole, bound on an index's pivots, "exact" or "bands", and the share of pairs at the threshold that bands of signs find.
     vector_block: int = 4096
+    vector_broadcast_mb: int = 16
+    vector_pivot_mb: int = 64
+    vector_mode: str = "exact"
+    vector_recall: float = 0.99
 
 
 DEFAULT = EngineConfig()

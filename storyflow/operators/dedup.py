@@ -11,7 +11,7 @@ from storyflow.functions.dates import hours_before
 from storyflow.functions.text import (
     content_fingerprint, entity_fingerprint, normalize_url, title_fingerprint, url_dedup_key,
 )
-from storyflow.operators.similarity import cosine_join
+from storyflow.operators.vectors import cosine_join
 from storyflow.session import materialize
 
 HASH_LAYERS = ("url", "title_hash", "content_hash")

@@ -1,32 +1,19 @@
-"""Set and vector similarity joins.
+"""Similarity joins of token sets by prefix filter.
 
-Title sets: a prefix-filter join. Tokens are ordered rarest first; two sets of sizes
-n <= m reach Jaccard t only when they share at least ceil(t/(1+t)*(n+m)) tokens, so each
-must expose a shared token early in that order. Candidates meet on one token, are
-pruned by size and position while joining, counted per pair, and verified exactly.
-
-Vectors: unit vectors are assigned to their nearest pivot. The triangle inequality tells
-which cells can hold a neighbour within the threshold, so only those cells are visited;
-cells are cut into blocks of bounded size, whatever share of the data they hold.
+Tokens are ordered rarest first; two sets of sizes n <= m reach Jaccard t only when they
+share at least ceil(t/(1+t)*(n+m)) tokens, so each must expose a shared token early in that
+order. Candidates meet on one token, are pruned by size and position while joining, counted
+per pair, and verified exactly.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyflow.config import DEFAULT, EngineConfig
-from storyflow.session import materialize
-
 _EPS = 1e-9
 
 
-# ---------------------------------------------------------------- token sets
-
 def order_tokens(sets: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
     """``(rank, tok)`` -> ``(rank, tok, sorted)`` with tokens rarest first.
 
@@ -136,127 +123,3 @@ def cross_pairs(left: DataFrame, right: DataFrame, t: float, condition: Column |
     condition = F.lit(True) if condition is None else condition
     cand = _prune(_meet(prefix_rows(left, t, False), prefix_rows(right, t, False), t, condition), t)
     return _verify(cand, left, right, t)
-
-
-# ---------------------------------------------------------------- vectors
-
-def _unit(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    norm = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return (
-        df.filter(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0))
-        .select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), norm.alias("norm"))
-        .filter(F.col("norm") > 0)
-        .select("id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("u"))
-    )
-
-
-def _pick_pivots(units: DataFrame, k: int) -> np.ndarray:
-    """k vectors spread by hash; the driver sees k rows, whatever the input size."""
-    rows = units.select("u").orderBy(F.xxhash64("id"), "id").limit(k).collect()
-    return np.unique(np.array([r["u"] for r in rows], dtype=np.float64), axis=0) if rows else np.zeros((0, 1))
-
-
-def cosine_join(left: DataFrame, right: DataFrame, threshold: float, cfg: EngineConfig = DEFAULT,
-                pivots: int = 32, best_only: bool = True) -> DataFrame:
-    """``left(id, v)`` x ``right(id, v)`` with cosine >= threshold, exactly.
-
-    Returns ``(left_id, right_id, score)``: every pair, or with ``best_only`` the best right
-    row per left row (highest score to 6 digits, then smallest id). Equal vectors are
-    compared once and expanded afterwards (``best_only`` keeps the smallest id), so a
-    large group of copies costs one comparison.
-    """
-    # Both sides feed several steps; stored once, the plans above them run once.
-    lu_all, ru_all = materialize(_unit(left, "id", "v"), "left"), materialize(_unit(right, "id", "v"), "right")
-    lu = lu_all.groupBy("u").agg(F.min("id").alias("id"))
-    ru = ru_all.groupBy("u").agg(F.min("id").alias("id"))
-    piv = _pick_pivots(ru, pivots)
-    lid, rid = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    spark = left.sparkSession
-    if len(piv) == 0:
-        return spark.createDataFrame([], f"left_id {lid}, right_id {rid}, score double")
-    # Distance below which a pair can reach the threshold.
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
-
-    def distances(vectors: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * vectors @ piv.T))
-
-    def assign(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = distances(np.stack(pdf["u"].to_numpy()))
-                cell = d.argmin(axis=1)
-                yield pd.DataFrame({"id": pdf["id"], "u": pdf["u"], "cell": cell.astype("int32"),
-                                    "dist": d[np.arange(len(cell)), cell]})
-
-    cells = materialize(ru.mapInPandas(assign, f"id {rid}, u array<double>, cell int, dist double"), "cells")
-    # One row per pivot reaches the driver: its radius range and size.
-    stats = {r["cell"]: r for r in cells.groupBy("cell").agg(
-        F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")).collect()}
-    every = range(len(piv))
-    lo = np.array([stats[c]["lo"] if c in stats else np.inf for c in every])
-    hi = np.array([stats[c]["hi"] if c in stats else -np.inf for c in every])
-    piv_gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * piv @ piv.T))
-
-    def route(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = distances(np.stack(pdf["u"].to_numpy()))
-            ok = (d >= lo - radius) & (d <= hi + radius)
-            # A point of cell i is nearer to pivot i than to pivot j: bound by the bisector.
-            near = d.argmin(axis=1)
-            gap = piv_gap[near]
-            margin = (d**2 - d[np.arange(len(d)), near][:, None] ** 2) / np.where(gap > 0, 2 * gap, np.inf)
-            row, cell = np.nonzero(ok & (margin <= radius))
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "u": pdf["u"].to_numpy()[row], "cell": cell.astype("int32")})
-
-    routed = materialize(lu.mapInPandas(route, f"id {lid}, u array<double>, cell int"), "routed")
-    wanted = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-
-    # A cell holding many vectors is cut into blocks, its queries into slices, both of bounded
-    # size; every slice meets every block. The counts per cell are literals (one per pivot).
-    def parts(counts: dict) -> Column:
-        return F.element_at(F.array(*[F.lit(max(1, -(-int(counts.get(c, 0)) // cfg.vector_block))) for c in every]), F.col("cell") + 1)
-
-    blocks, slices = parts({c: r["n"] for c, r in stats.items()}), parts(wanted)
-    span = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    part = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
-    lb = routed.select("id", "u", "cell", part(slices).alias("slice"), span(blocks).alias("block"))
-    rb = cells.select("id", "u", "cell", part(blocks).alias("block"), span(slices).alias("slice"))
-
-    def compare(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if not len(lp) or not len(rp):
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
-        rp = rp.sort_values("id", kind="stable").reset_index(drop=True)
-        a, b = np.stack(lp["u"].to_numpy()), np.stack(rp["u"].to_numpy())
-        out = []
-        step = max(1, 4_000_000 // len(rp))
-        for i in range(0, len(lp), step):
-            s = np.round(a[i:i + step] @ b.T, 6)
-            if best_only:
-                j = s.argmax(axis=1)
-                keep = s[np.arange(len(s)), j] >= threshold
-                rows, cols = np.nonzero(keep)[0], j[keep]
-            else:
-                rows, cols = np.nonzero(s >= threshold)
-            out.append(pd.DataFrame({"left_id": lp["id"].to_numpy()[i + rows],
-                                     "right_id": rp["id"].to_numpy()[cols], "score": s[rows, cols]}))
-        return pd.concat(out, ignore_index=True)
-
-    keys = ["cell", "block", "slice"]
-    found = lb.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInPandas(
-        compare, f"left_id {lid}, right_id {rid}, score double")
-    if best_only:
-        # Smallest id among equal best scores, whatever block it came from.
-        found = found.groupBy("left_id").agg(
-            F.min_by(F.struct("right_id", "score"), F.struct(-F.col("score"), F.col("right_id"))).alias("m")
-        ).select("left_id", "m.*")
-    else:
-        found = _expand(found, ru, ru_all, "right_id")
-    return _expand(found, lu, lu_all, "left_id")
-
-
-def _expand(found: DataFrame, reps: DataFrame, rows: DataFrame, col: str) -> DataFrame:
-    """Replace a representative id by every id that carries the same vector."""
-    members = reps.select(F.col("id").alias(col), "u").join(rows.select("u", F.col("id").alias("_m")), "u").select(col, "_m")
-    return found.join(members, col).drop(col).withColumnRenamed("_m", col).select("left_id", "right_id", "score")

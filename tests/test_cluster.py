@@ -1,16 +1,13 @@
 """Clustering, similarity joins and components against brute force."""
 
 import random
-from dataclasses import replace
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyflow.config import DEFAULT
 from storyflow.operators import cluster as CL
 from storyflow.operators import dedup as DD
-from storyflow.operators.similarity import cosine_join, cross_pairs, order_tokens, self_pairs
+from storyflow.operators.similarity import cross_pairs, order_tokens, self_pairs
 
 NOW = "2024-01-31 00:00:00"
 
@@ -90,30 +87,6 @@ def test_pairs(spark, t):
     assert {(r.a, r.b) for r in cross_pairs(df, df, t, F.col("x.rank") < F.col("y.rank")).collect()} == want
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-@pytest.mark.parametrize("best", [True, False])
-def test_cosine_join(spark, block, best):
-    rng = np.random.default_rng(5)
-    centers = rng.normal(size=(6, 8))
-    left = [(i, (centers[i % 6] + 0.3 * rng.normal(size=8)).tolist()) for i in range(60)]
-    right = [(1000 + i, (centers[i % 6] + 0.3 * rng.normal(size=8)).tolist()) for i in range(90)]
-    right += [(2000 + i, right[0][1]) for i in range(40)] + [(3000, [0.0] * 8)]  # copies and a zero vector
-    left += [(500, right[0][1])]
-    mk = lambda rows: spark.createDataFrame(rows, "id long, v array<double>")
-    got = cosine_join(mk(left), mk(right), 0.9, replace(DEFAULT, vector_block=block), pivots=5, best_only=best).collect()
-    want = {}
-    for i, v in left:
-        for j, u in right:
-            nv, nu = np.linalg.norm(v), np.linalg.norm(u)
-            s = round(float(np.dot(v, u) / (nv * nu)), 6) if nv and nu else 0.0
-            if s >= 0.9:
-                want.setdefault(i, []).append((-s, j))
-    if best:
-        assert {r.left_id: r.right_id for r in got} == {i: min(c)[1] for i, c in want.items()}
-    else:
-        assert {(r.left_id, r.right_id) for r in got} == {(i, j) for i, c in want.items() for _, j in c}
-
-
 def test_components_of_a_long_chain(spark):
     rows = [(i, f"k{i}") for i in range(40)] + [(i + 1, f"k{i}") for i in range(39)] + [(100, "z"), (101, "z")]
     got = {r.id: r.label for r in DD.components(spark.createDataFrame(rows, "id long, key string")).collect()}
