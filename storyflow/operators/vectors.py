@@ -176,7 +176,7 @@ def _small_search(left: DataFrame, right: pd.DataFrame, types: str, threshold: f
 def band_plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """(signs in a band, tables) with which a pair at the threshold meets with probability ``recall``."""
     agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    bits = min(48, max(6, math.ceil(math.log2(max(n, 2)))))
+    bits = min(48, max(6, math.ceil(math.log2(max(n, 2))) + 2))
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits))))
 
 
