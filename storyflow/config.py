@@ -15,7 +15,6 @@ class EngineConfig:
     brief_hard_max: int = 20
     brief_tag_share: float = 0.35
     brief_serendipity: int = 2
-    brief_pool: int = 200
     major_trend: float = 85.0
     half_life_days: float = 14.0
     telemetry_days: int = 180
@@ -34,6 +33,8 @@ class EngineConfig:
     # Token matches one clustering step may enumerate, per core of the session, before the rank
     # range is split (see operators/cluster.py).
     pair_budget_per_core: int = 8_000_000
+    # Largest day's pool that tasks hold as an index (see operators/briefs.py).
+    pool_mb: int = 256
     # Vector joins (see operators/vectors.py): rows per side of one comparison block, largest right side that is sent to tasks
     # whole, bound on an index's pivots, "exact" or "bands", and the share of pairs at the threshold that bands of signs find.
     vector_block: int = 4096

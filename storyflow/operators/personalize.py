@@ -1,14 +1,10 @@
-"""Reader profiles, personalised scores and daily briefs.
+"""Reader profiles and personalised scores.
 
-Profiles are sparse ``(user, term, weight)`` rows and meet articles on the term. The brief
-pool is the day's top articles (a fixed number), so per-user work is bounded by the
-pool; the pool and the non-zero affinities are all that reaches the selection step."""
+Profiles are sparse ``(user, term, weight)`` rows and meet articles on the term. Articles without
+a common term have one default score for all readers, which is kept once; users x articles is never built."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,21 +13,20 @@ from storyflow import constants as K
 from storyflow.config import DEFAULT, EngineConfig
 from storyflow.functions.dates import exponential_freshness, start_of_day, ts
 from storyflow.functions.text import hash_bucket, normalize_term, py_round
-from storyflow.session import bounded
 
 _SCALARS = ["category", "subcategory", "event_type"]
 _ARRAYS = ["tags", "keywords", "companies", "products_mentioned", "technologies_mentioned",
            "models_mentioned", "programming_languages"]
 
 
-def _strings() -> Column:
+def strings() -> Column:
     return F.array().cast("array<string>")
 
 
 def _field(df: DataFrame, name: str, array: bool = False) -> Column:
     if name not in df.columns:
-        return _strings() if array else F.lit(None).cast("string")
-    return F.coalesce(F.col(name), _strings()) if array else F.col(name)
+        return strings() if array else F.lit(None).cast("string")
+    return F.coalesce(F.col(name), strings()) if array else F.col(name)
 
 
 def with_tags(df: DataFrame) -> DataFrame:
@@ -55,13 +50,13 @@ def explicit_affinity(preferences: DataFrame, profiles: DataFrame | None = None)
         x for k, v in K.TOPIC_EXPANSIONS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
 
     def rows(c: str, weight: float) -> Column:
-        return F.transform(F.coalesce(F.col(c), _strings()),
+        return F.transform(F.coalesce(F.col(c), strings()),
                            lambda t: F.struct(normalize_term(t).alias("term"), F.lit(weight).alias("weight")))
 
     expanded = F.flatten(F.transform(
-        F.coalesce("favorite_topics", _strings()),
+        F.coalesce("favorite_topics", strings()),
         lambda t: F.transform(
-            F.coalesce(F.try_element_at(expansions, normalize_term(t)), _strings()),
+            F.coalesce(F.try_element_at(expansions, normalize_term(t)), strings()),
             lambda e: F.struct(e.alias("term"), F.lit(w["topic"] * K.EXPANSION_FACTOR).alias("weight")))))
     out = preferences.select("user_id", F.explode(F.concat(
         rows("favorite_categories", w["category"]), rows("favorite_companies", w["company"]),
@@ -93,12 +88,12 @@ def affinity_vectors(*parts: DataFrame) -> DataFrame:
 
 def brief_pool(articles: DataFrame, analyses: DataFrame, as_of, cfg: EngineConfig = DEFAULT,
                limit: int | None = None) -> DataFrame:
-    """Today's verified, processed, unique, trusted articles: the best ``cfg.brief_pool``."""
+    """Today's verified, processed, unique, trusted articles: all of them, or the best ``limit``."""
     today = articles.filter(
         F.col("is_verified") & F.col("ai_processed") & ~F.col("is_duplicate")
         & (F.col("trust_score") >= cfg.min_trust) & F.col("created_at").between(start_of_day(as_of), ts(as_of)))
-    return (today.join(analyses, "article_id", "left")
-            .orderBy(F.desc("priority_score"), F.desc("final_score"), "article_id").limit(limit or cfg.brief_pool))
+    pool = today.join(analyses, "article_id", "left")
+    return pool if limit is None else pool.orderBy(F.desc("priority_score"), F.desc("final_score"), "article_id").limit(limit)
 
 
 def with_quality(df: DataFrame, as_of) -> DataFrame:
@@ -111,8 +106,7 @@ def with_quality(df: DataFrame, as_of) -> DataFrame:
 
 
 def pool_affinity(vectors: DataFrame, pool: DataFrame) -> DataFrame:
-    """Non-zero ``(user_id, article_id, affinity)``. The pool (checked to be small) bounds how many
-    articles a term meets; its term list is sized by Spark, not hinted."""
+    """Non-zero ``(user_id, article_id, affinity)``, from the join on the term."""
     terms = pool.select("article_id", F.explode("tag_set").alias("term"))
     return (
         vectors.join(terms, "term").groupBy("user_id", "article_id").agg(F.sum("weight").alias("s"))
@@ -120,21 +114,24 @@ def pool_affinity(vectors: DataFrame, pool: DataFrame) -> DataFrame:
     )
 
 
-def blocked_pairs(preferences: DataFrame, pool: DataFrame) -> DataFrame:
-    """``(user_id, article_id)`` where a blocked topic equals a tag or occurs in the title.
+def blocked_hits(topics: DataFrame, pool: DataFrame) -> DataFrame:
+    """``(term, article_id)`` where a topic (distinct ``term``) equals a tag or occurs in the title.
+
+    Topics meet titles on their first letters (three at most), so neither side is sent whole."""
+    title = normalize_term(F.col("title"))
+    grams = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (g - 1), F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(g)))
+    heads = topics.withColumn("head", F.substring("term", 1, 3))
+    shown = pool.select("article_id", title.alias("t")).select("article_id", "t", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[grams(g) for g in (1, 2, 3)]))).alias("head"))
+    inside = heads.join(shown, "head").filter(F.contains(F.col("t"), F.col("term"))).select("term", "article_id")
+    tagged = topics.join(pool.select("article_id", F.explode("tag_set").alias("term")), "term").select("term", "article_id")
+    return inside.unionByName(tagged).distinct()
 
-    Distinct blocked topics meet the pool once, as one short array."""
-    entry = F.struct("article_id", normalize_term(F.col("title")).alias("title"), "tag_set")
-    short = pool.agg(F.collect_list(entry).alias("pool")).withColumn("_k", F.lit(1))
+
+def blocked_pairs(preferences: DataFrame, pool: DataFrame) -> DataFrame:
+    """``(user_id, article_id)`` where a blocked topic equals a tag or occurs in the title."""
     wants = preferences.select("user_id", F.explode("blocked_topics").alias("b")).select(
         "user_id", normalize_term(F.col("b")).alias("term"))
-    hits = (
-        wants.select("term").distinct().withColumn("_k", F.lit(1)).join(F.broadcast(short), "_k")
-        .select("term", F.explode(F.filter(
-            "pool", lambda p: F.array_contains(p["tag_set"], F.col("term")) | F.contains(p["title"], F.col("term")))).alias("p"))
-        .select("term", "p.article_id")
-    )
-    return wants.join(hits, "term").select("user_id", "article_id").distinct()
+    return wants.join(blocked_hits(wants.select("term").distinct(), pool), "term").select("user_id", "article_id").distinct()
 
 
 def score_columns(cfg: EngineConfig = DEFAULT) -> dict[str, Column]:
@@ -150,24 +147,21 @@ def score_columns(cfg: EngineConfig = DEFAULT) -> dict[str, Column]:
     }
 
 
-def score_pool(users: DataFrame, pool: DataFrame, vectors: DataFrame, preferences: DataFrame, as_of,
-               cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Score of every unblocked pool article for every user. ``pool`` carries tags.
+def default_scores(pool: DataFrame, as_of, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Scores of the pool's articles for a reader without a common term; ``user_id`` is added by the caller."""
+    return with_quality(pool, as_of).withColumn("affinity", F.lit(0.0)).withColumns(score_columns(cfg))
 
-    The pool travels as one array of at most ``cfg.brief_pool`` entries."""
-    pool = bounded(pool, cfg.brief_pool, "the brief pool")
-    q = with_quality(pool, as_of)
-    short = q.agg(F.collect_list(F.struct("article_id", "quality_raw", "base_trend", "primary_tag")).alias("pool")
-                  ).withColumn("_k", F.lit(1))
-    rows = (
-        users.select("user_id").withColumn("_k", F.lit(1)).join(F.broadcast(short), "_k")
-        .select("user_id", F.explode("pool").alias("p")).select("user_id", "p.*")
-    )
+
+def score_pairs(users: DataFrame, pool: DataFrame, vectors: DataFrame, preferences: DataFrame, as_of,
+                cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Scores of unblocked articles for the users who share a term with them. ``pool`` carries tags."""
+    topics = preferences.select("user_id", F.transform(F.coalesce("blocked_topics", strings()), normalize_term).alias("_topics"))
+    pairs = pool_affinity(vectors.join(users.select("user_id"), "user_id", "left_semi"), pool).filter("affinity > 0")
+    title = normalize_term(F.col("title"))
+    blocked = F.exists("_topics", lambda b: F.array_contains(F.col("tag_set"), b) | F.contains(title, b))
     return (
-        rows.join(blocked_pairs(preferences, pool), ["user_id", "article_id"], "left_anti")
-        .join(pool_affinity(vectors, pool), ["user_id", "article_id"], "left")
-        .withColumn("affinity", F.coalesce("affinity", F.lit(0.0)))
-        .withColumns(score_columns(cfg))
+        pairs.join(with_quality(pool, as_of), "article_id").join(topics, "user_id", "left")
+        .filter(~F.coalesce(blocked, F.lit(False))).drop("_topics").withColumns(score_columns(cfg))
     )
 
 
@@ -176,216 +170,27 @@ def eligible(scored: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
                          | (F.col("base_trend_score") >= cfg.major_trend))
 
 
-def brief_targets(scored: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Per user: eligible count, brief size and how many picks one tag may take."""
+def brief_targets(users: DataFrame, pool: DataFrame, vectors: DataFrame, preferences: DataFrame, as_of,
+                  cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Per user: eligible count, brief size and how many picks one tag may take.
+
+    Affinity only raises a score, so a user's count is that of the default scores, less blocked
+    articles, plus those that only the own affinity lifts over the bar."""
+    shared = eligible(default_scores(pool, as_of, cfg), cfg).select("article_id")
+    lost = blocked_pairs(preferences, pool.join(shared, "article_id", "left_semi")).groupBy("user_id").agg(F.count("*").alias("lost"))
+    won = (eligible(score_pairs(users, pool, vectors, preferences, as_of, cfg), cfg).join(shared, "article_id", "left_anti")
+           .groupBy("user_id").agg(F.count("*").alias("won")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     n = F.col("eligible")
     target = F.when(n > cfg.brief_soft_max, F.least(n, F.lit(cfg.brief_hard_max))).otherwise(n)
     return (
-        eligible(scored, cfg).groupBy("user_id").agg(F.count("*").alias("eligible"))
+        users.select("user_id").join(lost, "user_id", "left").join(won, "user_id", "left")
+        .select("user_id", (F.lit(shared.count()) - zero("lost") + zero("won")).alias("eligible")).filter("eligible > 0")
         .withColumn("target", target)
         .withColumn("tag_quota", F.greatest(F.lit(1), F.ceil(F.col("target") * F.lit(cfg.brief_tag_share)).cast("int")))
     )
 
 
-def serendipity_slots(user_id: Column, day: str, cfg: EngineConfig = DEFAULT) -> Column:
-    seed = F.concat(user_id.cast("string"), F.lit(f":{day}"))
-    return F.when(hash_bucket(seed, 3) == 0, max(1, cfg.brief_serendipity - 1)).otherwise(cfg.brief_serendipity)
-
-
-def serendipity(scored: DataFrame, vectors: DataFrame, day: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Best-quality eligible articles whose primary tag the user has never shown interest in."""
-    known = vectors.select("user_id", F.col("term").alias("primary_tag"))
-    open_rows = eligible(scored, cfg).filter(F.col("quality_score") >= cfg.brief_quality).join(
-        known, ["user_id", "primary_tag"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy(
-        F.desc("quality_score"), F.desc("base_trend_score"), F.desc("personalized_score"), "article_id")
-    return (
-        open_rows.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= cfg.brief_serendipity)
-        .filter(F.col("pos") <= serendipity_slots(F.col("user_id"), day, cfg))
-    )
-
-
-# -------------------------------------------------------------- selection (bounded, per user)
-
-def overlap_matrix(tag_sets: list) -> np.ndarray:
-    sets = [set(t) for t in tag_sets]
-    n = len(sets)
-    out = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1, n):
-            if sets[i] and sets[j]:
-                out[i, j] = out[j, i] = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-    return out
-
-
-def pick_brief(ids, score, quality, trend, tags, overlap, known: set, slots: int,
-               cfg: EngineConfig = DEFAULT) -> list[tuple[int, bool]]:
-    """Choose and order a brief among at most a pool of candidates.
-
-    Greedy: relevance minus overlap with what is chosen, plus a bonus for a tag not yet
-    present, under a per-tag quota; surprise picks are held back and appended. Returns
-    ``(candidate position, is_serendipity)`` in brief order."""
-    ok = np.flatnonzero((score >= cfg.brief_quality) | (trend >= cfg.major_trend))
-    ok = sorted(ok, key=lambda i: (-score[i], ids[i]))
-    if not ok:
-        return []
-    target = min(len(ok), cfg.brief_hard_max) if len(ok) > cfg.brief_soft_max else len(ok)
-    quota = max(1, math.ceil(target * cfg.brief_tag_share))
-    novel = sorted((i for i in ok if tags[i] not in known and quality[i] >= cfg.brief_quality),
-                   key=lambda i: (-quality[i], -trend[i], -score[i], ids[i]))[:slots]
-    order = np.array(ok)  # best score first, so argmax takes the earliest of equal gains
-    tag_of = np.unique(np.array([tags[i] for i in ok]), return_inverse=True)[1]
-    used = np.zeros(tag_of.max() + 1, int)
-    free = ~np.isin(order, novel)
-    base, worst = score[order] * 0.86, np.zeros(len(order))
-    near = overlap[np.ix_(order, order)]
-    chosen: list[int] = []
-    while len(chosen) < max(0, target - len(novel)):
-        can = free & (used[tag_of] < quota)
-        if not can.any():
-            break
-        gain = np.where(can, base - worst * 22.0 + np.where(used[tag_of] == 0, 4.0, 0.0), -np.inf)
-        best = int(np.argmax(gain))
-        chosen.append(int(order[best]))
-        free[best] = False
-        used[tag_of[best]] += 1
-        worst = np.maximum(worst, near[best])
-    used = {tags[order[k]]: int(used[tag_of[k]]) for k in range(len(order))}
-    out = [(i, False) for i in chosen]
-    for i in novel:
-        if len(out) >= target:
-            break
-        if used.get(tags[i], 0) < quota:
-            out.append((i, True))
-            used[tags[i]] = used.get(tags[i], 0) + 1
-    return sorted(out, key=lambda p: (p[1], -score[p[0]], -trend[p[0]]))
-
-
-_PICKS = "article_id {id}, pos int, is_serendipity boolean, personalized_score double, affinity double, primary_tag string"
-
-
-def _frame(user, picks, ids, score, affinity, tags) -> pd.DataFrame:
-    pos = [p for p, _ in picks]
-    return pd.DataFrame({
-        "user_id": [user] * len(pos), "article_id": [ids[p] for p in pos], "pos": range(1, len(pos) + 1),
-        "is_serendipity": [s for _, s in picks], "personalized_score": [float(score[p]) for p in pos],
-        "affinity": [float(affinity[p]) for p in pos], "primary_tag": [tags[p] for p in pos]})
-
-
-def select_briefs(users: DataFrame, pool: DataFrame, vectors: DataFrame, preferences: DataFrame, as_of, day: str,
-                  cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Brief picks of all users in one plan: ``(user_id, article_id, pos, ...)``.
-
-    Only the pool (at most ``cfg.brief_pool`` rows) is known to every task. Per user one row
-    arrives with its non-zero affinities, blocked pool articles and known pool tags, each
-    list bounded by the pool; scores of the zero-affinity articles follow from the pool."""
-    pool = bounded(pool, cfg.brief_pool, "the brief pool")
-    q = with_quality(pool, as_of).select("article_id", "quality_raw", "base_trend", "primary_tag", "tag_set")
-    rows = q.orderBy("article_id").collect()
-    ids = [r["article_id"] for r in rows]
-    at = {a: i for i, a in enumerate(ids)}
-    quality_raw = np.array([r["quality_raw"] for r in rows], dtype=float)
-    trend_raw = np.array([r["base_trend"] for r in rows], dtype=float)
-    tags = [r["primary_tag"] for r in rows]
-    overlap = overlap_matrix([r["tag_set"] for r in rows])
-
-    aff = pool_affinity(vectors, pool).groupBy("user_id").agg(
-        F.collect_list(F.struct("article_id", "affinity")).alias("aff"))
-    blk = blocked_pairs(preferences, pool).groupBy("user_id").agg(F.collect_list("article_id").alias("blocked"))
-    known = (
-        vectors.join(F.broadcast(pool.select(F.col("primary_tag").alias("term")).distinct()), "term", "left_semi")
-        .groupBy("user_id").agg(F.collect_set("term").alias("known"))
-    )
-    per_user = (
-        users.select("user_id", serendipity_slots(F.col("user_id"), day, cfg).alias("slots"))
-        .join(aff, "user_id", "left").join(blk, "user_id", "left").join(known, "user_id", "left")
-    )
-    # Few bytes but much work per row: a fixed partition count keeps adaptive coalescing from
-    # gathering all users into one task.
-    per_user = per_user.repartition(int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
-
-    def choose(batches):
-        r2 = lambda x: np.rint(x * 100.0) / 100.0
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                a = np.zeros(len(ids))
-                for e in (row.aff if row.aff is not None else []):
-                    a[at[e["article_id"]]] = e["affinity"]
-                raw = quality_raw * (0.70 + 0.30 * a) + 12.0 * a
-                raw = np.where(trend_raw >= cfg.major_trend, np.maximum(raw, trend_raw * 0.72), raw)
-                score, quality = r2(np.minimum(100.0, raw)), r2(np.minimum(100.0, quality_raw))
-                keep = np.ones(len(ids), bool)
-                for b in (row.blocked if row.blocked is not None else []):
-                    keep[at[b]] = False
-                trend = np.where(keep, r2(trend_raw), -1.0)
-                picks = pick_brief(ids, np.where(keep, score, -1.0), quality, trend, tags, overlap,
-                                   set(row.known) if row.known is not None else set(), int(row.slots), cfg)
-                out.append(_frame(row.user_id, picks, ids, score, a, tags))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    uid, aid = users.schema["user_id"].dataType.simpleString(), pool.schema["article_id"].dataType.simpleString()
-    return per_user.mapInPandas(choose, f"user_id {uid}, " + _PICKS.format(id=aid))
-
-
-def select_from_candidates(candidates: DataFrame, day: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The same choice where each user has an own short candidate list (a brief plus alerts).
-    Needs the scored columns, ``tag_set``, ``known`` (array of known tags) and ``affinity``."""
-    uid = candidates.schema["user_id"].dataType.simpleString()
-    aid = candidates.schema["article_id"].dataType.simpleString()
-    cols = ["user_id", "article_id", "personalized_score", "quality_score", "base_trend_score", "affinity",
-            "primary_tag", "tag_set", "known", serendipity_slots(F.col("user_id"), day, cfg).alias("slots")]
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("article_id").reset_index(drop=True)
-        ids, tags = list(pdf["article_id"]), list(pdf["primary_tag"])
-        score = pdf["personalized_score"].to_numpy(float)
-        picks = pick_brief(ids, score, pdf["quality_score"].to_numpy(float), pdf["base_trend_score"].to_numpy(float),
-                           tags, overlap_matrix(list(pdf["tag_set"])), set(pdf["known"].iloc[0]),
-                           int(pdf["slots"].iloc[0]), cfg)
-        return _frame(pdf["user_id"].iloc[0], picks, ids, score, pdf["affinity"].to_numpy(float), tags)
-
-    return candidates.select(*cols).groupBy("user_id").applyInPandas(
-        choose, f"user_id {uid}, " + _PICKS.format(id=aid))
-
-
-def brief_rows(picks: DataFrame, day: str) -> DataFrame:
-    """One brief per user: ordered ids (at most the brief size), count, mean affinity x 100."""
-    return picks.groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "article_id"))), lambda s: s["article_id"]).alias("article_ids"),
-        F.count("*").cast("int").alias("total_articles"),
-        py_round(F.avg("affinity") * 100.0, 2).alias("personalization_score"),
-    ).withColumn("brief_date", F.lit(day).cast("date")).withColumn("notification_sent", F.lit(False))
-
-
-def brief_run_counts(users: DataFrame, briefs: DataFrame) -> DataFrame:
-    made = briefs.select("user_id").withColumn("made", F.lit(True))
-    return users.filter("is_active").join(made, "user_id", "left").agg(
-        F.count_if(F.col("made")).alias("generated"), F.count_if(F.col("made").isNull()).alias("skipped"))
-
-
-def merge_breaking(briefs: DataFrame, delta: DataFrame, scored: DataFrame, vectors: DataFrame, day: str,
-                   cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Today's briefs united with alert articles (trend at or above the interrupt level); only
-    users whose list grows are chosen anew. ``scored``: rows of ``score_pool`` plus ``tag_set``
-    over brief and delta articles; a blocked article has no row there."""
-    strong = delta.filter(F.greatest("priority_score", "final_score") >= cfg.interrupt_priority).select("article_id")
-    mine = briefs.select("user_id", F.explode("article_ids").alias("article_id")).withColumn("own", F.lit(1))
-    hot = scored.join(strong, "article_id", "left_semi")
-    added = hot.join(mine, ["user_id", "article_id"], "left_anti")
-    grown = added.join(briefs.select("user_id"), "user_id", "left_semi").select("user_id").distinct()
-    both = (
-        scored.join(mine, ["user_id", "article_id"], "left_semi").join(grown, "user_id", "left_semi")
-        .unionByName(added.join(grown, "user_id", "left_semi"))
-    )
-    tags = both.select("user_id", "primary_tag").distinct()
-    known = (vectors.withColumnRenamed("term", "primary_tag").join(tags, ["user_id", "primary_tag"], "left_semi")
-             .groupBy("user_id").agg(F.collect_set("primary_tag").alias("known")))
-    ready = both.join(known, "user_id", "left").withColumn("known", F.coalesce("known", _strings()))
-    return select_from_candidates(ready, day, cfg)
-
-
 def diversity(picks: DataFrame) -> DataFrame:
     """Per user: tag entropy in bits, distinct tags, picks, surprise picks."""
     per_tag = picks.groupBy("user_id", "primary_tag").agg(
@@ -402,7 +207,7 @@ def diversity(picks: DataFrame) -> DataFrame:
 def seed_topics(job_title: Column, tech_stack: Column, onboarding: Column) -> Column:
     """Sign-up interests in given order without repeats."""
     return F.array_distinct(F.filter(
-        F.concat(F.array(job_title), F.coalesce(tech_stack, _strings()), F.coalesce(onboarding, _strings())),
+        F.concat(F.array(job_title), F.coalesce(tech_stack, strings()), F.coalesce(onboarding, strings())),
         lambda t: t.isNotNull() & (t != "")))
 
 
@@ -425,8 +230,8 @@ def suggestion_inputs(users: DataFrame, preferences: DataFrame, bookmarks: DataF
             .join(analyses, "article_id", "left"))
     context = news.agg(F.transform(F.array_sort(F.collect_list(F.struct(
         -F.col("final_score"), -F.unix_micros("created_at"), "article_id", "title",
-        F.coalesce("category", F.lit("General")).alias("category"), F.coalesce("companies", _strings()).alias("companies"),
-        F.coalesce("keywords", _strings()).alias("keywords")))),
+        F.coalesce("category", F.lit("General")).alias("category"), F.coalesce("companies", strings()).alias("companies"),
+        F.coalesce("keywords", strings()).alias("keywords")))),
         lambda s: F.struct(s["title"].alias("title"), s["category"].alias("category"),
                            s["companies"].alias("companies"), s["keywords"].alias("keywords"))).alias("recent_news")
     ).withColumn("_k", F.lit(1))
@@ -447,20 +252,54 @@ def suggestion_inputs(users: DataFrame, preferences: DataFrame, bookmarks: DataF
 
 def suggestion_context(inputs: DataFrame) -> DataFrame:
     profile = F.struct("favorite_categories", "favorite_companies", "favorite_topics",
-                       F.coalesce("bookmarked", _strings()).alias("bookmarked_articles"),
-                       F.coalesce("brief_titles", _strings()).alias("today_brief_articles"))
+                       F.coalesce("bookmarked", strings()).alias("bookmarked_articles"),
+                       F.coalesce("brief_titles", strings()).alias("today_brief_articles"))
     return inputs.select("user_id", F.to_json(F.struct(profile.alias("profile"), "recent_news")).alias("context"))
 
 
 # -------------------------------------------------------------- mentor pick
 
+def _best_mentor_articles(users: DataFrame, preferences: DataFrame, entries: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """``(user_id, article_id)``: each user's best unblocked article, if any reaches the bar.
+
+    Articles are read from the best base score down, until no further one can win even with both bonuses."""
+    size = entries.agg(F.sum(60 + F.size("keys") * 8 + F.size("companies") * 40).alias("bytes")).first()["bytes"] or 0
+    if size > cfg.pool_mb << 20:
+        raise ValueError(f"the pool of one day takes {size >> 20} MB, more than pool_mb = {cfg.pool_mb}; give brief_pool a limit")
+    rows = entries.select("article_id", "base", "category", "companies", "keys").orderBy(F.desc("base"), "article_id").collect()
+    pool = [(r["base"], r["article_id"], r["category"], set(r["companies"]) - {None}, set(r["keys"])) for r in rows]
+
+    def best(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                liked, firms, blocked = (set(x) - {None} for x in (row.favorite_categories, row.favorite_companies, row.blocked))
+                top = None
+                for base, article, category, companies, keys in pool:
+                    if base + 14.0 < (cfg.mentor_min if top is None else top[0]):
+                        break
+                    if blocked and not blocked.isdisjoint(keys):
+                        continue
+                    score = base + (8.0 if category in liked else 0.0) + (6.0 if not firms.isdisjoint(companies) else 0.0)
+                    if score >= cfg.mentor_min and (top is None or score > top[0] or (score == top[0] and article < top[1])):
+                        top = (score, article)
+                if top is not None:
+                    out.append((row.user_id, top[1]))
+            yield pd.DataFrame(out, columns=["user_id", "article_id"])
+
+    prefs = preferences.select(
+        "user_id", *[F.coalesce(c, strings()).alias(c) for c in ("favorite_categories", "favorite_companies")],
+        F.transform(F.coalesce("blocked_topics", strings()), lambda t: F.xxhash64(F.lower(t))).alias("blocked"))
+    empty = F.array().cast("array<bigint>")
+    readers = users.select("user_id").join(prefs, "user_id", "left").withColumns(
+        {c: F.coalesce(c, strings()) for c in ("favorite_categories", "favorite_companies")} | {"blocked": F.coalesce("blocked", empty)})
+    uid, aid = users.schema["user_id"].dataType.simpleString(), entries.schema["article_id"].dataType.simpleString()
+    return readers.mapInPandas(best, f"user_id {uid}, article_id {aid}")
+
+
 def mentor_picks(users: DataFrame, preferences: DataFrame, pool: DataFrame, day: str,
                  cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """One grounded suggestion per user from the pool, or a fixed fallback.
-
-    The pool is one array beside each user; the best entry is found by an array
-    expression, so nothing is exploded or shuffled per user and article."""
-    pool = bounded(pool, cfg.brief_pool, "the brief pool")
+    """One grounded suggestion per user from the pool, or a fixed fallback."""
     low = lambda c: F.lower(F.trim(c))
     meta_scalars = ["title", "description", "source_domain", "summary", "category", "subcategory", "event_type", "why_it_matters"]
     meta_arrays = ["tags", "keywords", "companies", "products_mentioned", "technologies_mentioned", "models_mentioned"]
@@ -478,28 +317,15 @@ def mentor_picks(users: DataFrame, preferences: DataFrame, pool: DataFrame, day:
     )
     actions = F.create_map(*[F.lit(x) for kv in K.MENTOR_ACTIONS.items() for x in kv])
     action = F.coalesce(F.try_element_at(actions, F.coalesce(_field(pool, "event_type"), F.lit(""))), F.lit(K.MENTOR_ACTION))
-    entry = F.struct(
+    entries = pool.select(
         "article_id", F.greatest(F.coalesce("final_score", F.lit(0.0)), F.coalesce("priority_score", F.lit(0.0))).alias("base"),
         _field(pool, "category").alias("category"), _field(pool, "companies", True).alias("companies"),
-        metadata.alias("metadata"), F.coalesce(F.nullif(_field(pool, "category"), F.lit("")), F.lit("AI practice")).alias("topic"),
+        metadata.alias("metadata"), F.transform(metadata, lambda x: F.xxhash64(x)).alias("keys"),
+        F.coalesce(F.nullif(_field(pool, "category"), F.lit("")), F.lit("AI practice")).alias("topic"),
         tool.alias("tool"), reason.alias("reason"), action.alias("action"))
-    short = pool.agg(F.collect_list(entry).alias("pool")).withColumn("_k", F.lit(1))
-    prefs = preferences.select(
-        "user_id", *[F.coalesce(c, _strings()).alias(c) for c in ("favorite_categories", "favorite_companies")],
-        F.transform(F.coalesce("blocked_topics", _strings()), F.lower).alias("blocked"))
-    empty = _strings()
-    rows = (
-        users.select("user_id").join(prefs, "user_id", "left").withColumn("_k", F.lit(1)).join(F.broadcast(short), "_k")
-        .withColumns({c: F.coalesce(c, empty) for c in ("favorite_categories", "favorite_companies", "blocked")})
-    )
-    ranked = F.filter(F.transform(
-        F.filter("pool", lambda p: ~F.arrays_overlap(F.col("blocked"), p["metadata"])),
-        lambda p: F.struct(
-            (-(p["base"]
-              + F.when(F.coalesce(F.array_contains(F.col("favorite_categories"), p["category"]), F.lit(False)), 8.0).otherwise(0.0)
-              + F.when(F.arrays_overlap(F.col("favorite_companies"), p["companies"]), 6.0).otherwise(0.0))).alias("neg"),
-            p["article_id"].alias("article_id"), p.alias("p"))), lambda s: s["neg"] <= -cfg.mentor_min)
-    best = rows.select("user_id", F.array_min(ranked).alias("b")).select("user_id", F.col("b.p").alias("p"))
+    picked = _best_mentor_articles(users, preferences, entries, cfg).join(
+        entries.select("article_id", F.struct("article_id", "metadata", "topic", "tool", "reason", "action").alias("p")), "article_id")
+    best = users.select("user_id").join(picked.select("user_id", "p"), "user_id", "left")
     r = F.lower("p.reason")
     grounded = F.exists("p.metadata", lambda m: F.contains(r, m) | F.contains(m, F.substring(r, 1, 60)))
     ok = F.coalesce(grounded, F.lit(False))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from storyflow import constants as K
 from storyflow.functions import text as T
+from storyflow.operators import briefs as BR
 from storyflow.operators import enrich as EN
 from storyflow.operators import personalize as PZ
 from storyflow.operators.feeds import with_text
@@ -89,7 +91,7 @@ def _(d):
 
 _POOL = f"""
 pl AS (SELECT * FROM tp WHERE is_verified AND ai_processed AND NOT is_duplicate AND trust_score >= 40
-  AND created_at BETWEEN TIMESTAMP '{DAY} 00:00:00' AND {_END} ORDER BY priority_score DESC, final_score DESC, article_id LIMIT 200)"""
+  AND created_at BETWEEN TIMESTAMP '{DAY} 00:00:00' AND {_END} )"""
 _AFF = f"""
 af AS (SELECT v.user_id, p.article_id, {half_even('1e0 - exp(-sum(v.weight) / 4e0)', 4)} AS affinity
   FROM (SELECT article_id, unnest(tag_set) AS term FROM pl) p JOIN av v ON v.term = p.term GROUP BY 1, 2)"""
@@ -110,7 +112,7 @@ sd AS (SELECT user_id, article_id, primary_tag, affinity, {half_even('least(100e
 
 
 def _pool(d):
-    """Today's pool with tags; small by definition, so it is stored once."""
+    """Today's pool with tags, stored once."""
     pool = PZ.brief_pool(d.f_news.select(*_ARTICLE), d.f_stored.drop("model_used", "sentiment", "funding_amount"), DAY_END)
     return materialize(PZ.with_tags(pool), "pool")
 
@@ -119,11 +121,6 @@ def _active(d):
     return d.f_users.filter("is_active")
 
 
-def _scored(d, pool=None, vectors=None):
-    pool = _pool(d) if pool is None else pool
-    return PZ.score_pool(_active(d), pool, _vectors(d) if vectors is None else vectors, d.f_preferences, DAY_END)
-
-
 @query("pz_06", f"WITH {_VECTOR}, {_POOL}, {_AFF} SELECT * FROM af")
 def _(d):
     return PZ.pool_affinity(_vectors(d), _pool(d))
@@ -134,9 +131,19 @@ def _(d):
     return PZ.blocked_pairs(d.f_preferences, _pool(d))
 
 
-@query("pz_08", f"WITH {_SCORED} SELECT user_id, article_id, personalized_score, quality_score, affinity, base_trend_score, reason FROM sd")
+_SCORES = ["article_id", "personalized_score", "quality_score", "affinity", "base_trend_score", "reason"]
+
+
+@query("pz_08", f"""
+WITH {_SCORED} SELECT user_id, {', '.join(_SCORES)} FROM sd WHERE affinity > 0
+UNION ALL SELECT NULL, article_id, {half_even('least(100e0, CASE WHEN bt >= 85 THEN greatest(q * 0.7e0, bt * 0.72e0) ELSE q * 0.7e0 END)')}, {half_even('least(100e0, q)')}, 0e0,
+  {half_even('bt')}, 'quality threshold' FROM ql""")
 def _(d):
-    return _scored(d).select("user_id", "article_id", "personalized_score", "quality_score", "affinity", "base_trend_score", "reason")
+    """Pairs with an affinity, and the score that an article has for everybody else once."""
+    pool = _pool(d)
+    pairs = PZ.score_pairs(_active(d), pool, _vectors(d), d.f_preferences, DAY_END)
+    rest = PZ.default_scores(pool, DAY_END).withColumn("user_id", F.lit(None).cast(pairs.schema["user_id"].dataType))
+    return pairs.select("user_id", *_SCORES).unionByName(rest.select("user_id", *_SCORES))
 
 
 @query("pz_09", f"WITH {_TAGGED}, {_POOL} SELECT article_id, priority_score, final_score FROM pl")
@@ -149,7 +156,7 @@ WITH {_SCORED}, e AS (SELECT user_id, count(*)::BIGINT AS eligible FROM sd WHERE
 t AS (SELECT *, CASE WHEN eligible > 18 THEN least(eligible, 20) ELSE eligible END AS target FROM e)
 SELECT user_id, eligible, target::BIGINT AS target, greatest(1, ceil(target * 0.35e0))::INT AS tag_quota FROM t""")
 def _(d):
-    return PZ.brief_targets(_scored(d)).withColumn("target", F.col("target").cast("bigint"))
+    return PZ.brief_targets(_active(d), _pool(d), _vectors(d), d.f_preferences, DAY_END).withColumn("target", F.col("target").cast("bigint"))
 
 
 _SEED = _DIGIT_SUM.format(s=f"user_id || ':{DAY}'")
@@ -161,30 +168,70 @@ WITH {_SCORED}, o AS (SELECT sd.*, row_number() OVER (PARTITION BY user_id ORDER
   AND NOT EXISTS (SELECT 1 FROM av WHERE av.user_id = sd.user_id AND av.term = sd.primary_tag))
 SELECT user_id, article_id, quality_score, pos::INT AS pos FROM o WHERE pos <= CASE WHEN ({_SEED}) % 3 = 0 THEN 1 ELSE 2 END""")
 def _(d):
-    v = materialize(_vectors(d), "vectors")
-    return PZ.serendipity(_scored(d, vectors=v), v, DAY).select("user_id", "article_id", "quality_score", "pos")
+    return BR.serendipity(_active(d), _pool(d), _vectors(d), d.f_preferences, DAY_END, DAY)
 
 
 def _briefs(d):
     v = materialize(_vectors(d), "vectors")
-    return PZ.select_briefs(_active(d), _pool(d), v, d.f_preferences, DAY_END, DAY)
-
-
-@query("pz_12")
-def _(d):
-    return _briefs(d).select("user_id", "article_id", "pos", "is_serendipity", "personalized_score", "primary_tag")
-
-
-@query("ud_03")
-def _(d):
-    """The same choice through a per-user candidate list."""
+    return BR.select_briefs(_active(d), _pool(d), v, d.f_preferences, DAY_END, DAY)
+
+
+def _choice_sql(items: str, readers: str = "us") -> str:
+    """The selection rule, one pick a step. ``items``: user_id, i, s (score), ql (quality), tr (trend), tg, ts (tag set), nv (tag unknown)."""
+    return f"""
+it AS MATERIALIZED ({items}),
+n0 AS (SELECT user_id, count(*) AS n FROM it GROUP BY 1),
+tq AS (SELECT user_id, CASE WHEN n > 18 THEN least(n, 20) ELSE n END AS target FROM n0),
+hd AS MATERIALIZED (SELECT * FROM (SELECT it.user_id, i, s, ql, tr, tg, row_number() OVER (PARTITION BY user_id ORDER BY ql DESC, tr DESC, s DESC, i) AS rn FROM it WHERE nv AND ql >= 42)
+  WHERE rn <= CASE WHEN ({_SEED}) % 3 = 0 THEN 1 ELSE 2 END),
+lim AS MATERIALIZED (SELECT tq.user_id, target, greatest(1, ceil(target * 0.35e0)) AS quota, target - (SELECT count(*) FROM hd WHERE hd.user_id = tq.user_id) AS main FROM tq),
+fr AS MATERIALIZED (SELECT it.user_id, i, s, tg, ts, quota, main FROM it JOIN lim ON lim.user_id = it.user_id WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.user_id = it.user_id AND hd.i = it.i)),
+st(user_id, step, ci, cg, cs, go) AS (
+  SELECT user_id, 0, []::BIGINT[], []::VARCHAR[], []::VARCHAR[][], main > 0 FROM lim
+  UNION ALL
+  SELECT user_id, any_value(step) + 1, CASE WHEN max(gain) IS NULL THEN any_value(ci) ELSE list_append(any_value(ci), arg_min(i, (-gain, -s, i)) FILTER (WHERE gain IS NOT NULL)) END,
+    CASE WHEN max(gain) IS NULL THEN any_value(cg) ELSE list_append(any_value(cg), arg_min(tg, (-gain, -s, i)) FILTER (WHERE gain IS NOT NULL)) END,
+    CASE WHEN max(gain) IS NULL THEN any_value(cs) ELSE list_append(any_value(cs), arg_min(ts, (-gain, -s, i)) FILTER (WHERE gain IS NOT NULL)) END,
+    max(gain) IS NOT NULL AND any_value(step) + 1 < any_value(main)
+  FROM (SELECT st.*, fr.i, fr.s, fr.tg, fr.ts, fr.main,
+      CASE WHEN list_contains(ci, fr.i) OR len(list_filter(cg, lambda g: g = fr.tg)) >= quota THEN NULL ELSE
+        s * 0.86e0 - coalesce(list_max(list_transform(cs, lambda c: len(list_intersect(c, fr.ts)) * 1e0 / greatest(1, len(c) + len(fr.ts) - len(list_intersect(c, fr.ts))))), 0e0) * 22e0
+        + CASE WHEN list_contains(cg, fr.tg) THEN 0e0 ELSE 4e0 END END AS gain
+    FROM st JOIN fr ON fr.user_id = st.user_id WHERE go) GROUP BY user_id),
+ch AS (SELECT user_id, ci, cg FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step DESC) AS rn FROM st) WHERE rn = 1),
+h2 AS (SELECT hd.*, target, quota, len(ci) AS got, len(list_filter(cg, lambda g: g = hd.tg)) + (SELECT count(*) FROM hd o WHERE o.user_id = hd.user_id AND o.tg = hd.tg AND o.rn < hd.rn) AS same
+  FROM hd JOIN ch ON ch.user_id = hd.user_id JOIN lim ON lim.user_id = hd.user_id),
+pk AS (SELECT user_id, i, FALSE AS sp, pos AS seq FROM (SELECT user_id, unnest(ci) AS i, generate_subscripts(ci, 1) AS pos FROM ch)
+  UNION ALL SELECT user_id, i, TRUE, 100 + rn FROM h2 WHERE same < quota AND got + (SELECT count(*) FROM h2 o WHERE o.user_id = h2.user_id AND o.rn < h2.rn AND o.same < o.quota) < target),
+bf AS (SELECT pk.user_id, pk.i AS article_id, row_number() OVER (PARTITION BY pk.user_id ORDER BY sp, s DESC, tr DESC, seq)::INT AS pos, sp AS is_serendipity, s AS personalized_score, tg AS primary_tag, it.a AS affinity
+  FROM pk JOIN it ON it.user_id = pk.user_id AND it.i = pk.i)"""
+
+
+def _items_sql(source: str = "sd", extra: str = "TRUE") -> str:
+    return (f"SELECT x.user_id, x.article_id AS i, personalized_score AS s, quality_score AS ql, base_trend_score AS tr, x.primary_tag AS tg, pl.tag_set AS ts, affinity AS a, "
+            f"NOT EXISTS (SELECT 1 FROM av WHERE av.user_id = x.user_id AND av.term = x.primary_tag) AS nv FROM {source} x JOIN pl ON pl.article_id = x.article_id "
+            f"WHERE (personalized_score >= 42 OR base_trend_score >= 85) AND {extra}")
+
+
+_PICKED = "user_id, article_id, pos, is_serendipity, personalized_score, primary_tag"
+_BRIEFS = f"WITH RECURSIVE {_SCORED}, {_choice_sql(_items_sql())}"
+
+
+@query("pz_12", f"{_BRIEFS} SELECT {_PICKED} FROM bf")
+def _(d):
+    return _briefs(d).select(*_PICKED.split(", "))
+
+
+@query("ud_03", f"WITH RECURSIVE {_SCORED}, {_choice_sql(_items_sql(extra='affinity > 0'))} SELECT {_PICKED} FROM bf")
+def _(d):
+    """The same choice over an own candidate list per user: the articles that share a term."""
     v = materialize(_vectors(d), "vectors")
     pool = _pool(d)
-    s = _scored(d, pool, v).join(pool.select("article_id", "tag_set"), "article_id")
+    s = PZ.score_pairs(_active(d), pool, v, d.f_preferences, DAY_END)
     tags = pool.select(F.col("primary_tag").alias("term")).distinct()
     known = v.join(tags, "term", "left_semi").groupBy("user_id").agg(F.collect_set("term").alias("known"))
-    ready = s.join(known, "user_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
-    return PZ.select_from_candidates(ready, DAY).select("user_id", "article_id", "pos", "is_serendipity", "personalized_score", "primary_tag")
+    ready = PZ.eligible(s).join(known, "user_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    return BR.select_from_candidates(ready, DAY).select(*_PICKED.split(", "))
 
 
 _META = ("list_distinct(list_filter(list_transform(list_concat([title, description, source_domain, summary, category, event_type], coalesce(tags, []), coalesce(keywords, []), "
@@ -214,25 +261,42 @@ def _(d):
     return PZ.mentor_picks(_active(d), d.f_preferences, _pool(d), DAY).select("user_id", "article_id", "topic", "tool", "reason", "fallback")
 
 
-@query("pz_14")
+@query("pz_14", f"""{_BRIEFS} SELECT user_id, string_agg(article_id, ',' ORDER BY pos) AS article_ids, count(*)::INT AS total_articles,
+  {half_even('avg(affinity) * 100e0')} AS personalization_score FROM bf GROUP BY user_id""")
 def _(d):
-    return PZ.brief_rows(_briefs(d), DAY).select("user_id", joined("article_ids").alias("article_ids"), "total_articles", "personalization_score")
+    return BR.brief_rows(_briefs(d), DAY).select("user_id", joined("article_ids").alias("article_ids"), "total_articles", "personalization_score")
 
 
-@query("pz_15")
+@query("pz_15", f"""{_BRIEFS} SELECT count(DISTINCT bf.user_id)::BIGINT AS generated, (count(DISTINCT us.user_id) - count(DISTINCT bf.user_id))::BIGINT AS skipped
+FROM us LEFT JOIN bf ON bf.user_id = us.user_id""")
 def _(d):
-    return PZ.brief_run_counts(d.f_users, PZ.brief_rows(_briefs(d), DAY))
+    return BR.brief_run_counts(d.f_users, BR.brief_rows(_briefs(d), DAY))
+
+
+_NOON = f"TIMESTAMP '{DAY} 12:00:00'"
+
+
+def _step(sql: str, suffix: str) -> str:
+    """The selection's names with a suffix, so that two selections stand in one text."""
+    return re.sub(r"(?<![\w.'])(it|n0|tq|hd|lim|fr|st|ch|h2|pk|bf)(?![\w'(])", lambda m: m.group(1) + suffix, sql).replace("\nst(", f"\nst{suffix}(")
+
+
+_MORNING = _step(_choice_sql(_items_sql(extra=f"pl.created_at < {_NOON}")), "_am")
+_HOT = f"(pl.created_at >= {_NOON} AND greatest(pl.priority_score, pl.final_score) >= 85)"
 
 
-@query("pz_16")
+@query("pz_16", f"""
+WITH RECURSIVE {_SCORED}, {_MORNING},
+gr AS (SELECT DISTINCT x.user_id FROM sd x JOIN pl ON pl.article_id = x.article_id WHERE {_HOT} AND x.user_id IN (SELECT user_id FROM bf_am)),
+{_choice_sql(_items_sql(extra=f"x.user_id IN (SELECT user_id FROM gr) AND ({_HOT} OR EXISTS (SELECT 1 FROM bf_am b WHERE b.user_id = x.user_id AND b.article_id = x.article_id))"))}
+SELECT user_id, article_id, pos, is_serendipity FROM bf""")
 def _(d):
     """Morning briefs, then the day's later articles arrive as alerts."""
     v = materialize(_vectors(d), "vectors")
     pool = _pool(d)
     noon = F.col("created_at") < F.lit(f"{DAY} 12:00:00").cast("timestamp")
-    briefs = PZ.brief_rows(PZ.select_briefs(_active(d), materialize(pool.filter(noon), "morning"), v, d.f_preferences, DAY_END, DAY), DAY)
-    s = _scored(d, pool, v).join(pool.select("article_id", "tag_set"), "article_id")
-    return PZ.merge_breaking(materialize(briefs, "briefs"), pool.filter(~noon), s, v, DAY).select("user_id", "article_id", "pos", "is_serendipity")
+    briefs = BR.brief_rows(BR.select_briefs(_active(d), materialize(pool.filter(noon), "morning"), v, d.f_preferences, DAY_END, DAY), DAY)
+    return BR.merge_breaking(materialize(briefs, "briefs"), pool.filter(~noon), pool, v, d.f_preferences, DAY_END, DAY).select("user_id", "article_id", "pos", "is_serendipity")
 
 
 @query("pz_17", """

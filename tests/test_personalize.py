@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from storyflow.config import DEFAULT
+from storyflow.operators import briefs as BR
 from storyflow.operators import notify as NT
 from storyflow.operators import personalize as PZ
 from storyflow.plans.catalog import queries
@@ -53,16 +54,98 @@ def test_pick_brief_against_plain_rule():
                   "tag": f"t{rnd.randint(0, 5)}", "tags": {f"x{rnd.randint(0, 8)}" for _ in range(rnd.randint(1, 5))}} for i in range(n)]
         known, slots = {"t0", "t1"}, rnd.choice([1, 2])
         col = lambda k: np.array([i[k] for i in items], dtype=float)
-        got = PZ.pick_brief([i["id"] for i in items], col("score"), col("quality"), col("trend"), [i["tag"] for i in items],
-                            PZ.overlap_matrix([i["tags"] for i in items]), known, slots)
+        got = BR.pick_brief([i["id"] for i in items], col("score"), col("quality"), col("trend"), [i["tag"] for i in items],
+                            BR.overlap_matrix([i["tags"] for i in items]), known, slots)
         assert [(items[p]["id"], s) for p, s in got] == plain_pick(items, known, slots)
 
 
-def test_both_selection_paths_agree(spark):
-    q = queries()
-    key = lambda r: (r.user_id, r.pos, r.article_id, r.is_serendipity, r.personalized_score)
-    a, b = (sorted(map(key, q[n](spark, FOLDER).collect())) for n in ("pz_12", "ud_03"))
-    assert a == b and len(a) > 0
+def large_pool(rnd, n, cfg=DEFAULT):
+    words = [f"x{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        tags = sorted(set(rnd.choices(words, [1 / (k + 1) for k in range(60)], k=rnd.randint(0, 6))))
+        rows.append({"article_id": i * 3, "quality_raw": round(rnd.uniform(15, 95), 1), "base_trend": round(rnd.uniform(20, 100), 1), "primary_tag": tags[0] if tags else "general ai",
+                     "tag_set": tags, "title": rnd.choice(["on x1", "about gpus", "news"]) + f" {i}", "shared": True})
+    return rows
+
+
+def plain_brief(rows, terms, topics, slots, own=None):
+    items = []
+    for r in rows:
+        if any(b in r["tag_set"] or b in r["title"] for b in topics) or not (r["shared"] or r["article_id"] in (own or ())):
+            continue
+        a = round((1 - math.exp(-sum(terms.get(t, 0.0) for t in r["tag_set"]) / 4)) * 1e4) / 1e4
+        raw = r["quality_raw"] * (0.7 + 0.3 * a) + 12 * a
+        if r["base_trend"] >= 85:
+            raw = max(raw, r["base_trend"] * 0.72)
+        two = lambda x: float(np.rint(x * 100) / 100)
+        items.append({"id": r["article_id"], "score": two(min(100.0, raw)), "quality": two(min(100.0, r["quality_raw"])), "trend": two(r["base_trend"]), "tag": r["primary_tag"], "tags": set(r["tag_set"])})
+    for i in items:
+        i["tags"] = i["tags"] or {("none", i["id"])}  # an empty set overlaps with nothing
+    return plain_pick(items, set(terms), slots)
+
+
+def test_briefs_over_a_pool_of_2000_equal_the_plain_rule():
+    rnd = random.Random(11)
+    rows = large_pool(rnd, 2000)
+    index, read = BR.PoolIndex(rows, DEFAULT), []
+    for user in range(25):
+        terms = {f"x{rnd.randint(0, 59)}": rnd.choice([0.4, 1.5, 2.5, 3.5]) for _ in range(rnd.randint(0, 6))}
+        topics = rnd.choice([[], [], ["x0"], ["gpu", "x3"], ["on x"], ["none"]])
+        slots = rnd.choice([1, 2])
+        for depth in (2, 64):
+            picks, needed = index.brief(terms, topics, np.zeros(0, np.int64), slots, depth)
+            assert [(index.ids[i], s) for i, s, _, _ in picks] == plain_brief(rows, terms, topics, slots), (user, depth)
+        read.append(needed)
+        quality = sorted((-q, -t, -s, i) for i, s, q, t in surprise_rows(rows, terms, topics))[:slots]
+        assert [index.ids[i] for i, _ in index.surprises(terms, topics, slots, 2)] == [r[3] for r in quality]
+    assert sorted(read)[len(read) // 2] < 2000  # most readers read a part of the lists
+
+
+def surprise_rows(rows, terms, topics):
+    """(id, score, quality, trend) of eligible, good, unblocked articles with a primary tag outside the terms."""
+    for r in rows:
+        if r["primary_tag"] in terms or any(b in r["tag_set"] or b in r["title"] for b in topics):
+            continue
+        a = round((1 - math.exp(-sum(terms.get(t, 0.0) for t in r["tag_set"]) / 4)) * 1e4) / 1e4
+        raw = r["quality_raw"] * (0.7 + 0.3 * a) + 12 * a
+        score = np.rint(min(100.0, max(raw, r["base_trend"] * 0.72) if r["base_trend"] >= 85 else raw) * 100) / 100
+        if (score >= 42 or r["base_trend"] >= 85) and r["quality_raw"] >= 42:
+            yield r["article_id"], score, r["quality_raw"], r["base_trend"]
+
+
+def test_briefs_from_shared_and_own_articles():
+    rnd = random.Random(5)
+    rows = large_pool(rnd, 400)
+    for r in rows:
+        r["shared"] = rnd.random() < 0.2
+    index = BR.PoolIndex(rows, DEFAULT)
+    for _ in range(20):
+        terms = {f"x{rnd.randint(0, 20)}": 2.0 for _ in range(3)}
+        own = np.array(sorted(rnd.sample(range(400), 15)))
+        picks, _ = index.brief(terms, ["x2"], own, 2, 4)
+        assert [(index.ids[i], s) for i, s, _, _ in picks] == plain_brief(rows, terms, ["x2"], 2, {index.ids[i] for i in own})
+
+
+def test_empty_pool_and_empty_readers(spark):
+    pool = spark.createDataFrame([], "article_id long, title string, tag_set array<string>, primary_tag string, priority_score double, final_score double, trust_score double, "
+                                 "importance_score double, published_at timestamp")
+    users = spark.createDataFrame([(1,)], "user_id long")
+    vectors = spark.createDataFrame([(1, "a", 1.0)], "user_id long, term string, weight double")
+    prefs = spark.createDataFrame([(1, None)], "user_id long, blocked_topics array<string>")
+    now = "2024-01-30 23:59:59"
+    assert BR.select_briefs(users, pool, vectors, prefs, now, "2024-01-30").collect() == []
+    assert BR.serendipity(users, pool, vectors, prefs, now, "2024-01-30").collect() == []
+    assert PZ.brief_targets(users, pool, vectors, prefs, now).collect() == []
+
+
+def test_blocked_hits(spark):
+    rnd = random.Random(2)
+    titles = ["".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 9))) for _ in range(60)] + [None]
+    pool = spark.createDataFrame([(i, t, [rnd.choice("abc"), "abc"[: rnd.randint(0, 3)]]) for i, t in enumerate(titles)], "article_id long, title string, tag_set array<string>")
+    terms = ["", "a", "ab", "abc", "abca", " b", "c a", "bcab"]
+    want = {(t, r.article_id) for t in terms for r in pool.collect() if t in r.tag_set or t in (r.title or "").strip(" ").lower()}
+    assert {(r.term, r.article_id) for r in PZ.blocked_hits(spark.createDataFrame([(t,) for t in terms], "term string"), pool).collect()} == want
 
 
 def test_brief_limits(spark):
