@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyflow.functions.dates import end_of_day, hours_before, start_of_day, ts
 from storyflow.functions.scores import live_feed_score
 from storyflow.functions.text import normalize_url, py_round
+from storyflow.sources.tables import delete_before
 
 
 def _strings() -> Column:
@@ -200,6 +203,12 @@ def retention_counts(rows: DataFrame, as_of, days: int = 30) -> DataFrame:
     return rows.agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
 
 
+def apply_retention(spark: SparkSession, path: str, as_of, days: int = 30, column: str = "created_at") -> dict[str, int]:
+    """Delete the rows older than ``days`` from a keyed table that is partitioned by the day of ``column``."""
+    limit = datetime.fromisoformat(str(as_of)) - timedelta(days=days)
+    return delete_before(spark, path, column, ts(limit.isoformat(sep=" ")), limit.date().isoformat())
+
+
 def engagement(log: DataFrame) -> DataFrame:
     """Event log ``(article_id, user_id, action, ts, seq)`` -> views and current bookmarks.
 

@@ -17,6 +17,8 @@ from storyflow.operators import trends as TR
 from storyflow.plans.data import AS_OF, DAY, DAY_END
 from storyflow.plans.q_scalar import LIVE, _norm_url
 from storyflow.plans.registry import NOW, half_even, joined, norm_title, query, sql_in, sql_list, stamp, text_ts
+from storyflow.session import scratch_path
+from storyflow.sources import tables as TB
 
 # ------------------------------------------------------------------ TR
 
@@ -449,12 +451,27 @@ def _(d):
         one("source", d.f_sources.filter("is_active").orderBy("source_name"), "source_name", "total_articles_fetched"))
 
 
-@query("fq_19", f"""
-SELECT 'articles' AS tbl, count_if(created_at < {NOW} - INTERVAL 5 DAY)::BIGINT AS deleted, count_if(created_at >= {NOW} - INTERVAL 5 DAY)::BIGINT AS kept FROM f_news
-UNION ALL SELECT 'notifications', count_if(created_at < {NOW} - INTERVAL 5 DAY)::BIGINT, count_if(created_at >= {NOW} - INTERVAL 5 DAY)::BIGINT FROM f_notifications""")
+_KEPT = f"created_at >= {NOW} - INTERVAL 5 DAY"
+
+
+def _retained_sql(name: str, table: str) -> str:
+    return (f"SELECT '{name}' AS tbl, count_if(NOT ({_KEPT}))::BIGINT AS deleted, count_if({_KEPT})::BIGINT AS kept, "
+            f"{stamp(f'min(created_at) FILTER ({_KEPT})')} AS oldest FROM {table}")
+
+
+@query("fq_19", f"{_retained_sql('articles', 'f_news')} UNION ALL {_retained_sql('notifications', 'f_notifications')}")
 def _(d):
-    one = lambda k, df: FQ.retention_counts(df, AS_OF, 5).select(F.lit(k).alias("tbl"), "deleted", "kept")
-    return one("articles", d.f_news).unionByName(one("notifications", d.f_notifications))
+    """Stored by day, cut at the horizon, and read back."""
+    from functools import reduce
+
+    def one(name, df, key):
+        path = scratch_path(d.spark, "retention")
+        TB.upsert(df.select(key, "created_at").withColumn("day", F.to_date("created_at")), path, [key], partition_by="day")
+        gone = FQ.apply_retention(d.spark, path, AS_OF, 5)["deleted"]
+        return TB.read_table(d.spark, path).agg(F.count("*").alias("kept"), F.min("created_at").alias("oldest")).select(
+            F.lit(name).alias("tbl"), F.lit(gone).cast("bigint").alias("deleted"), "kept", text_ts("oldest").alias("oldest"))
+
+    return reduce(lambda a, b: a.unionByName(b), [one("articles", d.f_news, "article_id"), one("notifications", d.f_notifications, "notification_id")])
 
 
 _LOG = """SELECT event_id % 500 AS article_id, user_id, ts, event_id AS seq,

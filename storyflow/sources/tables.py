@@ -1,14 +1,30 @@
-"""Sinks: append and keyed upsert on partitioned Parquet."""
+"""Sinks: plain partitioned append, and keyed tables with published snapshots.
+
+A keyed table is a folder with immutable data files and manifests. A manifest lists the live segments (one folder per hash bucket,
+and per partition value where the table has a partition column). An upsert writes the merged rows of the buckets
+that hold changed keys to new segments and then publishes a manifest, one file that appears at once by rename. So a reader sees
+the table before or after, never half; a failed write leaves no trace in it; and what is rewritten follows the
+changed keys. Buckets split one by one as rows come (linear hashing), so their size stays bounded and a split touches only its own bucket.
+One writer at a time; the second of two that meet fails before it publishes.
+"""
 
 from __future__ import annotations
 
+import json
+import math
+import uuid
+from collections import defaultdict
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from storyflow.session import materialize
 
-_BUCKET = "_bucket"
+_BUCKET, _PART, _HASH = "_bucket", "_part", "_hash"
+_WHOLE = "all"
+_MANIFEST = "part string, bucket int, buckets int, segment string, rows long, keys array<string>, partition_by string, schema string"
 
 
 def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
@@ -20,8 +36,8 @@ def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = Non
     (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a stored table is at ``path``; asked through Spark's reader, so any store and any client will do."""
+def _readable(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's reader finds a table at ``path``, in whatever store."""
     try:
         spark.read.parquet(path).schema  # noqa: B018
     except AnalysisException as e:
@@ -31,35 +47,177 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(_BUCKET)
+def exists(spark: SparkSession, path: str) -> bool:
+    return _readable(spark, f"{path}/manifest") or _readable(spark, path)
+
+
+class Snapshot:
+    """One published state of a keyed table: its version and live segments."""
+
+    def __init__(self, spark: SparkSession, path: str, version: int, rows: list):
+        self.spark, self.path, self.version = spark, path, version
+        head = rows[0]
+        self.keys, self.partition_by, self.schema = head["keys"], head["partition_by"], StructType.fromJson(json.loads(head["schema"]))
+        self.segments = {(r["part"], r["bucket"]): r for r in rows if r["segment"] is not None}
+        self.buckets = {r["part"]: r["buckets"] for r in rows if r["segment"] is not None}
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, version: int | None = None) -> Snapshot | None:
+        """The newest published state, or an older one that is still kept."""
+        if not _readable(spark, f"{path}/manifest"):
+            return None
+        every = spark.read.schema(_MANIFEST + ", version int").parquet(f"{path}/manifest")
+        version = every.agg(F.max("version")).first()[0] if version is None else version
+        rows = every.filter(F.col("version") == version).collect()
+        return Snapshot(spark, path, version, rows) if rows else None
+
+    def read(self, places=None) -> DataFrame:
+        """Rows of the whole table, or of some (part, bucket) places."""
+        wanted = self.segments if places is None else [p for p in places if p in self.segments]
+        paths = [f"{self.path}/{self.segments[p]['segment']}" for p in wanted]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def rows(self) -> int:
+        return sum(r["rows"] for r in self.segments.values())
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    snapshot = Snapshot.load(spark, path, version)
+    return snapshot.read() if snapshot is not None else spark.read.parquet(path)
+
+
+def _bucket_of(buckets: dict[str, int]) -> Column:
+    """Linear hashing: of n buckets, those that the doubled modulus does not reach yet take the plain one."""
+    n = F.lit(1)
+    if buckets:
+        n = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in buckets.items() for x in kv]), F.col(_PART)), n)
+    low = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")) + 1e-9)).cast("bigint")
+    wide = F.pmod(F.col(_HASH), low * 2)
+    return F.when(wide >= n, F.pmod(F.col(_HASH), low)).otherwise(wide).cast("int")
+
+
+def _parent(bucket: int, n: int) -> int:
+    """The bucket among ``n`` whose rows a new bucket takes over."""
+    while bucket >= n:
+        bucket -= 1 << (bucket.bit_length() - 1)
+    return bucket
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], buckets: int = 16, order: str | None = None) -> dict[str, int]:
-    """Insert new keys, replace known ones, count both.
+def _placed(df: DataFrame, keys: list[str], partition_by: str | None) -> DataFrame:
+    part = F.coalesce(F.col(partition_by).cast("string"), F.lit("none")) if partition_by else F.lit(_WHOLE)
+    return df.withColumns({_PART: part, _HASH: F.xxhash64(*keys)})
 
-    The table is partitioned by a hash of the key, so only partitions that hold changed keys
-    are rewritten. Merged partitions are first written to the scratch area and then
-    swapped in by a dynamic partition overwrite; repeating the call gives the same table, which
-    makes it safe for retried stream batches. Of rows with one key the one with the largest
-    ``order`` is kept (without it, the largest by the other columns in turn). ``buckets`` is fixed by the first call; choose it by table size."""
+
+def _write_segments(df: DataFrame, path: str, buckets: dict[str, int]) -> list[dict]:
+    """Store placed rows in new segments; one manifest entry per segment."""
+    folder = f"data/{uuid.uuid4().hex}"
+    placed = df.withColumn(_BUCKET, _bucket_of(buckets)).drop(_HASH)
+    placed.hint("rebalance", _PART, _BUCKET).write.partitionBy(_PART, _BUCKET).parquet(f"{path}/{folder}")
+    if not _readable(df.sparkSession, f"{path}/{folder}"):
+        return []
+    # Partition values come from the paths and counts from the files' footers.
+    stored = df.sparkSession.read.schema(f"{_PART} string, {_BUCKET} int").parquet(f"{path}/{folder}")
+    return [{"part": r[_PART], "bucket": r[_BUCKET], "buckets": buckets.get(r[_PART], 1), "segment": f"{folder}/{_PART}={r[_PART]}/{_BUCKET}={r[_BUCKET]}", "rows": r["n"]}
+            for r in stored.groupBy(_PART, _BUCKET).agg(F.count("*").alias("n")).collect()]
+
+
+def _publish(spark: SparkSession, path: str, version: int, segments: list[dict], keys: list[str], partition_by: str | None, schema: StructType) -> None:
+    """One file, which a rename puts in place; an existing version is never replaced."""
+    common = {"keys": keys, "partition_by": partition_by, "schema": schema.json()}
+    head = {"part": None, "bucket": None, "buckets": None, "segment": None, "rows": 0}
+    names = [c.split()[0] for c in _MANIFEST.split(", ")]
+    rows = [tuple((s | common)[c] for c in names) for s in [head, *segments]]
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("error").parquet(f"{path}/manifest/version={version}")
+
+
+def _entry(r) -> dict:
+    return {k: r[k] for k in ("part", "bucket", "buckets", "segment", "rows")}
+
+
+def _latest(df: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row per key: the one with the largest ``order``, or the largest by the other columns in turn."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    best = F.max(F.struct(*([order] if order else []), *[c for c in rest if c != order])).alias("r")
+    return df.groupBy(*keys).agg(best).select(*keys, "r.*").select(*df.columns)
+
+
+def upsert(df: DataFrame, path: str, keys: list[str], order: str | None = None, partition_by: str | None = None,
+           bucket_rows: int = 1_000_000) -> dict[str, int]:
+    """Insert new keys, replace known ones, count both; repeating the call gives the same table, which makes it safe for
+    retried stream batches.
+
+    ``partition_by`` names a column that a key never changes (a day, say); ``bucket_rows`` is the size at which buckets split.
+    The columns, keys and partition column of a table are those of its first call."""
     spark = df.sparkSession
-    cols = df.columns
-    rest = [c for c in cols if c not in keys]
-    new = df.groupBy(*keys).agg(F.max(F.struct(*([order] if order else []), *[c for c in rest if c != order])).alias("r")) if set(cols) - set(keys) else df.distinct()
-    if "r" in new.columns:
-        new = new.select(*keys, "r.*")
-    new = materialize(new.select(*cols).withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "upsert")
-    total = new.count()
+    snapshot = Snapshot.load(spark, path)
+    if snapshot is not None:
+        keys, partition_by = snapshot.keys, snapshot.partition_by
+        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in snapshot.schema])
+    new = materialize(_placed(_latest(df, keys, order), keys, partition_by), "upsert")
+    added = {r[_PART]: r["n"] for r in new.groupBy(_PART).agg(F.count("*").alias("n")).collect()}  # one row per partition value
+    total = sum(added.values())
     if total == 0:
         return {"created": 0, "updated": 0}
-    if not exists(spark, path):
-        new.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(path)
+    schema = new.drop(_PART, _HASH).schema if snapshot is None else snapshot.schema
+    if snapshot is None:
+        grown = {p: max(1, math.ceil(n / bucket_rows)) for p, n in added.items()}
+        _publish(spark, path, 1, _write_segments(new, path, grown), keys, partition_by, schema)
         return {"created": total, "updated": 0}
-    touched = [r[0] for r in new.select(_BUCKET).distinct().collect()]  # at most ``buckets`` values
-    old = spark.read.schema(new.schema).parquet(path).filter(F.col(_BUCKET).isin(touched))
-    updated = old.join(new.select(*keys), keys, "left_semi").count()
-    merged = materialize(old.join(new.select(*keys), keys, "left_anti").unionByName(new), "merged")
-    (merged.hint("rebalance", _BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(_BUCKET).parquet(path))
+
+    held = defaultdict(int)
+    for (p, _), r in snapshot.segments.items():
+        held[p] += r["rows"]
+    now = {p: snapshot.buckets.get(p, 1) for p in added}
+    touched = {(r[_PART], r[_BUCKET]) for r in new.select(_PART, _bucket_of(now).alias(_BUCKET)).distinct().collect()}
+    old = _placed(snapshot.read(touched), keys, partition_by)
+    same = [*keys, _PART]
+    known = {r[_PART]: r["n"] for r in old.join(new.select(*same), same, "left_semi").groupBy(_PART).agg(F.count("*").alias("n")).collect()}
+    merged = old.join(new.select(*same), same, "left_anti").unionByName(new)
+    grown = {p: max(now[p], math.ceil((held[p] + added[p] - known.get(p, 0)) / bucket_rows)) for p in added}
+    split = {(p, _parent(b, now[p])) for p in added for b in range(now[p], grown[p])} - touched
+    if split:
+        merged = merged.unionByName(_placed(snapshot.read(split), keys, partition_by))
+    fresh = _write_segments(merged, path, grown)
+    rest = [_entry(r) | {"buckets": grown.get(p, r["buckets"])} for (p, b), r in snapshot.segments.items() if (p, b) not in touched | split]
+    _publish(spark, path, snapshot.version + 1, rest + fresh, keys, partition_by, schema)
+    updated = sum(known.values())
     return {"created": total - updated, "updated": updated}
+
+
+def delete_before(spark: SparkSession, path: str, column: str, limit: Column, last_part: str) -> dict[str, int]:
+    """Delete the rows whose ``column`` lies before ``limit`` from a table partitioned by day (as text that sorts by time).
+
+    Partitions before ``last_part``, the day of the limit, leave the manifest unread; that one day is rewritten; later ones are not touched.
+    Undated rows stay."""
+    s = Snapshot.load(spark, path)
+    whole = {p for p in s.segments if p[0] < last_part}
+    edge = {p for p in s.segments if p[0] == last_part}
+    gone = sum(s.segments[p]["rows"] for p in whole)
+    keep = [_entry(r) for p, r in s.segments.items() if p not in whole | edge]
+    if edge:
+        left = s.read(edge).filter(~F.coalesce(F.col(column) < limit, F.lit(False)))
+        fresh = _write_segments(_placed(left, s.keys, s.partition_by), path, {last_part: s.buckets[last_part]})
+        gone += sum(s.segments[p]["rows"] for p in edge) - sum(e["rows"] for e in fresh)
+        keep += fresh
+    if gone:
+        _publish(spark, path, s.version + 1, keep, s.keys, s.partition_by, s.schema)
+    return {"deleted": gone, "segments_dropped": len(whole), "segments_rewritten": len(edge), "segments_untouched": len(s.segments) - len(whole) - len(edge)}
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Remove manifests but the newest ``keep`` and the data that no kept one lists; the number of removed folders.
+    Readers of older states must have ended."""
+    every = spark.read.schema(_MANIFEST + ", version int").parquet(f"{path}/manifest")
+    versions = sorted(r[0] for r in every.select("version").distinct().collect())
+    old, kept = versions[:-keep], versions[-keep:]
+    if not old:
+        return 0
+    listed = every.filter("segment is not null").select("segment", F.col("version").isin(kept).alias("live")).groupBy("segment").agg(F.max("live").alias("live"))
+    dead = [r[0] for r in listed.filter("not live").collect()]
+    jvm = spark.sparkContext._jvm
+    for name in [*dead, *(f"manifest/version={v}" for v in old)]:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(dead) + len(old)
