@@ -5,6 +5,8 @@ so the parsers run over every row of the given tables."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from storyflow import constants as K
@@ -14,10 +16,10 @@ from storyflow.operators import trends as TR
 from storyflow.operators import validate as VF
 from storyflow.operators import dedup as DD
 from storyflow.plans.data import AS_OF
-from storyflow.plans.q_joins import _P_NEW, _ROLL, _STORY_ORDER, greedy_sql
-from storyflow.plans.q_scalar import _norm_url
+from storyflow.plans.q_joins import _P_NEW, _ROLL, _STORY_ORDER, _STRONG, greedy_sql
+from storyflow.plans.q_scalar import _norm_url, priority_sql
 from storyflow.plans.q_sets import _RANKED, _SLUG, requests
-from storyflow.plans.registry import NOW, half_even, joined, query, sql_in, sql_list, stamp, text_ts
+from storyflow.plans.registry import NOW, half_even, jac, joined, query, sql_in, sql_list, stamp, text_ts, token_set
 from storyflow.session import materialize
 from storyflow.sources import pages as PG
 from storyflow.sources import payloads as SR
@@ -253,18 +255,79 @@ def _(d):
     return d.spark.read.parquet(path).select("normalized_url")
 
 
-@query("cl_09", f"""
-WITH RECURSIVE {greedy_sql(_STORY_ORDER, K.STOP_WORDS)},
-ro AS ({_ROLL.format(src='f_articles')}),
-cl AS (SELECT ro.*, a.title, a.url, row_number() OVER (PARTITION BY a.url ORDER BY NOT a.is_official, a.published_at DESC NULLS LAST, a.article_id) AS rn
-  FROM ro JOIN f_articles a ON a.article_id = ro.leader_id),
-dm AS (SELECT url, list_sort(list(DISTINCT dd)) AS source_domains FROM (SELECT url, unnest(source_domains) AS dd FROM cl) GROUP BY url),
-x AS (SELECT cl.url, title, earliest_published, dm.source_domains, len(dm.source_domains)::INT AS source_count FROM cl JOIN dm ON dm.url = cl.url WHERE rn = 1)
-SELECT sha256(url || '|2024-01-31') AS event_id, title AS headline, source_count, {_P_NEW} AS priority_score, array_to_string(source_domains, ',') AS source_domains FROM x""")
+#: Batches of the clustering stream by arrival; events of the first are older than 72 h when the second ends.
+_CUTS = ["2024-01-01 00:00:00", "2024-01-25 00:00:00", "2024-01-29 00:00:00", "2024-01-31 00:00:01"]
+_ENDS = ["2024-01-25 00:00:00", "2024-01-29 00:00:00", "2024-01-31 00:00:00"]
+
+
+def _renamed(sql: str, names: str, k: int) -> str:
+    return re.sub(rf"(?<![\w'.])({names})(?![\w'])", rf"\g<1>{k}", sql)
+
+
+def _cluster_step_sql(k: int) -> str:
+    """Events e{k} after batch k, from e{k-1}."""
+    end, day = f"TIMESTAMP '{_ENDS[k - 1]}'", _ENDS[k - 1][:10]
+    at = lambda sql: sql.replace(NOW, end)
+    greedy = _renamed(greedy_sql(_STORY_ORDER, K.STOP_WORDS).replace("FROM f_articles", "FROM ba"), "n|ut|pr|nb|g|asg|ba", k)
+    return f"""
+ba{k} AS (SELECT * FROM f_articles WHERE created_at >= TIMESTAMP '{_CUTS[k - 1]}' AND created_at < TIMESTAMP '{_CUTS[k]}'),
+{greedy},
+cl{k} AS MATERIALIZED (SELECT r.*, a.title, a.url, a.source_domain, a.is_official, a.published_at AS canonical_at FROM ({_renamed(_ROLL.format(src='ba'), 'asg|ba', k)}) r
+  JOIN ba{k} a ON a.article_id = r.leader_id),
+ev{k} AS MATERIALIZED (SELECT * FROM e{k - 1} WHERE created_at >= {end} - INTERVAL 72 HOUR AND created_at <= {end}),
+eu{k} AS (SELECT primary_source_url AS url, arg_max(event_id, (epoch_us(created_at), event_id)) AS event_id FROM ev{k} GROUP BY 1),
+mu{k} AS (SELECT leader_id, event_id FROM cl{k} c JOIN eu{k} u ON u.url = c.url),
+ct{k} AS (SELECT leader_id, {token_set('title', K.STOP_WORDS)} AS tok FROM cl{k} WHERE leader_id NOT IN (SELECT leader_id FROM mu{k})),
+et{k} AS (SELECT event_id, created_at, {token_set('headline', K.STOP_WORDS)} AS tok FROM ev{k}),
+mj{k} AS (SELECT leader_id, event_id, row_number() OVER (PARTITION BY leader_id ORDER BY j DESC, created_at DESC, event_id DESC) AS rn
+  FROM (SELECT leader_id, event_id, created_at, {jac('c.tok', 'e.tok')} AS j FROM ct{k} c, et{k} e WHERE len(c.tok) > 0 AND len(e.tok) > 0) WHERE j >= 0.35e0),
+ma{k} AS MATERIALIZED (SELECT * FROM mu{k} UNION ALL SELECT leader_id, event_id FROM mj{k} WHERE rn = 1),
+oc{k} AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY NOT is_official, canonical_at DESC NULLS LAST, leader_id) AS rn FROM cl{k} WHERE leader_id NOT IN (SELECT leader_id FROM ma{k})),
+od{k} AS (SELECT url, list_sort(list(DISTINCT dd)) AS source_domains FROM (SELECT url, unnest(source_domains) AS dd FROM oc{k}) GROUP BY url),
+cr{k} AS MATERIALIZED (SELECT sha256(url || '|{day}') AS event_id, title AS headline, source_domains, {at(_P_NEW)} AS priority_score, source_domain AS primary_source_domain, url AS primary_source_url,
+    earliest_published AS published_at, {end} AS created_at
+  FROM (SELECT c.title, c.url, c.source_domain, c.earliest_published, o.source_domains, len(o.source_domains) AS source_count FROM oc{k} c JOIN od{k} o ON o.url = c.url WHERE c.rn = 1)),
+mc{k} AS (SELECT c.*, m.event_id FROM cl{k} c JOIN ma{k} m ON m.leader_id = c.leader_id),
+md{k} AS (SELECT event_id, list(DISTINCT dd) AS nd FROM (SELECT event_id, unnest(source_domains) AS dd FROM mc{k}) GROUP BY 1),
+mo{k} AS (SELECT event_id, arg_min(title, leader_id) AS ot, arg_min(source_domain, leader_id) AS od, arg_min(url, leader_id) AS ou FROM mc{k} WHERE is_official GROUP BY 1),
+up{k} AS MATERIALIZED (SELECT event_id, CASE WHEN ot IS NOT NULL AND NOT {_STRONG} THEN ot ELSE headline END AS headline, source_domains, {at(priority_sql())} AS priority_score,
+    CASE WHEN ot IS NOT NULL AND NOT {_STRONG} THEN od ELSE primary_source_domain END AS primary_source_domain,
+    CASE WHEN ot IS NOT NULL AND NOT {_STRONG} THEN ou ELSE primary_source_url END AS primary_source_url, published_at, created_at
+  FROM (SELECT v.event_id, headline, primary_source_domain, primary_source_url, published_at, created_at, ot, od, ou, NULL::VARCHAR AS event_type, []::VARCHAR[] AS companies, NULL::DOUBLE AS funding_amount,
+      list_sort(list_distinct(list_concat(v.source_domains, md{k}.nd))) AS source_domains FROM ev{k} v JOIN md{k} ON md{k}.event_id = v.event_id LEFT JOIN mo{k} ON mo{k}.event_id = v.event_id)),
+e{k} AS MATERIALIZED (SELECT * FROM e{k - 1} WHERE event_id NOT IN (SELECT event_id FROM up{k}) UNION ALL SELECT * FROM up{k} UNION ALL SELECT * FROM cr{k})"""
+
+
+_EVENTS = ("WITH RECURSIVE e0 AS (SELECT ''::VARCHAR AS event_id, ''::VARCHAR AS headline, []::VARCHAR[] AS source_domains, 0e0 AS priority_score, '' AS primary_source_domain, '' AS primary_source_url, "
+           "TIMESTAMP '2000-01-01' AS published_at, TIMESTAMP '2000-01-01' AS created_at WHERE false)," + ",".join(_cluster_step_sql(k) for k in (1, 2, 3)))
+
+
+def _event_stream(d):
+    """Articles land in three files, which the stream takes one at a time."""
+    path, checkpoint = ST.scratch(d.spark, "events")
+    landing = path.removesuffix("/table") + "/landing"
+    articles = d.f_articles.select("article_id", "title", "description", "url", "source_domain", "is_official", "published_at", "created_at")
+    moment = lambda t: F.lit(t).cast("timestamp")
+    for lo, hi in zip(_CUTS, _CUTS[1:]):
+        articles.filter((F.col("created_at") >= moment(lo)) & (F.col("created_at") < moment(hi))).coalesce(1).write.mode("append").parquet(f"{landing}/until={hi[:10]}")
+    stream = d.spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(landing)
+    ST.cluster_stream(stream, path, checkpoint, log_path=f"{path}-log")
+    return path
+
+
+@query("cl_09", f"""{_EVENTS} SELECT event_id, headline, len(source_domains)::INT AS source_count, priority_score, array_to_string(source_domains, ',') AS source_domains,
+  {stamp('created_at')} AS created_at FROM e3""")
+def _(d):
+    return SK.read_table(d.spark, _event_stream(d)).select("event_id", "headline", "source_count", "priority_score", joined("source_domains").alias("source_domains"),
+                                                           text_ts("created_at").alias("created_at"))
+
+
+@query("cl_09_state", _EVENTS + " " + " UNION ALL ".join(f"""
+SELECT '{_ENDS[k - 1]}' AS as_of, (SELECT count(*) FROM e{k - 1} WHERE created_at >= TIMESTAMP '{_ENDS[k - 1]}' - INTERVAL 72 HOUR)::BIGINT AS state_rows,
+  (SELECT count(*) FROM cr{k})::BIGINT AS created, (SELECT count(*) FROM up{k})::BIGINT AS updated""" for k in (1, 2, 3)))
 def _(d):
-    path, cp = ST.scratch(d.spark, "events")
-    ST.cluster_stream(_article_stream(d), path, cp, AS_OF)
-    return SK.read_table(d.spark, path).select("event_id", "headline", "source_count", "priority_score", joined("source_domains").alias("source_domains"))
+    """What each batch read of the state, created and updated."""
+    return d.spark.read.option("recursiveFileLookup", "true").parquet(_event_stream(d) + "-log")
 
 
 @query("tr_13", f"""
@@ -274,10 +337,17 @@ SELECT {stamp('c.s')} AS window_start, c.entity, c.n AS mention_count, coalesce(
   CASE WHEN coalesce(p.n, 0) = 0 THEN 100e0 ELSE {half_even('(c.n - p.n) * 1e0 / p.n * 100e0')} END AS velocity
 FROM c LEFT JOIN c p ON p.entity = c.entity AND p.s = c.s - INTERVAL 24 HOUR""")
 def _(d):
+    """Mentions land in five files, out of order by up to four days."""
     path, cp = ST.scratch(d.spark, "windows")
-    s = d.stream("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("entity"))
-    ST.keep_latest(ST.trend_stream(s), path, cp, ["window_start", "entity"])
-    return ST.with_velocity(SK.read_table(d.spark, path)).withColumn("window_start", text_ts("window_start"))
+    landing = path.removesuffix("/table") + "/landing"
+    rows = d.events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("entity"), (F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 5 * 86_400_000_000).alias("seen"))
+    ends = rows.agg(F.min("seen").alias("a"), F.max("seen").alias("b")).first()
+    for i in range(5):
+        part = F.least(F.lit(4), F.floor((F.col("seen") - ends["a"]) * 5 / (ends["b"] - ends["a"] + 1)))
+        rows.filter(part == i).select("ts", "entity").coalesce(1).write.mode("append").parquet(f"{landing}/{i}")
+    s = d.spark.readStream.schema("ts timestamp, entity string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(landing)
+    ST.velocity_stream(s, path, cp)
+    return SK.read_table(d.spark, path).drop("day").withColumn("window_start", text_ts("window_start"))
 
 
 @query("ag_04_stream", """

@@ -36,10 +36,10 @@ def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = Non
     (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(path)
 
 
-def _readable(spark: SparkSession, path: str) -> bool:
-    """Whether Spark's reader finds a table at ``path``, in whatever store."""
+def _readable(spark: SparkSession, path: str, schema: str | None = None) -> bool:
+    """Whether Spark's reader finds a table at ``path``, in whatever store. With a schema no file is opened."""
     try:
-        spark.read.parquet(path).schema  # noqa: B018
+        (spark.read if schema is None else spark.read.schema(schema)).parquet(path).schema  # noqa: B018
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return False
@@ -48,7 +48,15 @@ def _readable(spark: SparkSession, path: str) -> bool:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    return _readable(spark, f"{path}/manifest") or _readable(spark, path)
+    return _readable(spark, f"{path}/manifest", _MANIFEST) or _readable(spark, path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Published versions, from the list of manifest files."""
+    if not _readable(spark, f"{path}/manifest", _MANIFEST):
+        return []
+    files = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").inputFiles()
+    return sorted({int(f.rsplit("/version=", 1)[1].split("/")[0]) for f in files})
 
 
 class Snapshot:
@@ -64,12 +72,11 @@ class Snapshot:
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> Snapshot | None:
         """The newest published state, or an older one that is still kept."""
-        if not _readable(spark, f"{path}/manifest"):
+        versions = _versions(spark, path)
+        if not versions:
             return None
-        every = spark.read.schema(_MANIFEST + ", version int").parquet(f"{path}/manifest")
-        version = every.agg(F.max("version")).first()[0] if version is None else version
-        rows = every.filter(F.col("version") == version).collect()
-        return Snapshot(spark, path, version, rows) if rows else None
+        version = versions[-1] if version is None else version
+        return Snapshot(spark, path, version, spark.read.schema(_MANIFEST).parquet(f"{path}/manifest/version={version}").collect())
 
     def read(self, places=None) -> DataFrame:
         """Rows of the whole table, or of some (part, bucket) places."""
@@ -86,6 +93,16 @@ def read_table(spark: SparkSession, path: str, version: int | None = None) -> Da
     return snapshot.read() if snapshot is not None else spark.read.parquet(path)
 
 
+def read_since(spark: SparkSession, path: str, first_part: str, last_part: str | None = None) -> tuple[DataFrame, int] | None:
+    """Rows of the partitions from ``first_part`` on (to ``last_part``), and their number as the manifest has it; None
+    where no table is. Other partitions are not opened."""
+    s = Snapshot.load(spark, path)
+    if s is None:
+        return None
+    places = [p for p in s.segments if p[0] >= first_part and (last_part is None or p[0] <= last_part)]
+    return s.read(places), sum(s.segments[p]["rows"] for p in places)
+
+
 def _bucket_of(buckets: dict[str, int]) -> Column:
     """Linear hashing: of n buckets, those that the doubled modulus does not reach yet take the plain one."""
     n = F.lit(1)
@@ -113,8 +130,6 @@ def _write_segments(df: DataFrame, path: str, buckets: dict[str, int]) -> list[d
     folder = f"data/{uuid.uuid4().hex}"
     placed = df.withColumn(_BUCKET, _bucket_of(buckets)).drop(_HASH)
     placed.hint("rebalance", _PART, _BUCKET).write.partitionBy(_PART, _BUCKET).parquet(f"{path}/{folder}")
-    if not _readable(df.sparkSession, f"{path}/{folder}"):
-        return []
     # Partition values come from the paths and counts from the files' footers.
     stored = df.sparkSession.read.schema(f"{_PART} string, {_BUCKET} int").parquet(f"{path}/{folder}")
     return [{"part": r[_PART], "bucket": r[_BUCKET], "buckets": buckets.get(r[_PART], 1), "segment": f"{folder}/{_PART}={r[_PART]}/{_BUCKET}={r[_BUCKET]}", "rows": r["n"]}
@@ -156,7 +171,10 @@ def upsert(df: DataFrame, path: str, keys: list[str], order: str | None = None,
         keys, partition_by = snapshot.keys, snapshot.partition_by
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in snapshot.schema])
     new = materialize(_placed(_latest(df, keys, order), keys, partition_by), "upsert")
-    added = {r[_PART]: r["n"] for r in new.groupBy(_PART).agg(F.count("*").alias("n")).collect()}  # one row per partition value
+    places = new.groupBy(_PART, _bucket_of(snapshot.buckets if snapshot is not None else {}).alias(_BUCKET)).agg(F.count("*").alias("n")).collect()  # one row per bucket
+    added = defaultdict(int)
+    for r in places:
+        added[r[_PART]] += r["n"]
     total = sum(added.values())
     if total == 0:
         return {"created": 0, "updated": 0}
@@ -170,7 +188,7 @@ def upsert(df: DataFrame, path: str, keys: list[str], order: str | None = None,
     for (p, _), r in snapshot.segments.items():
         held[p] += r["rows"]
     now = {p: snapshot.buckets.get(p, 1) for p in added}
-    touched = {(r[_PART], r[_BUCKET]) for r in new.select(_PART, _bucket_of(now).alias(_BUCKET)).distinct().collect()}
+    touched = {(r[_PART], r[_BUCKET]) for r in places}
     old = _placed(snapshot.read(touched), keys, partition_by)
     same = [*keys, _PART]
     known = {r[_PART]: r["n"] for r in old.join(new.select(*same), same, "left_semi").groupBy(_PART).agg(F.count("*").alias("n")).collect()}
@@ -210,7 +228,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Remove manifests but the newest ``keep`` and the data that no kept one lists; the number of removed folders.
     Readers of older states must have ended."""
     every = spark.read.schema(_MANIFEST + ", version int").parquet(f"{path}/manifest")
-    versions = sorted(r[0] for r in every.select("version").distinct().collect())
+    versions = _versions(spark, path)
     old, kept = versions[:-keep], versions[-keep:]
     if not old:
         return 0

@@ -5,7 +5,9 @@ or a keyed upsert, so a retried batch leaves the same table."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from storyflow.operators import stats as AG
 from storyflow.operators import trends as TR
 from storyflow.operators.notify import alert_messages, is_interrupt
 from storyflow.session import materialize, scratch_path
-from storyflow.sources.tables import exists, read_table, upsert
+from storyflow.sources.tables import read_since, upsert
 
 
 def run_available(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str,
@@ -56,22 +58,38 @@ EVENT_STATE = ["event_id", "headline", "summary", "category", "source_domains",
                "published_at", "created_at", "last_updated_at"]
 
 
-def cluster_step(batch: DataFrame, state_path: str, as_of, cfg: EngineConfig = DEFAULT) -> dict[str, int]:
+def end_of_batch(batch: DataFrame) -> str | None:
+    """The midnight at or after the batch's newest article."""
+    newest = batch.agg(F.max("created_at")).first()[0]
+    if newest is None:
+        return None
+    day = newest.replace(hour=0, minute=0, second=0, microsecond=0)
+    return str(day if day == newest else day + timedelta(days=1))
+
+
+def cluster_step(batch: DataFrame, state_path: str, as_of=None, cfg: EngineConfig = DEFAULT, log_path: str | None = None) -> dict[str, int]:
     """One incremental clustering step: group the batch, match events of the last 72 h, create and
-    update. Event ids come from the canonical url, so a repeated batch repeats its ids."""
+    update. Event ids come from the canonical url, so a repeated batch repeats its ids.
+
+    The events lie in a keyed table by the day they were first seen. Days behind the horizon have expired: the step neither
+    lists nor opens them, so what a step reads is bounded by three days of events, however long the stream has run."""
     spark = batch.sparkSession
+    if as_of is None and (as_of := end_of_batch(batch)) is None:
+        return {"created": 0, "updated": 0, "state_rows": 0}
     assignment = CL.cluster_articles(batch, cfg)
     rolled = CL.roll_up(batch, assignment)
     canonical = batch.select(F.col("article_id").alias("leader_id"), "title", "description", "url", "source_domain", "is_official",
                              F.col("published_at").alias("canonical_at"))
     clusters = rolled.join(canonical, "leader_id")
     clusters = materialize(clusters, "clusters")
-    if exists(spark, state_path):
-        events = read_table(spark, state_path)
+    first_day = (datetime.fromisoformat(str(as_of)) - timedelta(hours=cfg.event_window_hours)).date().isoformat()
+    state = read_since(spark, state_path, first_day)
+    events, state_rows = state if state is not None else (None, 0)
+    if state_rows:
         matched = materialize(clusters.join(CL.match_events(clusters, events, as_of, cfg), "leader_id"), "matched")
         open_clusters = clusters.join(matched.select("leader_id"), "leader_id", "left_anti")
     else:
-        events = matched = None
+        matched = None
         open_clusters = clusters
     created = CL.create_events(CL.merge_same_url(open_clusters), as_of).withColumnsRenamed({"first_seen_at": "created_at"}).withColumn(
         "last_updated_at", F.col("created_at"))
@@ -82,11 +100,17 @@ def cluster_step(batch: DataFrame, state_path: str, as_of, cfg: EngineConfig = D
         new = CL.update_events(base, matched, as_of)
         keep = [c for c in EVENT_STATE if c not in new.columns]
         changed = changed.unionByName(new.join(events.select("event_id", *keep), "event_id").select(*EVENT_STATE))
-    return upsert(changed, state_path, ["event_id"])
+    done = upsert(changed.withColumn("day", F.to_date("created_at")), state_path, ["event_id"], partition_by="day") | {"state_rows": state_rows}
+    if log_path is not None:
+        row = spark.createDataFrame([(str(as_of), *(done[k] for k in ("state_rows", "created", "updated")))], "as_of string, state_rows long, created long, updated long")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{log_path}/{re.sub('[^0-9]', '', str(as_of))}")  # a repeated batch replaces its row
+    return done
 
 
-def cluster_stream(articles: DataFrame, state_path: str, checkpoint: str, as_of, cfg: EngineConfig = DEFAULT) -> StreamingQuery:
-    return run_available(articles, lambda df, _id: cluster_step(df, state_path, as_of, cfg), checkpoint)
+def cluster_stream(articles: DataFrame, state_path: str, checkpoint: str, as_of=None, cfg: EngineConfig = DEFAULT,
+                   log_path: str | None = None) -> StreamingQuery:
+    """``as_of``: the time of all batches (None: each batch ends with its newest article's day). ``log_path``: a folder that gets one row per batch."""
+    return run_available(articles, lambda df, _id: cluster_step(df, state_path, as_of, cfg, log_path), checkpoint)
 
 
 # ---- TR-13
@@ -117,6 +141,33 @@ def with_velocity(counts: DataFrame, hours: int = 24) -> DataFrame:
     )
 
 
+def velocity_step(changed: DataFrame, path: str, hours: int = 24) -> dict[str, int]:
+    """Changed counts of one batch -> rows with velocity in the table at ``path``: those of the changed windows, and of stored windows that
+    look back on one. Only the days around the changed windows are read. Counts are combined before they come here, so a
+    hot entity is one row per window; a state keyed by entity would see each of its mentions in one task."""
+    spark, key = changed.sparkSession, ["window_start", "entity"]
+    changed = materialize(changed.select(*key, "mention_count"), "changed")
+    span = changed.agg(F.min("window_start").alias("a"), F.max("window_start").alias("b")).first()
+    if span["a"] is None:
+        return {"created": 0, "updated": 0}
+    look = timedelta(hours=hours)
+    stored = read_since(spark, path, (span["a"] - look).date().isoformat(), (span["b"] + look).date().isoformat())
+    affected = changed.select(*key)
+    now = changed
+    if stored is not None:
+        table = stored[0].select(*key, "mention_count")
+        now = table.join(affected, key, "left_anti").unionByName(changed)
+        later = affected.withColumn("window_start", F.timestamp_micros(F.unix_micros("window_start") + hours * 3_600_000_000))
+        affected = affected.unionByName(table.select(*key).join(later, key, "left_semi")).distinct()
+    rows = with_velocity(now, hours).join(affected, key, "left_semi")
+    return upsert(rows.withColumn("day", F.to_date("window_start")), path, key, partition_by="day")
+
+
+def velocity_stream(mentions: DataFrame, path: str, checkpoint: str, window: str = "24 hours", slide: str = "6 hours", late: str = "168 hours") -> StreamingQuery:
+    """Sliding counts with velocity, kept up to date batch by batch in a keyed table."""
+    return run_available(trend_stream(mentions, window, slide, late), lambda df, _id: velocity_step(df, path) and None, checkpoint, "update")
+
+
 # ---- AG-04 and SS-01
 
 def request_stream(requests: DataFrame, late: str = "5 minutes", **limits) -> DataFrame:

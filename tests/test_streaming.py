@@ -97,3 +97,32 @@ def test_alert_stream_is_idempotent(spark, tmp_path):
     s = landed(spark, f"{tmp_path}/in", batches, schema)
     ST.keep_latest(ST.alert_stream(s), f"{tmp_path}/t", f"{tmp_path}/cp", ["event_id"])
     assert {r.event_id: r.priority for r in read_table(spark, f"{tmp_path}/t").collect()} == {1: 97, 2: 90}
+
+
+def test_expired_events_leave_the_state(spark, tmp_path):
+    """One new story every two days: a step reads the events of three days, and an old headline starts a new event."""
+    words = ["alpha", "bravo", "delta", "gamma", "kappa", "sigma", "omega"]
+    batches = [[article(10 * i + j, f"{words[i]}{j} {words[i]}a{j} {words[i]}b{j}", f"https://x{i}.org/{j}", 48 * i, f"d{i}{j}.org") for j in range(3)] for i in range(6)]
+    batches.append([article(90, "alpha0 alphaa0 alphab0", "https://y.org/1", 290, "y.org"), article(91, "sigma1 sigmaa1 sigmab1", "https://y.org/2", 290, "z.org")])
+    s = landed(spark, f"{tmp_path}/in", batches, ARTICLES)
+    ST.cluster_stream(s, f"{tmp_path}/state", f"{tmp_path}/cp", log_path=f"{tmp_path}/log")
+    log = sorted(spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/log").collect())
+    assert [r.state_rows for r in log[:2]] == [0, 3] and max(r.state_rows for r in log) <= 6 and len(log) == 7
+    heads = [r.headline for r in read_table(spark, f"{tmp_path}/state").collect()]
+    assert heads.count("alpha0 alphaa0 alphab0") == 2 and heads.count("sigma1 sigmaa1 sigmab1") == 1
+
+
+def test_velocity_over_out_of_order_batches(spark, tmp_path):
+    import random
+
+    rnd = random.Random(4)
+    rows = sorted((T0 + dt.timedelta(minutes=rnd.randint(0, 6000)), rnd.choice("aaab")) for _ in range(400))
+    batches = [[] for _ in range(5)]
+    for i, r in enumerate(rows):
+        batches[min(4, max(0, i // 80 + rnd.choice([-1, 0, 0, 1])))].append(r)
+    s = landed(spark, f"{tmp_path}/in", batches, "ts timestamp, entity string")
+    ST.velocity_stream(s, f"{tmp_path}/t", f"{tmp_path}/cp")
+    counts = spark.createDataFrame(rows, "ts timestamp, entity string").groupBy(F.window("ts", "24 hours", "6 hours").alias("w"), "entity").agg(F.count("*").alias("mention_count"))
+    cols = ["window_start", "entity", "mention_count", "previous_mention_count", "velocity"]
+    want = ST.with_velocity(counts.select(F.col("w.start").alias("window_start"), "entity", "mention_count")).select(*cols).collect()
+    assert sorted(map(tuple, read_table(spark, f"{tmp_path}/t").select(*cols).collect())) == sorted(map(tuple, want))
