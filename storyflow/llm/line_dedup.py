@@ -1,15 +1,21 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
-A line is normalised to its lower-case words; in scripts without spaces each character is a word. Equal lines are one node from the start (128-bit hash of the words), so a
-line that a third of the documents carry costs one row per occurrence and no pair. A line's SimHash has 64 bits, each
-the majority of that bit over the hashes of its neighbouring word pairs. One replaced word moves many bits of a short line,
-so no distance of hashes follows from the edit similarity. What follows is a run: m words with e edits fall into at most
-e + 1 pieces, so the longest common run has at least (m - e) / (e + 1) words (3 or 4 for 0.8). Lines meet on equal
-runs of that length, and pairs are verified by the edit distance of their word sequences. With a ``distance``, lines meet on
-SimHash alone: two hashes that differ in at most ``distance`` bits agree in some choice of blocks.
-First each line is compared only with its neighbour in hash order and beside equal runs, and what that
-connects is one component; then pairs of different components meet on all runs or blocks. So no link between components
-is lost, and a group of near copies does not give all its pairs. DataFrame functions only.
+A line is normalised to its lower-case words; in scripts without spaces each character is a word. Equal lines are one node from the start
+(128-bit hash of the words), so a line that a third of the documents carry costs one row per occurrence and no pair. A line's SimHash has 64
+bits, each the majority of that bit over the hashes of its words of four letters and more. Texts are read once for hashes, SimHashes and anchors.
+
+Lines of ``min_words`` words and more meet where one of eight SimHash blocks agrees (which two hashes that differ in at most seven bits always have)
+and they have an anchor in common: the run of three words that comes first in one of six orders. Anchors part lines that share a block
+by chance; lines whose anchors no other line has go no further. Pairs that meet and differ in at most ``bits`` bits are verified by the edit
+distance of their word sequences. One edit in ten words changes a seventh of the bits, so no number of blocks makes this lossless at a similarity of
+0.8: see the shares measured against brute force in tests/llm (at least 0.9 of the similar pairs in each class of lengths from 13 words on, with edits
+spread over the whole range). Lines of up to 12 words, where one word moves very many bits, also meet on every run of words that two similar ones must share,
+which finds all of them. With a ``distance``, lines meet on blocks alone, and all pairs within that many bits are found: two hashes that differ in at most
+``distance`` bits agree in some choice of blocks.
+
+First each line is compared with its neighbour and the first line under a key, and what that connects is one component;
+then pairs of different components meet. So a group of near copies does not give all its pairs. Keys that a very large number of lines
+hold are found on a sample of the nodes and dealt over several tasks; results do not depend on that. DataFrame functions only.
 
 Defined results: lines of fewer than ``min_words`` words are compared for equality only, and those with fewer than
 ``min_chars`` characters in their words besides (empty ones too) are never removed; a null or empty text has no
@@ -36,13 +42,19 @@ class Settings:
     min_words: int = 8
     #: Fewest characters in the words of a line with fewer words.
     min_chars: int = 12
-    #: Only pairs whose SimHashes differ in at most so many bits; None: every pair that ``similarity`` allows.
+    #: Only pairs whose SimHashes differ in at most so many bits, all of them; None: pairs under a common anchor and block.
     distance: int | None = None
     similarity: float = 0.8
+    #: Most bits in which the SimHashes of a pair that is verified differ (one word in five changes 13 of 64 on average).
+    bits: int = 22
+    #: Longest lines that also meet on runs of words.
+    short: int = 12
 
 
-#: Bits within which neighbours in hash order are compared first. It only saves later pairs.
-NEAR = 3
+#: Orders of the word runs: the smallest hash after a mask, whose first three bits differ from order to order.
+ORDERS = [(i << 61 | 0x0123456789ABCDEF >> i) - (1 << 64 if i > 3 else 0) for i in range(6)]
+#: A key that so many nodes of one in ``SAMPLE`` hold is dealt over ``DEALT`` tasks; at most ``HOTTEST`` keys are.
+SAMPLE, HOT, DEALT, HOTTEST = 64, 256, 64, 4096
 #: ASCII characters other than letters and digits part words. A fixed value.
 #: Thai, Lao, Burmese, Khmer, Kana and Han: scripts that put no spaces between words.
 UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
@@ -54,12 +66,14 @@ ONES, WIDE = 0x0101010101010101, 0x0001000100010001
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(F.lower(line), UNSPACED, " $1 "), GAP), "")
+    low = F.lower(line)
+    apart = F.when(F.octet_length(line) == F.length(line), low).otherwise(F.regexp_replace(low, UNSPACED, " $1 "))  # ASCII needs no look
+    return F.array_remove(F.split(apart, GAP), "")
 
 
-def pair_hashes(w: Column) -> Column:
-    """Hashes of neighbouring words; the first word also pairs with the line's start, so one word has a feature."""
-    return F.transform(w, lambda x, i: F.xxhash64(F.when(i > 0, F.get(w, i - 1)), x))
+def feature(word: Column) -> Column:
+    """Hash of a word for the SimHash. Very short words, which most lines share, are none."""
+    return F.when(F.length(word) > 3, F.xxhash64(word))
 
 
 def _lanes(features: Column) -> Column:
@@ -83,11 +97,12 @@ def long_simhash(features: Column) -> Column:
     return F.get(F.transform(F.array(chunks), lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(bit(c, b)))), F.lit(0))
 
 
-def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_chars: int | None = None) -> DataFrame:
-    """(d, line, l1, l2, n, sig): place, hashes of the words, their number and SimHash of every line with ``min_words`` words, or ``min_chars`` characters in at least one; ``docs`` has d and text.
+def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_chars: int | None = None, short: int = 0, similarity: float = 0.8) -> DataFrame:
+    """(d, line, l1, l2, n, runs, sig, a0..a5): place, hashes of the words, their number, runs (up to ``short`` words), SimHash and anchors of
+    every line with ``min_words`` words; lines with fewer, but ``min_chars`` characters in at least one, have the first five only. ``docs`` has d and text.
 
     Bit k of every second byte is counted in sum k, so sixteen sums of a combining aggregate hold all 64 counters of a
-    line of up to ``most`` features, and one addition compares four of them with half the number.
+    line of up to ``most`` features, and one addition compares four of them with half the number. Longer lines are counted in chunks in their row.
     """
     lines = docs.select("d", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     # The words are bound once per line, behind a generator, so that no later expression splits the line again.
@@ -95,17 +110,23 @@ def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_char
     if min_chars is not None:
         enough = lambda w: (F.size(w) >= min_words) | (F.length(F.array_join(w, "")) >= F.lit(max(1, min_chars)))
     held = F.filter(F.array(words(F.col("body"))), enough)
-    parts = F.transform(held, lambda w: F.struct(F.xxhash64(w).alias("l1"), F.xxhash64(F.lit(1), w).alias("l2"), F.size(w).alias("n"), pair_hashes(w).alias("f")))
-    keys = ["d", "line", "l1", "l2", "n"]
-    features = lines.select("d", "line", F.inline(parts))
-    each = features.select(*keys, F.when(F.col("n") > most, F.get(F.transform(F.array("f"), long_simhash), F.lit(0))).alias("long"),
-                           F.explode(F.when(F.col("n") > most, F.array(F.lit(0).cast("long"))).otherwise(F.col("f"))).alias("x"))
-    sums = each.groupBy(*keys, "long").agg(*[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(WIDE))).alias(f"s{k}") for k in range(16)])
-    margin = (F.lit(MOST) - F.least((F.col("n") / 2).cast("int"), F.lit(MOST))).cast("long") * F.lit(WIDE)
+    runs_of_three = lambda w: F.transform(w, lambda x, i: F.struct(feature(x).alias("x"), F.when((i > 1) | (F.size(w) < 3), F.xxhash64(F.when(i > 1, F.get(w, i - 2)), F.when(i > 0, F.get(w, i - 1)), x)).alias("g")))
+    empty = F.array(F.struct(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("g")))
+    parts = F.transform(held, lambda w: F.struct(
+        F.xxhash64(w).alias("l1"), F.xxhash64(F.lit(1), w).alias("l2"), F.size(w).alias("n"),
+        F.when(F.size(w) >= min_words, runs_of_three(w)).otherwise(empty).alias("p"),
+        F.when(F.size(w) > most, F.filter(F.transform(w, feature), lambda x: x.isNotNull())).alias("many"),
+        F.when(F.size(w).between(min_words, short), run_keys(w, F.size(w), similarity, short)).alias("runs")))
+    keys = ["d", "line", "l1", "l2", "n", "runs"]
+    bound = lines.select("d", "line", F.inline(parts)).select(*keys, F.when(F.col("n") > most, long_simhash(F.col("many"))).alias("long"), F.explode("p").alias("p"))
+    sums = bound.select(*keys, "long", "p.*").groupBy(*keys, "long").agg(
+        *[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(WIDE))).alias(f"s{k}") for k in range(16)], F.count("x").alias("m"), F.count("g").alias("any"),
+        *[F.min(F.col("g").bitwiseXOR(F.lit(mask))).alias(f"a{i}") for i, mask in enumerate(ORDERS)])
+    margin = (F.lit(MOST) - F.least((F.col("m") / 2).cast("int"), F.lit(MOST))).cast("long") * F.lit(WIDE)
     sig = F.lit(0).cast("long")
     for k in range(16):
-        sig = sig.bitwiseOR(F.shiftleft(F.shiftrightunsigned((F.col(f"s{k}") + margin).bitwiseAND(F.lit((MOST + 1) * WIDE)), 14), k))
-    return sums.select(*keys, F.coalesce("long", sig).alias("sig"))
+        sig = sig.bitwiseOR(F.shiftleft(F.shiftrightunsigned((F.coalesce(F.col(f"s{k}"), F.lit(0)) + margin).bitwiseAND(F.lit((MOST + 1) * WIDE)), 14), k))
+    return sums.select(*keys, F.when(F.col("any") > 0, F.coalesce("long", sig)).alias("sig"), *[f"a{i}" for i in range(len(ORDERS))])
 
 
 def block_plan(lines: int, distance: int) -> tuple[int, int]:
@@ -127,28 +148,25 @@ def block_keys(sig: Column, blocks: int, agree: int) -> Column:
     return F.array(*keys)
 
 
-def edits(n: Column | int, s: Settings):
+def edits(n: Column, similarity: float) -> Column:
     """Most edits that the similarity allows when the longer line has ``n`` words."""
-    return F.floor(n * F.lit(1 - s.similarity) + 1e-9).cast("int") if isinstance(n, Column) else int(n * (1 - s.similarity) + 1e-9)
+    return F.floor(n * F.lit(1 - similarity) + 1e-9).cast("int")
 
 
-def run_length(n: Column, s: Settings) -> Column:
-    """Words of a run that a line of ``n`` words shares with every similar line that is not longer."""
-    return F.greatest(F.lit(1), F.ceil((n - edits(n, s)) / (edits(n, s) + 1))).cast("int")
+def run_length(n: Column, similarity: float) -> Column:
+    """Words of a run that a line of ``n`` words shares with every similar line that is not longer: ``n`` words with e edits fall into at
+    most e + 1 pieces."""
+    e = edits(n, similarity)
+    return F.greatest(F.lit(1), F.ceil((n - e) / (e + 1))).cast("int")
 
 
-def run_keys(w: Column, n: Column, s: Settings) -> Column:
-    """Hashes of all runs of the lengths at which the line meets longer lines, and lines that are not longer."""
-    lengths = F.array_distinct(F.transform(F.sequence(n, F.floor(n / s.similarity + 1e-9).cast("int")), lambda m: run_length(m, s)))
+def run_keys(w: Column, n: Column, similarity: float, longest: int) -> Column:
+    """Hashes of all runs of the lengths at which the line meets longer lines up to ``longest`` words, and lines that are not longer."""
+    lengths = F.array_distinct(F.transform(F.sequence(n, F.least(F.lit(longest), F.floor(n / similarity + 1e-9).cast("int"))), lambda m: run_length(m, similarity)))
     starts = lambda q: F.when(q <= n, F.sequence(F.lit(1), n - q + 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.flatten(F.transform(lengths, lambda q: F.transform(starts(q), lambda i: F.xxhash64(q, F.slice(w, i, q))))))
 
 
-def parities(w: Column) -> Column:
-    """Bit b: whether an odd number of words has hash b. An edit changes two bits at most."""
-    return F.aggregate(w, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
-
-
 def coded(w: Column) -> Column:
     """One letter (a hash into the code points 0x100 to 0xD7FF) for each word, for the edit distance of word sequences."""
     code = F.transform(w, lambda x: F.lpad(F.hex(F.pmod(F.xxhash64(x), F.lit(0xD700)) + 0x100), 4, "0"))
@@ -163,17 +181,16 @@ def _read(docs: DataFrame, places: DataFrame) -> DataFrame:
         "x.k", "x.l1", "x.l2", words(F.get("all", F.col("x.line"))).alias("w")).where("xxhash64(w) = l1 and xxhash64(1, w) = l2").select("k", "w")
 
 
-def _shared_runs(scratch: Scratch, docs: DataFrame, nodes: DataFrame, s: Settings) -> Kept:
-    """(key, k, n, odd, before): the runs of each line that another line has too, and the line before it by length with that run."""
-    hashed = _read(docs, nodes.select("k", "d", "line", "l1", "l2")).select("k", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    # An id and line number that several rows share may give the line more than once.
-    once = scratch.keep(hashed.select("k", F.size("w").alias("n"), parities(F.col("w")).alias("odd"), run_keys(F.col("w"), F.size("w"), s).alias("keys")).dropDuplicates(["k"]), "runs")
-    order = Window.partitionBy("key").orderBy("n", "k")
-    filed = once.df.select("k", "n", F.explode("keys").alias("key")).select("key", "k", "n", F.lag("k").over(order).alias("before"), F.lead("k").over(order).alias("after"))
-    shared = filed.where("before is not null or after is not null").select("key", "k", "n", "before")
-    out = scratch.keep(shared.join(once.df.select("k", "odd"), "k"), "shared")
-    once.drop()
-    return out
+def _with_neighbours(rows: DataFrame) -> tuple[DataFrame, list]:
+    """``rows`` (key, k, ...) whose key several lines hold, with the line before and the first line under the key; and the hottest keys.
+
+    One exchange by key. Keys that very many lines hold, as a sample of the lines tells, are cut into parts in the same exchange."""
+    sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HOT)
+    hot = [r["key"] for r in sample.orderBy(F.desc("c"), "key").limit(HOTTEST).collect()]
+    part = F.when(F.col("key").isin(hot), F.pmod(F.hash("k"), F.lit(DEALT))).otherwise(F.lit(0)) if hot else F.lit(0)
+    order = Window.partitionBy("key", "part").orderBy("k")
+    placed = rows.withColumn("part", part.cast("int")).withColumns({"before": F.lag("k").over(order), "after": F.lead("k").over(order), "hub": F.first("k").over(order)})
+    return placed.where("before is not null or after is not null").drop("after", "part"), hot
 
 
 def _verify(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, s: Settings) -> Kept:
@@ -194,42 +211,51 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     """(doc_id, line_no, kept_doc_id, kept_line_no): every line that repeats an earlier one, exactly or nearly; lines count from 0."""
     s, scratch = settings, Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.col("text")).where("text is not null and text <> ''")
-    every = scratch.keep(signed_lines(docs, s.min_words, min_chars=s.min_chars), "lines").df
-    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("many"))
-                         .select("l1", "l2", "m.d", "m.line", "sig", "n", "many", F.monotonically_increasing_id().alias("k")), "nodes").df
+    short = s.short if s.distance is None else 0
+    every = scratch.keep(signed_lines(docs, s.min_words, min_chars=s.min_chars, short=short, similarity=s.similarity), "lines").df
+    anchors = [f"a{i}" for i in range(len(ORDERS))]
+    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("n", "sig", *anchors)])
+                         .select("l1", "l2", "m.d", "m.line", "n", "sig", *anchors, "many", F.monotonically_increasing_id().alias("k")), "nodes").df
     fuzzy = nodes.where(F.col("n") >= s.min_words)
-    count = fuzzy.count()
-
-    bits = NEAR if s.distance is None else s.distance
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     alike = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.greatest(x, y) * (1 - s.similarity) + 1e-9  # noqa: E731  an edit distance is at least the difference in length
-    order = Window.partitionBy(F.shiftrightunsigned("sig", 48)).orderBy("sig", "k")
-    beside = fuzzy.select("k", "sig", "n", F.lag(F.struct("k", "sig", "n")).over(order).alias("p")).where("p is not null").select(
-        F.col("p.k").alias("a"), F.col("k").alias("b"), F.col("p.sig").alias("sa"), "sig", F.col("p.n").alias("na"), "n").where(close("sa", "sig") & alike("na", "n")).select("a", "b")
     if s.distance is None:
-        runs = _shared_runs(scratch, docs, fuzzy, s)
-        possible = lambda x, y, m, n: alike(m, n) & (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits(F.greatest(m, n), s))
-        sides = runs.df.select("k", "n", "odd").distinct()
-        next_to = runs.df.where("before is not null").select(F.col("before").alias("a"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")).distinct()
-        beside = beside.unionByName(next_to.join(sides.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a").where(possible("oa", "ob", "na", "nb")).select("a", "b"))
+        anchored, _ = _with_neighbours(fuzzy.select("k", "sig", F.explode(F.array(*[F.xxhash64(F.lit(i), a) for i, a in enumerate(anchors)])).alias("key")))
+        blocks = F.array(*[F.xxhash64("key", F.lit(j), F.shiftrightunsigned("sig", 8 * j).bitwiseAND(F.lit(255))) for j in range(8)])
+        runs = every.where("runs is not null").dropDuplicates(["l1", "l2"]).join(fuzzy.select("l1", "l2", "k"), ["l1", "l2"]).select("k", F.explode("runs").alias("key"))
+        filed = anchored.select("k", F.explode(blocks).alias("key")).unionByName(runs)
+        possible = alike("na", "nb") & ((near("sa", "sb") <= s.bits) | (F.greatest("na", "nb") <= short))
+    else:
+        blocks, agree = block_plan(fuzzy.count(), s.distance)
+        filed = fuzzy.select("k", F.explode(block_keys(F.col("sig"), blocks, agree)).alias("key"))
+        possible = alike("na", "nb") & (near("sa", "sb") <= s.distance)
+    filed = scratch.keep(filed, "filed")
+    with_neighbours, hot = _with_neighbours(filed.df)
+    shared = scratch.keep(with_neighbours, "shared")
+    filed.drop()
+    # Few rows: one per hot key, of which there are at most HOTTEST.
+    hubs = shared.df.where(F.col("key").isin(hot)).groupBy("key").agg(F.min("k").alias("top")) if hot else None
+    # Of a pair only the lengths and SimHashes of lines that share a key are looked up.
+    lines = scratch.keep(shared.df.select("k").distinct().join(fuzzy.select("k", "n", "sig"), "k"), "sides")
+    side = lambda k, e: lines.df.select(F.col("k").alias(k), F.col("n").alias("n" + e), F.col("sig").alias("s" + e))
+
+    beside = shared.df.where("before is not null").select(F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("k").alias("b")), F.struct(F.col("hub").alias("a"), F.col("k").alias("b")))).alias("p")).select("p.*")
+    if hubs is not None:
+        beside = beside.unionByName(shared.df.join(F.broadcast(hubs), "key").select(F.col("top").alias("a"), F.col("k").alias("b")).where("a <> b"))
+    beside = beside.distinct().join(side("a", "a"), "a").join(side("b", "b"), "b").where(possible).select("a", "b")
     first = _verify(scratch, docs, fuzzy, beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), s)
     found = components(scratch, first.df)
 
-    if s.distance is None:
-        filed = scratch.keep(runs.df.drop("before").join(found.df, F.col("k") == F.col("id"), "left").select("key", "k", "n", F.col("odd").alias("sig"), F.coalesce("component", "k").alias("c")), "filed").df
-        runs.drop()
-        # Runs inside one component have nothing more to tell.
-        between = filed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-        filed = scratch.keep(filed.join(between, "key"), "between").df
-        near = possible("siga", "sigb", "na", "nb")
-    else:
-        blocks, agree = block_plan(count, s.distance)
-        named = fuzzy.select("k", "sig", "n").join(found.df, F.col("k") == F.col("id"), "left").select("k", "sig", "n", F.coalesce("component", "k").alias("c"))
-        filed = named.select("k", "sig", "n", "c", F.explode(block_keys(F.col("sig"), blocks, agree)).alias("key"))
-        near = close("siga", "sigb") & alike("na", "nb")
-    left, right = (filed.select("key", *[F.col(c).alias(c + e) for c in ("k", "sig", "n", "c")]) for e in ("a", "b"))
-    meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & near).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    # Keys inside one component have nothing more to tell.
+    named = scratch.keep(shared.df.select("key", "k").join(found.df, F.col("k") == F.col("id"), "left").select("key", "k", F.coalesce("component", "k").alias("c")), "named")
+    shared.drop()
+    between = named.df.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+    open_ = scratch.keep(named.df.join(between, "key").join(lines.df, "k"), "open")
+    named.drop()
+    left, right = (open_.df.select("key", *[F.col(c).alias(t + e) for c, t in (("k", "k"), ("n", "n"), ("sig", "s"), ("c", "c"))]) for e in ("a", "b"))
+    meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & possible).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     more = _verify(scratch, docs, fuzzy, meet, s)
+    open_.drop()
     # The components so far stand for the links that made them.
     final = components(scratch, found.df.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more.df))
 
