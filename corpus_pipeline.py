@@ -33,8 +33,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """One document (the smallest id) of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
     ready(spark)
     groups = ngram_jaccard.near_copies(docs.select("doc_id", "text"), ngram_jaccard.Settings(words=5, percent=80))
-    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == F.col("_copy"), "left_anti")
+    copies = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_copy")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
+    return rows.join(copies, F.col("_id").eqNullSafe(F.col("_copy")), "left_anti").select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
