@@ -13,7 +13,7 @@ spread over the whole range). Lines of up to 12 words, where one word moves very
 which finds all of them. With a ``distance``, lines meet on blocks alone, and all pairs within that many bits are found: two hashes that differ in at most
 ``distance`` bits agree in some choice of blocks.
 
-First each line is compared with its neighbour and the first line under a key, and what that connects is one component;
+First each line is compared with its neighbour and the hub under a key, and what that connects is one component;
 then pairs of different components meet. So a group of near copies does not give all its pairs. Keys that a very large number of lines
 hold are found on a sample of the nodes and dealt over several tasks; results do not depend on that. DataFrame functions only.
 
@@ -98,11 +98,12 @@ def long_simhash(features: Column) -> Column:
 
 
 def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_chars: int | None = None, short: int = 0, similarity: float = 0.8) -> DataFrame:
-    """(d, line, l1, l2, n, runs, sig, a0..a5): place, hashes of the words, their number, runs (up to ``short`` words), SimHash and anchors of
+    """(d, line, l1, l2, n, runs, sig, p1, p2, a0..a5): place, hashes of the words, their number, runs (up to ``short`` words), SimHash, parities and anchors of
     every line with ``min_words`` words; lines with fewer, but ``min_chars`` characters in at least one, have the first five only. ``docs`` has d and text.
 
     Bit k of every second byte is counted in sum k, so sixteen sums of a combining aggregate hold all 64 counters of a
     line of up to ``most`` features, and one addition compares four of them with half the number. Longer lines are counted in chunks in their row.
+    Bit b of the 128 parities tells whether an odd number of words has it, so an edit changes two at most.
     """
     lines = docs.select("d", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     # The words are bound once per line, behind a generator, so that no later expression splits the line again.
@@ -110,8 +111,9 @@ def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_char
     if min_chars is not None:
         enough = lambda w: (F.size(w) >= min_words) | (F.length(F.array_join(w, "")) >= F.lit(max(1, min_chars)))
     held = F.filter(F.array(words(F.col("body"))), enough)
-    runs_of_three = lambda w: F.transform(w, lambda x, i: F.struct(feature(x).alias("x"), F.when((i > 1) | (F.size(w) < 3), F.xxhash64(F.when(i > 1, F.get(w, i - 2)), F.when(i > 0, F.get(w, i - 1)), x)).alias("g")))
-    empty = F.array(F.struct(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("g")))
+    runs_of_three = lambda w: F.transform(w, lambda x, i: F.struct(feature(x).alias("x"), F.xxhash64(x).alias("y"), F.when((i > 1) | (F.size(w) < 3), F.xxhash64(F.when(i > 1, F.get(w, i - 2)), F.when(i > 0, F.get(w, i - 1)), x)).alias("g")))
+    empty = F.array(F.struct(*[F.lit(None).cast("long").alias(c) for c in ("x", "y", "g")]))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
     parts = F.transform(held, lambda w: F.struct(
         F.xxhash64(w).alias("l1"), F.xxhash64(F.lit(1), w).alias("l2"), F.size(w).alias("n"),
         F.when(F.size(w) >= min_words, runs_of_three(w)).otherwise(empty).alias("p"),
@@ -121,12 +123,13 @@ def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_char
     bound = lines.select("d", "line", F.inline(parts)).select(*keys, F.when(F.col("n") > most, long_simhash(F.col("many"))).alias("long"), F.explode("p").alias("p"))
     sums = bound.select(*keys, "long", "p.*").groupBy(*keys, "long").agg(
         *[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(WIDE))).alias(f"s{k}") for k in range(16)], F.count("x").alias("m"), F.count("g").alias("any"),
+        *[F.bit_xor(F.when(F.pmod(F.shiftright("y", 6), F.lit(2)) == half, bit(F.pmod("y", F.lit(64))))).alias(name) for half, name in ((0, "p1"), (1, "p2"))],
         *[F.min(F.col("g").bitwiseXOR(F.lit(mask))).alias(f"a{i}") for i, mask in enumerate(ORDERS)])
     margin = (F.lit(MOST) - F.least((F.col("m") / 2).cast("int"), F.lit(MOST))).cast("long") * F.lit(WIDE)
     sig = F.lit(0).cast("long")
     for k in range(16):
         sig = sig.bitwiseOR(F.shiftleft(F.shiftrightunsigned((F.coalesce(F.col(f"s{k}"), F.lit(0)) + margin).bitwiseAND(F.lit((MOST + 1) * WIDE)), 14), k))
-    return sums.select(*keys, F.when(F.col("any") > 0, F.coalesce("long", sig)).alias("sig"), *[f"a{i}" for i in range(len(ORDERS))])
+    return sums.select(*keys, F.when(F.col("any") > 0, F.coalesce("long", sig)).alias("sig"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("p1", "p2")], *[f"a{i}" for i in range(len(ORDERS))])
 
 
 def block_plan(lines: int, distance: int) -> tuple[int, int]:
@@ -181,16 +184,16 @@ def _read(docs: DataFrame, places: DataFrame) -> DataFrame:
         "x.k", "x.l1", "x.l2", words(F.get("all", F.col("x.line"))).alias("w")).where("xxhash64(w) = l1 and xxhash64(1, w) = l2").select("k", "w")
 
 
-def _with_neighbours(rows: DataFrame) -> tuple[DataFrame, list]:
-    """``rows`` (key, k, ...) whose key several lines hold, with the line before and the first line under the key; and the hottest keys.
+def _with_neighbours(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, k, ...) whose key several lines hold, with the line before under the key.
 
     One exchange by key. Keys that very many lines hold, as a sample of the lines tells, are cut into parts in the same exchange."""
     sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HOT)
     hot = [r["key"] for r in sample.orderBy(F.desc("c"), "key").limit(HOTTEST).collect()]
     part = F.when(F.col("key").isin(hot), F.pmod(F.hash("k"), F.lit(DEALT))).otherwise(F.lit(0)) if hot else F.lit(0)
     order = Window.partitionBy("key", "part").orderBy("k")
-    placed = rows.withColumn("part", part.cast("int")).withColumns({"before": F.lag("k").over(order), "after": F.lead("k").over(order), "hub": F.first("k").over(order)})
-    return placed.where("before is not null or after is not null").drop("after", "part"), hot
+    placed = rows.withColumn("part", part.cast("int")).withColumns({"before": F.lag("k").over(order), "after": F.lead("k").over(order)})
+    return placed.where("before is not null or after is not null").drop("after", "part")
 
 
 def _verify(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, s: Settings) -> Kept:
@@ -214,34 +217,34 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     short = s.short if s.distance is None else 0
     every = scratch.keep(signed_lines(docs, s.min_words, min_chars=s.min_chars, short=short, similarity=s.similarity), "lines").df
     anchors = [f"a{i}" for i in range(len(ORDERS))]
-    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("n", "sig", *anchors)])
-                         .select("l1", "l2", "m.d", "m.line", "n", "sig", *anchors, "many", F.monotonically_increasing_id().alias("k")), "nodes").df
+    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("n", "sig", "p1", "p2", *anchors)])
+                         .select("l1", "l2", "m.d", "m.line", "n", "sig", "p1", "p2", *anchors, "many", F.monotonically_increasing_id().alias("k")), "nodes").df
     fuzzy = nodes.where(F.col("n") >= s.min_words)
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    alike = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.greatest(x, y) * (1 - s.similarity) + 1e-9  # noqa: E731  an edit distance is at least the difference in length
+    apart = lambda c: F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b")))
+    # An edit distance is at least the difference in length, and half the number of parities that differ.
+    able = (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - s.similarity) + 1e-9) & (apart("p1") + apart("p2") <= 2 * edits(F.greatest("na", "nb"), s.similarity))
     if s.distance is None:
-        anchored, _ = _with_neighbours(fuzzy.select("k", "sig", F.explode(F.array(*[F.xxhash64(F.lit(i), a) for i, a in enumerate(anchors)])).alias("key")))
+        anchored = _with_neighbours(fuzzy.select("k", "sig", F.explode(F.array(*[F.xxhash64(F.lit(i), a) for i, a in enumerate(anchors)])).alias("key")))
         blocks = F.array(*[F.xxhash64("key", F.lit(j), F.shiftrightunsigned("sig", 8 * j).bitwiseAND(F.lit(255))) for j in range(8)])
         runs = every.where("runs is not null").dropDuplicates(["l1", "l2"]).join(fuzzy.select("l1", "l2", "k"), ["l1", "l2"]).select("k", F.explode("runs").alias("key"))
         filed = anchored.select("k", F.explode(blocks).alias("key")).unionByName(runs)
-        possible = alike("na", "nb") & ((near("sa", "sb") <= s.bits) | (F.greatest("na", "nb") <= short))
+        possible = able & ((apart("sig") <= s.bits) | (F.greatest("na", "nb") <= short))
     else:
         blocks, agree = block_plan(fuzzy.count(), s.distance)
         filed = fuzzy.select("k", F.explode(block_keys(F.col("sig"), blocks, agree)).alias("key"))
-        possible = alike("na", "nb") & (near("sa", "sb") <= s.distance)
+        possible = able & (apart("sig") <= s.distance)
     filed = scratch.keep(filed, "filed")
-    with_neighbours, hot = _with_neighbours(filed.df)
-    shared = scratch.keep(with_neighbours, "shared")
+    shared = scratch.keep(_with_neighbours(filed.df), "shared")
     filed.drop()
-    # Few rows: one per hot key, of which there are at most HOTTEST.
-    hubs = shared.df.where(F.col("key").isin(hot)).groupBy("key").agg(F.min("k").alias("top")) if hot else None
-    # Of a pair only the lengths and SimHashes of lines that share a key are looked up.
-    lines = scratch.keep(shared.df.select("k").distinct().join(fuzzy.select("k", "n", "sig"), "k"), "sides")
-    side = lambda k, e: lines.df.select(F.col("k").alias(k), F.col("n").alias("n" + e), F.col("sig").alias("s" + e))
-
-    beside = shared.df.where("before is not null").select(F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("k").alias("b")), F.struct(F.col("hub").alias("a"), F.col("k").alias("b")))).alias("p")).select("p.*")
-    if hubs is not None:
-        beside = beside.unionByName(shared.df.join(F.broadcast(hubs), "key").select(F.col("top").alias("a"), F.col("k").alias("b")).where("a <> b"))
+    # Of a pair only the lengths, SimHashes and parities of lines that share a key are looked up. ``held`` counts a line's shared keys.
+    facts = ("n", "sig", "p1", "p2")
+    lines = scratch.keep(shared.df.groupBy("k").agg(F.count(F.lit(1)).alias("held")).join(fuzzy.select("k", *facts), "k"), "sides")
+    side = lambda k, e: lines.df.select(F.col("k").alias(k), *[F.col(c).alias(c + e) for c in facts])
+
+    # The hub of a key is the line with most shared keys: of a group of variants most likely the one they come from.
+    hubs = scratch.keep(shared.df.select("key", "k").join(lines.df.select("k", "held"), "k").groupBy("key").agg(F.max(F.struct("held", "k")).alias("m")).select("key", F.col("m.k").alias("hub")), "hubs")
+    central = shared.df.select("key", "k").join(hubs.df, "key").select(F.col("hub").alias("a"), F.col("k").alias("b")).where("a <> b")
+    beside = shared.df.where("before is not null").select(F.col("before").alias("a"), F.col("k").alias("b")).unionByName(central)
     beside = beside.distinct().join(side("a", "a"), "a").join(side("b", "b"), "b").where(possible).select("a", "b")
     first = _verify(scratch, docs, fuzzy, beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), s)
     found = components(scratch, first.df)
@@ -249,10 +252,11 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     # Keys inside one component have nothing more to tell.
     named = scratch.keep(shared.df.select("key", "k").join(found.df, F.col("k") == F.col("id"), "left").select("key", "k", F.coalesce("component", "k").alias("c")), "named")
     shared.drop()
+    hubs.drop()
     between = named.df.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    open_ = scratch.keep(named.df.join(between, "key").join(lines.df, "k"), "open")
+    open_ = scratch.keep(named.df.join(between, "key").join(lines.df.drop("held"), "k"), "open")
     named.drop()
-    left, right = (open_.df.select("key", *[F.col(c).alias(t + e) for c, t in (("k", "k"), ("n", "n"), ("sig", "s"), ("c", "c"))]) for e in ("a", "b"))
+    left, right = (open_.df.select("key", *[F.col(c).alias(t + e) for c, t in [("k", "k"), ("c", "c"), *((x, x) for x in facts)]]) for e in ("a", "b"))
     meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & possible).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     more = _verify(scratch, docs, fuzzy, meet, s)
     open_.drop()
