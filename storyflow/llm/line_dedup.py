@@ -45,8 +45,8 @@ class Settings:
     #: Only pairs whose SimHashes differ in at most so many bits, all of them; None: pairs under a common anchor and block.
     distance: int | None = None
     similarity: float = 0.8
-    #: Most bits in which the SimHashes of a pair that is verified differ (one word in five changes 13 of 64 on average).
-    bits: int = 22
+    #: Most bits in which the SimHashes of a pair that is verified differ (one word in five changes 13 of 64 on average, give or take 3).
+    bits: int = 20
     #: Longest lines that also meet on runs of words.
     short: int = 12
 
@@ -62,6 +62,7 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Features that two-byte counters hold with a margin of as many, below the sign bit. Longer lines are counted in chunks.
 MOST = 16_383
 CHUNK = 63
+PARITIES = [f"p{i}" for i in range(8)]
 ONES, WIDE = 0x0101010101010101, 0x0001000100010001
 
 
@@ -98,12 +99,12 @@ def long_simhash(features: Column) -> Column:
 
 
 def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_chars: int | None = None, short: int = 0, similarity: float = 0.8) -> DataFrame:
-    """(d, line, l1, l2, n, runs, sig, p1, p2, a0..a5): place, hashes of the words, their number, runs (up to ``short`` words), SimHash, parities and anchors of
+    """(d, line, l1, l2, n, runs, sig, p0..p7, a0..a5): place, hashes of the words, their number, runs (up to ``short`` words), SimHash, parities and anchors of
     every line with ``min_words`` words; lines with fewer, but ``min_chars`` characters in at least one, have the first five only. ``docs`` has d and text.
 
     Bit k of every second byte is counted in sum k, so sixteen sums of a combining aggregate hold all 64 counters of a
     line of up to ``most`` features, and one addition compares four of them with half the number. Longer lines are counted in chunks in their row.
-    Bit b of the 128 parities tells whether an odd number of words has it, so an edit changes two at most.
+    Bit b of the 512 parities tells whether an odd number of words has it, so an edit changes two at most.
     """
     lines = docs.select("d", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     # The words are bound once per line, behind a generator, so that no later expression splits the line again.
@@ -123,13 +124,13 @@ def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_char
     bound = lines.select("d", "line", F.inline(parts)).select(*keys, F.when(F.col("n") > most, long_simhash(F.col("many"))).alias("long"), F.explode("p").alias("p"))
     sums = bound.select(*keys, "long", "p.*").groupBy(*keys, "long").agg(
         *[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(WIDE))).alias(f"s{k}") for k in range(16)], F.count("x").alias("m"), F.count("g").alias("any"),
-        *[F.bit_xor(F.when(F.pmod(F.shiftright("y", 6), F.lit(2)) == half, bit(F.pmod("y", F.lit(64))))).alias(name) for half, name in ((0, "p1"), (1, "p2"))],
+        *[F.bit_xor(F.when(F.col("y").bitwiseAND(F.lit(448)) == 64 * i, bit(F.col("y").bitwiseAND(F.lit(63))))).alias(p) for i, p in enumerate(PARITIES)],
         *[F.min(F.col("g").bitwiseXOR(F.lit(mask))).alias(f"a{i}") for i, mask in enumerate(ORDERS)])
     margin = (F.lit(MOST) - F.least((F.col("m") / 2).cast("int"), F.lit(MOST))).cast("long") * F.lit(WIDE)
     sig = F.lit(0).cast("long")
     for k in range(16):
         sig = sig.bitwiseOR(F.shiftleft(F.shiftrightunsigned((F.coalesce(F.col(f"s{k}"), F.lit(0)) + margin).bitwiseAND(F.lit((MOST + 1) * WIDE)), 14), k))
-    return sums.select(*keys, F.when(F.col("any") > 0, F.coalesce("long", sig)).alias("sig"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("p1", "p2")], *[f"a{i}" for i in range(len(ORDERS))])
+    return sums.select(*keys, F.when(F.col("any") > 0, F.coalesce("long", sig)).alias("sig"), *[F.coalesce(p, F.lit(0)).alias(p) for p in PARITIES], *[f"a{i}" for i in range(len(ORDERS))])
 
 
 def block_plan(lines: int, distance: int) -> tuple[int, int]:
@@ -140,6 +141,19 @@ def block_plan(lines: int, distance: int) -> tuple[int, int]:
     return distance + agree, agree
 
 
+def anchored_key(anchor_key: Column, j: int) -> Column:
+    return F.xxhash64(anchor_key, F.lit(j), F.shiftrightunsigned("sig", 8 * j).bitwiseAND(F.lit(255)))
+
+
+def first_common() -> Column:
+    """For a pair of lines, the number of the first anchor and block that agree, as ``repeated_lines`` counts its keys: under that key the pair
+    is written, under others not again."""
+    chosen = lambda tests: F.coalesce(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)])
+    anchor = chosen([F.col(f"a{i}a") == F.col(f"a{i}b") for i in range(len(ORDERS))])
+    block = chosen([F.shiftrightunsigned(F.col("siga").bitwiseXOR(F.col("sigb")), 8 * j).bitwiseAND(F.lit(255)) == 0 for j in range(8)])
+    return anchor * 8 + block + 1
+
+
 def block_keys(sig: Column, blocks: int, agree: int) -> Column:
     """One key for each choice of ``agree`` blocks of the 64 bits."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
@@ -217,15 +231,15 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     short = s.short if s.distance is None else 0
     every = scratch.keep(signed_lines(docs, s.min_words, min_chars=s.min_chars, short=short, similarity=s.similarity), "lines").df
     anchors = [f"a{i}" for i in range(len(ORDERS))]
-    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("n", "sig", "p1", "p2", *anchors)])
-                         .select("l1", "l2", "m.d", "m.line", "n", "sig", "p1", "p2", *anchors, "many", F.monotonically_increasing_id().alias("k")), "nodes").df
+    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("n", "sig", *PARITIES, *anchors)])
+                         .select("l1", "l2", "m.d", "m.line", "n", "sig", *PARITIES, *anchors, "many", F.monotonically_increasing_id().alias("k")), "nodes").df
     fuzzy = nodes.where(F.col("n") >= s.min_words)
     apart = lambda c: F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b")))
     # An edit distance is at least the difference in length, and half the number of parities that differ.
-    able = (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - s.similarity) + 1e-9) & (apart("p1") + apart("p2") <= 2 * edits(F.greatest("na", "nb"), s.similarity))
+    able = (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - s.similarity) + 1e-9) & (sum(map(apart, PARITIES[1:]), apart(PARITIES[0])) <= 2 * edits(F.greatest("na", "nb"), s.similarity))
     if s.distance is None:
         anchored = _with_neighbours(fuzzy.select("k", "sig", F.explode(F.array(*[F.xxhash64(F.lit(i), a) for i, a in enumerate(anchors)])).alias("key")))
-        blocks = F.array(*[F.xxhash64("key", F.lit(j), F.shiftrightunsigned("sig", 8 * j).bitwiseAND(F.lit(255))) for j in range(8)])
+        blocks = F.array(*[anchored_key(F.col("key"), j) for j in range(8)])
         runs = every.where("runs is not null").dropDuplicates(["l1", "l2"]).join(fuzzy.select("l1", "l2", "k"), ["l1", "l2"]).select("k", F.explode("runs").alias("key"))
         filed = anchored.select("k", F.explode(blocks).alias("key")).unionByName(runs)
         possible = able & ((apart("sig") <= s.bits) | (F.greatest("na", "nb") <= short))
@@ -237,7 +251,7 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     shared = scratch.keep(_with_neighbours(filed.df), "shared")
     filed.drop()
     # Of a pair only the lengths, SimHashes and parities of lines that share a key are looked up. ``held`` counts a line's shared keys.
-    facts = ("n", "sig", "p1", "p2")
+    facts = ("n", "sig", *PARITIES, *anchors)
     lines = scratch.keep(shared.df.groupBy("k").agg(F.count(F.lit(1)).alias("held")).join(fuzzy.select("k", *facts), "k"), "sides")
     side = lambda k, e: lines.df.select(F.col("k").alias(k), *[F.col(c).alias(c + e) for c in facts])
 
@@ -254,10 +268,12 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     shared.drop()
     hubs.drop()
     between = named.df.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    open_ = scratch.keep(named.df.join(between, "key").join(lines.df.drop("held"), "k"), "open")
+    # ``at``: which anchor and block make the key; 0 for other keys.
+    at = F.array_position(F.array(*[anchored_key(F.xxhash64(F.lit(i), a), j) for i, a in enumerate(anchors) for j in range(8)]), F.col("key")) if s.distance is None else F.lit(0)
+    open_ = scratch.keep(named.df.join(between, "key").join(lines.df.drop("held"), "k").withColumn("at", at), "open")
     named.drop()
-    left, right = (open_.df.select("key", *[F.col(c).alias(t + e) for c, t in [("k", "k"), ("c", "c"), *((x, x) for x in facts)]]) for e in ("a", "b"))
-    meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & possible).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    left, right = (open_.df.select("key", *[F.col(c).alias(t + e) for c, t in ((x, x) for x in ("k", "c", "at", *facts))]) for e in ("a", "b"))
+    meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & possible & ((F.col("ata") == 0) | (F.col("ata") == first_common()))).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     more = _verify(scratch, docs, fuzzy, meet, s)
     open_.drop()
     # The components so far stand for the links that made them.
