@@ -23,6 +23,7 @@ class EngineConfig:
     semantic_window_hours: int = 48
     title_jaccard: float = 0.35
     event_window_hours: int = 72
+    event_vector: float = 0.88
     max_age_hours: float = 168.0
     future_tolerance_hours: float = 0.25
     interrupt_priority: float = 85.0

@@ -21,6 +21,7 @@ from storyflow.config import DEFAULT, EngineConfig
 from storyflow.functions import scores as S
 from storyflow.functions.dates import hours_before, ts
 from storyflow.functions.text import normalize_title, tokens
+from storyflow.operators.vectors import cosine_join
 from storyflow.operators.similarity import (
     cross_pairs, order_tokens, self_pairs, token_frequency, token_loads,
 )
@@ -181,7 +182,8 @@ def match_events(clusters: DataFrame, events: DataFrame, as_of, cfg: EngineConfi
 
     Same primary url wins (newest event); the rest takes the best headline similarity, then
     the newest event. All recent events compete. Headlines with equal token sets collapse to
-    their newest event first, because any other copy would lose the tie."""
+    their newest event first, because any other copy would lose the tie. Where both sides carry an ``embedding``, clusters
+    that are still open take the event with the best cosine of at least ``cfg.event_vector`` (match ``vector``, with the cosine as its similarity)."""
     recent = events.filter((F.col("created_at") >= hours_before(as_of, cfg.event_window_hours))
                            & (F.col("created_at") <= ts(as_of)))
     recency = F.struct(F.unix_micros("created_at").alias("t"), F.col("event_id").alias("i"))
@@ -212,7 +214,14 @@ def match_events(clusters: DataFrame, events: DataFrame, as_of, cfg: EngineConfi
         .select(F.col("rank").alias("leader_id"), F.col("m.b").alias("event_id"), F.lit("title").alias("match"),
                 F.col("m.jaccard").alias("jaccard"))
     )
-    return exact.unionByName(by_title)
+    found = exact.unionByName(by_title)
+    if "embedding" not in clusters.columns or "embedding" not in events.columns:
+        return found
+    found = materialize(found, "matched")
+    still = open_clusters.join(found.select("leader_id"), "leader_id", "left_anti")
+    near = cosine_join(still.select(F.col("leader_id").alias("id"), F.col("embedding").alias("v")),
+                       recent.select(F.col("event_id").alias("id"), F.col("embedding").alias("v")), cfg.event_vector, cfg)
+    return found.unionByName(near.select(F.col("left_id").alias("leader_id"), F.col("right_id").alias("event_id"), F.lit("vector").alias("match"), F.col("score").alias("jaccard")))
 
 
 def new_event_id(url: Column, as_of) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from storyflow.functions.dates import start_of_day, ts
+from storyflow.session import materialize
 
 
 def platform_stats(articles: DataFrame, users: DataFrame, briefs: DataFrame, sources: DataFrame, as_of) -> DataFrame:
@@ -29,23 +32,23 @@ def articles_per_source(articles: DataFrame, analyses: DataFrame) -> DataFrame:
         F.count("*").alias("articles"), F.grouping_id().cast("int").alias("level"))
 
 
-def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Row count of a pipeline stage, collected while the stage runs."""
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with metrics that are taken while it runs."""
     obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
-
-
-def stage_counts(checked: DataFrame, verified: DataFrame, deduped: DataFrame) -> DataFrame:
-    """One row per stage: fetched, accepted, verified, duplicates, saved."""
-    row = lambda df, name, c: df.agg(c.cast("long").alias("rows")).select(F.lit(name).alias("stage"), "rows")
-    ok = F.col("reason") == "accepted"
-    return (
-        row(checked, "fetched", F.count("*"))
-        .unionByName(row(checked, "accepted", F.count_if(ok)))
-        .unionByName(row(verified, "verified", F.count_if("is_verified")))
-        .unionByName(row(deduped, "duplicates", F.count_if("is_duplicate")))
-        .unionByName(row(deduped, "saved", F.count_if(~F.col("is_duplicate"))))
-    )
+    return df.observe(obs, *[c.cast("long").alias(k) for k, c in metrics.items()]), obs
+
+
+def ingest_run(checked: DataFrame, verify: Callable[[DataFrame], DataFrame], dedup: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Run the stages of one ingest and count their rows on the way: the deduplicated rows, and one row per
+    stage (fetched, accepted, verified, duplicates, saved). Each stage runs once; its counts come with that run."""
+    reason = F.col("reason")
+    first, fetched = observed(checked, "fetched", fetched=F.count(F.lit(1)), accepted=F.count_if(reason == "accepted"))
+    second, trusted = observed(verify(first.filter(reason == "accepted")), "verified", verified=F.count_if("is_verified"))
+    kept = materialize(second, "verified")
+    third, judged = observed(dedup(kept.filter("is_verified")), "dedup", duplicates=F.count_if("is_duplicate"), saved=F.count_if(~F.col("is_duplicate")))
+    out = materialize(third, "deduplicated")
+    counts = fetched.get | trusted.get | judged.get
+    return out, checked.sparkSession.createDataFrame(list(counts.items()), "stage string, rows long")
 
 
 def request_counts(requests: DataFrame, limit_authenticated: int = 100, limit_anonymous: int = 20,

@@ -237,9 +237,21 @@ def _events(d):
     return _history(d.f_story_events)
 
 
-@query("cl_04", f"WITH {_NEW_ASG} SELECT leader_id, event_id, match, {half_even('jaccard', 6)} AS jaccard FROM ma")
+_EVENT_COS = "round_even(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) * 1e6, 0) / 1e6"
+# Stored vectors are topic vectors, so the threshold is lower here.
+_EVENT_NEAR = replace(DEFAULT, event_vector=0.35)
+
+
+@query("cl_04", f"""
+WITH {_NEW_ASG},
+mv AS (SELECT leader_id, event_id, cos, row_number() OVER (PARTITION BY leader_id ORDER BY cos DESC, event_id) AS rn
+  FROM (SELECT c.leader_id, ev.event_id, {_EVENT_COS} AS cos FROM cl c JOIN embeddings x ON x.vec_id = c.leader_id, ev JOIN embeddings y ON y.vec_id = ev.event_id
+    WHERE c.leader_id NOT IN (SELECT leader_id FROM ma)) WHERE cos >= 0.35e0)
+SELECT leader_id, event_id, match, {half_even('jaccard', 6)} AS jaccard FROM (SELECT * FROM ma UNION ALL SELECT leader_id, event_id, 'vector', cos FROM mv WHERE rn = 1)""")
 def _(d):
-    return CL.match_events(_clusters(d), _events(d), AS_OF).withColumn("jaccard", T.py_round(F.col("jaccard"), 6))
+    """Clusters to events by url, title, then vector."""
+    vectors = lambda df, key: df.join(d.embeddings.select(F.col("vec_id").alias(key), "embedding"), key, "left")
+    return CL.match_events(vectors(_clusters(d), "leader_id"), vectors(_events(d), "event_id"), AS_OF, _EVENT_NEAR).withColumn("jaccard", T.py_round(F.col("jaccard"), 6))
 
 
 _P_NEW = priority_sql(fresh=f"CASE WHEN earliest_published IS NULL THEN 30e0 ELSE {curve_sql('greatest(5e0, 20e0 - (' + age0('earliest_published') + ' - 48e0) * 0.125e0)', age0('earliest_published'))} END",

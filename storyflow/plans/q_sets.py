@@ -272,15 +272,25 @@ def _(d):
     return SE.search_many(_vector_queries(d), d.f_event_vectors, AS_OF).select(*_HITS)
 
 
-@query("ud_04", """
+_TERMS = """
 SELECT conv_id, turn, u.pos::INT AS pos, u.term FROM (
   SELECT conv_id, turn, unnest(list_transform(range(1, len(ts) + 1), lambda i: {'pos': i, 'term': ts[i]})) AS u FROM (
-    SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 2) AS ts FROM conversations))""")
+    SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 2) AS ts FROM conversations))"""
+
+
+@query("ud_04", _TERMS)
 def _(d):
     return d.conversations.select("conv_id", "turn", F.posexplode(SE.search_terms(F.col("text"))).alias("p", "term")).select(
         "conv_id", "turn", (F.col("p") + 1).alias("pos"), "term")
 
 
+@query("ud_04_sql", _TERMS)
+def _(d):
+    """The table function, from SQL."""
+    SE.register_functions(d.spark)
+    return d.spark.sql("SELECT conv_id, turn, t.pos, t.term FROM {turns}, LATERAL search_terms(text) AS t", turns=d.conversations)
+
+
 # ------------------------------------------------------------------ FQ
 
 _PUB = "is_verified AND NOT is_duplicate AND ai_processed"

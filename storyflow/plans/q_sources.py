@@ -17,9 +17,9 @@ from storyflow.operators import validate as VF
 from storyflow.operators import dedup as DD
 from storyflow.plans.data import AS_OF
 from storyflow.plans.q_joins import _P_NEW, _ROLL, _STORY_ORDER, _STRONG, greedy_sql
-from storyflow.plans.q_scalar import _norm_url, priority_sql
+from storyflow.plans.q_scalar import _CONTENT_FP, _REASON, _norm_url, priority_sql, trust_sql
 from storyflow.plans.q_sets import _RANKED, _SLUG, requests
-from storyflow.plans.registry import NOW, half_even, jac, joined, query, sql_in, sql_list, stamp, text_ts, token_set
+from storyflow.plans.registry import NOW, half_even, jac, joined, norm_title, query, sql_in, sql_list, stamp, text_ts, token_set
 from storyflow.session import materialize
 from storyflow.sources import pages as PG
 from storyflow.sources import payloads as SR
@@ -231,12 +231,21 @@ def _(d):
         {k: F.lit(v).cast("bigint") for k, v in n.items()})
 
 
-@query("ag_03")
+@query("ag_03", f"""
+WITH RECURSIVE ck AS (SELECT *, {_REASON} AS reason FROM f_articles),
+vr AS (SELECT *, {trust_sql("1")[0]} >= 40 AS ok FROM ck WHERE reason = 'accepted'),
+fp AS (SELECT *, {_norm_url('url')} AS nurl, sha256({norm_title('title')}) AS tfp, {_CONTENT_FP} AS cfp FROM vr WHERE ok),
+k AS (SELECT article_id AS id, '0:' || nurl AS key FROM fp UNION SELECT article_id, '1:' || tfp FROM fp UNION SELECT article_id, '2:' || cfp FROM fp),
+m AS (SELECT key, min(id) AS m FROM k GROUP BY key), e AS (SELECT DISTINCT k.id AS a, m.m AS b FROM k JOIN m ON m.key = k.key UNION SELECT DISTINCT m.m, k.id FROM k JOIN m ON m.key = k.key),
+r(id, n) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.n),
+l AS (SELECT id, min(n) AS label FROM r GROUP BY id)
+SELECT 'fetched' AS stage, count(*)::BIGINT AS rows FROM ck UNION ALL SELECT 'accepted', count_if(reason = 'accepted')::BIGINT FROM ck
+UNION ALL SELECT 'verified', count_if(ok)::BIGINT FROM vr UNION ALL SELECT 'duplicates', (count(*) - count(DISTINCT label))::BIGINT FROM l
+UNION ALL SELECT 'saved', count(DISTINCT label)::BIGINT FROM l""")
 def _(d):
-    checked = VF.validated(d.f_articles, AS_OF)
-    verified = VF.with_trust(checked.filter("reason = 'accepted'"), AS_OF)
-    dd = DD.intra_batch(DD.with_fingerprints(verified.filter("is_verified").withColumn("content_snippet", F.col("body"))))
-    return AG.stage_counts(checked, verified, materialize(dd, "dedup"))
+    verify = lambda rows: VF.with_trust(rows, AS_OF)
+    dedup = lambda rows: DD.intra_batch(DD.with_fingerprints(rows.withColumn("content_snippet", F.col("body"))))
+    return AG.ingest_run(VF.validated(d.f_articles, AS_OF), verify, dedup)[1]
 
 
 # ------------------------------------------------------------------ streams

@@ -8,7 +8,7 @@ from tests.oracle_check import compare, connect
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = queries(), oracle_sql()
 # Streams and multi-step runs without a SQL twin are covered by their own tests.
-NO_SQL = {"src_08", "ud_01", "ag_03"}
+NO_SQL = {"src_08", "ud_01"}
 
 
 @pytest.fixture(scope="module")
