@@ -158,13 +158,13 @@ def _latest(df: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     return df.groupBy(*keys).agg(best).select(*keys, "r.*").select(*df.columns)
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], order: str | None = None, partition_by: str | None = None,
+def upsert(df: DataFrame, path: str, keys: list[str], buckets: int = 1, order: str | None = None, partition_by: str | None = None,
            bucket_rows: int = 1_000_000) -> dict[str, int]:
     """Insert new keys, replace known ones, count both; repeating the call gives the same table, which makes it safe for
     retried stream batches.
 
-    ``partition_by`` names a column that a key never changes (a day, say); ``bucket_rows`` is the size at which buckets split.
-    The columns, keys and partition column of a table are those of its first call."""
+    ``partition_by`` names a column that a key never changes (a day, say); ``bucket_rows`` is the size at which buckets split, and
+    ``buckets`` the least number of them in a new table. The columns, keys and partition column of a table are those of its first call."""
     spark = df.sparkSession
     snapshot = Snapshot.load(spark, path)
     if snapshot is not None:
@@ -180,7 +180,7 @@ def upsert(df: DataFrame, path: str, keys: list[str], order: str | None = None,
         return {"created": 0, "updated": 0}
     schema = new.drop(_PART, _HASH).schema if snapshot is None else snapshot.schema
     if snapshot is None:
-        grown = {p: max(1, math.ceil(n / bucket_rows)) for p, n in added.items()}
+        grown = {p: max(buckets, math.ceil(n / bucket_rows)) for p, n in added.items()}
         _publish(spark, path, 1, _write_segments(new, path, grown), keys, partition_by, schema)
         return {"created": total, "updated": 0}
 
