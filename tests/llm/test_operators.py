@@ -76,32 +76,70 @@ def test_warc(spark, tmp_path):
 # ---- 2
 
 
-def test_licenses(spark):
+AGPL, GPL_3, MIT = (max((t for label, t in licenses.TEMPLATES if label == name), key=len) for name in ("agpl-3", "gpl-3", "mit"))
+
+
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def license_shares(text):
+    """Template -> largest share of it in any block, over all blocks."""
+    w, out = license_words(text), {}
+    for i, (_, t) in enumerate(licenses.TEMPLATES):
+        t = t.split()
+        own = set(t)
+        if len(own) < 12:
+            share = float(any(w[k : k + len(t)] == t for k in range(len(w))))
+        else:
+            span = math.ceil(len(t) * 1.25 - 1e-9)
+            most = max((len(own & set(w[k : k + span])) for k in range(len(w))), default=0)
+            share = most / len(own) if most >= math.ceil(len(own) * 0.8 - 1e-9) else 0.0
+        if share:
+            out[i] = share
+    return out
+
+
+def license_rows():
     rnd = random.Random(2)
+    worn = lambda t, p: " ".join(rnd.choice(["so", "and"]) if rnd.random() < p else w for w in t.split())
     rows = [(1, "X released Under  the MIT-license. " + prose(rnd, 80) + " cc BY-nc"), (2, None), (3, ""), (4, "thunder the mit license underthe mit license"), (5, "apache license, version 2; é under the mit licensee"),
             (6, prose(rnd, 200) + " Licensed under the Apache License Version 2.0 " + prose(rnd, 300)), (7, "GNU Affero General Public License version 3"), (8, prose(rnd, 9000)), (9, "apache license version 2 apache license version 2"), (6, "again"),
-            (10, "the license " * 300)]
+            (10, "the license " * 300), (11, "all reserved seats keep their copyright and rights"), (12, MIT + " " + GPL_3), (13, AGPL), (14, GPL_3), (15, MIT.split(" the above ")[0]), (16, "Software " * 700 + MIT), (None, "copyright, All rights reserved.")]
+    long = [t for _, t in licenses.TEMPLATES if len(set(t.split())) >= 12]
+    return rows + [(20 + k, prose(rnd, rnd.randrange(300)) + " " + worn(rnd.choice(long), rnd.random() * 0.25) + " " + prose(rnd, rnd.randrange(60)) + " " + worn(rnd.choice(long), rnd.random() * 0.25)) for k in range(40)]
+
+
+def test_licenses(spark):
+    rows = license_rows()
     got = collected(licenses.licenses(table(spark, rows)))
     assert len(got) == len(rows)
-    by = {r[0]: r[1:] for r in got if r[0] != 6}
+    by = {(r[0], r[1]): r[1:] for r in got}
     for i, text in rows:
-        if i == 6:
-            continue
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        w = license_words(text)
         spots = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        base, more, score = {label for _, label in spots}, set(), 1.0 if spots else 0.0
-        for b in range(0, max(len(w) - 33, 0) + 1, 32):
-            held = set(w[b : b + 64])
-            m = [(len(set(t.split()) & held) / len(set(t.split())), len(set(t.split())), label) for label, t in licenses.TEMPLATES if len(set(t.split()) & held) >= math.ceil(len(set(t.split())) * 0.8 - 1e-9)]
-            if m:
-                more.add(max(m)[2])
-                score = max(score, max(m)[0])
-        at = [k for k, _ in spots]
-        assert by[i] == (len(w), len(spots), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score), i
-    assert by[1][4] == "cc-by-nc,mit" and by[7][5] == "agpl-3"
+        base, at, shares = {label for _, label in spots}, [k for k, _ in spots], license_shares(text)
+        row = by[i, len(w)]
+        assert row[:5] == (len(w), len(spots), min(at, default=None), max(at, default=None), ",".join(sorted(base))), i
+        assert row[6] == (1.0 if spots else max(shares.values(), default=0.0)), i
+        labels = set(row[5].split(",")) - {""}
+        # The best match of a text always shows; others only if they match.
+        assert base <= labels <= base | {licenses.TEMPLATES[t][0] for t in shares}, i
+        if shares:
+            assert licenses.TEMPLATES[max(shares, key=lambda t: (shares[t], len(set(licenses.TEMPLATES[t][1].split())), t))][0] in labels, i
+    label = {i: row[5] for (i, _), row in by.items()}
+    assert label[1] == "cc-by-nc,mit" and label[7] == "agpl-3" and label[11] == label[10] == "" and label[None] == "all-rights-reserved"
+    assert label[12] == "gpl-3,mit" and label[13] == "agpl-3" and label[14] == "gpl-3" and label[15] == label[16] == "mit"
+    assert by[6, 1][5] == "" and by[6, 508][5] == "apache-2"
     assert collected(licenses.licenses(spark.createDataFrame([], "doc_id long, text string"))) == []
 
 
+def test_license_blocks_equal_brute_force_over_all_blocks(spark):
+    rows = [r for r in license_rows() if r[0] != 6]
+    best = licenses.block_matches(table(spark, rows)).selectExpr("doc_id", "template", "overlap / size AS share").groupBy("doc_id", "template").agg({"share": "max"})
+    assert {(r[0], r[1]): r[2] for r in best.collect()} == {(i, t): share for i, text in rows for t, share in license_shares(text).items()}
+
+
 # ---- 3
 
 
