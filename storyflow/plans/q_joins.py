@@ -11,13 +11,14 @@ from storyflow.config import DEFAULT
 from storyflow.functions import text as T
 from storyflow.operators import cluster as CL
 from storyflow.operators import dedup as DD
+from storyflow.operators import history as HI
 from storyflow.operators import validate as VF
 from storyflow.plans.data import AS_OF, DAY
 from storyflow.plans.q_scalar import (
     _CONTENT_FP, _norm_url, count_sql, curve_sql, entity_fp_sql, priority_sql, trust_sql, TRUST_SET, FUND, IMPACT,
     LAUNCH, GOV, RESEARCH,
 )
-from storyflow.session import materialize
+from storyflow.session import materialize, scratch_path
 from storyflow.plans.registry import NOW, age0, half_even, jac, joined, norm_title, query, sql_in, stamp, text_ts, token_set
 
 # The last day is the new batch, everything before it is history.
@@ -122,6 +123,16 @@ def _(d):
     return DD.entity_duplicates(_batch(rows), _history(rows))
 
 
+# The history goes into the index in two parts; one batch is then looked up in all three hash layers.
+@query("dd_02_index", f"WITH {_FP}, {_HASH} SELECT * FROM ex")
+def _(d):
+    path, fp = scratch_path(d.spark, "fingerprints"), materialize(_fp(d), "fingerprinted")
+    history = _history(fp).where(~F.col("is_duplicate"))
+    for part in (0, 1):
+        HI.add(HI.hash_entries(history.where(F.col("article_id") % 2 == part)), path, bucket_rows=20_000)
+    return HI.duplicates(HI.hash_entries(_batch(fp), "article_id"), path)
+
+
 @query("dd_08", f"""
 WITH {_FP}, {_HASH}, u AS (SELECT DISTINCT ex.canonical_id, b.url FROM ex JOIN f_news b ON b.article_id = ex.article_id)
 SELECT canonical_id, url FROM u UNION SELECT article_id, 'https://seen.example/' || article_id FROM f_news WHERE article_id % 5 = 0""")

@@ -36,7 +36,7 @@ def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = Non
     (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(path)
 
 
-def _readable(spark: SparkSession, path: str, schema: str | None = None) -> bool:
+def readable(spark: SparkSession, path: str, schema: str | None = None) -> bool:
     """Whether Spark's reader finds a table at ``path``, in whatever store. With a schema no file is opened."""
     try:
         (spark.read if schema is None else spark.read.schema(schema)).parquet(path).schema  # noqa: B018
@@ -48,12 +48,12 @@ def _readable(spark: SparkSession, path: str, schema: str | None = None) -> bool
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    return _readable(spark, f"{path}/manifest", _MANIFEST) or _readable(spark, path)
+    return readable(spark, f"{path}/manifest", _MANIFEST) or readable(spark, path)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Published versions, from the list of manifest files."""
-    if not _readable(spark, f"{path}/manifest", _MANIFEST):
+    if not readable(spark, f"{path}/manifest", _MANIFEST):
         return []
     files = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").inputFiles()
     return sorted({int(f.rsplit("/version=", 1)[1].split("/")[0]) for f in files})
@@ -113,6 +113,14 @@ def _bucket_of(buckets: dict[str, int]) -> Column:
     return F.when(wide >= n, F.pmod(F.col(_HASH), low)).otherwise(wide).cast("int")
 
 
+def bucket_column(buckets: dict[str, int], keys: list[str]) -> Column:
+    """The bucket of a row, for tables without a partition column."""
+    n = buckets.get(_WHOLE, 1)
+    low = 1 << (n.bit_length() - 1)
+    wide = F.pmod(F.xxhash64(*keys), F.lit(2 * low))
+    return F.when(wide >= n, F.pmod(F.xxhash64(*keys), F.lit(low))).otherwise(wide).cast("int")
+
+
 def _parent(bucket: int, n: int) -> int:
     """The bucket among ``n`` whose rows a new bucket takes over."""
     while bucket >= n:
