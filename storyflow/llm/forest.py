@@ -12,7 +12,8 @@ angle of their centre, so that all of them link. So the count of links is exact
 pair of a dense group nor a group itself is ever written out.
 
 Defined results: a vector that is null, zero, or holds a null or a non-finite number, and one without a label, links with
-nothing and keeps its own id; vectors of different lengths do not link; equal vectors are one node with a count; rows
+nothing and keeps its own id; labels of any type that casts to a string are compared as they are; finite components of any
+size are scaled by a power of two first; vectors of different lengths do not link; equal vectors are one node with a count; rows
 with a null id are vectors of their own that come last; other columns are ignored.
 """
 
@@ -84,7 +85,7 @@ def leaves(scratch: Scratch, vectors: DataFrame, s: Settings) -> Kept:
     """(label, dim, tree, node, n, k): the leaves of all trees; n is the size of those that no direction could part, else null."""
     largest = vectors.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     levels = max(1, math.ceil(math.log2(max(1, largest / s.leaf))) + 4)
-    placed = vectors.select("k", "label", "dim", "v").mapInArrow(_projections(s, levels), "k long, label int, dim int, p array<array<float>>")
+    placed = vectors.select("k", "label", "dim", "v").mapInArrow(_projections(s, levels), "k long, label string, dim int, p array<array<float>>")
     now = scratch.keep(placed.select("k", "label", "dim", F.posexplode("p").alias("tree", "p")).withColumn("node", F.lit(1).cast("long")), "level")
     keys = ["label", "dim", "tree", "node"]
     for level in range(levels):
@@ -123,6 +124,13 @@ def _unit(v: str) -> Column:
     return F.transform(v, lambda x: x / norm)
 
 
+def _scaled(v: Column) -> Column:
+    """``v`` times a power of two, so that its largest component is about 1 and squares neither overflow nor vanish."""
+    top = F.array_max(F.transform(v, F.abs))
+    by = F.pow(F.lit(2.0), F.least(F.greatest(-F.floor(F.log2(top)), F.lit(-1000)), F.lit(1000)))
+    return F.when(top > 0, F.transform(v, lambda x: x * by)).otherwise(v)
+
+
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
 
@@ -202,7 +210,7 @@ def near_vectors(embeddings: DataFrame, settings: Settings = Settings()) -> Data
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("label").isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = embeddings.select("vec_id", F.col("label").cast("int").alias("label"), v.alias("v"), F.coalesce(usable, F.lit(False)).alias("usable")).select(
+    rows = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), _scaled(v).alias("v"), F.coalesce(usable, F.lit(False)).alias("usable")).select(
         "*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     same = ["label", "h1", "h2"]
     nodes = scratch.keep(
