@@ -78,18 +78,27 @@ class Ftrl:
 
 def fit(texts: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights other than zero, learnt from ``texts`` (text, label 0/1, place): rows in the order of ``place``, which the caller bounds."""
-    ordered = (texts.select("text", "label", "place", F.explode(F.sequence(F.lit(1), F.lit(settings.epochs))).alias("epoch"))
-               .repartition(1).sortWithinPartitions("epoch", "place"))
+    s = settings
 
-    def learn(batches):
-        model, s = Ftrl(settings), settings
+    def hashed(batches):
         for batch in batches:
-            labels = batch.column("label").to_numpy(zero_copy_only=False)
+            kept = []
             for lo, hi, data, offsets in text_chunks(batch.column("text")):
                 rows, buckets = distinct(*features(data, offsets, s.bits), s.bits)
-                cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    model.learn(buckets[cuts[i] : cuts[i + 1]], int(labels[lo + i]))
+                kept += np.split(buckets.astype(np.int32), np.searchsorted(rows, np.arange(1, hi - lo)))
+            offsets = np.cumsum([0, *map(len, kept)])
+            found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), found], names=["place", "label", "buckets"])
+
+    # Texts become buckets where they lie; the one task that learns reads those, once an epoch.
+    ordered = (texts.select("place", F.col("label").cast("int").alias("label"), "text").mapInArrow(hashed, "place long, label int, buckets array<int>")
+               .select("place", "label", "buckets", F.explode(F.sequence(F.lit(1), F.lit(s.epochs))).alias("epoch")).repartition(1).sortWithinPartitions("epoch", "place"))
+
+    def learn(batches):
+        model = Ftrl(s)
+        for batch in batches:
+            for label, buckets in zip(batch.column("label").to_pylist(), batch.column("buckets")):
+                model.learn(buckets.values.to_numpy(zero_copy_only=False), label)
         w = model.weights(np.arange((1 << s.bits) + 1))
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(w[kept])], names=["bucket", "weight"])
@@ -106,7 +115,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     chosen = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("toxic").alias("label")).withColumn("place", F.xxhash64("doc_id"))
               .orderBy("place", "doc_id").limit(settings.max_labelled))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "place")
+    # One text per id, the smallest, so that an id shared by many rows stays one of the sample's texts.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("place").alias("place")).select("text", "label", "place")
 
 
 def held_out(doc_id):

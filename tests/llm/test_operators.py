@@ -288,6 +288,42 @@ def test_bpe_transducer_is_bounded_and_stable():
 # ---- 6
 
 
+def plain_ftrl(texts, s):
+    """Follow-the-regularised-leader on dictionaries, one coordinate after another."""
+    z, n, top = {}, {}, 1 << s.bits
+
+    def weight(b):
+        l1, l2, value = (0.0, 0.0, z.get(b, 0.0)) if b == top else (s.l1, s.l2, z.get(b, 0.0))
+        return 0.0 if abs(value) <= l1 else -(value - math.copysign(l1, value)) / ((s.beta + math.sqrt(n.get(b, 0.0))) / s.alpha + l2)
+
+    for _ in range(s.epochs):
+        for text, label in texts:
+            data = (text or "").encode()
+            _, found = toxicity.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]), s.bits)
+            found = [*sorted(set(found.tolist())), top]
+            w = {b: weight(b) for b in found}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - label
+            for b in found:
+                rate = (math.sqrt(n.get(b, 0.0) + g * g) - math.sqrt(n.get(b, 0.0))) / s.alpha
+                z[b], n[b] = z.get(b, 0.0) + g - rate * w[b], n.get(b, 0.0) + g * g
+    return {b: w for b in z if (w := weight(b))}
+
+
+def test_toxicity_fit_equals_plain_ftrl(spark):
+    rnd = random.Random(18)
+    rows = [(i, prose(rnd, rnd.randrange(40)) + " vile" * (i % 3 == 0)) for i in range(150)] + [(200, None), (201, "")]
+    # An id that many rows share counts once, with its smallest text.
+    rows += [(300, f"copy {k} of a vile text") for k in range(50, 0, -1)]
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)] + [(200, 0), (201, 1), (300, 1), (300, 0)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(table(spark, rows), marks)
+    texts = sample.orderBy("place").collect()
+    assert [r.text for r in texts if "copy" in (r.text or "")] == ["copy 1 of a vile text"] * (zlib.crc32(b"300") % 3 != 1)
+    s = toxicity.Settings()
+    buckets, weights = toxicity.fit(sample, s)
+    want = plain_ftrl([(r.text, r.label) for r in texts], s)
+    assert dict(zip(buckets.tolist(), weights.tolist())) == pytest.approx(want, rel=1e-9, abs=1e-12) and len(want) > 1
+
+
 def test_toxicity(spark):
     rnd = random.Random(8)
     rows, labels = [], []
@@ -504,6 +540,17 @@ def test_equal_windows_have_equal_anchors():
 # ---- 10
 
 
+def test_forest_labels_of_any_type_and_components_of_any_size(spark):
+    v = [1.0, 2.0, 3.0, -1.0]
+    times = lambda k: [k * x for x in v]
+    rows = [(1, times(1e200), "a"), (2, times(1.0), "a"), (3, times(1e-200), "a"), (4, times(1e307), "b"), (5, times(5e-324), "b"), (6, v, None), (7, v, ""), (8, times(3.0), "")]
+    got = {r[0]: r[1:] for r in collected(forest.near_vectors(table(spark, rows, "vec_id long, embedding array<double>, label string")))}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True), 7: (1, 7, True), 8: (1, 7, False)}
+    far = [(1, v, 2**40), (2, v, 2**40), (3, v, 2**40 + 2**32), (4, v, 0)]
+    got = {r[0]: r[1:] for r in collected(forest.near_vectors(table(spark, far, "vec_id long, embedding array<double>, label long")))}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True)}
+
+
 def vectors(seed, groups):
     rng = np.random.default_rng(seed)
     out = []
