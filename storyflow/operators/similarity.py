@@ -2,8 +2,12 @@
 
 Tokens are ordered rarest first; two sets of sizes n <= m reach Jaccard t only when they
 share at least ceil(t/(1+t)*(n+m)) tokens, so each must expose a shared token early in that
-order. Candidates meet on one token, are pruned by size and position while joining, counted
-per pair, and verified exactly.
+order. Candidates meet on one token, are pruned by size, position and signature while joining,
+counted per pair, and verified exactly.
+
+A signature has one bit per hash bucket: the parity of the set's tokens in it. Two signatures differ in
+no more bits than the sets differ in tokens, so most sets that only share a frequent token are told
+apart before a pair is written.
 """
 
 from __future__ import annotations
@@ -12,20 +16,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _EPS = 1e-9
+#: Longs of a signature.
+_LONGS = 8
+_SIGNATURE = [f"s{i}" for i in range(_LONGS)]
 
 
 def order_tokens(sets: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
-    """``(rank, tok)`` -> ``(rank, tok, sorted)`` with tokens rarest first.
+    """``(rank, tok)`` -> ``(rank, sorted, signature)`` with tokens rarest first.
 
     The frequency side has one row per token; a hot token's rows are split by the
     adaptive skew join because only that side is large."""
     long = sets.select("rank", F.explode("tok").alias("t"))
     freq = token_frequency(sets) if frequency is None else frequency
+    bucket = F.pmod(F.xxhash64("t"), F.lit(64 * _LONGS)).cast("int")
+    parity = [F.bit_xor(F.when(F.floor(bucket / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), bucket % 64)).otherwise(F.lit(0).cast("long"))).alias(c)
+              for i, c in enumerate(_SIGNATURE)]
     ordered = (
         long.join(freq, "t", "left")
         .groupBy("rank")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("s"))
-        .select("rank", F.transform("s", lambda x: x["t"]).alias("sorted"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("s"), *parity)
+        .select("rank", F.transform("s", lambda x: x["t"]).alias("sorted"), *_SIGNATURE)
     )
     return ordered
 
@@ -47,10 +57,10 @@ def _short_prefix(n: Column, t: float) -> Column:
 
 
 def prefix_rows(sets: DataFrame, t: float, short: bool) -> DataFrame:
-    """One row per prefix token: ``(rank, n, pos, token)``."""
+    """One row per prefix token: ``(rank, n, signature, pos, token)``."""
     n = F.size("sorted")
     k = _short_prefix(n, t) if short else _long_prefix(n, t)
-    return sets.select("rank", n.alias("n"), F.posexplode(F.slice("sorted", F.lit(1), k)).alias("pos", "token"))
+    return sets.select("rank", n.alias("n"), *_SIGNATURE, F.posexplode(F.slice("sorted", F.lit(1), k)).alias("pos", "token"))
 
 
 def token_loads(sets: DataFrame, t: float, cuts: list[int]) -> list[int]:
@@ -94,15 +104,18 @@ def _prune(joined: DataFrame, t: float) -> DataFrame:
 
 
 def _meet(x: DataFrame, y: DataFrame, t: float, condition: Column) -> DataFrame:
-    """Equi-join two prefix tables on the token, with size and position bounds inside the join."""
+    """Equi-join two prefix tables on the token, with size, position and signature bounds inside the join."""
     n1, n2 = F.col("x.n"), F.col("y.n")
     need = _ceil((n1 + n2) * F.lit(t / (1 + t)))
     # Tokens up to this match can contribute at most min(p1, p2) + 1 more, later ones min(rest).
     upper = F.least(F.col("x.pos"), F.col("y.pos")) + F.least(n1 - F.col("x.pos"), n2 - F.col("y.pos"))
     size_ok = (n1 * F.lit(t) <= n2 + F.lit(_EPS)) & (n2 * F.lit(t) <= n1 + F.lit(_EPS))
+    # Sets that share ``need`` tokens differ in at most the others.
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _SIGNATURE[1:]),
+                F.bit_count(F.col(f"x.{_SIGNATURE[0]}").bitwiseXOR(F.col(f"y.{_SIGNATURE[0]}"))))
     return (
         x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & condition)
-        .filter(size_ok & (upper >= need))
+        .filter(size_ok & (upper >= need) & (apart <= n1 + n2 - need * 2))
         .select(F.col("x.rank").alias("a"), F.col("y.rank").alias("b"), n1.alias("n1"), n2.alias("n2"),
                 F.col("x.pos").alias("p1"), F.col("y.pos").alias("p2"))
     )
