@@ -116,11 +116,11 @@ def _choose_cut(rest: DataFrame, threshold: float, budget: int) -> int | None:
 
 
 def leader_clusters(rows: DataFrame, id_col: str, tok_col: str, ord_col: str, threshold: float,
-                    pair_budget: int | None = None) -> DataFrame:
+                    pair_budget: int | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Adds ``leader_id`` and ``similarity`` to every row. Rows without tokens lead themselves."""
-    if pair_budget is None:
-        pair_budget = DEFAULT.pair_budget_per_core * rows.sparkSession.sparkContext.defaultParallelism
     nodes = materialize(_nodes(rows, id_col, tok_col, ord_col), "nodes")
+    if pair_budget is None:
+        pair_budget = _budget(nodes, cfg)
     edges = leader_edges(nodes, threshold, pair_budget)
     ids = nodes.select(F.col("rank").alias("a"), F.col("id").alias("leader_id"))
     placed = (
@@ -135,8 +135,10 @@ def leader_clusters(rows: DataFrame, id_col: str, tok_col: str, ord_col: str, th
     )
 
 
-def _budget(df: DataFrame, cfg: EngineConfig) -> int:
-    return cfg.pair_budget_per_core * df.sparkSession.sparkContext.defaultParallelism
+def _budget(nodes: DataFrame, cfg: EngineConfig) -> int:
+    """Token matches of one step: by the cores, or by the tokens where those are many. Only pairs that pass the signature are written."""
+    held = nodes.agg(F.sum(F.size("tok")).alias("n")).first()["n"] or 0
+    return max(cfg.pair_budget_per_core * nodes.sparkSession.sparkContext.defaultParallelism, cfg.pair_budget_per_token * held)
 
 
 def story_order() -> Column:
@@ -149,7 +151,7 @@ def cluster_articles(articles: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFr
     """``(article_id, leader_id, similarity)`` for one batch."""
     rows = articles.select(
         "article_id", tokens(normalize_title(F.col("title")), K.STOP_WORDS).alias("tok"), story_order().alias("ord"))
-    return leader_clusters(rows, "article_id", "tok", "ord", cfg.title_jaccard, _budget(articles, cfg)).select(
+    return leader_clusters(rows, "article_id", "tok", "ord", cfg.title_jaccard, cfg=cfg).select(
         "article_id", "leader_id", "similarity")
 
 
@@ -158,7 +160,7 @@ def group_stories(articles: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame
     rows = articles.select(
         "article_id", tokens(normalize_title(F.col("title"))).alias("tok"), F.struct("article_id").alias("ord"),
     ).filter(F.size("tok") > 0)
-    return leader_clusters(rows, "article_id", "tok", "ord", cfg.title_jaccard, _budget(articles, cfg)).select(
+    return leader_clusters(rows, "article_id", "tok", "ord", cfg.title_jaccard, cfg=cfg).select(
         "article_id", F.col("leader_id").alias("story_id"))
 
 
