@@ -46,3 +46,18 @@ def test_blocked_counts_are_those_of_the_pairs(spark):
     assert {(r.user_id, r.lost) for r in counts.collect()} == want and len(want) >= 6
     # The articles meet sets of topics, not users: nothing that holds a user is joined with an article.
     assert counts.filter(F.col("lost") > 60).count() == 0
+
+
+def test_overlaps_of_an_own_list_are_those_of_the_sets():
+    import random
+
+    import pandas as pd
+
+    from storyflow.operators.briefs import _overlaps
+
+    r = random.Random(2)
+    sets = [[f"t{r.randrange(9)}" for _ in range(r.randrange(6))] for _ in range(40)] + [[], [None, "t1"], [None]]
+    near, others = _overlaps(pd.Series(sets)), np.arange(len(sets))[::-1]
+    for i, s in enumerate(sets):
+        assert list(near(i, others)) == [len(set(s) & set(sets[j])) / max(1, len(set(s) | set(sets[j]))) for j in others]
+    assert list(_overlaps(pd.Series([[], []]))(0, np.arange(2))) == [0.0, 0.0]
