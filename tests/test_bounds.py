@@ -76,3 +76,19 @@ def test_trends_carry_short_headlines(spark, monkeypatch):
     got = {(r.trend_type, r.period_hours): r.top_headline for r in TR.trends(df, "2024-01-31 00:00:00", with_ids=False).collect()}
     assert got["company", 24] is None and got["topic", 24] == "x" * 200 and got["keyword", 24] is None
     assert seen[0].agg(F.max(F.length("headline"))).first()[0] == 200
+
+
+def test_blocked_pairs_neither_broadcast_titles_nor_repeat(spark):
+    """Titles are cut into letters without being sent anywhere whole, and users of one set of topics are dealt over parts."""
+    titles = {i: ("x" * (250 + i) if i % 10 == 9 else "") + f"Title {i % 7}" + " gpu" * (i % 3 == 0) for i in range(60)} | {-1: "gpus"}
+    pool = materialize(spark.createDataFrame([(i if i >= 0 else None, t, [f"t{i % 5}"]) for i, t in [*titles.items(), (3, "other")]], "article_id int, title string, tag_set array<string>"), "pool")
+    prefs = spark.createDataFrame([(u, ["gpu", None] if u == 7 else ["gpu", "xT"] if (u or 0) % 2 else ["none"]) for u in [*range(40), None]] + [(0, ["t2"]), (None, ["title 4"])], "user_id int, blocked_topics array<string>")
+    rows, topics = [(r.article_id, r.title.lower(), r.tag_set) for r in pool.collect()], {}
+    for r in prefs.collect():
+        topics.setdefault(r.user_id, set()).update((b or "").lower() for b in r.blocked_topics)
+    want = {(u, a) for u, own in topics.items() for a, t, tags in rows if any(b in t or b in tags for b in own)}
+    for share in (1, 50, 1 << 20):
+        got = [tuple(r) for r in PZ.blocked_pairs(prefs, pool, share).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 400
+    hits = PZ.blocked_hits(materialize(prefs.selectExpr("explode(blocked_topics) term").distinct(), "terms"), pool)
+    assert "Generate" in (plan := hits._jdf.queryExecution().sparkPlan().toString()) and "BroadcastHashJoin" not in plan and "BroadcastNestedLoop" not in plan
