@@ -92,3 +92,42 @@ def test_blocked_pairs_neither_broadcast_titles_nor_repeat(spark):
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 400
     hits = PZ.blocked_hits(materialize(prefs.selectExpr("explode(blocked_topics) term").distinct(), "terms"), pool)
     assert "Generate" in (plan := hits._jdf.queryExecution().sparkPlan().toString()) and "BroadcastHashJoin" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_pairs_are_made_in_place(spark):
+    """Affinities and scores equal those of plain loops, for any blocks, and only readers' terms are shuffled."""
+    import math
+
+    pool = materialize(spark.createDataFrame([(i if i < 59 else None, f"Title {i % 7}" if i % 9 else None, sorted({f"t{i % 5}", f"u{i % 11}"})[: i % 3], 10.0 + i, 3.0 * (i % 33), 50.0, None, None, f"p{i % 3}") for i in [*range(60), 4, 4, 59]],
+                                             "article_id int, title string, tag_set array<string>, priority_score double, final_score double, trust_score double, importance_score double, published_at timestamp, primary_tag string"), "pool")
+    own = {(u, t): w for u in [1, 2, 3, 4, None] for t, w in {"t1": 0.5 + (u or 0), f"u{u}": 1e-7, "p1": 2.0, "zz": 9.0}.items()}
+    vectors = spark.createDataFrame([(u, t, w) for (u, t), w in own.items()], "user_id int, term string, weight double")
+    rows, sums = pool.collect(), {}
+    for u in [1, 2, 3, 4, None]:
+        for r in rows:
+            for t in r.tag_set:
+                if (u, t) in own:
+                    sums[u, r.article_id] = sums.get((u, r.article_id), 0.0) + own[u, t]
+    want = {(u, a): round(1 - math.exp(-s / 4), 4) for (u, a), s in sums.items()}
+    users = spark.createDataFrame([(1,), (2,), (None,), (3,)], "user_id int")
+    prefs = spark.createDataFrame([(1, ["title 3", "t4"]), (2, ["U1"]), (2, None), (3, [None])], "user_id int, blocked_topics array<string>")
+    for cfg in (DEFAULT, replace(DEFAULT, pair_block_mb=0)):
+        if not cfg.pair_block_mb:
+            from storyflow.operators import pairs
+            whole = pairs.blocks
+            pairs.blocks = lambda table, size, mb: [table.where(F.pmod(F.xxhash64("article_id"), F.lit(5)) == k).toArrow() for k in range(5)]
+        try:
+            got = PZ.pool_affinity(vectors, pool, cfg)
+            scored = PZ.score_pairs(users, pool, vectors, prefs, "2024-01-30 23:59:59", cfg)
+        finally:
+            if not cfg.pair_block_mb:
+                pairs.blocks = whole
+        found = [((r.user_id, r.article_id), r.affinity) for r in got.collect()]
+        assert len(found) == len(dict(found)) and dict(found) == want and 0.0 in want.values() and (4, None) in want
+        bars = [(1, ["title 3", "t4"]), (2, ["u1"]), (2, []), (3, [""])]
+        expected = sorted((u, r.article_id) for u, bar in bars for r in rows if want.get((u, r.article_id), 0) > 0 and r.article_id is not None and not any(b in r.tag_set or b in (r.title or "").lower() for b in bar))
+        pairs_ = scored.collect()
+        assert sorted((r.user_id, r.article_id) for r in pairs_) == expected and len(expected) > 20
+        assert all(r.affinity == want[r.user_id, r.article_id] and r.base_trend_score in {max(x.priority_score, x.final_score) for x in rows if x.article_id == r.article_id} for r in pairs_)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan  # pairs come out of Python and are not summed up again
