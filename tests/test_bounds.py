@@ -131,3 +131,40 @@ def test_pairs_are_made_in_place(spark):
         assert all(r.affinity == want[r.user_id, r.article_id] and r.base_trend_score in {max(x.priority_score, x.final_score) for x in rows if x.article_id == r.article_id} for r in pairs_)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate" not in plan  # pairs come out of Python and are not summed up again
+
+
+def test_a_choice_looks_at_few_overlaps():
+    """Of many candidates only those whose score may win are compared; the choice equals that over all of them."""
+    from storyflow.operators import briefs as BR
+
+    rng, n, asked = np.random.default_rng(4), 6000, []
+    score, quality, trend = np.round(rng.uniform(42, 95, n), 2), np.round(rng.uniform(20, 90, n), 2), np.round(rng.uniform(0, 100, n), 2)
+    tags, sets = [f"t{i}" for i in rng.integers(0, 9, n)], [set(rng.integers(0, 40, 6).tolist()) for _ in range(n)]
+    overlap = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+
+    def near(i, others):
+        asked.append(len(others))
+        return np.array([overlap(i, j) for j in others])
+
+    picks, (ok, novel, floor, full) = BR.choose(list(range(n)), score, quality, trend, tags, near, {"t1"}, 2)
+    held = sorted((i for i in range(n) if tags[i] != "t1" and quality[i] >= 42), key=lambda i: (-quality[i], -trend[i], -score[i], i))[:2]
+    chosen = []
+    while len(chosen) < 18:
+        free = [i for i in range(n) if i not in chosen and i not in held and sum(tags[c] == tags[i] for c in chosen) < 7]
+        gain = lambda i: score[i] * 0.86 - max((overlap(c, i) for c in chosen), default=0.0) * 22.0 + (4.0 if all(tags[c] != tags[i] for c in chosen) else 0.0)
+        chosen.append(min(free, key=lambda i: (-gain(i), -score[i], i)))
+    assert {i for i, s in picks if not s} == set(chosen) and novel == held and ok == n and full
+    assert sum(asked) < 18 * n / 4
+
+
+def test_index_in_tasks_holds_numbers_for_terms(spark):
+    """What readers and the pool send to tasks are numbers of terms, and a pool's index has no list of terms by name."""
+    from storyflow.operators import briefs as BR
+
+    pool = spark.createDataFrame([(i, f"Title {i}", [f"t{i % 5}", f"u{i}"], f"t{i % 5}", 80.0 - i, 10.0, 50.0, 50.0, None) for i in range(40)], "article_id long, title string, tag_set array<string>, primary_tag string, "
+                                 "priority_score double, final_score double, trust_score double, importance_score double, published_at timestamp")
+    index, terms, code = BR.pool_index(pool, "2024-01-30 23:59:59")
+    assert index.names is None and index.flat.dtype == np.int32 and terms.count() == 45 and len(index.terms) == 45
+    users, vectors = spark.createDataFrame([(1,), (2,)], "user_id long"), spark.createDataFrame([(1, "t1", 2.0), (1, "other", 1.0)], "user_id long, term string, weight double")
+    rows = {r.user_id: r for r in BR.reader_rows(users, vectors, spark.createDataFrame([(1, ["T2"])], "user_id long, blocked_topics array<string>"), "2024-01-30", terms, code).collect()}
+    assert [index.places(np.array([t.code]))[0] for t in rows[1].terms] == [int(np.flatnonzero(index.terms == rows[1].terms[0].code)[0])] and rows[1].topics[0].topic == "t2" and rows[2].terms is None
