@@ -34,6 +34,13 @@ from storyflow.llm.common import mix, text_chunks, words_of
 #: Everything in ASCII that is neither letter nor digit ends a word.
 SPLIT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
+#: Products up to this are rounding. Left out, they change the product of a window of a thousand words by less than ``least_products`` allows.
+ROUNDING = 1e-10
+#: Products of words with items that are added up at once.
+ENTRIES = 1 << 18
+#: Window starts that are looked at together first.
+STARTS = 4
+
 FOUND = "doc_id long, item_id long, common double, answer double, cosine double, word long"
 
 
@@ -104,6 +111,12 @@ def _owner(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(first[-1] - first[0]) - first[:-1][owner]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many as its size says, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 def _sketch(vocabulary: Vocabulary, signs: np.ndarray, s: Settings):
     def run(batches):
         size, rank = signs.shape
@@ -170,13 +183,62 @@ def least_products(items: Items, idf: np.ndarray, s: Settings) -> tuple[np.ndarr
     return need, np.array(least) * (1 - 1e-9) - 1e-6
 
 
+class Products:
+    """Products of the vocabulary's words with the items in the latent space, none negative, without those that are zero but for rounding: few items hold a word."""
+
+    def __init__(self, dense: np.ndarray):
+        word, self.item = np.nonzero(dense > ROUNDING)
+        self.value, self.first = dense[word, self.item], np.searchsorted(word, np.arange(len(dense) + 1))
+        self.items = dense.shape[1]
+
+    def of_blocks(self, at: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+        """(n, items): sums over the words ``at`` of each of ``n`` blocks, -1 for words outside; ``block`` does not fall."""
+        use = np.flatnonzero(at >= 0)
+        at, block, out = at[use], block[use], np.zeros((n, self.items))
+        size = self.first[at + 1] - self.first[at]
+        end = np.cumsum(size)
+        lo = 0
+        while lo < len(at):
+            # Whole blocks with about ENTRIES products, so that memory does not grow with the items that share a word.
+            hi = max(lo + 1, int(np.searchsorted(end, end[lo] - size[lo] + ENTRIES)))
+            hi = int(np.searchsorted(block, block[hi - 1], "right"))
+            some, base = size[lo:hi], block[lo]
+            place = _ranges(self.first[at[lo:hi]], some)
+            rows = int(block[hi - 1] - base) + 1
+            key = np.repeat((block[lo:hi] - base) * self.items, some) + self.item[place]
+            out[base : base + rows] = np.bincount(key, self.value[place], rows * self.items).reshape(rows, -1)
+            lo = hi
+        return out
+
+
+def windows_with_enough(at: np.ndarray, a: np.ndarray, z: np.ndarray, item: np.ndarray, held: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Numbers of the windows ``at[a:z]`` that hold as many words of their item as a match has in order, a word at most as often as the item
+    has it. ``held`` has the items' counts of words, and a column of zeros for words outside the vocabulary (-1)."""
+    size, width, out, lo = z - a, held.shape[1], [], 0
+    end = np.cumsum(size)
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(end, end[lo] - size[lo] + ENTRIES)))
+        of, own = np.repeat(np.arange(hi - lo), size[lo:hi]), item[lo:hi]
+        word = at[_ranges(a[lo:hi], size[lo:hi])]
+        shared = np.flatnonzero(held[own[of], word])
+        of, word = of[shared], word[shared]
+        many = (np.bincount(of, minlength=hi - lo) >= needed[own])[of]
+        key, times = np.unique(of[many] * width + word[many], return_counts=True)
+        of, word = key // width, key % width
+        out.append(lo + np.flatnonzero(np.bincount(of, np.minimum(times, held[own[of], word]), hi - lo) >= needed[own]))
+        lo = hi
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def _matches(items: Items, idf: np.ndarray, basis: np.ndarray, outside: float, s: Settings):
     vectors = (items.counts() * idf) @ basis
     weighted, square = basis * idf[:, None], idf * idf
-    products = weighted @ vectors.T
+    # Items of equal windows side by side, so that a window length is a slice of columns.
+    order = np.argsort(items.blocks, kind="stable")
+    products = Products((weighted @ vectors.T)[:, order])
     lengths = np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-12)
     needed, least = least_products(items, idf, s)
-    member = items.counts() > 0
+    counted = np.pad(items.counts().astype(np.int32), ((0, 0), (0, 1)))
 
     def run(batches):
         sequences = [Sequence(h) for h in items.words]
@@ -196,35 +258,37 @@ def _matches(items: Items, idf: np.ndarray, basis: np.ndarray, outside: float, s
                 first, last = np.searchsorted(of, of), np.searchsorted(of, of, "right")  # the text's blocks
                 inside = np.append(0, np.cumsum(np.add.reduceat(np.where(at >= 0, square[at], 0.0), head)))
                 found: dict = {}
-                sums = np.zeros((n + 1, products.shape[1]))
-                use = np.flatnonzero(at >= 0)
-                if len(use):
-                    cut = np.flatnonzero(np.append(True, block[use][1:] != block[use][:-1]))
-                    sums[block[use][cut] + 1] = np.add.reduceat(products[at[use]], cut, axis=0)
-                np.cumsum(sums, axis=0, out=sums)
+                sums = np.zeros((n + 1, products.items))
+                np.cumsum(products.of_blocks(at, block, n), axis=0, out=sums[1:])
                 start = np.arange(n)
                 # A block more on each side, for words that were moved or put in.
                 low = np.maximum(start - 1, first)
-                for size in np.unique(items.blocks):
-                    own = np.flatnonzero(items.blocks == size)
+                for size, begin, count in zip(*np.unique(items.blocks[order], return_index=True, return_counts=True)):
+                    own = order[begin : begin + count]
+                    part = sums[:, begin : begin + count]
                     end = np.minimum(start + size, last)
                     high = np.minimum(end + 1, last)
-                    some = np.flatnonzero(inside[high] - inside[low] >= least[own].min())
-                    enough = (sums[high[some]][:, own] - sums[low[some]][:, own]) >= least[own]
-                    for w, i in zip(*np.nonzero(enough)):
-                        item, doc, w = own[i], of[some[w]], some[w]
-                        a, z = head[low[w]], head[high[w]] if high[w] < n else len(at)
-                        known = at[a:z]
-                        shared = (known >= 0) & member[item, known]
-                        if np.count_nonzero(shared) < needed[item]:
-                            continue
+                    # First a few starts at once: a window within a stretch has no greater product than the stretch.
+                    heads = np.arange(0, n, STARTS)
+                    tails = np.minimum(heads + STARTS, n) - 1
+                    some = np.flatnonzero(inside[high[tails]] - inside[low[heads]] >= least[own].min())
+                    wide, column = np.nonzero((part[high[tails[some]]] - part[low[heads[some]]]) >= least[own])
+                    from_, to = heads[some[wide]], tails[some[wide]] + 1
+                    w, column = _ranges(from_, to - from_), np.repeat(column, to - from_)
+                    enough = np.flatnonzero((part[high[w], column] - part[low[w], column]) >= least[own[column]])
+                    w, item_of = w[enough], own[column[enough]]
+                    ends = np.append(head, len(at))
+                    enough = windows_with_enough(at, head[low[w]], ends[high[w]], item_of, counted, needed)
+                    for w, item in zip(w[enough].tolist(), item_of[enough].tolist()):
+                        doc, a, z = of[w], head[low[w]], ends[high[w]]
+                        shared = counted[item, at[a:z]] > 0
                         text = words.hashes[a:z][shared].tolist()
                         common = sequences[item].common(text) / sequences[item].size
                         if common < s.reworded:
                             continue
                         answer = answers[item].common(text) / max(1, answers[item].size)
                         if common >= s.copied or answer >= s.answered:
-                            inner = at[head[w] : head[end[w]] if end[w] < n else len(at)]
+                            inner = at[head[w] : ends[end[w]]]
                             x, held = weighted[inner[inner >= 0]].sum(0), square[inner[inner >= 0]].sum()
                             norm = math.sqrt(max(held, x @ x) + outside * np.count_nonzero(inner < 0))
                             row = (common, answer, float(x @ vectors[item] / lengths[item] / max(norm, 1e-12)), -int(a - words.first[doc]))

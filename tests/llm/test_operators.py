@@ -205,6 +205,27 @@ def test_decontamination_equals_brute_force_over_all_windows(spark):
     assert {tuple(r)[:2] for r in decontamination.contaminated(docs, few).collect()} == {(10, 1), (None, 2)}
 
 
+@pytest.mark.parametrize("entries", [7, 1 << 18])
+def test_decontamination_products_and_windows_equal_the_dense_ones(monkeypatch, entries):
+    """Only words that an item holds cost anything: sums of blocks and counts of windows are those over all words and items."""
+    monkeypatch.setattr(decontamination, "ENTRIES", entries)
+    rng = np.random.default_rng(5)
+    dense = rng.random((40, 9)) * (rng.random((40, 9)) < 0.1)
+    products = decontamination.Products(dense + 1e-14)
+    assert len(products.value) == np.count_nonzero(dense)
+    at = rng.integers(-1, 40, 300)
+    block = np.sort(rng.integers(0, 50, 300))
+    want = np.zeros((50, 9))
+    np.add.at(want, block[at >= 0], dense[at[at >= 0]])
+    assert np.allclose(products.of_blocks(at, block, 50), want)
+    held = np.pad(rng.integers(0, 3, (9, 40)) * (rng.random((9, 40)) < 0.3), ((0, 0), (0, 1)))
+    a = rng.integers(0, 250, 400)
+    z, item, needed = a + rng.integers(1, 50, 400), rng.integers(0, 9, 400), rng.integers(1, 9, 9)
+    whole = [sum(min(np.count_nonzero(at[x:y] == w), held[i, w]) for w in range(40)) for x, y, i in zip(a, z, item)]
+    got = decontamination.windows_with_enough(at, a, z, item, held, needed)
+    assert 0 < len(got) < 400 and got.tolist() == [k for k in range(400) if whole[k] >= needed[item[k]]]
+
+
 def test_common_subsequence():
     rnd = random.Random(4)
     for _ in range(200):
