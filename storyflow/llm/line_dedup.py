@@ -62,7 +62,7 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Features that two-byte counters hold with a margin of as many, below the sign bit. Longer lines are counted in chunks.
 MOST = 16_383
 CHUNK = 63
-PARITIES = [f"p{i}" for i in range(8)]
+PARITIES = [f"p{i}" for i in range(4)]
 ONES, WIDE = 0x0101010101010101, 0x0001000100010001
 
 
@@ -99,38 +99,42 @@ def long_simhash(features: Column) -> Column:
 
 
 def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_chars: int | None = None, short: int = 0, similarity: float = 0.8) -> DataFrame:
-    """(d, line, l1, l2, n, runs, sig, p0..p7, a0..a5): place, hashes of the words, their number, runs (up to ``short`` words), SimHash, parities and anchors of
+    """(d, line, l1, l2, n, runs, sig, p0..p3, a0..a5): place, hashes of the words, their number, runs (up to ``short`` words), SimHash, parities and anchors of
     every line with ``min_words`` words; lines with fewer, but ``min_chars`` characters in at least one, have the first five only. ``docs`` has d and text.
 
     Bit k of every second byte is counted in sum k, so sixteen sums of a combining aggregate hold all 64 counters of a
     line of up to ``most`` features, and one addition compares four of them with half the number. Longer lines are counted in chunks in their row.
-    Bit b of the 512 parities tells whether an odd number of words has it, so an edit changes two at most.
+    Bit b of the 256 parities tells whether an odd number of words has it, so an edit changes two at most.
+    Texts are dealt by a hash of id and text, so that a line's words meet in its own task and only texts are shuffled; words are exploded as
+    they are and hashed in columns, which compiled code does, not in lambdas. Rows that come twice are counted together.
     """
-    lines = docs.select("d", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+    dealt = docs.withColumn("row", F.xxhash64("d", "text")).repartition("row")
+    lines = dealt.select("row", "d", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     # The words are bound once per line, behind a generator, so that no later expression splits the line again.
     enough = lambda w: F.size(w) >= min_words
     if min_chars is not None:
         enough = lambda w: (F.size(w) >= min_words) | (F.length(F.array_join(w, "")) >= F.lit(max(1, min_chars)))
-    held = F.filter(F.array(words(F.col("body"))), enough)
-    runs_of_three = lambda w: F.transform(w, lambda x, i: F.struct(feature(x).alias("x"), F.xxhash64(x).alias("y"), F.when((i > 1) | (F.size(w) < 3), F.xxhash64(F.when(i > 1, F.get(w, i - 2)), F.when(i > 0, F.get(w, i - 1)), x)).alias("g")))
-    empty = F.array(F.struct(*[F.lit(None).cast("long").alias(c) for c in ("x", "y", "g")]))
     bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
-    parts = F.transform(held, lambda w: F.struct(
+    parts = F.transform(F.filter(F.array(words(F.col("body"))), enough), lambda w: F.struct(
         F.xxhash64(w).alias("l1"), F.xxhash64(F.lit(1), w).alias("l2"), F.size(w).alias("n"),
-        F.when(F.size(w) >= min_words, runs_of_three(w)).otherwise(empty).alias("p"),
+        F.when(F.size(w) >= min_words, w).otherwise(F.array(F.lit(None).cast("string"))).alias("w"),
         F.when(F.size(w) > most, F.filter(F.transform(w, feature), lambda x: x.isNotNull())).alias("many"),
         F.when(F.size(w).between(min_words, short), run_keys(w, F.size(w), similarity, short)).alias("runs")))
     keys = ["d", "line", "l1", "l2", "n", "runs"]
-    bound = lines.select("d", "line", F.inline(parts)).select(*keys, F.when(F.col("n") > most, long_simhash(F.col("many"))).alias("long"), F.explode("p").alias("p"))
-    sums = bound.select(*keys, "long", "p.*").groupBy(*keys, "long").agg(
+    bound = lines.select("row", "d", "line", F.inline(parts)).select("row", *keys, "w", F.when(F.col("n") > most, long_simhash(F.col("many"))).alias("long"))
+    each = bound.select("row", *keys, "long", "w", F.posexplode("w").alias("i", "word"))
+    i, n, word = F.col("i"), F.col("n"), F.col("word")
+    run = F.when(((i > 1) | (n < 3)) & word.isNotNull(), F.xxhash64(F.when(i > 1, F.get("w", i - 2)), F.when(i > 0, F.get("w", i - 1)), word))
+    hashed = each.select("row", *keys, "long", F.when(n <= most, feature(word)).alias("x"), F.when(word.isNotNull(), F.xxhash64(word)).alias("y"), run.alias("g"))
+    sums = hashed.groupBy("row", *keys, "long").agg(
         *[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(WIDE))).alias(f"s{k}") for k in range(16)], F.count("x").alias("m"), F.count("g").alias("any"),
-        *[F.bit_xor(F.when(F.col("y").bitwiseAND(F.lit(448)) == 64 * i, bit(F.col("y").bitwiseAND(F.lit(63))))).alias(p) for i, p in enumerate(PARITIES)],
+        *[F.bit_xor(F.when(F.col("y").bitwiseAND(F.lit((len(PARITIES) - 1) * 64)) == 64 * i, bit(F.col("y").bitwiseAND(F.lit(63))))).alias(p) for i, p in enumerate(PARITIES)],
         *[F.min(F.col("g").bitwiseXOR(F.lit(mask))).alias(f"a{i}") for i, mask in enumerate(ORDERS)])
     margin = (F.lit(MOST) - F.least((F.col("m") / 2).cast("int"), F.lit(MOST))).cast("long") * F.lit(WIDE)
     sig = F.lit(0).cast("long")
     for k in range(16):
-        sig = sig.bitwiseOR(F.shiftleft(F.shiftrightunsigned((F.coalesce(F.col(f"s{k}"), F.lit(0)) + margin).bitwiseAND(F.lit((MOST + 1) * WIDE)), 14), k))
-    return sums.select(*keys, F.when(F.col("any") > 0, F.coalesce("long", sig)).alias("sig"), *[F.coalesce(p, F.lit(0)).alias(p) for p in PARITIES], *[f"a{i}" for i in range(len(ORDERS))])
+        sig = sig.bitwiseOR(F.shiftleft(F.shiftrightunsigned((F.col(f"s{k}") + margin).bitwiseAND(F.lit((MOST + 1) * WIDE)), 14), k))
+    return sums.select(*keys, F.when(F.col("any") > 0, F.coalesce("long", sig, F.lit(0))).alias("sig"), *[F.coalesce(p, F.lit(0)).alias(p) for p in PARITIES], *[f"a{i}" for i in range(len(ORDERS))])
 
 
 def block_plan(lines: int, distance: int) -> tuple[int, int]:
@@ -231,21 +235,25 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     short = s.short if s.distance is None else 0
     every = scratch.keep(signed_lines(docs, s.min_words, min_chars=s.min_chars, short=short, similarity=s.similarity), "lines").df
     anchors = [f"a{i}" for i in range(len(ORDERS))]
-    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("n", "sig", *PARITIES, *anchors)])
+    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("n", "sig", *anchors)],
+                                                              # A row that comes twice cancels its parities: those of other places count.
+                                                              *[F.bit_or(c).alias(c) for c in PARITIES])
                          .select("l1", "l2", "m.d", "m.line", "n", "sig", *PARITIES, *anchors, "many", F.monotonically_increasing_id().alias("k")), "nodes").df
     fuzzy = nodes.where(F.col("n") >= s.min_words)
     apart = lambda c: F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b")))
     # An edit distance is at least the difference in length, and half the number of parities that differ.
     able = (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - s.similarity) + 1e-9) & (sum(map(apart, PARITIES[1:]), apart(PARITIES[0])) <= 2 * edits(F.greatest("na", "nb"), s.similarity))
     if s.distance is None:
-        anchored = _with_neighbours(fuzzy.select("k", "sig", F.explode(F.array(*[F.xxhash64(F.lit(i), a) for i, a in enumerate(anchors)])).alias("key")))
+        anchored = _with_neighbours(fuzzy.select("k", "sig", F.posexplode(F.array(*[F.xxhash64(F.lit(i), a) for i, a in enumerate(anchors)])).alias("anchor", "key")))
         blocks = F.array(*[anchored_key(F.col("key"), j) for j in range(8)])
-        runs = every.where("runs is not null").dropDuplicates(["l1", "l2"]).join(fuzzy.select("l1", "l2", "k"), ["l1", "l2"]).select("k", F.explode("runs").alias("key"))
-        filed = anchored.select("k", F.explode(blocks).alias("key")).unionByName(runs)
+        # ``at``: which anchor and block make the key; 0 for other keys.
+        number = (F.col("anchor") * 8 + F.col("block") + 1).cast("byte").alias("at")
+        runs = every.where("runs is not null").dropDuplicates(["l1", "l2"]).join(fuzzy.select("l1", "l2", "k"), ["l1", "l2"]).select("k", F.explode("runs").alias("key"), F.lit(0).cast("byte").alias("at"))
+        filed = anchored.select("k", "anchor", F.posexplode(blocks).alias("block", "key")).select("k", "key", number).unionByName(runs)
         possible = able & ((apart("sig") <= s.bits) | (F.greatest("na", "nb") <= short))
     else:
         blocks, agree = block_plan(fuzzy.count(), s.distance)
-        filed = fuzzy.select("k", F.explode(block_keys(F.col("sig"), blocks, agree)).alias("key"))
+        filed = fuzzy.select("k", F.explode(block_keys(F.col("sig"), blocks, agree)).alias("key"), F.lit(0).cast("byte").alias("at"))
         possible = able & (apart("sig") <= s.distance)
     filed = scratch.keep(filed, "filed")
     shared = scratch.keep(_with_neighbours(filed.df), "shared")
@@ -264,13 +272,11 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     found = components(scratch, first.df)
 
     # Keys inside one component have nothing more to tell.
-    named = scratch.keep(shared.df.select("key", "k").join(found.df, F.col("k") == F.col("id"), "left").select("key", "k", F.coalesce("component", "k").alias("c")), "named")
+    named = scratch.keep(shared.df.select("key", "k", "at").join(found.df, F.col("k") == F.col("id"), "left").select("key", "k", "at", F.coalesce("component", "k").alias("c")), "named")
     shared.drop()
     hubs.drop()
     between = named.df.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    # ``at``: which anchor and block make the key; 0 for other keys.
-    at = F.array_position(F.array(*[anchored_key(F.xxhash64(F.lit(i), a), j) for i, a in enumerate(anchors) for j in range(8)]), F.col("key")) if s.distance is None else F.lit(0)
-    open_ = scratch.keep(named.df.join(between, "key").join(lines.df.drop("held"), "k").withColumn("at", at), "open")
+    open_ = scratch.keep(named.df.join(between, "key").join(lines.df.drop("held"), "k"), "open")
     named.drop()
     left, right = (open_.df.select("key", *[F.col(c).alias(t + e) for c, t in ((x, x) for x in ("k", "c", "at", *facts))]) for e in ("a", "b"))
     meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & possible & ((F.col("ata") == 0) | (F.col("ata") == first_common()))).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
@@ -284,7 +290,8 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     judged = of_node.select("l1", "l2", "c").join(kept, "c").select("l1", "l2", "kd", "kl")
     null = lambda c: F.when(F.col(c) != LAST, F.col(c))
     gone = every.select("d", "line", "l1", "l2").join(judged, ["l1", "l2"]).where("d <> kd or line <> kl")
-    return gone.select(null("d").alias("doc_id"), F.col("line").alias("line_no"), null("kd").alias("kept_doc_id"), F.col("kl").alias("kept_line_no"))
+    # Rows that share an id, a line number and the line give it once.
+    return gone.select(null("d").alias("doc_id"), F.col("line").alias("line_no"), null("kd").alias("kept_doc_id"), F.col("kl").alias("kept_line_no")).distinct()
 
 
 def without_repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -7,14 +7,16 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from storyflow.llm import bpe, decontamination, forest, licenses, line_dedup, ngram_jaccard, recompression, sharding, toxicity, warc
+from storyflow.llm import bpe, common, decontamination, forest, licenses, line_dedup, ngram_jaccard, recompression, sharding, toxicity, warc
 
 WORDS = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "r", "st", "x")]
 #: Columns whose names the operators use inside.
@@ -516,6 +518,26 @@ def test_simhash_is_the_majority_of_bits(spark):
     assert len(plain) == 30 and plain == {tuple(r)[:5]: r.sig for r in line_dedup.signed_lines(docs, most=5).collect()}
 
 
+def test_line_signatures_shuffle_only_texts(spark):
+    """Words meet in the task that has their text: one exchange, below everything that splits a text."""
+    signed = line_dedup.signed_lines(spark.createDataFrame([(1, "a b c")], "d long, text string"), 8, min_chars=12, short=12)
+    plan = signed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("Generate")
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for d in disk.localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(common.CLEANUP)
+    kept = common.Scratch(spark, "test").keep(spark.range(5000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.df.count() == 7 and spark.conf.get(common.CLEANUP) == setting
+    kept.drop()
+
+
 # ---- 9
 
 
