@@ -60,6 +60,8 @@ class Model:
         self.names = {i: t for t, i in {**self.ids, **self.specials}.items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {p: r for r, p in enumerate(pairs)}
+        #: What each merge makes, by rank: one string a token, whose hash is worked out once.
+        self.merged = [a + b for a, b in pairs]
         self.letters = byte_letters()
         self.lookahead = lookahead(pairs, self.end)
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
@@ -106,6 +108,21 @@ def merge(symbols: list[str], ranks: dict) -> list[str]:
     return [p for p in parts if p is not None]
 
 
+def merge_short(symbols: list[str], ranks: dict, merged: list[str]) -> list[str]:
+    """``merge`` for short words: the ranks of all neighbours stand in a list, whose minimum is looked for again after each merge."""
+    never = len(merged)
+    found = [ranks.get(p, never) for p in zip(symbols, symbols[1:])]
+    while found and (r := min(found)) != never:
+        i = found.index(r)
+        symbols[i : i + 2] = (merged[r],)
+        del found[i]
+        if i:
+            found[i - 1] = ranks.get((symbols[i - 1], symbols[i]), never)
+        if i < len(found):
+            found[i] = ranks.get((symbols[i], symbols[i + 1]), never)
+    return symbols
+
+
 class Transducer:
     """Encodes one word that arrives in chunks of letters; ``push`` returns tokens that can no longer change."""
 
@@ -139,7 +156,7 @@ def word_tokens(model: Model, word: str) -> Iterator[str]:
     if len(data := word.encode()) <= model.lookahead:
         symbols = list(map(model.letters.__getitem__, data))
         symbols[-1] += model.end
-        yield from merge(symbols, model.ranks)
+        yield from merge_short(symbols, model.ranks, model.merged)
         return
     machine, step = Transducer(model), 4096
     for lo in range(0, len(data), step):
@@ -154,18 +171,33 @@ def normal(text: str) -> str:
     return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
 
+def split_words(run: str) -> list[str]:
+    """Words of a run. Latin letters, with or without one ASCII sign behind them, need no pattern: below U+0250 ``isalpha`` is \\p{L}."""
+    body = run if (last := run[-1]).isalnum() or last > "~" else run[:-1]
+    if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+        return [run] if body is run else [body, last]
+    return WORDS.findall(run)
+
+
 class Encoder(dict):
-    """Run of letters without white space -> its token ids as text; at most ``limit`` runs are remembered."""
+    """Run of letters without white space -> its token ids as text; at most ``limit`` runs are remembered, in two halves: those not
+    asked for while the newer half filled up are forgotten."""
 
-    def __init__(self, model: Model, limit: int = 200_000, longest: int = 64):
+    def __init__(self, model: Model, limit: int = 400_000, longest: int = 64):
         super().__init__()
-        self.model, self.limit, self.longest = model, limit, longest
+        self.model, self.limit, self.longest, self.older = model, limit, longest, {}
 
     def __missing__(self, run: str) -> str:
-        ids = self.model.ids
-        said = " ".join(str(ids[t]) for w in WORDS.findall(run) for t in word_tokens(self.model, w) if t in ids)
+        if (said := self.older.get(run)) is None:
+            words = split_words(run)
+            if words == [run]:
+                ids = self.model.ids
+                said = " ".join([str(ids[t]) for t in word_tokens(self.model, run) if t in ids])
+            else:  # The words of a run are remembered as well: each is a run of one word.
+                said = " ".join(filter(None, map(self.__getitem__, words)))
         if len(run) <= self.longest:
-            if len(self) >= self.limit:
+            if len(self) >= max(1, self.limit // 2):
+                self.older = dict(self)
                 self.clear()
             self[run] = said
         return said

@@ -308,6 +308,24 @@ def test_bpe_transducer_is_bounded_and_stable():
     assert bpe.plain_text(model, ids) == "naïve café \U0001f600"
 
 
+def test_bpe_merges_each_word_once(monkeypatch):
+    """A word is merged once, whether it stands alone or beside signs, while it is in use; short merges and words equal the plain ones."""
+    model, calls, plain = bpe.Model(public_tokenizers.path("word_bpe_49k.json")), [], bpe.word_tokens
+    monkeypatch.setattr(bpe, "word_tokens", lambda m, w: calls.append(w) or plain(m, w))
+    encoder = bpe.Encoder(model, limit=40)
+    for k in range(200):
+        encoder.encode(f"lantern lantern, lantern! (lantern) été, été.. rare{chr(97 + k % 26)}{chr(97 + k // 26)}")
+        assert len(encoder) + len(encoder.older) <= 40
+    assert calls.count("lantern") == calls.count("été") == 1 and calls.count("rareaa") == 1
+    rnd = random.Random(71)
+    for _ in range(3000):
+        run = "".join(rnd.choice("abcstremlvd''\".,!~|_-12éèºµß½²ĸ\x7f\x80ɏɐ中") for _ in range(rnd.randrange(1, 9)))
+        assert bpe.split_words(run) == bpe.WORDS.findall(run), run
+        word = "".join(rnd.choice("thieanrs") for _ in range(rnd.randrange(1, 60)))
+        symbols = [*word[:-1], word[-1] + bpe.END]
+        assert bpe.merge_short(list(symbols), model.ranks, model.merged) == bpe.merge(symbols, model.ranks), word
+
+
 # ---- 6
 
 
