@@ -14,7 +14,7 @@ which finds all of them. With a ``distance``, lines meet on blocks alone, and al
 ``distance`` bits agree in some choice of blocks.
 
 First each line is compared with its neighbour and the hub under a key, and what that connects is one component;
-then pairs of different components meet. So a group of near copies does not give all its pairs. Keys that a very large number of lines
+then pairs of different components meet. So a group of near copies does not give all its pairs; under keys of ``CROWD`` lines and more only links are written. Keys that a very large number of lines
 hold are found on a sample of the nodes and dealt over several tasks; results do not depend on that. DataFrame functions only.
 
 Defined results: lines of fewer than ``min_words`` words are compared for equality only, and those with fewer than
@@ -55,6 +55,8 @@ class Settings:
 ORDERS = [(i << 61 | 0x0123456789ABCDEF >> i) - (1 << 64 if i > 3 else 0) for i in range(6)]
 #: A key that so many nodes of one in ``SAMPLE`` hold is dealt over ``DEALT`` tasks; at most ``HOTTEST`` keys are.
 SAMPLE, HOT, DEALT, HOTTEST = 64, 256, 64, 4096
+#: Under a key of so many lines no pairs are written: their edit distances are asked where they meet.
+CROWD = 64
 #: ASCII characters other than letters and digits part words. A fixed value.
 #: Thai, Lao, Burmese, Khmer, Kana and Han: scripts that put no spaces between words.
 UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
@@ -127,7 +129,7 @@ def signed_lines(docs: DataFrame, min_words: int = 1, most: int = MOST, min_char
     run = F.when(((i > 1) | (n < 3)) & word.isNotNull(), F.xxhash64(F.when(i > 1, F.get("w", i - 2)), F.when(i > 0, F.get("w", i - 1)), word))
     hashed = each.select("row", *keys, "long", F.when(n <= most, feature(word)).alias("x"), F.when(word.isNotNull(), F.xxhash64(word)).alias("y"), run.alias("g"))
     sums = hashed.groupBy("row", *keys, "long").agg(
-        *[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(WIDE))).alias(f"s{k}") for k in range(16)], F.count("x").alias("m"), F.count("g").alias("any"),
+        *[F.sum(F.shiftrightunsigned(F.coalesce("x", F.lit(0)), k).bitwiseAND(F.lit(WIDE))).alias(f"s{k}") for k in range(16)], F.count("x").alias("m"), F.count("g").alias("any"),
         *[F.bit_xor(F.when(F.col("y").bitwiseAND(F.lit((len(PARITIES) - 1) * 64)) == 64 * i, bit(F.col("y").bitwiseAND(F.lit(63))))).alias(p) for i, p in enumerate(PARITIES)],
         *[F.min(F.col("g").bitwiseXOR(F.lit(mask))).alias(f"a{i}") for i, mask in enumerate(ORDERS)])
     margin = (F.lit(MOST) - F.least((F.col("m") / 2).cast("int"), F.lit(MOST))).cast("long") * F.lit(WIDE)
@@ -194,12 +196,22 @@ def coded(w: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
+def _place() -> Column:
+    """(d, line) as one number, whose order is theirs: a minimum that a hash aggregate can hold."""
+    return F.expr("cast(d as decimal(20, 0)) * 2147483648BD + line")
+
+
+def _of_place(m: str, d: str, line: str) -> list[Column]:
+    return [F.expr(f"cast(({m} - pmod({m}, 2147483648BD)) div 2147483648BD as bigint)").alias(d), F.expr(f"cast(pmod({m}, 2147483648BD) as int)").alias(line)]
+
+
 def _read(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(k, w): words of the lines at the places (k, d, line, l1, l2), read again from the texts."""
+    """(k, w): words of the lines at the places (k, d, line, l1, l2), read again from the texts; rows that share an id may give a line twice."""
     of_doc = places.groupBy("d").agg(F.collect_list(F.struct("k", "line", "l1", "l2")).alias("wanted"))
-    # A sort-merge join at every size: the texts are never matched against a table that was sent whole.
-    return docs.join(of_doc.hint("merge"), "d").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("x")).select(
-        "x.k", "x.l1", "x.l2", words(F.get("all", F.col("x.line"))).alias("w")).where("xxhash64(w) = l1 and xxhash64(1, w) = l2").select("k", "w")
+    # A hash join at every size, built from the places of a task: the texts are neither sorted nor matched against a table that was sent whole.
+    found = docs.join(of_doc.hint("shuffle_hash"), "d").select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("x")).select("x.*", F.get("all", F.col("x.line")).alias("body"))
+    bound = found.select("k", "l1", "l2", F.explode(F.array(words(F.col("body")))).alias("w"))  # bound once, as in signed_lines
+    return bound.where("xxhash64(w) = l1 and xxhash64(1, w) = l2").select("k", "w")
 
 
 def _with_neighbours(rows: DataFrame) -> DataFrame:
@@ -214,17 +226,17 @@ def _with_neighbours(rows: DataFrame) -> DataFrame:
     return placed.where("before is not null or after is not null").drop("after", "part")
 
 
-def _verify(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, s: Settings) -> Kept:
-    """Pairs of nodes (a, b) whose lines, read again from one document each, are similar enough."""
+def _similar(a: str, b: str, s: Settings) -> Column:
+    most = f"cast(greatest(length({a}), length({b})) * {1 - s.similarity} + 1e-9 as int)"
+    return F.expr(f"levenshtein({a}, {b}, {most}) >= 0")
+
+
+def _verify(scratch: Scratch, codes: DataFrame, pairs: DataFrame, s: Settings) -> Kept:
+    """Pairs of nodes (a, b) whose lines are similar enough."""
     pairs = scratch.keep(pairs.distinct(), "pairs")
-    places = scratch.keep(pairs.df.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "d", "line", "l1", "l2"), "k"), "places")
-    codes = scratch.keep(_read(docs, places.df).select("k", coded(F.col("w")).alias("code")).groupBy("k").agg(F.first("code").alias("code")), "codes")
-    side = lambda c, t: codes.df.select(F.col("k").alias(c), F.col("code").alias(t))
-    most = f"cast(greatest(length(ca), length(cb)) * {1 - s.similarity} + 1e-9 as int)"
-    links = pairs.df.join(side("a", "ca"), "a").join(side("b", "cb"), "b").where(f"levenshtein(ca, cb, {most}) >= 0").select("a", "b")
-    out = scratch.keep(links, "links")
-    for kept in (pairs, places, codes):
-        kept.drop()
+    side = lambda c, t: codes.select(F.col("k").alias(c), F.col("code").alias(t))
+    out = scratch.keep(pairs.df.join(side("a", "ca"), "a").join(side("b", "cb"), "b").where(_similar("ca", "cb", s)).select("a", "b"), "links")
+    pairs.drop()
     return out
 
 
@@ -235,58 +247,68 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     short = s.short if s.distance is None else 0
     every = scratch.keep(signed_lines(docs, s.min_words, min_chars=s.min_chars, short=short, similarity=s.similarity), "lines").df
     anchors = [f"a{i}" for i in range(len(ORDERS))]
-    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(F.struct("d", "line")).alias("m"), F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("n", "sig", *anchors)],
+    nodes = scratch.keep(every.groupBy("l1", "l2").agg(F.min(_place()).alias("m"), F.count(F.lit(1)).alias("many"), *[F.first(c).alias(c) for c in ("n", "sig", *anchors)],
                                                               # A row that comes twice cancels its parities: those of other places count.
                                                               *[F.bit_or(c).alias(c) for c in PARITIES])
-                         .select("l1", "l2", "m.d", "m.line", "n", "sig", *PARITIES, *anchors, "many", F.monotonically_increasing_id().alias("k")), "nodes").df
+                         .withColumn("k", F.monotonically_increasing_id()), "nodes").df
     fuzzy = nodes.where(F.col("n") >= s.min_words)
     apart = lambda c: F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b")))
     # An edit distance is at least the difference in length, and half the number of parities that differ.
     able = (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - s.similarity) + 1e-9) & (sum(map(apart, PARITIES[1:]), apart(PARITIES[0])) <= 2 * edits(F.greatest("na", "nb"), s.similarity))
     if s.distance is None:
-        anchored = _with_neighbours(fuzzy.select("k", "sig", F.posexplode(F.array(*[F.xxhash64(F.lit(i), a) for i, a in enumerate(anchors)])).alias("anchor", "key")))
+        anchored = scratch.keep(_with_neighbours(fuzzy.select("k", "sig", F.posexplode(F.array(*[F.xxhash64(F.lit(i), a) for i, a in enumerate(anchors)])).alias("anchor", "key"))), "anchored")
         blocks = F.array(*[anchored_key(F.col("key"), j) for j in range(8)])
         # ``at``: which anchor and block make the key; 0 for other keys.
         number = (F.col("anchor") * 8 + F.col("block") + 1).cast("byte").alias("at")
         runs = every.where("runs is not null").dropDuplicates(["l1", "l2"]).join(fuzzy.select("l1", "l2", "k"), ["l1", "l2"]).select("k", F.explode("runs").alias("key"), F.lit(0).cast("byte").alias("at"))
-        filed = anchored.select("k", "anchor", F.posexplode(blocks).alias("block", "key")).select("k", "key", number).unionByName(runs)
+        filed = anchored.df.select("k", "anchor", F.posexplode(blocks).alias("block", "key")).select("k", "key", number).unionByName(runs)
         possible = able & ((apart("sig") <= s.bits) | (F.greatest("na", "nb") <= short))
     else:
         blocks, agree = block_plan(fuzzy.count(), s.distance)
         filed = fuzzy.select("k", F.explode(block_keys(F.col("sig"), blocks, agree)).alias("key"), F.lit(0).cast("byte").alias("at"))
         possible = able & (apart("sig") <= s.distance)
-    filed = scratch.keep(filed, "filed")
-    shared = scratch.keep(_with_neighbours(filed.df), "shared")
-    filed.drop()
+    shared = scratch.keep(_with_neighbours(filed), "shared")
+    if s.distance is None:
+        anchored.drop()
     # Of a pair only the lengths, SimHashes and parities of lines that share a key are looked up. ``held`` counts a line's shared keys.
     facts = ("n", "sig", *PARITIES, *anchors)
-    lines = scratch.keep(shared.df.groupBy("k").agg(F.count(F.lit(1)).alias("held")).join(fuzzy.select("k", *facts), "k"), "sides")
+    lines = scratch.keep(shared.df.groupBy("k").agg(F.count(F.lit(1)).alias("held")).join(fuzzy.select("k", "l1", "l2", *_of_place("m", "d", "line"), *facts), "k"), "sides")
+    # Lines that share a key are read again once, for the edit distance; rows that share an id may give a line twice.
+    codes = scratch.keep(_read(docs, lines.df).select("k", coded(F.col("w")).alias("code")).groupBy("k").agg(F.first("code").alias("code")), "codes")
     side = lambda k, e: lines.df.select(F.col("k").alias(k), *[F.col(c).alias(c + e) for c in facts])
 
     # The hub of a key is the line with most shared keys: of a group of variants most likely the one they come from.
-    hubs = scratch.keep(shared.df.select("key", "k").join(lines.df.select("k", "held"), "k").groupBy("key").agg(F.max(F.struct("held", "k")).alias("m")).select("key", F.col("m.k").alias("hub")), "hubs")
+    hubs = scratch.keep(shared.df.select("key", "k").join(lines.df.select("k", "held"), "k").groupBy("key").agg(F.max(F.expr("cast(held as decimal(10, 0)) * 9223372036854775808BD + k")).alias("m")).select("key", F.expr("cast(pmod(m, 9223372036854775808BD) as bigint)").alias("hub")), "hubs")
     central = shared.df.select("key", "k").join(hubs.df, "key").select(F.col("hub").alias("a"), F.col("k").alias("b")).where("a <> b")
     beside = shared.df.where("before is not null").select(F.col("before").alias("a"), F.col("k").alias("b")).unionByName(central)
     beside = beside.distinct().join(side("a", "a"), "a").join(side("b", "b"), "b").where(possible).select("a", "b")
-    first = _verify(scratch, docs, fuzzy, beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), s)
+    first = _verify(scratch, codes.df, beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), s)
     found = components(scratch, first.df)
 
     # Keys inside one component have nothing more to tell.
     named = scratch.keep(shared.df.select("key", "k", "at").join(found.df, F.col("k") == F.col("id"), "left").select("key", "k", "at", F.coalesce("component", "k").alias("c")), "named")
     shared.drop()
     hubs.drop()
-    between = named.df.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    open_ = scratch.keep(named.df.join(between, "key").join(lines.df.drop("held"), "k"), "open")
+    between = named.df.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), (F.count(F.lit(1)) >= CROWD).alias("crowd")).where("c1 <> c2").select("key", "crowd")
+    open_ = scratch.keep(named.df.join(between, "key").join(lines.df.select("k", *facts), "k"), "open")
     named.drop()
-    left, right = (open_.df.select("key", *[F.col(c).alias(t + e) for c, t in ((x, x) for x in ("k", "c", "at", *facts))]) for e in ("a", "b"))
-    meet = left.join(right, "key").where(F.expr("ka < kb and ca <> cb") & possible & ((F.col("ata") == 0) | (F.col("ata") == first_common()))).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    more = _verify(scratch, docs, fuzzy, meet, s)
-    open_.drop()
+
+    def meet(rows: DataFrame, *more: str) -> DataFrame:
+        # Both sides have the same columns, so that they are shuffled once; a key is made by one anchor and block.
+        left, right = (rows.select("key", *[F.col(c).alias(c + e) for c in ("k", "c", "at", *more, *facts)]) for e in ("a", "b"))
+        return left.join(right, "key").where(F.expr("ka < kb and ca <> cb and ata = atb") & possible & ((F.col("ata") == 0) | (F.col("ata") == first_common())))
+
+    ends = (F.col("ka").alias("a"), F.col("kb").alias("b"))
+    more = _verify(scratch, codes.df, meet(open_.df.where("not crowd")).select(*ends), s)
+    # Lines that share a passage, but too little besides, meet in pairs without being similar: of a crowd only links are written.
+    crowds = scratch.keep(meet(open_.df.where("crowd").join(codes.df, "k"), "code").where(_similar("codea", "codeb", s)).select(*ends).distinct(), "links")
+    for kept in (open_, codes):
+        kept.drop()
     # The components so far stand for the links that made them.
-    final = components(scratch, found.df.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more.df))
+    final = components(scratch, found.df.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more.df).unionByName(crowds.df))
 
-    of_node = nodes.join(final.df, F.col("k") == F.col("id"), "left").select("l1", "l2", "d", "line", "many", F.coalesce("component", "k").alias("c"))
-    kept = of_node.groupBy("c").agg(F.min(F.struct("d", "line")).alias("m"), F.sum("many").alias("many")).where("many > 1").select("c", F.col("m.d").alias("kd"), F.col("m.line").alias("kl"))
+    of_node = nodes.select("l1", "l2", "m", "many", "k").join(final.df, F.col("k") == F.col("id"), "left").where("many > 1 or id is not null").select("l1", "l2", "m", "many", F.coalesce("component", "k").alias("c"))
+    kept = of_node.groupBy("c").agg(F.min("m").alias("m"), F.sum("many").alias("many")).where("many > 1").select("c", *_of_place("m", "kd", "kl"))
     judged = of_node.select("l1", "l2", "c").join(kept, "c").select("l1", "l2", "kd", "kl")
     null = lambda c: F.when(F.col(c) != LAST, F.col(c))
     gone = every.select("d", "line", "l1", "l2").join(judged, ["l1", "l2"]).where("d <> kd or line <> kl")

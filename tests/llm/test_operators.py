@@ -518,6 +518,26 @@ def test_line_dedup_production_settings_against_brute_force_over_edit_similarity
     assert share[12] == 1.0 and all(v >= 0.9 for v in share.values()), share
 
 
+def test_line_dedup_writes_no_pairs_of_lines_that_share_a_passage(spark, monkeypatch):
+    """Lines that have four fifths less two words in common meet in all pairs: what is stored grows with the lines, not with their pairs."""
+    rnd, made, keep = random.Random(24), [], common.Scratch.keep
+
+    def counted(self, df, label):
+        kept = keep(self, df, label)
+        made.append((kept.df.count(), label))
+        return kept
+
+    monkeypatch.setattr(common.Scratch, "keep", counted)
+    monkeypatch.setattr(line_dedup, "CROWD", 8, raising=False)
+    passage = prose(rnd, 62)
+    own = [" ".join(f"{rnd.choice(WORDS)}{i}" for _ in range(18)) for i in range(100)]
+    rows = [(i, f"{x} {passage}") for i, x in enumerate(own)] + [(100 + i, f"{x} {passage} end") for i, x in enumerate(own[:5])]
+    got = {(r.doc_id, r.kept_doc_id) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(100 + i, i) for i in range(5)}
+    # The first pairs are those with neighbours and hubs; of the second a line gives at most half of CROWD under a key.
+    assert [n for n, label in made if label == "pairs"][1] <= 5 * len(rows), made
+
+
 def test_line_dedup_short_lines_and_scripts_without_spaces(spark):
     han, thai = "天地玄黄宇宙洪荒日月盈昃辰宿列张", "กขคงจฉชซฌญฎฏฐฑฒณ"
     rows = [(1, "Read the full article\nok then\n" + han), (2, "read the FULL article!\nok then"), (3, han[:5] + "云" + han[6:] + "\n" + thai), (4, thai + "\nRead the whole article"), (5, "云腾致雨\n\n"), (6, "云腾致雨\n\n")]
