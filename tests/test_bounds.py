@@ -168,3 +168,45 @@ def test_index_in_tasks_holds_numbers_for_terms(spark):
     users, vectors = spark.createDataFrame([(1,), (2,)], "user_id long"), spark.createDataFrame([(1, "t1", 2.0), (1, "other", 1.0)], "user_id long, term string, weight double")
     rows = {r.user_id: r for r in BR.reader_rows(users, vectors, spark.createDataFrame([(1, ["T2"])], "user_id long, blocked_topics array<string>"), "2024-01-30", terms, code).collect()}
     assert [index.places(np.array([t.code]))[0] for t in rows[1].terms] == [int(np.flatnonzero(index.terms == rows[1].terms[0].code)[0])] and rows[1].topics[0].topic == "t2" and rows[2].terms is None
+
+
+def test_weights_of_readers_move_once(spark):
+    """A reader's weights are summed and meet the pool's terms where they lie: nothing is dealt by terms, and by readers only bookmarks with their tags in arrays."""
+    import datetime as dt
+    import re
+
+    at = dt.datetime(2024, 1, 30)
+    users = spark.createDataFrame([(u if u < 9 else None, at) for u in range(10)], "user_id long, ts timestamp").groupBy("user_id").agg(F.min("ts").alias("ts"))
+    prefs = users.filter("user_id % 4 <> 1").select("user_id", *[F.array(F.lit("LLMs"), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias(c) for c in ("favorite_categories", "favorite_companies", "favorite_topics")],
+                                                    F.array(F.lit("zz")).alias("blocked_topics"))
+    rows = [(i, f"t{i % 5}", [f"t{i % 5}", "llms", f"u{i % 7}"]) for i in [*range(20), 3]]
+    pool = materialize(spark.createDataFrame([(*r, f"Title {r[0]}", 50.0, 10.0, 50.0, 50.0, None) for r in rows], "article_id long, primary_tag string, tag_set array<string>, title string, priority_score double, "
+                                             "final_score double, trust_score double, importance_score double, published_at timestamp"), "pool")
+    marks = [(u if u < 9 else None, (u * 7 + k) % 20) for u in range(10) for k in range(3)]
+    bookmarks = spark.createDataFrame([(u, a, at) for u, a in marks], "user_id long, article_id long, created_at timestamp")
+    vectors = PZ.affinity_vectors(PZ.explicit_affinity(prefs), PZ.bookmark_affinity(bookmarks, pool, "2024-01-31 00:00:00"))
+    want, day = {}, 5.0 * 0.5 ** (1 / 14)
+    for u in [u for u in range(9) if u % 4 != 1]:
+        for t, w in (("llms", 9.0), (f"u{u}", 9.0), *((e, 1.65) for e in PZ.K.TOPIC_EXPANSIONS.get("llms", []))):
+            want[u, t] = want.get((u, t), 0.0) + w
+    for u, a in marks:
+        for t in (t for i, _, tags in rows if i == a for t in tags):
+            want[u, t] = want.get((u, t), 0.0) + day
+    assert {(r.user_id, r.term): round(r.weight, 6) for r in vectors.collect()} == {k: round(w, 6) for k, w in want.items()}
+    for made in (PZ.pool_affinity(vectors, pool), PZ.score_pairs(users.filter("user_id is not null"), pool, vectors, prefs, "2024-01-30 23:59:59")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange (hashpartitioning\(.*)", plan)
+        assert not [e for e in dealt if "term" in e] and len([e for e in dealt if "REPARTITION_BY_NUM" in e]) == 1
+
+
+def test_analyses_move_the_lines_they_need(spark, tmp_path):
+    """Texts meet labels with two lines; the rows are those of the whole texts."""
+    from storyflow.plans.data import VIEWS, Data
+
+    texts = ["a B\nsecond\nthird", "one", "", "x\n\ny", None, "p\nq\n", "\nonly second\nmore"]
+    spark.createDataFrame([(i, t, "en", f"src{i}", 5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (2, 0, 1)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    data = Data(spark, str(tmp_path))
+    whole = spark.sql(VIEWS["f_analyses"].replace("documents", "{documents}").replace("labels", "{labels}"), documents=data.documents, labels=data.labels)
+    assert sorted(map(str, data.f_analyses.collect())) == sorted(map(str, whole.collect()))
+    assert "substring_index" in data.f_analyses._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
