@@ -210,3 +210,47 @@ def test_analyses_move_the_lines_they_need(spark, tmp_path):
     whole = spark.sql(VIEWS["f_analyses"].replace("documents", "{documents}").replace("labels", "{labels}"), documents=data.documents, labels=data.labels)
     assert sorted(map(str, data.f_analyses.collect())) == sorted(map(str, whole.collect()))
     assert "substring_index" in data.f_analyses._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+
+
+def test_own_candidates_are_chosen_where_they_are_scored(spark):
+    """The picks equal those over stored pairs, also for ids that repeat or are null; no pair leaves the task that scores it."""
+    import random
+
+    from storyflow.operators import briefs as BR
+
+    rnd, day = random.Random(7), "2024-01-30"
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, f"Title {i % 7}" if i % 9 else None, sorted(set(rnd.choices(words, k=rnd.randint(0, 6)))), round(rnd.uniform(0, 100), 1), round(rnd.uniform(0, 100), 1), round(rnd.uniform(40, 95), 1), 50.0, None, f"p{i % 6}") for i in range(150)]
+    rows += [rows[3], rows[3], (5, "Title 5", ["w1", "w2"], 99.0, 10.0, 90.0, 90.0, None, "w3"), (None, "Title x", ["w1"], 99.0, 99.0, 95.0, 90.0, None, "p1")]
+    pool = materialize(spark.createDataFrame(rows, "article_id int, title string, tag_set array<string>, priority_score double, final_score double, trust_score double, importance_score double, published_at timestamp, primary_tag string"), "pool")
+    users = spark.createDataFrame([(u,) for u in range(12)], "user_id int")
+    own = {(u, w): round(rnd.choice([0.3, 2.0, 5.0]), 2) for u in range(1, 14) for w in rnd.sample(words, u % 5 + 1)} | {(2, "p1"): 1.0, (None, "w1"): 1.0, (4, "zz"): 2.0}
+    vectors = spark.createDataFrame([(u, t, w) for (u, t), w in own.items()], "user_id int, term string, weight double")
+    prefs = spark.createDataFrame([(u, [["title 3"], ["w4", "none"], [None], None][u % 4]) for u in range(0, 12, 2)], "user_id int, blocked_topics array<string>").filter("blocked_topics is null or blocked_topics[0] is not null")
+    pairs = PZ.eligible(PZ.score_pairs(users, pool, vectors, prefs, f"{day} 23:59:59", tags=True))
+    known = vectors.join(pool.select(F.col("primary_tag").alias("term")).distinct(), "term", "left_semi").groupBy("user_id").agg(F.collect_set("term").alias("known"))
+    stored = BR.select_from_candidates(pairs.join(known, "user_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))), day)
+    made = BR.select_matched(users, pool, vectors, prefs, f"{day} 23:59:59", day)
+    plain = lambda df: sorted((r.user_id, r.pos, r.article_id, r.is_serendipity, r.personalized_score, r.affinity, r.primary_tag) for r in df.collect())
+    assert plain(made) == plain(stored) and len({r[0] for r in plain(made)}) == 11
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_a_brief_reads_what_may_win():
+    """Of a large pool a brief reads the articles whose best possible score could win a step, and no more for the bonus of tags that it has."""
+    from storyflow.operators import briefs as BR
+
+    rng, n = np.random.default_rng(9), 20000
+    rows = [{"article_id": i, "quality_raw": float(q), "base_trend": float(t), "primary_tag": f"p{k}", "tag_set": sorted({f"x{j}" for j in s} | {"all"}), "title": "t", "shared": True}
+            for i, (q, t, k, s) in enumerate(zip(rng.uniform(30, 95, n).round(1), rng.uniform(20, 84, n).round(1), rng.integers(0, 7, n), rng.integers(0, 3000, (n, 8))))]
+    rows[4321]["primary_tag"], rows[4321]["quality_raw"] = "lone", 60.0
+    index = BR.PoolIndex(rows, DEFAULT)
+    for terms in ({"all": 40.0, **{f"p{k}": 1.0 for k in range(6)}}, {"all": 40.0, **{f"p{k}": 1.0 for k in range(7)}}, {"x1": 9.0}, {}):
+        picks, read = index.brief({t: w for t, w in terms.items()}, [], np.zeros(0, np.int64), 2)
+        at, weights, _ = index._named(terms, [])
+        every = np.arange(n)
+        _, score, trend = index.scored(every, at, weights)
+        want, _ = BR.choose(every, score, index.quality, trend, index.tag_at, index.near(every), set(at.tolist()), 2)
+        assert [(i, s) for i, s, *_ in picks] == want
+        assert read < 5000 or "all" not in terms
