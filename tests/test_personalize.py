@@ -196,3 +196,24 @@ def test_suggestion_json(spark):
     rows = PZ.suggestion_context(PZ.suggestion_inputs(d.f_users, d.f_preferences, d.f_bookmarks, briefs.filter(F.col("brief_date") == DAY), d.f_news, d.f_stored))
     parsed = rows.select(F.size(F.from_json("context", "recent_news array<struct<title: string>>")["recent_news"]).alias("n")).distinct().collect()
     assert [r.n for r in parsed] == [15]
+
+
+def test_mentor_articles_equal_the_plain_rule(spark):
+    """A pool's articles are arrays with the keys that somebody blocks; the choice is that of a loop over all of them."""
+    rnd, firms, cats, words = random.Random(3), ["Acme", "Orb", "Zed", None], ["LLMs", "Coding", None, ""], [f"k{i}" for i in range(12)]
+    rows = [(i, float(rnd.choice([20, 41, 55, 60, 61.5, 70, 70, 88])), rnd.choice(cats), rnd.choices(firms, k=rnd.randint(0, 3)), rnd.sample(words, rnd.randint(0, 4))) for i in range(900)]
+    entries = spark.createDataFrame(rows, "article_id long, base double, category string, companies array<string>, metadata array<string>").withColumn("keys", F.transform("metadata", lambda x: F.xxhash64(x)))
+    users = spark.createDataFrame([(u,) for u in range(30)], "user_id long")
+    prefs = [(u, rnd.choices(cats, k=rnd.randint(0, 2)) or None, rnd.choices(firms, k=rnd.randint(0, 2)), [None, [], ["K1"], [None, "k2", "k3"], [w.upper() for w in words]][u % 5]) for u in range(25)]
+    preferences = spark.createDataFrame(prefs, "user_id long, favorite_categories array<string>, favorite_companies array<string>, blocked_topics array<string>")
+    want, own = {}, {u: (set(c or ()), set(f or ()), {(b or "").lower() for b in t or () if b}) for u, c, f, t in prefs}
+    for u in range(30):
+        liked, favourites, blocked = own.get(u, (set(), set(), set()))
+        scored = [(-(base + (8.0 if c is not None and c in liked else 0.0) + (6.0 if (favourites - {None}) & set(f) else 0.0)), i) for i, base, c, f, keys in rows if not blocked & set(keys)]
+        if (best := min(((s, i) for s, i in scored if -s >= DEFAULT.mentor_min), default=None)) is not None:
+            want[u] = best[1]
+    assert {r.user_id: r.article_id for r in PZ._best_mentor_articles(users, preferences, entries, DEFAULT).collect()} == want and len(want) >= 24
+    asked = PZ._asked_keys(entries.select("article_id", "keys"), preferences.filter("user_id = 2"))
+    assert {k for r in asked.collect() for k in r["keys"]} == {r.k for r in spark.range(1).select(F.xxhash64(F.lit("k1")).alias("k")).collect()}
+    held = PZ._MentorPool(entries.select("article_id", "base", "category", "companies", "keys").orderBy(F.desc("base"), "article_id").toArrow())
+    assert not any(isinstance(v, (list, set)) for v in vars(held).values())  # nothing in Python objects grows with the pool
